@@ -27,11 +27,13 @@ DEPTH, MIN_DOCS, MIN_TOKENS, SIMILARITY = 3, 3, 4, 0.8
 BROADCAST_ROWS = 1_000_000
 
 
-def normalised(text):
-    """The text with the lines normalised; line breaks stay where they are."""
-    one = F.regexp_replace(F.translate(text, "\t\r", "  "), " {2,}", " ")
-    one = F.regexp_replace(one, r"(?<![^ \n])[^ \n0-9]*+[0-9][^ \n]*", "<*>")
-    return F.regexp_replace(F.regexp_replace(one, " \n", "\n"), "\n ", "\n")
+def normalised(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``normal``: its text with the lines normalised; line breaks stay where they are."""
+    put = lambda c, old, new: F.replace(c, F.lit(old), F.lit(new))
+    out = docs.withColumn("normal", put(put("text", "\t", " "), "\r", " "))
+    out = out.withColumn("normal", F.when(F.contains("normal", F.lit("  ")), F.regexp_replace("normal", " {2,}", " ")).otherwise(F.col("normal")))
+    out = out.withColumn("normal", F.when(F.rlike("normal", F.lit("[0-9]")), F.regexp_replace("normal", r"(?<![^ \n])[^ \n0-9]*+[0-9][^ \n]*", "<*>")).otherwise(F.col("normal")))
+    return out.withColumn("normal", put(put("normal", " \n", "\n"), "\n ", "\n"))
 
 
 def _n_tokens(line):
@@ -46,7 +48,7 @@ def _eligible(lines: DataFrame, depth: int, min_tokens: int) -> DataFrame:
 def recurring_lines(docs: DataFrame, depth: int, min_docs: int, min_tokens: int, similarity: float) -> DataFrame:
     """``line_key, first_doc``: normalised lines of recurring templates, each with the document that keeps it.
     ``docs`` has doc_id and text."""
-    lines = _eligible(docs.select("doc_id", F.explode(F.array_distinct(F.split(normalised(F.col("text")), "\n"))).alias("line")), depth, min_tokens)
+    lines = _eligible(normalised(docs).select("doc_id", F.explode(F.array_distinct(F.split("normal", "\n"))).alias("line")), depth, min_tokens)
     weight = [F.count("*").alias("weight"), F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc")]
     often = (F.col("weight") >= min_docs) & (F.col("first_doc") < F.col("last_doc"))
     leaves = common.written(lines.groupBy("leaf").agg(*weight).where(often).select("leaf", F.col("weight").alias("leaf_weight")), "leaves")
@@ -71,8 +73,7 @@ def line_dedup(docs: DataFrame, depth: int = DEPTH, min_docs: int = MIN_DOCS, mi
     """``docs`` with the lines of recurring templates taken out of ``text_col``, and ``n_lines``, ``n_dropped``."""
     base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     recurring = common.written(recurring_lines(base, depth, min_docs, min_tokens, similarity), "recurring")
-    text_key = F.xxhash64("text")
-    at = base.select("doc_id", text_key.alias("text_key"), F.posexplode(F.split(normalised(F.col("text")), "\n")).alias("place", "line"))
+    at = normalised(base).select("doc_id", F.xxhash64("text").alias("text_key"), F.posexplode(F.split("normal", "\n")).alias("place", "line"))
     at = _eligible(at, depth, min_tokens).select("doc_id", "text_key", "place", F.xxhash64("line").alias("line_key"))
     gone = at.join(recurring, "line_key").where(F.col("doc_id") != F.col("first_doc"))
     gone = gone.groupBy(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).agg(F.collect_set("place").alias("_gone"))

@@ -78,9 +78,9 @@ def index_sets(matches: int, size: int = 4) -> tuple[tuple[int, ...], ...]:
 
 def _near(one: np.ndarray, many: np.ndarray, matches: int, max_bits: int) -> np.ndarray:
     """Count filter and verification of fingerprints against others (broadcast)."""
-    diff = one ^ many
+    diff = np.atleast_1d(one ^ many)
     shared = (diff.view(np.uint8).reshape(*diff.shape, 8) == 0).sum(-1)
-    return (shared >= matches) & (np.bitwise_count(diff) <= max_bits)
+    return (shared >= matches) & (np.bitwise_count(diff.view(np.uint64)) <= max_bits)  # of signed numbers it counts the absolute value
 
 
 def spanning_links(fp: np.ndarray, rep: np.ndarray, matches: int, max_bits: int) -> list[tuple[int, int]]:
