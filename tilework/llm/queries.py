@@ -45,12 +45,19 @@ def op4_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(common.table(spark, sf_dir, "embeddings"), lambda i: i % 20 == 0)
 
 
+def op8_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .capdedup import cap_near_duplicates
+
+    return cap_near_duplicates(common.table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_source_mixing": op2_source_mixing,
     "op3_line_dedup": op3_line_dedup,
     "op4_nearest_neighbours": op4_nearest_neighbours,
     "op6_simhash": op6_simhash,
+    "op8_embedding_near_dedup": op8_embedding_near_dedup,
 }
 
 ORACLE_SQL = {
