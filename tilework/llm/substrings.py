@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from . import common
 
-SEED_BYTES, BATCH_BYTES, BUCKET_BYTES, PIECE_BYTES = 10, 4_000_000, 1_500_000, 1_000_000
+SEED_BYTES, BATCH_BYTES, BUCKET_BYTES, PIECE_BYTES, LEVEL = 8, 16_000_000, 1_600_000, 1_000_000, 6
 BASE = 0x9E3779B97F4A7C15 | 1
 INVERSE = pow(BASE, -1, 2**64)
 
@@ -75,19 +75,21 @@ def _smallest(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(x[: len(x) - (width - have)], x[width - have :]) if width > have else x
 
 
-def stretches(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts, byte counts and smallest hashes of the stretches of one document's bytes."""
-    starts, sizes, least = [], [], []
+def stretches(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, byte counts, smallest hashes and own hashes of the stretches of one document's bytes."""
+    starts, sizes, least, whole = [], [], [], []
     for lo in range(0, len(data) - length + 1, PIECE_BYTES):
         piece = data[lo : lo + PIECE_BYTES + length - 1]
-        m = _smallest(_mixed(Prefix(piece).every(SEED_BYTES)), length - SEED_BYTES + 1)
+        prefix = Prefix(piece)
+        m = _smallest(_mixed(prefix.every(SEED_BYTES)), length - SEED_BYTES + 1)
         first = np.concatenate([[0], np.flatnonzero(m[1:] != m[:-1]) + 1])
         starts.append(lo + first)
         sizes.append(np.diff(np.append(first, len(m))) + length - 1)
         least.append(m[first])
+        whole.append(prefix.of(first, sizes[-1]))
     if not starts:
-        return (np.zeros(0, np.int64),) * 2 + (np.zeros(0, np.uint64),)
-    return np.concatenate(starts), np.concatenate(sizes), np.concatenate(least)
+        return (np.zeros(0, np.int64),) * 2 + (np.zeros(0, np.uint64),) * 2
+    return tuple(np.concatenate(x) for x in (starts, sizes, least, whole))
 
 
 def _gather(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -96,10 +98,10 @@ def _gather(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray
     return data[np.arange(total[-1] if len(total) else 0) + np.repeat(start - (total - size), size)]
 
 
-def settle_equal(prefix: Prefix, start: np.ndarray, size: np.ndarray, doc: np.ndarray):
+def settle_equal(data: np.ndarray, start: np.ndarray, size: np.ndarray, doc: np.ndarray, whole: np.ndarray):
     """Of stretches with equal bytes, those of the smallest document (``first``) and those of others (``gone``), as masks.
     Equality is checked byte for byte against the first; what only collides in the hash stays first."""
-    h = prefix.of(start, size) ^ (size.astype(np.uint64) << np.uint64(40))
+    h = whole ^ (size.astype(np.uint64) << np.uint64(40))
     order = np.lexsort((doc, h))
     head = np.ones(len(order), bool)
     head[1:] = h[order[1:]] != h[order[:-1]]
@@ -113,7 +115,7 @@ def settle_equal(prefix: Prefix, start: np.ndarray, size: np.ndarray, doc: np.nd
     at = np.flatnonzero(gone)
     for lo in range(0, len(at), 50_000):
         part = at[lo : lo + 50_000]
-        same = _gather(prefix.data, start[part], size[part]) == _gather(prefix.data, start[of[part]], size[part])
+        same = _gather(data, start[part], size[part]) == _gather(data, start[of[part]], size[part])
         ends = np.cumsum(size[part])
         gone[part] = np.add.reduceat(same, ends - size[part]) == size[part]
     return ~gone, gone
@@ -183,30 +185,32 @@ def repeated(prefix: Prefix, start: np.ndarray, size: np.ndarray, doc: np.ndarra
         return of, offset
     docs = doc[of[order]]
     several = np.minimum.reduceat(docs, bounds) < np.maximum.reduceat(docs, bounds)
-    chosen = np.sort(order[np.repeat(several, np.diff(np.append(bounds, len(h))))])
-    if not len(chosen):
-        return chosen, chosen
-    where = np.zeros(len(prefix.data), np.int64)
-    where[at[chosen]] = chosen
-    ranked = suffix_sort(prefix, at[chosen], length)
-    same = np.zeros(len(ranked), bool)
-    same[1:] = _extension(prefix, ranked[1:], ranked[:-1], length) >= length
+    if not several.any():
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    # One suffix of each class is sorted; the others must equal it byte for byte.
+    times = np.diff(np.append(bounds, len(h)))[several]
+    members = order[np.repeat(several, np.diff(np.append(bounds, len(h))))]
+    place = np.zeros(len(prefix.data), np.int64)
+    place[at[order[bounds[several]]]] = np.arange(several.sum())
+    ranked = suffix_sort(prefix, at[order[bounds[several]]], length)
+    rank = np.empty(len(ranked), np.int64)
+    rank[place[ranked]] = np.cumsum(np.append(0, _extension(prefix, ranked[1:], ranked[:-1], length) < length))
+    kind = np.repeat(rank, times)  # neighbours in the order that agree to the end are one class
     windows = np.lib.stride_tricks.sliding_window_view(prefix.data, length)
-    hit = np.flatnonzero(same)
-    if not all((windows[ranked[hit[lo : lo + 20_000]]] == windows[ranked[hit[lo : lo + 20_000] - 1]]).all() for lo in range(0, len(hit), 20_000)):
-        _, kind = np.unique(windows[ranked], axis=0, return_inverse=True)  # a collision: sort by the bytes
-        turn = np.argsort(kind, kind="stable")
-        ranked, same = ranked[turn], np.concatenate([[False], np.diff(kind[turn]) == 0])
-    heads = np.flatnonzero(~same)
-    docs = doc[of[where[ranked]]]
-    least = np.repeat(np.minimum.reduceat(docs, heads), np.diff(np.append(heads, len(ranked))))
-    out = where[ranked[docs > least]]
+    head = np.repeat(at[order[bounds[several]]], times)
+    if not all((windows[at[members[lo : lo + 20_000]]] == windows[head[lo : lo + 20_000]]).all() for lo in range(0, len(members), 20_000)):
+        kind = np.unique(windows[at[members]], axis=0, return_inverse=True)[1]  # a collision: sort by the bytes
+    turn = np.argsort(kind, kind="stable")
+    members, kind = members[turn], kind[turn]
+    heads = np.flatnonzero(np.append(True, np.diff(kind) != 0))
+    docs = doc[of[members]]
+    out = members[docs > np.repeat(np.minimum.reduceat(docs, heads), np.diff(np.append(heads, len(members))))]
     return of[out], offset[out]
 
 
 def _pack(*arrays: np.ndarray) -> bytes:
     head = np.array([len(a.tobytes()) for a in arrays], np.int64).tobytes()
-    return zstandard.ZstdCompressor(level=3).compress(head + b"".join(a.tobytes() for a in arrays))
+    return zstandard.ZstdCompressor(level=LEVEL).compress(head + b"".join(a.tobytes() for a in arrays))
 
 
 def _unpack(blob: bytes, *types) -> list[np.ndarray]:
@@ -218,28 +222,28 @@ def _unpack(blob: bytes, *types) -> list[np.ndarray]:
     return out
 
 
-SPANS = "row long, start long, stop long"
+SPANS = "doc_id long, mark int, start long, stop long"
 
 
 def _dealt(docs: DataFrame, length: int, buckets: int) -> DataFrame:
     """``bucket, kind, blob``: stretches for their buckets (kind 0) and spans settled within a batch (kind 1)."""
 
-    def emit(rows, ids, texts):
+    def emit(marks, ids, texts):
         """One batch of documents."""
         parts = [(i, *stretches(t, length)) for i, t in enumerate(texts)]
         doc_of = np.repeat([p[0] for p in parts], [len(p[1]) for p in parts])
         if not len(doc_of):
             return
         base = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
-        start, size, least = (np.concatenate([p[k] for p in parts]) for k in (1, 2, 3))
-        prefix = Prefix(np.concatenate(texts))
-        ids, rows = np.array(ids, np.int64), np.array(rows, np.int64)
-        stay, gone = settle_equal(prefix, start + base[doc_of], size, ids[doc_of])
+        start, size, least, whole = (np.concatenate([p[k] for p in parts]) for k in (1, 2, 3, 4))
+        data = np.concatenate(texts)
+        ids, marks = np.array(ids, np.int64), np.array(marks, np.int32)
+        stay, gone = settle_equal(data, start + base[doc_of], size, ids[doc_of], whole)
         out_b, out_k, blobs = [], [], []
         if gone.any():
-            out_b.append(int(rows[0] % buckets))
+            out_b.append(int(marks[0]) % buckets)
             out_k.append(1)
-            blobs.append(_pack(rows[doc_of[gone]], start[gone], start[gone] + size[gone]))
+            blobs.append(_pack(np.diff(ids[doc_of[gone]], prepend=0), marks[doc_of[gone]], start[gone], start[gone] + size[gone]))
         at = np.flatnonzero(stay)
         to = (_mixed(least[at]) % np.uint64(buckets)).astype(np.int64)
         order = np.argsort(to, kind="stable")
@@ -249,22 +253,22 @@ def _dealt(docs: DataFrame, length: int, buckets: int) -> DataFrame:
             k = at[a:b]
             out_b.append(int(to[a]))
             out_k.append(0)
-            blobs.append(_pack(rows[doc_of[k]], ids[doc_of[k]], start[k], size[k].astype(np.int32), _gather(prefix.data, start[k] + base[doc_of[k]], size[k])))
+            blobs.append(_pack(np.diff(ids[doc_of[k]], prepend=0), marks[doc_of[k]], start[k], size[k].astype(np.int32), _gather(data, start[k] + base[doc_of[k]], size[k])))
         yield pa.RecordBatch.from_arrays([pa.array(out_b, pa.int64()), pa.array(out_k, pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "kind", "blob"])
 
     def run(batches):
-        rows, ids, texts, held = [], [], [], 0
+        marks, ids, texts, held = [], [], [], 0
         for b in batches:
-            for row, i, t in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                rows.append(row)
+            for mark, i, t in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                marks.append(mark)
                 ids.append(i)
                 texts.append(np.frombuffer(t.encode("utf-8"), np.uint8))
                 held += len(texts[-1])
                 if held >= BATCH_BYTES:
-                    yield from emit(rows, ids, texts)
-                    rows, ids, texts, held = [], [], [], 0
-        if rows:
-            yield from emit(rows, ids, texts)
+                    yield from emit(marks, ids, texts)
+                    marks, ids, texts, held = [], [], [], 0
+        if marks:
+            yield from emit(marks, ids, texts)
 
     return docs.mapInArrow(run, "bucket long, kind int, blob binary")
 
@@ -278,26 +282,26 @@ def _runs_of(positions: np.ndarray, owner: np.ndarray):
 
 
 def repeated_spans(docs: DataFrame, length: int = 50, buckets: int | None = None) -> DataFrame:
-    """``row, start, stop``: spans (of bytes, overlapping) to remove; ``docs`` has row, doc_id and text, ids not null."""
+    """``doc_id, mark, start, stop``: spans (of bytes, overlapping) to remove; ``docs`` has mark, doc_id and text, ids not null."""
     if not buckets:
         total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
         buckets = max(256, total * 4 // BUCKET_BYTES)
-    dealt = _dealt(docs.where(F.octet_length("text") >= length).select("row", "doc_id", "text"), length, buckets)
+    dealt = _dealt(docs.where(F.octet_length("text") >= length).select("mark", "doc_id", "text"), length, buckets)
 
     def settle(held):
-        rows, ids, start, size, data = (np.concatenate(x) for x in zip(*held, strict=True))
+        ids, marks, start, size, data = (np.concatenate(x) for x in zip(*held, strict=True))
         size = size.astype(np.int64)
         base = np.cumsum(size) - size
         prefix = Prefix(data)
-        stay, gone = settle_equal(prefix, base, size, ids)
-        found = [(rows[gone], start[gone], (start + size)[gone])]
+        stay, gone = settle_equal(data, base, size, ids, prefix.of(base, size))
+        found = [(ids[gone], marks[gone], start[gone], (start + size)[gone])]
         k = np.flatnonzero(stay)
         of, offset = repeated(prefix, base[k], size[k], ids[k], length)
         if len(of):
             order = np.lexsort((offset, of))
             of, offset = k[of[order]], offset[order]
             first, last = _runs_of(offset, of)
-            found.append((rows[of[first]], start[of[first]] + offset[first], start[of[last]] + offset[last] + length))
+            found.append((ids[of[first]], marks[of[first]], start[of[first]] + offset[first], start[of[last]] + offset[last] + length))
         return found
 
     def run(batches):
@@ -305,20 +309,22 @@ def repeated_spans(docs: DataFrame, length: int = 50, buckets: int | None = None
         for b in batches:
             for bucket, kind, blob in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if kind == 1:
-                    yield from spans([tuple(_unpack(blob, np.int64, np.int64, np.int64))])
+                    ids, *rest = _unpack(blob, np.int64, np.int32, np.int64, np.int64)
+                    yield from spans([(np.cumsum(ids), *rest)])
                     continue
                 if bucket != now and held:
                     yield from spans(settle(held))
                     held = []
                 now = bucket
-                held.append(_unpack(blob, np.int64, np.int64, np.int64, np.int32, np.uint8))
+                ids, *rest = _unpack(blob, np.int64, np.int32, np.int64, np.int32, np.uint8)
+                held.append([np.cumsum(ids), *rest])
         if held:
             yield from spans(settle(held))
 
     def spans(found):
-        for row, start, stop in found:
-            if len(row):
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (row, start, stop)], ["row", "start", "stop"])
+        for columns in found:
+            if len(columns[0]):
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["doc_id", "mark", "start", "stop"])
 
     common.ship(docs.sparkSession)
     return dealt.repartition(F.col("bucket")).sortWithinPartitions("bucket").mapInArrow(run, SPANS)
@@ -327,15 +333,22 @@ def repeated_spans(docs: DataFrame, length: int = 50, buckets: int | None = None
 def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, kept (binary), n_bytes, n_removed, n_spans``: every document with its repeats removed."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text")).withColumn("row", F.xxhash64("doc_id", "text"))
+    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text")).withColumn("mark", F.xxhash64("text").bitwiseAND(F.lit(0x7FFFFFFF)).cast("int"))
     spans = repeated_spans(base.where("doc_id is not null"), length)
-    ends = spans.groupBy("row").agg(F.collect_list("start").alias("starts"), F.collect_list("stop").alias("stops"))
+    ends = spans.groupBy("doc_id", "mark").agg(F.collect_list("start").alias("starts"), F.collect_list("stop").alias("stops"))
+
+    def press(batches):  # texts travel compressed
+        for b in batches:
+            packed = [zstandard.ZstdCompressor(level=3).compress(t.encode("utf-8")) for t in b.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(packed, pa.binary())], ["doc_id", "mark", "packed"])
+
+    texts = base.select("doc_id", "mark", "text").mapInArrow(press, "doc_id long, mark int, packed binary")
 
     def cut(batches):
         for b in batches:
             kept, size, removed, n = [], [], [], []
             for t, starts, stops in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-                data = t.encode("utf-8")
+                data = zstandard.ZstdDecompressor().decompress(t)
                 size.append(len(data))
                 if not starts:
                     kept.append(data)
@@ -352,4 +365,4 @@ def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
                 kept.append(b"".join(data[x:y] for x, y in zip([0, *e.tolist()], cuts, strict=True)))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(kept, pa.binary()), *(pa.array(x, pa.int64()) for x in (size, removed, n))], ["doc_id", "kept", "n_bytes", "n_removed", "n_spans"])
 
-    return base.join(ends, "row", "left").select("doc_id", "text", "starts", "stops").mapInArrow(cut, "doc_id long, kept binary, n_bytes long, n_removed long, n_spans long")
+    return texts.join(ends, ["doc_id", "mark"], "left").select("doc_id", "packed", "starts", "stops").mapInArrow(cut, "doc_id long, kept binary, n_bytes long, n_removed long, n_spans long")
