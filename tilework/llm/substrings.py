@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from . import common
 
-SEED_BYTES, BATCH_BYTES, BUCKET_BYTES, PIECE_BYTES, LEVEL = 8, 16_000_000, 1_600_000, 1_000_000, 6
+SEED_BYTES, BATCH_BYTES, BUCKET_BYTES, PIECE_BYTES, LEVEL = 8, 16_000_000, 800_000, 1_000_000, 6
 BASE = 0x9E3779B97F4A7C15 | 1
 INVERSE = pow(BASE, -1, 2**64)
 
@@ -133,11 +133,10 @@ def _extension(prefix: Prefix, x: np.ndarray, y: np.ndarray, length: int) -> np.
     return low
 
 
-def _less(prefix: Prefix, x: np.ndarray, y: np.ndarray, length: int) -> np.ndarray:
-    """Is the suffix at ``x`` smaller than that at ``y`` in the first ``length`` bytes?"""
-    a, b = prefix.data[x], prefix.data[y]
-    out = a < b
-    tie = np.flatnonzero(a == b)
+def _less(prefix: Prefix, x: np.ndarray, y: np.ndarray, head_x: np.ndarray, head_y: np.ndarray, length: int) -> np.ndarray:
+    """Is the suffix at ``x`` smaller than that at ``y`` in the first ``length`` bytes? The heads are their first eight."""
+    out = head_x < head_y
+    tie = np.flatnonzero(head_x == head_y)
     if len(tie):
         n = _extension(prefix, x[tie], y[tie], length)
         n = np.minimum(n, length - 1)  # a whole match compares its last, equal, byte
@@ -149,6 +148,9 @@ def suffix_sort(prefix: Prefix, at: np.ndarray, length: int) -> np.ndarray:
     """``at`` in the order of the suffixes there: a bottom-up mergesort, all runs of a level merged at once by ranks."""
     n, run = len(at), 1
     place = np.arange(n)
+    head = np.zeros(n, np.uint64)
+    for k in range(8):
+        head = head << np.uint64(8) | prefix.data[at + k]
     while run < n:
         block, inside = place // (2 * run), place % (2 * run)
         left = inside < run
@@ -160,15 +162,16 @@ def suffix_sort(prefix: Prefix, at: np.ndarray, length: int) -> np.ndarray:
             if not len(open_):
                 break
             mid = (lo[open_] + hi[open_]) // 2
-            x, y = at[open_], at[other[open_] + mid]
+            there = other[open_] + mid
             # A left element goes before its equals on the right, a right element after its equals on the left.
-            before = np.where(left[open_], _less(prefix, y, x, length), ~_less(prefix, x, y, length))
+            first, second = np.where(left[open_], there, open_), np.where(left[open_], open_, there)
+            before = _less(prefix, at[first], at[second], head[first], head[second], length) == left[open_]
             lo[open_] = np.where(before, mid + 1, lo[open_])
             hi[open_] = np.where(before, hi[open_], mid)
         to = block * 2 * run + np.where(left, inside, inside - run) + lo
-        merged = np.empty_like(at)
-        merged[to] = at
-        at, run = merged, 2 * run
+        from_ = np.empty_like(to)
+        from_[to] = place
+        at, head, run = at[from_], head[from_], 2 * run
     return at
 
 
@@ -241,7 +244,7 @@ def _dealt(docs: DataFrame, length: int, buckets: int) -> DataFrame:
         stay, gone = settle_equal(data, start + base[doc_of], size, ids[doc_of], whole)
         out_b, out_k, blobs = [], [], []
         if gone.any():
-            out_b.append(int(marks[0]) % buckets)
+            out_b.append(int(ids[0]) % buckets)
             out_k.append(1)
             blobs.append(_pack(np.diff(ids[doc_of[gone]], prepend=0), marks[doc_of[gone]], start[gone], start[gone] + size[gone]))
         at = np.flatnonzero(stay)
@@ -333,7 +336,10 @@ def repeated_spans(docs: DataFrame, length: int = 50, buckets: int | None = None
 def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, kept (binary), n_bytes, n_removed, n_spans``: every document with its repeats removed."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text")).withColumn("mark", F.xxhash64("text").bitwiseAND(F.lit(0x7FFFFFFF)).cast("int"))
+    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
+    # Only where ids repeat does a mark of the text tell the rows apart.
+    several = bool(base.select("doc_id").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").limit(1).count())
+    base = base.withColumn("mark", F.xxhash64("text").bitwiseAND(F.lit(0x7FFFFFFF)).cast("int") if several else F.lit(0))
     spans = repeated_spans(base.where("doc_id is not null"), length)
     ends = spans.groupBy("doc_id", "mark").agg(F.collect_list("start").alias("starts"), F.collect_list("stop").alias("stops"))
 
