@@ -269,3 +269,15 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, id_col:
     """``doc_id, held_out, score, predicted, spans`` for every row of ``docs``."""
     out = tagged(docs, fit_labelled(docs, labels, id_col, text_col), id_col, text_col)
     return out.select("doc_id", F.coalesce(common.fold("doc_id") == 2, F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "spans")
+
+
+def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that score below the threshold, with all their columns."""
+    model, at = fit_labelled(docs, labels, id_col, text_col), docs.columns.index(text_col)
+
+    def run(batches):
+        for b in batches:
+            yield b.filter(pa.array([model.tag(t.as_py())[0] < threshold for t in b.column(at)], pa.bool_()))
+
+    common.ship(docs.sparkSession)
+    return docs.mapInArrow(run, docs.schema)
