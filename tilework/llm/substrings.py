@@ -18,8 +18,6 @@ remove from one another; rows without an id take no part; an empty table gives n
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 import numpy as np
 import pyarrow as pa
 import zstandard
@@ -28,16 +26,23 @@ from pyspark.sql import functions as F
 
 from . import common
 
-SEED_BYTES, BATCH_BYTES, BUCKET_BYTES, PIECE_BYTES, LEVEL = 8, 16_000_000, 800_000, 1_000_000, 6
+SEED_BYTES, BATCH_BYTES, BUCKET_BYTES, PIECE_BYTES, LEVEL = 8, 12_000_000, 600_000, 1_000_000, 6
 BASE = 0x9E3779B97F4A7C15 | 1
 INVERSE = pow(BASE, -1, 2**64)
 
 
-@lru_cache(maxsize=4)
+_TABLES: dict[int, np.ndarray] = {}
+
+
 def _powers(n: int, base: int) -> np.ndarray:
-    out = np.full(n, base, np.uint64)
-    out[0] = 1
-    return np.cumprod(out)
+    """The first ``n`` powers; one table of each base is kept, as long as the longest asked for."""
+    have = _TABLES.get(base)
+    if have is None or len(have) < n:
+        have = np.full(max(n, 1 << 16), base, np.uint64)
+        have[0] = 1
+        np.cumprod(have, out=have)
+        _TABLES[base] = have
+    return have
 
 
 class Prefix:
@@ -45,10 +50,13 @@ class Prefix:
 
     def __init__(self, data: np.ndarray):
         self.data = data
-        size = 1 << max(16, int(len(data)).bit_length())
+        size = -(-(len(data) + 1) // 1_000_000) * 1_000_000 if len(data) > 1 << 16 else 1 << 16
         self.inverse = _powers(size, INVERSE)
         self.sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum((data.astype(np.uint64) + 1) * _powers(size, BASE)[: len(data)], out=self.sums[1:])
+        self.sums[1:] = data
+        self.sums[1:] += np.uint64(1)
+        self.sums[1:] *= _powers(size, BASE)[: len(data)]
+        np.cumsum(self.sums, out=self.sums)
 
     def of(self, start: np.ndarray, length) -> np.ndarray:
         return (self.sums[start + length] - self.sums[start]) * self.inverse[start]
@@ -113,8 +121,8 @@ def settle_equal(data: np.ndarray, start: np.ndarray, size: np.ndarray, doc: np.
     at = np.flatnonzero(gone)
     gone[at] &= size[at] == size[of[at]]
     at = np.flatnonzero(gone)
-    for lo in range(0, len(at), 50_000):
-        part = at[lo : lo + 50_000]
+    for lo in range(0, len(at), 5_000):
+        part = at[lo : lo + 5_000]
         same = _gather(data, start[part], size[part]) == _gather(data, start[of[part]], size[part])
         ends = np.cumsum(size[part])
         gone[part] = np.add.reduceat(same, ends - size[part]) == size[part]
@@ -310,7 +318,9 @@ def repeated_spans(docs: DataFrame, length: int = 50, buckets: int | None = None
     def run(batches):
         now, held = None, []
         for b in batches:
-            for bucket, kind, blob in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            buckets_, kinds, blobs = b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)
+            for i, (bucket, kind) in enumerate(zip(buckets_, kinds, strict=True)):
+                blob = blobs[i].as_py()
                 if kind == 1:
                     ids, *rest = _unpack(blob, np.int64, np.int32, np.int64, np.int64)
                     yield from spans([(np.cumsum(ids), *rest)])
