@@ -4,7 +4,7 @@ import re
 import numpy as np
 import xxhash
 
-from tilework.llm import simhash, substrings
+from tilework.llm import simhash, simhash_wide, substrings
 
 
 def plain_fingerprint(text, n=3):
@@ -109,3 +109,23 @@ def test_suffix_sort_orders_suffixes():
     one, two = b"x" * 30, b"x" * 29 + b"y"
     p = substrings.Prefix(np.frombuffer(one + two, np.uint8))
     assert substrings._extension(p, np.array([0]), np.array([30]), 30)[0] == 29
+
+
+def test_wide_groups(spark):
+    r = random.Random(9)
+    rows = []
+    for k in range(30):
+        words = [f"w{r.randint(0, 400)}" for _ in range(120)]
+        rows += [(10 * k, " ".join(words)), (10 * k + 1, " ".join(words).upper().replace("W", "w"))]
+        for j in range(2, 6):  # copies with one word of 120 changed: similarity about 0.92
+            copy = list(words)
+            copy[r.randint(0, 119)] = "changed"
+            rows.append((10 * k + j, " ".join(copy)))
+    rows += [(900, None), (901, ""), (902, "short"), (903, "short"), (904, "other")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {x.doc_id: x.component_id for x in simhash_wide.near_copy_groups(docs).collect()}
+    right = [got[i] == 10 * (i // 10) for i, _ in rows if i < 900]
+    assert sum(right) >= 0.97 * len(right)
+    assert got[900] == got[901] == 900 and got[902] == got[903] == 902 and got[904] == 904
+    assert simhash_wide.near_copy_groups(docs.limit(0)).count() == 0
+    assert all(got[i] // 10 == i // 10 for i, _ in rows if i < 900)
