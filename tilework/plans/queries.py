@@ -312,6 +312,7 @@ def contain_first_pos(spark, d):
     return containment.contains_join(texts, items, 30)
 
 
+ITEMS = """items AS (SELECT item_id, translate(md5(text), '0123456789abcdef', 'ACGTACGTACGTACGT') AS sequence FROM benchmark)"""
 SEQ = """seqs AS (SELECT doc_id AS record_id, source, lang, translate(md5(coalesce(text, '')), '0123456789abcdef', 'ACGTACGTACGTACGT') AS sequence FROM documents)"""
 
 
@@ -322,28 +323,28 @@ def kmer_dictionary(spark, d):
     return containment.dictionary(e).join(containment.multi_dictionary(e).select("key", F.size("values").cast("long").alias("n")), "key")
 
 
-@query(f"""WITH {SEQ}, words AS (SELECT substr(sequence, 1, 6) AS key, 'a' || (record_id % 5)::VARCHAR AS value FROM seqs WHERE record_id % 50 = 0 UNION SELECT substr(sequence, 5, 9), 'b' || (record_id % 5)::VARCHAR FROM seqs WHERE record_id % 50 = 0),
+@query(f"""WITH {SEQ}, {ITEMS}, words AS (SELECT substr(sequence, 1, 5) AS key, 'a' || item_id AS value FROM items UNION SELECT substr(sequence, 5, 7), 'b' || item_id FROM items),
 hits AS (SELECT s.record_id AS seq_id, length(w.key) AS length, instr(s.sequence, w.key) - 1 AS pos, w.value FROM seqs s JOIN words w ON contains(s.sequence, w.key)),
 best AS (SELECT *, row_number() OVER (PARTITION BY seq_id ORDER BY length DESC, pos, value) AS rn FROM hits)
 SELECT s.record_id AS seq_id, b.length::INT AS length, b.pos::INT AS pos, b.value FROM seqs s LEFT JOIN best b ON s.record_id = b.seq_id AND b.rn = 1""")
 def longest_match(spark, d):
     """Longest dictionary word in each sequence, then the first place."""
     s = views.pseudo_sequences(spark, d)
-    some = s.where("record_id % 50 = 0")  # the dictionary
-    tag = lambda p: F.concat(F.lit(p), (F.col("record_id") % 5).cast("string")).alias("value")
-    words = some.select(F.substring("sequence", 1, 6).alias("key"), tag("a")).unionByName(some.select(F.substring("sequence", 5, 9).alias("key"), tag("b"))).distinct()
-    return containment.longest_match(s.select(F.col("record_id").alias("seq_id"), "sequence"), words, [6, 9])
+    items = views.item_sequences(spark, d)
+    tag = lambda p: F.concat(F.lit(p), F.col("item_id").cast("string")).alias("value")
+    words = items.select(F.substring("sequence", 1, 5).alias("key"), tag("a")).unionByName(items.select(F.substring("sequence", 5, 7).alias("key"), tag("b"))).distinct()
+    return containment.longest_match(s.select(F.col("record_id").alias("seq_id"), "sequence"), words, [5, 7])
 
 
-@query(f"""WITH {SEQ}, words AS (SELECT substr(sequence, 3, 8) AS key, lang AS value FROM seqs WHERE record_id % 20 = 0), two AS (SELECT key AS kmer, value, 0 AS rev FROM words UNION ALL SELECT reverse(translate(key, 'ACGT', 'TGCA')), value, 1 FROM words),
+@query(f"""WITH {SEQ}, {ITEMS}, words AS (SELECT substr(sequence, 3, 5) AS key, item_id AS value FROM items), two AS (SELECT key AS kmer, value, 0 AS rev FROM words UNION ALL SELECT reverse(translate(key, 'ACGT', 'TGCA')), value, 1 FROM words),
 hits AS (SELECT s.record_id AS seq_id, instr(s.sequence, b.kmer) - 1 AS pos, rev, kmer FROM seqs s JOIN two b ON contains(s.sequence, b.kmer)),
 best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY seq_id ORDER BY pos, rev) AS rn FROM hits) WHERE rn = 1)
 SELECT CASE rev WHEN 0 THEN 'forward' ELSE 'revcomp' END AS strand, count(*) AS n, sum(pos)::BIGINT AS pos_sum FROM best GROUP BY strand""")
 def window_lookup(spark, d):
     """First window that is a dictionary word or its reverse complement."""
     s = views.pseudo_sequences(spark, d)
-    words = s.where("record_id % 20 = 0").select(F.substring("sequence", 3, 8).alias("key"), F.col("lang").alias("value"))  # the dictionary
-    hits = containment.window_lookup(s.select(F.col("record_id").alias("seq_id"), "sequence"), words, 8)
+    words = views.item_sequences(spark, d).select(F.substring("sequence", 3, 5).alias("key"), F.col("item_id").alias("value"))
+    hits = containment.window_lookup(s.select(F.col("record_id").alias("seq_id"), "sequence"), words, 5)
     return hits.groupBy("strand").agg(F.count("*").alias("n"), F.sum("pos").alias("pos_sum"))
 
 

@@ -40,6 +40,12 @@ def pseudo_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("record_id"), F.col("source").alias("source"), "lang", seq.alias("sequence"), F.left(seq, F.lit(30)).alias("trigger"))
 
 
+def item_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A sequence for each benchmark item, made likewise: dictionary words come from these."""
+    seq = F.translate(F.md5(F.col("text").cast("binary")), "0123456789abcdef", "ACGTACGTACGTACGT")
+    return table(spark, sf_dir, "benchmark").select("item_id", seq.alias("sequence"))
+
+
 def tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversation turns as tiles of their conversation, with a sequence of each turn's text."""
     seq = F.left(F.translate(F.md5(F.coalesce("text", F.lit("")).cast("binary")), "0123456789abcdef", "AACCAACCAACCAACC"), F.lit(30))
