@@ -13,7 +13,7 @@ SHARDS = 8
 
 
 def sampled(rows: DataFrame, key: str, bound: int, seed: int) -> DataFrame:
-    """About ``bound`` of the rows (all, if fewer), chosen by a hash of their key; an exact limit follows at 1.2 times that."""
+    """About ``bound`` of the rows (all, if fewer), chosen by a hash of their key."""
     n = rows.count()
     part = min(1.0, bound / max(n, 1))
     return rows.where(F.pmod(F.xxhash64(F.lit(seed), key), F.lit(1_000_000)) < int(part * 1_000_000)) if part < 1 else rows
@@ -34,13 +34,13 @@ def gram_ids(codes: np.ndarray, orders, bits: int) -> np.ndarray:
 
 def gram_counts(codes: np.ndarray, orders, bits: int, piece: int = 1_000_000) -> np.ndarray:
     """Counts of all n-grams of a text of any length, piece by piece."""
-    total, over = np.zeros(1 << bits, np.int64), max(orders) - 1
     if len(codes) <= piece:
         return np.bincount(gram_ids(codes, orders, bits), minlength=1 << bits)
+    total = np.zeros(1 << bits, np.int64)
     for n in orders:
         for lo in range(0, len(codes), piece):
             total += np.bincount(gram_ids(codes[lo : lo + piece + n - 1], (n,), bits), minlength=1 << bits)
-    return total if over >= 0 else total
+    return total
 
 
 class Ftrl:

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from . import common
 
-SEED_BYTES, BATCH_BYTES, BUCKET_BYTES, PIECE_BYTES, LEVEL = 8, 12_000_000, 600_000, 1_000_000, 6
+SEED_BYTES, BATCH_BYTES, BUCKET_BYTES, PIECE_BYTES, LEVEL = 8, 12_000_000, 2_400_000, 1_000_000, 6
 BASE = 0x9E3779B97F4A7C15 | 1
 INVERSE = pow(BASE, -1, 2**64)
 
