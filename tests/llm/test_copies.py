@@ -129,3 +129,47 @@ def test_wide_groups(spark):
     assert got[900] == got[901] == 900 and got[902] == got[903] == 902 and got[904] == 904
     assert simhash_wide.near_copy_groups(docs.limit(0)).count() == 0
     assert all(got[i] // 10 == i // 10 for i, _ in rows if i < 900)
+
+
+def test_wide_groups_at_the_bound(spark):
+    """Pairs at and just above 0.8 are grouped, and pairs just below it are not."""
+    r = random.Random(11)
+    rows, pairs = [], []
+
+    def add(words, copy, near):
+        pairs.append((len(rows), near))
+        rows.extend([(len(rows), " ".join(words)), (len(rows) + 1, " ".join(copy))])
+
+    for _ in range(60):
+        for size, near in ((204, True), (203, False)):  # 200 and 199 of 250 shingles
+            words = [f"w{r.randint(0, 10**6)}" for _ in range(254)]
+            add(words[:size], words, near)
+        for changed, near in ((4, True), (5, False)):  # 180 of 220 and 175 of 225
+            words = [f"w{r.randint(0, 10**6)}" for _ in range(204)]
+            copy = list(words)
+            for k in range(changed):
+                copy[20 + 30 * k] = "changed"
+            add(words, copy, near)
+    got = {x.doc_id: x.component_id for x in simhash_wide.near_copy_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all((got[i] == got[i + 1]) == near for i, near in pairs)
+
+
+def test_wide_groups_against_all_pairs(spark):
+    r = random.Random(12)
+    texts = []
+    for _ in range(25):
+        words = [f"w{r.randint(0, 300)}" for _ in range(150)]
+        for _ in range(8):
+            copy = list(words)
+            for _ in range(r.randint(0, 6)):
+                copy[r.randint(0, 149)] = f"x{r.randint(0, 300)}"
+            texts.append(" ".join(copy))
+    sets = [simhash_wide.shingles(t) for t in texts]
+    group = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                a, b = sorted((group[i], group[j]))
+                group = [a if g == b else g for g in group]
+    got = {x.doc_id: x.component_id for x in simhash_wide.near_copy_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [got[i] for i in range(len(texts))] == group
