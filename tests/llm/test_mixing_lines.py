@@ -77,3 +77,15 @@ def test_hot_line_and_long_text(spark):
     docs = spark.createDataFrame([(i, "the very same old line\n" + "z" * (200_000 if i == 7 else 1)) for i in range(200)], "doc_id long, text string")
     got = lines.line_dedup(docs).collect()
     assert sum(r.n_dropped for r in got) == 199 and max(len(r.text) for r in got) == 200_000
+
+
+def test_several_templates_and_a_hot_line_in_a_leaf(spark):
+    """Three sorts of lines with the same number of tokens and first tokens."""
+    one, two, hot = "please note that parcel from {} waits in the hall", "please note that all trains to {} leave very late", "please note that we are closed on every sunday now"
+    assert len(one.split()) == len(two.split()) == len(hot.split()) == 10
+    names = ["ann", "bob", "cid", "dan", "eve"]
+    texts = [one.format(n) for n in names] + [two.format(n) for n in names]
+    for more in ([], [hot] * 30):
+        docs = spark.createDataFrame(list(enumerate(texts + more)), "doc_id long, text string")
+        got = {r.doc_id: r.text for r in lines.line_dedup(docs, whole=True).collect()}
+        assert {i: t for i, t in got.items() if t} == {i: (texts + more)[i] for i in ([0, 5, 10] if more else [0, 5])}

@@ -7,6 +7,9 @@ fields in at least ``similarity`` of all their tokens share the leaf's template;
 seen at least ``min_docs`` times and in two or more documents is recurring: its lines go from every
 document but the one with the smallest id, so that one copy of a shared passage stays.
 
+With ``whole`` a leaf holds several templates: lines that do not join are dealt anew by the token at the position with the fewest
+different tokens, and templated again, until no part of a leaf can recur. The registered query runs without it, as its SQL states one template a leaf.
+
 Only DataFrame functions. Leaves are counted from hashes first, and only lines of leaves that recur are moved with
 their text; all counts combine on the map side, so a line in a third of all documents is one row a task.
 
@@ -69,10 +72,50 @@ def recurring_lines(docs: DataFrame, depth: int, min_docs: int, min_tokens: int,
     return kept.select("line_key", "template").join(templates.select("template", "first_doc"), "template").select("line_key", "first_doc")
 
 
-def line_dedup(docs: DataFrame, depth: int = DEPTH, min_docs: int = MIN_DOCS, min_tokens: int = MIN_TOKENS, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def recurring_lines_whole(docs: DataFrame, depth: int, min_docs: int, min_tokens: int, similarity: float) -> DataFrame:
+    """As :func:`recurring_lines`, with several templates in a leaf."""
+    lines = _eligible(normalised(docs).select("doc_id", F.explode(F.array_distinct(F.split("normal", "\n"))).alias("line")), depth, min_tokens)
+    lines = lines.withColumn("least", F.lit(min_docs))
+    weight = [F.count("*").alias("weight"), F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc")]
+    total = [F.sum("weight").alias("leaf_weight"), F.min("first_doc").alias("_first"), F.max("last_doc").alias("_last")]
+    leaves = common.written(lines.groupBy("leaf", "least").agg(*weight).where("weight >= least and first_doc < last_doc").select("leaf"), "leaves")
+    side = F.broadcast(leaves) if leaves.count() <= BROADCAST_ROWS else leaves
+    held = common.written(lines.join(side, "leaf").groupBy("leaf", "least", "line").agg(*weight), "lines")
+    fields = F.posexplode(F.transform(F.split("line", " "), lambda t: F.xxhash64(t))).alias("pos", "token")
+    hashed = F.transform(F.split("line", " "), lambda t, i: F.xxhash64(i, F.xxhash64(t)))
+    done = None
+    while True:
+        sizes = held.groupBy("leaf", "least").agg(*total).where("leaf_weight >= least and _first < _last").select("leaf", "leaf_weight")
+        now = common.written(held.join(sizes, "leaf"), "open-lines")
+        if now.isEmpty():
+            break
+        # The fixed fields: at most one token a position.
+        counts = common.written(now.where("weight < leaf_weight").select("leaf", "leaf_weight", "weight", fields).groupBy("leaf", "leaf_weight", "pos", "token").agg(F.sum("weight").alias("n")), "fields")
+        fixed = counts.where("n * 2 > leaf_weight").groupBy("leaf").agg(F.collect_list(F.xxhash64("pos", "token")).alias("fixed"))
+        agree = F.size(F.array_intersect(hashed, F.coalesce("fixed", F.array().cast("array<bigint>"))))
+        joins = (F.col("weight") == F.col("leaf_weight")) | (agree >= similarity * _n_tokens(F.col("line")))
+        told = common.written(now.join(fixed, "leaf", "left").withColumn("joins", joins).drop("fixed", "leaf_weight"), "told")
+        part = told.where("joins").select(F.xxhash64("line").alias("line_key"), F.col("leaf").alias("template"), "weight", "first_doc", "last_doc", "least")
+        done = part if done is None else done.union(part)
+        # The rest is dealt by one position; a leaf that lost lines, or has no position left, keeps its name for the next round.
+        rest = told.where("not joins").drop("joins")
+        places = rest.select("leaf", fields).groupBy("leaf", "pos").agg(F.count_distinct("token").alias("kinds")).where("kinds > 1")
+        places = places.groupBy("leaf").agg(F.min(F.struct("kinds", "pos")).alias("at")).select("leaf", F.col("at.pos").alias("pos"))
+        token = F.element_at(F.split("line", " "), F.col("pos") + 1)
+        dealt = rest.join(places, "leaf", "left").withColumn("leaf", F.xxhash64("leaf", F.coalesce("pos", F.lit(-1)), F.coalesce(token, F.lit(""))))
+        held = common.written(dealt.drop("pos"), "lines")
+        for old in (now, counts):
+            common.forget(old)
+    if done is None:
+        return docs.select(F.lit(0).cast("long").alias("line_key"), F.col("doc_id").alias("first_doc")).limit(0)
+    templates = done.groupBy("template", "least").agg(F.sum("weight").alias("weight"), F.min("first_doc").alias("first_doc"), F.max("last_doc").alias("last_doc")).where("weight >= least and first_doc < last_doc")
+    return done.select("line_key", "template").join(templates.select("template", "first_doc"), "template").select("line_key", "first_doc")
+
+
+def line_dedup(docs: DataFrame, depth: int = DEPTH, min_docs: int = MIN_DOCS, min_tokens: int = MIN_TOKENS, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text", whole: bool = False) -> DataFrame:
     """``docs`` with the lines of recurring templates taken out of ``text_col``, and ``n_lines``, ``n_dropped``."""
     base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    recurring = common.written(recurring_lines(base, depth, min_docs, min_tokens, similarity), "recurring")
+    recurring = common.written((recurring_lines_whole if whole else recurring_lines)(base, depth, min_docs, min_tokens, similarity), "recurring")
     at = normalised(base).select("doc_id", F.xxhash64("text").alias("text_key"), F.posexplode(F.split("normal", "\n")).alias("place", "line"))
     at = _eligible(at, depth, min_tokens).select("doc_id", "text_key", "place", F.xxhash64("line").alias("line_key"))
     gone = at.join(recurring, "line_key").where(F.col("doc_id") != F.col("first_doc"))
