@@ -89,3 +89,12 @@ def test_several_templates_and_a_hot_line_in_a_leaf(spark):
         docs = spark.createDataFrame(list(enumerate(texts + more)), "doc_id long, text string")
         got = {r.doc_id: r.text for r in lines.line_dedup(docs, whole=True).collect()}
         assert {i: t for i, t in got.items() if t} == {i: (texts + more)[i] for i in ([0, 5, 10] if more else [0, 5])}
+
+
+def test_long_line_in_two_documents(spark):
+    from corpus_pipeline import lines as stage
+
+    long = " ".join(f"word{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(50))
+    docs = spark.createDataFrame([(1, long), (2, f"before\n{long}\nafter"), (3, "a short line here"), (4, "a short line here")], "doc_id long, text string")
+    assert {r.doc_id: r.text for r in stage(spark, docs, "").collect()} == {1: long, 2: "before\nafter", 3: "a short line here", 4: "a short line here"}
+    assert lines.line_dedup(docs.limit(0), whole=True).count() == 0

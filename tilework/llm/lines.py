@@ -8,7 +8,8 @@ seen at least ``min_docs`` times and in two or more documents is recurring: its
 document but the one with the smallest id, so that one copy of a shared passage stays.
 
 With ``whole`` a leaf holds several templates: lines that do not join are dealt anew by the token at the position with the fewest
-different tokens, and templated again, until no part of a leaf can recur. The registered query runs without it, as its SQL states one template a leaf.
+different tokens, and templated again, until no part of a leaf can recur; and templates of ``PAIR_TOKENS`` tokens or more
+recur from two documents on. The registered query runs without it, as its SQL states one template a leaf and ``MIN_DOCS``.
 
 Only DataFrame functions. Leaves are counted from hashes first, and only lines of leaves that recur are moved with
 their text; all counts combine on the map side, so a line in a third of all documents is one row a task.
@@ -26,6 +27,8 @@ from pyspark.sql import functions as F
 from . import common
 
 DEPTH, MIN_DOCS, MIN_TOKENS, SIMILARITY = 3, 3, 4, 0.8
+#: With ``whole``: lines of so many tokens are no chance, and recur from two documents on.
+PAIR_TOKENS = 10
 #: Leaf hashes are sent to every task only up to this many rows (8 bytes each); beyond it the join shuffles.
 BROADCAST_ROWS = 1_000_000
 
@@ -72,10 +75,14 @@ def recurring_lines(docs: DataFrame, depth: int, min_docs: int, min_tokens: int,
     return kept.select("line_key", "template").join(templates.select("template", "first_doc"), "template").select("line_key", "first_doc")
 
 
+def _least(min_docs: int, n_tokens):
+    return F.when(n_tokens >= PAIR_TOKENS, F.lit(min(2, min_docs))).otherwise(F.lit(min_docs))
+
+
 def recurring_lines_whole(docs: DataFrame, depth: int, min_docs: int, min_tokens: int, similarity: float) -> DataFrame:
     """As :func:`recurring_lines`, with several templates in a leaf."""
     lines = _eligible(normalised(docs).select("doc_id", F.explode(F.array_distinct(F.split("normal", "\n"))).alias("line")), depth, min_tokens)
-    lines = lines.withColumn("least", F.lit(min_docs))
+    lines = lines.withColumn("least", _least(min_docs, _n_tokens(F.col("line"))))
     weight = [F.count("*").alias("weight"), F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc")]
     total = [F.sum("weight").alias("leaf_weight"), F.min("first_doc").alias("_first"), F.max("last_doc").alias("_last")]
     leaves = common.written(lines.groupBy("leaf", "least").agg(*weight).where("weight >= least and first_doc < last_doc").select("leaf"), "leaves")
