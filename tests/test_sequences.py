@@ -84,3 +84,12 @@ def test_readers_and_writers(spark, tmp_path):
     assert writers.rewritten(spark, f"{tmp_path}/t", 0, lambda d: d.withColumn("v", F.col("v") + 1)).first().v == 2.0
     writers.metric_json(df, f"{tmp_path}/j", ["method"])
     assert writers.manifest(spark, f"{tmp_path}/j").where("length > 0").count() >= 1
+
+
+def test_dictionary_values_stay_rows(spark):
+    from tilework.operators import containment
+
+    e = spark.createDataFrame([("hot", i % 50) for i in range(200)] + [("one", 7), ("none", None)], "key string, value long")
+    assert {tuple(r) for r in containment.value_counts(e).collect()} == {("hot", 50), ("one", 1), ("none", 0)}
+    assert containment.multi_dictionary(e).count() == 51
+    assert "collect_set" not in containment.value_counts(e)._jdf.queryExecution().optimizedPlan().toString()

@@ -58,8 +58,13 @@ def dictionary(entries: DataFrame) -> DataFrame:
 
 
 def multi_dictionary(entries: DataFrame) -> DataFrame:
-    """All values of each key, sorted."""
-    return entries.groupBy("key").agg(F.array_sort(F.collect_set("value")).alias("values"))
+    """All values of each key as distinct rows (key, value), so that the values of a hot key can be split."""
+    return entries.select("key", "value").where("value is not null").distinct()
+
+
+def value_counts(entries: DataFrame) -> DataFrame:
+    """``key, n``: the number of distinct values of each key, counted in two aggregations."""
+    return entries.select("key", "value").distinct().groupBy("key").agg(F.count("value").alias("n"))
 
 
 def window_lookup(texts: DataFrame, words: DataFrame, k: int) -> DataFrame:

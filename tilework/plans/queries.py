@@ -320,7 +320,7 @@ SEQ = """seqs AS (SELECT doc_id AS record_id, source, lang, translate(md5(coales
 def kmer_dictionary(spark, d):
     """Dictionary of 12-letter words: the first value, and how many."""
     e = views.pseudo_sequences(spark, d).select(F.left("sequence", F.lit(12)).alias("key"), F.col("record_id").alias("value"), F.col("record_id").alias("row_no"), F.lit(0).alias("side"))
-    return containment.dictionary(e).join(containment.multi_dictionary(e).select("key", F.size("values").cast("long").alias("n")), "key")
+    return containment.dictionary(e).join(containment.value_counts(e), "key")
 
 
 @query(f"""WITH {SEQ}, {ITEMS}, words AS (SELECT substr(sequence, 1, 5) AS key, 'a' || item_id AS value FROM items UNION SELECT substr(sequence, 5, 7), 'b' || item_id FROM items),
