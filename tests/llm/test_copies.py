@@ -80,10 +80,10 @@ def plain_removal(rows, n):
     return out
 
 
-def check(spark, rows, n):
+def check(spark, rows, n, **more):
     docs = spark.createDataFrame([(i, None if t is None else t, "x") for i, t in rows], "doc_id long, text string, mark string")
     want = plain_removal([(i, (t or "").encode()) for i, t in rows], n)
-    got = substrings.remove_repeats(docs, n).collect()
+    got = substrings.remove_repeats(docs, n, **more).collect()
     assert len(got) == len(rows)
     for r, in zip(got):
         assert (bytes(r.kept), r.n_removed, r.n_spans) in [v for k, v in want.items() if k[0] == r.doc_id]
@@ -96,9 +96,50 @@ def test_removal_against_brute_force(spark):
     rows += [(100, None), (101, ""), (102, rows[3][1]), (103, rows[3][1]), (3, "q" + rows[3][1]), (104, "a" * 5000)]
     check(spark, rows, 20)
     check(spark, rows[:10], 50)
+    check(spark, rows, 50, buckets=2, most=3000)  # buckets too large for a task are dealt anew, up to the last round
     check(spark, [(1, "")], 50)
 
 
+def test_the_sort_decides(monkeypatch):
+    """Without the order of the suffixes, equal strings are no neighbours and stay."""
+    r = random.Random(8)
+    texts = [bytes(r.choice(b"ab ") for _ in range(300)) for _ in range(4)]
+    texts += [texts[0][40:160] + texts[1][100:220], texts[2][50:250], texts[0][30:140]]
+    data = np.frombuffer(b"".join(texts), np.uint8)
+    size = np.array([len(t) for t in texts])
+    start = np.cumsum(size) - size
+    first = {}
+    want = set()
+    for d, t in enumerate(texts):
+        for p in range(len(t) - 49):
+            if first.setdefault(t[p : p + 50], d) < d:
+                want.add((d, p))
+    found = lambda: set(zip(*(x.tolist() for x in substrings.repeated(substrings.Prefix(data), start, size, np.arange(len(texts)), 50)), strict=True))
+    assert want and found() == want
+    monkeypatch.setattr(substrings, "suffix_sort", lambda prefix, at, length: at)
+    assert found() != want
+
+
+def test_frequent_seeds_are_cut_again(monkeypatch):
+    """Groups over the bound are cut by longer seeds, up to whole strings, and lose nothing."""
+    r = random.Random(10)
+    parts = ["the very same words come up again here ", "and again " * 9, "x" * 70]
+    texts = [("".join(r.choice(parts) for _ in range(6)) + str(i % 7)).encode() for i in range(30)]
+    data = np.frombuffer(b"".join(texts), np.uint8)
+    ends = np.cumsum([len(t) for t in texts])
+    start = ends - [len(t) for t in texts]
+    of, at, size, least, _ = substrings.stretches(data, ends, 50, 8)
+    have = substrings.Stretches(of, of * 0, at - start[of], size, substrings._kind(least), substrings._gather(data, at, size))
+    for bound in (1_000_000, 500):
+        monkeypatch.setattr(substrings, "GROUP_BYTES", bound)
+        cover = [bytearray(len(t)) for t in texts]
+        for ids, _, a, b in substrings.settle(have, 50, 0):
+            for i, x, y in zip(ids.tolist(), a.tolist(), b.tolist()):
+                cover[i][x:y] = b"\1" * (y - x)
+        want = plain_removal(list(enumerate(texts)), 50)
+        assert [sum(c) for c in cover] == [want[i, t][1] for i, t in enumerate(texts)]
+
+
 def test_suffix_sort_orders_suffixes():
     rng = np.random.default_rng(7)
     data = rng.integers(97, 99, 400).astype(np.uint8)

@@ -1,19 +1,22 @@
 """Removal of repeated byte strings by hash-compared suffix sorting.
 
 Every byte covered by a string of ``length`` bytes that also starts in a document with a smaller id goes. A string is
-dealt by the smallest hash of the short strings inside it: neighbouring strings mostly share that smallest one, so they
-travel together as one *stretch* of text, and equal strings meet in the same bucket wherever they stand. Stretches
-that are equal, byte for byte, within one batch are settled there, so that a bucket receives a common passage
-once a batch however many documents hold it.
-
-In a bucket, equal stretches are settled first. The suffixes of the other stretches whose next ``length`` bytes have a hash
-that more than one document has are sorted by a bottom-up mergesort; two suffixes are compared by
-their longest common extension, found by binary search over prefix polynomial hashes, and the byte after it. Runs of
-extension ``length`` or more are compared byte by byte (a collision falls back to sorting the bytes), and each run's
-smallest document keeps its bytes.
-
-Positions are UTF-8 bytes. A null text is empty; texts shorter than ``length`` lose nothing; rows that share an id never
-remove from one another; rows without an id take no part; an empty table gives no rows.
+dealt by the smallest of the short seeds inside it: neighbouring strings mostly share that seed, so they travel together
+as one *stretch* of text, and equal strings meet in the same bucket wherever they stand. Seeds are ordered by how frequent
+their kind is in a bounded sample (rarer first), then by hash, so that a frequent seed is chosen only where a string has no
+other; the order balances buckets and has no influence on results. Stretches that are equal, byte for byte, within
+one batch are settled there, so that a bucket receives a common passage once a batch however many documents hold it.
+A batch sends one compressed piece to each bucket. A bucket over ``MOST_BYTES`` is not held: its stretches are cut again by longer
+seeds and dealt anew in another round, at last by the whole string.
+
+A bucket is settled in groups of about ``GROUP_BYTES``, by other bits of the seed's hash. In a group, equal stretches are settled
+first. Strings whose hash no other string of the group has are left out; the suffixes that start all others are sorted by a
+bottom-up mergesort: two suffixes are compared by their longest common extension, found by binary search over prefix
+polynomial hashes, and the byte after it. Neighbours in that order that agree for ``length`` bytes, by their extension and byte
+by byte, form runs (if a collision shows, the bytes themselves are sorted), and each run's smallest document keeps its bytes.
+
+Positions are bytes of the text's UTF-8 as it is stored, valid or not. A null text is empty; texts shorter than ``length`` lose nothing;
+rows that share an id never remove from one another; rows without an id take no part; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -26,11 +29,14 @@ from pyspark.sql import functions as F
 
 from . import common
 
-SEED_BYTES, BATCH_BYTES, BUCKET_BYTES, PIECE_BYTES, LEVEL = 8, 12_000_000, 2_400_000, 1_000_000, 6
+BATCH_BYTES, BUCKET_BYTES, MOST_BYTES, GROUP_BYTES, PIECE_BYTES, LEVEL = 16_000_000, 16_000_000, 64_000_000, 1_000_000, 1_000_000, 6
+#: Bytes of the seeds by round; the last round's seeds are the whole strings.
+SEEDS = (8, 24, 40)
+#: Kinds of seeds that are counted, and bytes of text in the sample that counts them.
+SLOTS, SAMPLE_BYTES = 1 << 16, 8_000_000
 BASE = 0x9E3779B97F4A7C15 | 1
 INVERSE = pow(BASE, -1, 2**64)
 
-
 _TABLES: dict[int, np.ndarray] = {}
 
 
@@ -71,7 +77,8 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
     x ^= x >> np.uint64(29)
     x *= np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(32))
+    x ^= x >> np.uint64(32)
+    return x
 
 
 def _smallest(x: np.ndarray, width: int) -> np.ndarray:
@@ -83,27 +90,55 @@ def _smallest(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(x[: len(x) - (width - have)], x[width - have :]) if width > have else x
 
 
-def stretches(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Starts, byte counts, smallest hashes and own hashes of the stretches of one document's bytes."""
-    starts, sizes, least, whole = [], [], [], []
+def seed_order(prefix: Prefix, seed: int, ranks: np.ndarray | None) -> np.ndarray:
+    """A number for every seed that orders seeds: by the rank of its kind, then by hash."""
+    h = _mixed(prefix.every(seed))
+    if ranks is not None:
+        rank = ranks[h >> np.uint64(48)]
+        h >>= np.uint64(4)
+        h |= rank
+    return h
+
+
+def stretches(data: np.ndarray, ends: np.ndarray, length: int, seed: int, ranks: np.ndarray | None = None):
+    """Text, start in ``data``, byte count, smallest seed and own hash of the stretches of texts that stand end to end
+    (``ends``: where each ends)."""
+    got = []
     for lo in range(0, len(data) - length + 1, PIECE_BYTES):
         piece = data[lo : lo + PIECE_BYTES + length - 1]
         prefix = Prefix(piece)
-        m = _smallest(_mixed(prefix.every(SEED_BYTES)), length - SEED_BYTES + 1)
-        first = np.concatenate([[0], np.flatnonzero(m[1:] != m[:-1]) + 1])
-        starts.append(lo + first)
-        sizes.append(np.diff(np.append(first, len(m))) + length - 1)
-        least.append(m[first])
-        whole.append(prefix.of(first, sizes[-1]))
-    if not starts:
-        return (np.zeros(0, np.int64),) * 2 + (np.zeros(0, np.uint64),) * 2
-    return tuple(np.concatenate(x) for x in (starts, sizes, least, whole))
+        m = _smallest(seed_order(prefix, seed, ranks), length - seed + 1)
+        # Strings that lie in one text.
+        text = np.searchsorted(ends, lo, "right")
+        inner = ends[text : np.searchsorted(ends, lo + len(m) + length - 1, "left")] - lo
+        within, new = np.ones(len(m) + 1, bool), np.ones(len(m), bool)
+        within[-1] = False
+        new[1:] = m[1:] != m[:-1]
+        for e in inner.tolist():
+            within[max(0, e - length + 1) : e] = False
+            if e < len(new):
+                new[e] = True
+        new &= within[:-1]
+        first = np.flatnonzero(new)
+        # A stretch ends before the next one, or where strings leave their text.
+        out = np.flatnonzero(~within)
+        stop = np.minimum(np.append(first[1:], len(m)), out[np.searchsorted(out, first)])
+        size = stop - first + length - 1
+        got.append((np.searchsorted(ends, lo + first, "right"), lo + first, size, m[first], prefix.of(first, size)))
+    if not got:
+        return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),) * 2
+    return tuple(np.concatenate(x) for x in zip(*got, strict=True))
 
 
 def _gather(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
     """The bytes of ragged slices, end to end."""
-    total = np.cumsum(size)
-    return data[np.arange(total[-1] if len(total) else 0) + np.repeat(start - (total - size), size)]
+    out, at = np.empty(int(size.sum()), np.uint8), 0
+    for lo in range(0, len(start), 5_000):
+        a, n = start[lo : lo + 5_000], size[lo : lo + 5_000]
+        total = np.cumsum(n)
+        out[at : at + total[-1]] = data[np.arange(total[-1]) + np.repeat(a - (total - n), n)]
+        at += int(total[-1])
+    return out
 
 
 def settle_equal(data: np.ndarray, start: np.ndarray, size: np.ndarray, doc: np.ndarray, whole: np.ndarray):
@@ -125,103 +160,163 @@ def settle_equal(data: np.ndarray, start: np.ndarray, size: np.ndarray, doc: np.
         part = at[lo : lo + 5_000]
         same = _gather(data, start[part], size[part]) == _gather(data, start[of[part]], size[part])
         ends = np.cumsum(size[part])
-        gone[part] = np.add.reduceat(same, ends - size[part]) == size[part]
+        gone[part] = np.logical_and.reduceat(same, ends - size[part])
     return ~gone, gone
 
 
 def _extension(prefix: Prefix, x: np.ndarray, y: np.ndarray, length: int) -> np.ndarray:
     """Longest common extension from ``x`` and ``y``, up to ``length``: binary search over prefix hashes."""
     low, step = np.zeros(len(x), np.int64), 1 << (length.bit_length() - 1)
-    while step:
-        to = low + step
-        can = np.flatnonzero(to <= length)
-        same = prefix.of(x[can], to[can]) == prefix.of(y[can], to[can])
-        low[can[same]] = to[can[same]]
+    whole = prefix.of(x, length) == prefix.of(y, length)
+    low[whole] = length
+    open_ = np.flatnonzero(~whole)
+    while step and len(open_):
+        to = low[open_] + step
+        can = open_[to <= length]
+        to = low[can] + step
+        same = prefix.of(x[can], to) == prefix.of(y[can], to)
+        low[can[same]] = to[same]
         step >>= 1
     return low
 
 
-def _less(prefix: Prefix, x: np.ndarray, y: np.ndarray, head_x: np.ndarray, head_y: np.ndarray, length: int) -> np.ndarray:
-    """Is the suffix at ``x`` smaller than that at ``y`` in the first ``length`` bytes? The heads are their first eight."""
-    out = head_x < head_y
-    tie = np.flatnonzero(head_x == head_y)
-    if len(tie):
-        n = _extension(prefix, x[tie], y[tie], length)
-        n = np.minimum(n, length - 1)  # a whole match compares its last, equal, byte
-        out[tie] = prefix.data[x[tie] + n] < prefix.data[y[tie] + n]
-    return out
+def _less(prefix: Prefix, x: np.ndarray, y: np.ndarray, length: int) -> np.ndarray:
+    """Is the suffix at ``x`` smaller than that at ``y`` in the first ``length`` bytes?"""
+    n = np.minimum(_extension(prefix, x, y, length), length - 1)  # a whole match compares its last, equal, byte
+    return prefix.data[x + n] < prefix.data[y + n]
 
 
 def suffix_sort(prefix: Prefix, at: np.ndarray, length: int) -> np.ndarray:
-    """``at`` in the order of the suffixes there: a bottom-up mergesort, all runs of a level merged at once by ranks."""
-    n, run = len(at), 1
-    place = np.arange(n)
-    head = np.zeros(n, np.uint64)
+    """``at`` in the order of the first ``length`` bytes of the suffixes there: sorted by the first eight bytes at once, then, among suffixes
+    that share these, by a bottom-up mergesort in which all runs of a level are merged by ranks."""
+    head = np.zeros(len(at), np.uint64)
     for k in range(8):
         head = head << np.uint64(8) | prefix.data[at + k]
-    while run < n:
+    order = np.argsort(head, kind="stable")
+    at, head = at[order], head[order]
+    new = np.ones(len(at), bool)
+    new[1:] = head[1:] != head[:-1]
+    first = np.flatnonzero(new)
+    sizes = np.diff(np.append(first, len(at)))
+    several = np.repeat(sizes > 1, sizes)
+    base, size = np.repeat(first, sizes)[several], np.repeat(sizes, sizes)[several]
+    where = np.flatnonzero(several)
+    run = 1
+    while len(where):
+        place = where - base
         block, inside = place // (2 * run), place % (2 * run)
         left = inside < run
-        other = block * 2 * run + np.where(left, run, 0)  # start of the run to be ranked in
-        size = np.clip(n - other, 0, run)
-        lo, hi = np.zeros(n, np.int64), size.copy()
+        start = base + block * 2 * run
+        other = start + np.where(left, run, 0)  # start of the run to be ranked in
+        lo, hi = np.zeros(len(where), np.int64), np.clip(base + size - other, 0, run)
         while True:
             open_ = np.flatnonzero(lo < hi)
             if not len(open_):
                 break
             mid = (lo[open_] + hi[open_]) // 2
-            there = other[open_] + mid
+            there, mine = other[open_] + mid, where[open_]
             # A left element goes before its equals on the right, a right element after its equals on the left.
-            first, second = np.where(left[open_], there, open_), np.where(left[open_], open_, there)
-            before = _less(prefix, at[first], at[second], head[first], head[second], length) == left[open_]
+            a, b = np.where(left[open_], there, mine), np.where(left[open_], mine, there)
+            before = _less(prefix, at[a], at[b], length) == left[open_]
             lo[open_] = np.where(before, mid + 1, lo[open_])
             hi[open_] = np.where(before, hi[open_], mid)
-        to = block * 2 * run + np.where(left, inside, inside - run) + lo
-        from_ = np.empty_like(to)
-        from_[to] = place
-        at, head, run = at[from_], head[from_], 2 * run
+        moved = at.copy()
+        moved[start + np.where(left, inside, inside - run) + lo] = at[where]
+        at, run = moved, 2 * run
+        still = size > run
+        where, base, size = where[still], base[still], size[still]
     return at
 
 
 def repeated(prefix: Prefix, start: np.ndarray, size: np.ndarray, doc: np.ndarray, length: int):
     """Stretch and offset of every string of ``length`` bytes that a smaller document has too."""
     n = size - length + 1
-    of = np.repeat(np.arange(len(start)), n)
-    offset = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    at = start[of] + offset
-    h = prefix.of(at, length)
-    order = np.argsort(h, kind="stable")
-    bounds = np.concatenate([[0], np.flatnonzero(np.diff(h[order])) + 1]) if len(h) else np.zeros(0, np.int64)
-    if not len(bounds):
-        return of, offset
-    docs = doc[of[order]]
-    several = np.minimum.reduceat(docs, bounds) < np.maximum.reduceat(docs, bounds)
-    if not several.any():
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    # One suffix of each class is sorted; the others must equal it byte for byte.
-    times = np.diff(np.append(bounds, len(h)))[several]
-    members = order[np.repeat(several, np.diff(np.append(bounds, len(h))))]
-    place = np.zeros(len(prefix.data), np.int64)
-    place[at[order[bounds[several]]]] = np.arange(several.sum())
-    ranked = suffix_sort(prefix, at[order[bounds[several]]], length)
-    rank = np.empty(len(ranked), np.int64)
-    rank[place[ranked]] = np.cumsum(np.append(0, _extension(prefix, ranked[1:], ranked[:-1], length) < length))
-    kind = np.repeat(rank, times)  # neighbours in the order that agree to the end are one class
+    base = np.cumsum(n) - n
+    at = np.arange(n.sum()) + np.repeat(start - base, n)
+    # A string whose hash no string of another document has repeats nothing.
+    h = _mixed(prefix.of(at, length))
+    slot = (h >> np.uint64(62 - len(h).bit_length())).astype(np.int64)
+    some = np.flatnonzero((np.bincount(slot) > 1)[slot])
+    if not len(some):
+        return some, some
+    order = some[np.argsort(h[some], kind="stable")]
+    bounds = np.flatnonzero(np.append(True, h[order[1:]] != h[order[:-1]]))
+    docs = doc[np.searchsorted(start, at[order], "right") - 1]
+    shared = np.minimum.reduceat(docs, bounds) < np.maximum.reduceat(docs, bounds)
+    some = np.sort(order[np.repeat(shared, np.diff(np.append(bounds, len(order))))])
+    if not len(some):
+        return some, some
+    ranked = suffix_sort(prefix, at[some], length)
+    of = np.searchsorted(start, ranked, "right") - 1
+    # Neighbours in the order that agree to the end are one run.
+    same = _extension(prefix, ranked[1:], ranked[:-1], length) == length
     windows = np.lib.stride_tricks.sliding_window_view(prefix.data, length)
-    head = np.repeat(at[order[bounds[several]]], times)
-    if not all((windows[at[members[lo : lo + 20_000]]] == windows[head[lo : lo + 20_000]]).all() for lo in range(0, len(members), 20_000)):
-        kind = np.unique(windows[at[members]], axis=0, return_inverse=True)[1]  # a collision: sort by the bytes
-    turn = np.argsort(kind, kind="stable")
-    members, kind = members[turn], kind[turn]
-    heads = np.flatnonzero(np.append(True, np.diff(kind) != 0))
-    docs = doc[of[members]]
-    out = members[docs > np.repeat(np.minimum.reduceat(docs, heads), np.diff(np.append(heads, len(members))))]
-    return of[out], offset[out]
+    pairs = np.flatnonzero(same)
+    if all((windows[ranked[pairs[lo : lo + 20_000]]] == windows[ranked[pairs[lo : lo + 20_000] + 1]]).all() for lo in range(0, len(pairs), 20_000)):
+        heads = np.flatnonzero(np.append(True, ~same))
+    else:  # a collision: sort by the bytes
+        kind = np.unique(windows[ranked], axis=0, return_inverse=True)[1].ravel()
+        turn = np.argsort(kind, kind="stable")
+        ranked, of = ranked[turn], of[turn]
+        heads = np.flatnonzero(np.append(True, np.diff(kind[turn]) != 0))
+    docs = doc[of]
+    out = docs > np.repeat(np.minimum.reduceat(docs, heads), np.diff(np.append(heads, len(docs))))
+    return of[out], ranked[out] - start[of[out]]
+
+
+def _seed(level: int, length: int) -> int:
+    return min((*SEEDS, length)[level], length)
+
+
+def _by_kind(kind: np.ndarray):
+    """Each kind (0 or more) with the places where it is."""
+    order = np.argsort(kind, kind="stable")
+    bounds = np.append(np.flatnonzero(np.diff(kind[order], prepend=-1)), len(order))
+    for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+        yield int(kind[order[a]]), order[a:b]
+
+
+def _kind(least: np.ndarray) -> np.ndarray:
+    """Other bits of the smallest seeds than those that choose a bucket."""
+    return (_mixed(least ^ np.uint64(77)) >> np.uint64(48)).astype(np.uint16)
+
+
+class Stretches:
+    """Stretches with their bytes: document id, mark of its text, start there, byte count and kind of the smallest seed."""
+
+    def __init__(self, ids, marks, start, size, kind, data):
+        self.ids, self.marks, self.start, self.size, self.kind, self.data = ids, marks, start, size, kind, data
+
+    def packed(self) -> bytes:
+        return _pack(np.diff(self.ids, prepend=0), self.marks, np.diff(self.start, prepend=0).astype(np.int32), self.size.astype(np.int32), self.kind, self.data)
+
+    @staticmethod
+    def unpacked(blob: bytes) -> Stretches:
+        ids, marks, start, size, kind, data = _unpack(blob, np.int64, np.int64, np.int32, np.int32, np.uint16, np.uint8)
+        return Stretches(np.cumsum(ids), marks, np.cumsum(start, dtype=np.int64), size.astype(np.int64), kind, data)
+
+    @staticmethod
+    def joined(parts: list[Stretches]) -> Stretches:
+        return Stretches(*(np.concatenate([getattr(p, c) for p in parts]) for c in ("ids", "marks", "start", "size", "kind", "data")))
+
+    def base(self) -> np.ndarray:
+        return np.cumsum(self.size) - self.size
+
+    def parts(self, kind: np.ndarray):
+        """The stretches of each kind, with the kind."""
+        base = self.base()
+        for k, at in _by_kind(kind):
+            yield k, Stretches(self.ids[at], self.marks[at], self.start[at], self.size[at], self.kind[at], _gather(self.data, base[at], self.size[at]))
+
+    def cut(self, length: int, seed: int) -> tuple[Stretches, np.ndarray]:
+        """The same strings in stretches by longer seeds, and the smallest seeds."""
+        of, at, size, least, _ = stretches(self.data, np.cumsum(self.size), length, seed)
+        return Stretches(self.ids[of], self.marks[of], self.start[of] + at - self.base()[of], size, _kind(least), _gather(self.data, at, size)), least
 
 
 def _pack(*arrays: np.ndarray) -> bytes:
-    head = np.array([len(a.tobytes()) for a in arrays], np.int64).tobytes()
-    return zstandard.ZstdCompressor(level=LEVEL).compress(head + b"".join(a.tobytes() for a in arrays))
+    head = np.array([a.nbytes for a in arrays], np.int64).tobytes()
+    return zstandard.ZstdCompressor(level=LEVEL).compress(head + b"".join(np.ascontiguousarray(a).data for a in arrays))
 
 
 def _unpack(blob: bytes, *types) -> list[np.ndarray]:
@@ -233,132 +328,199 @@ def _unpack(blob: bytes, *types) -> list[np.ndarray]:
     return out
 
 
-SPANS = "doc_id long, mark int, start long, stop long"
+def _runs_of(positions: np.ndarray, owner: np.ndarray):
+    """First and last of each run of consecutive positions of one owner (sorted)."""
+    new = np.ones(len(positions), bool)
+    new[1:] = (positions[1:] != positions[:-1] + 1) | (owner[1:] != owner[:-1])
+    first = np.flatnonzero(new)
+    return first, np.append(first[1:], len(positions)) - 1
+
+
+def settle(have: Stretches, length: int, level: int):
+    """Yields ``ids, marks, start, stop`` of the strings to remove among these stretches, which hold all equals of their strings."""
+    groups = max(1, -(-len(have.data) // GROUP_BYTES))
+    for _, part in have.parts(have.kind.astype(np.int64) % groups):
+        if len(part.data) > 3 * GROUP_BYTES and level < len(SEEDS):  # a frequent seed
+            yield from settle(part.cut(length, _seed(level + 1, length))[0], length, level + 1)
+        else:
+            yield from _settle_group(part, length)
+
+
+def _settle_group(have: Stretches, length: int):
+    prefix, base = Prefix(have.data), have.base()
+    stay, gone = settle_equal(have.data, base, have.size, have.ids, prefix.of(base, have.size))
+    yield have.ids[gone], have.marks[gone], have.start[gone], (have.start + have.size)[gone]
+    k = np.flatnonzero(stay)
+    of, offset = repeated(prefix, base[k], have.size[k], have.ids[k], length)
+    if len(of):
+        order = np.lexsort((offset, of))
+        of, offset = k[of[order]], offset[order]
+        first, last = _runs_of(offset, of)
+        yield have.ids[of[first]], have.marks[of[first]], have.start[of[first]] + offset[first], have.start[of[last]] + offset[last] + length
+
+
+#: Rows of a round: stretches for a bucket (``blob``), or a span to remove.
+ROUND = "bucket long, blob binary, doc_id long, mark long, start long, stop long"
+
+
+def _rows(bucket=None, blob=None, spans=None):
+    n = len(bucket) if spans is None else len(spans[0])
+    columns = [pa.array(bucket, pa.int64()), pa.array(blob, pa.binary())] if spans is None else [pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary())]
+    columns += [pa.nulls(n, pa.int64())] * 4 if spans is None else [pa.array(x, pa.int64()) for x in spans]
+    return pa.RecordBatch.from_arrays(columns, ["bucket", "blob", "doc_id", "mark", "start", "stop"])
+
+
+def _bucket(least: np.ndarray, buckets: int) -> np.ndarray:
+    return (_mixed(least) % np.uint64(buckets)).astype(np.int64)
+
+
+def _texts(column) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes end to end and byte counts of a binary column without nulls."""
+    wide = pa.types.is_large_binary(column.type)
+    offsets = np.frombuffer(column.buffers()[1], np.int64 if wide else np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    data = np.frombuffer(column.buffers()[2] or b"", np.uint8)
+    return data[offsets[0] : offsets[-1]], np.diff(offsets)
 
 
-def _dealt(docs: DataFrame, length: int, buckets: int) -> DataFrame:
-    """``bucket, kind, blob``: stretches for their buckets (kind 0) and spans settled within a batch (kind 1)."""
+def seed_ranks(docs: DataFrame, length: int, total: int) -> np.ndarray:
+    """A rank for each kind of seed, in the upper four bits: how often it is in a sample of about ``SAMPLE_BYTES``, as a power of two
+    of the mean. ``docs`` has doc_id and text (binary)."""
+    share = int(min(1.0, SAMPLE_BYTES / max(total, 1)) * 1_000_000)
 
-    def emit(marks, ids, texts):
+    def count(batches):
+        n = np.zeros(SLOTS, np.int64)
+        for b in batches:
+            data = _texts(b.column(0))[0]
+            for lo in range(0, len(data) - SEEDS[0] + 1, PIECE_BYTES):
+                piece = data[lo : lo + PIECE_BYTES + SEEDS[0] - 1]
+                n += np.bincount((_mixed(Prefix(piece).every(SEEDS[0])) >> np.uint64(48)).astype(np.int64), minlength=SLOTS)
+        at = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at])], ["slot", "n"])
+
+    some = docs.where(F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(1_000_000)) < share).select("text")
+    got = some.mapInArrow(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).collect()  # at most SLOTS rows
+    n = np.ones(SLOTS)
+    for r in got:
+        n[r.slot] = r.n
+    return np.clip(np.floor(np.log2(np.maximum(n / n.mean(), 1))), 0, 15).astype(np.uint64) << np.uint64(60)
+
+
+def _dealt(docs: DataFrame, length: int, buckets: int, ranks: np.ndarray) -> DataFrame:
+    """The first round's rows; ``docs`` has mark, doc_id and text (binary)."""
+    seed = _seed(0, length)
+
+    def emit(held):
         """One batch of documents."""
-        parts = [(i, *stretches(t, length)) for i, t in enumerate(texts)]
-        doc_of = np.repeat([p[0] for p in parts], [len(p[1]) for p in parts])
-        if not len(doc_of):
+        ids, marks, sizes, data = (np.concatenate(x) for x in zip(*held, strict=True))
+        ends = np.cumsum(sizes)
+        of, at, size, least, whole = stretches(data, ends, length, seed, ranks)
+        if not len(of):
             return
-        base = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
-        start, size, least, whole = (np.concatenate([p[k] for p in parts]) for k in (1, 2, 3, 4))
-        data = np.concatenate(texts)
-        ids, marks = np.array(ids, np.int64), np.array(marks, np.int32)
-        stay, gone = settle_equal(data, start + base[doc_of], size, ids[doc_of], whole)
-        out_b, out_k, blobs = [], [], []
-        if gone.any():
-            out_b.append(int(ids[0]) % buckets)
-            out_k.append(1)
-            blobs.append(_pack(np.diff(ids[doc_of[gone]], prepend=0), marks[doc_of[gone]], start[gone], start[gone] + size[gone]))
-        at = np.flatnonzero(stay)
-        to = (_mixed(least[at]) % np.uint64(buckets)).astype(np.int64)
-        order = np.argsort(to, kind="stable")
-        at, to = at[order], to[order]
-        bounds = np.append(np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1]])), len(at))
-        for a, b in zip(bounds[:-1], bounds[1:], strict=True):
-            k = at[a:b]
-            out_b.append(int(to[a]))
-            out_k.append(0)
-            blobs.append(_pack(np.diff(ids[doc_of[k]], prepend=0), marks[doc_of[k]], start[k], size[k].astype(np.int32), _gather(data, start[k] + base[doc_of[k]], size[k])))
-        yield pa.RecordBatch.from_arrays([pa.array(out_b, pa.int64()), pa.array(out_k, pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "kind", "blob"])
+        start = at - (ends - sizes)[of]
+        stay, gone = settle_equal(data, at, size, ids[of], whole)
+        g = np.flatnonzero(gone)
+        if len(g):  # neighbouring stretches overlap: one span
+            new = np.append(True, (of[g[1:]] != of[g[:-1]]) | (start[g[1:]] > (start + size)[g[:-1]]))
+            last = np.append(np.flatnonzero(new)[1:] - 1, len(g) - 1)
+            yield _rows(spans=(ids[of[g[new]]], marks[of[g[new]]], start[g[new]], (start + size)[g[last]]))
+        k, kind = np.flatnonzero(stay), _kind(least)
+        for bucket, j in _by_kind(_bucket(least[k], buckets)):
+            j = k[j]
+            yield _rows([bucket], [Stretches(ids[of[j]], marks[of[j]], start[j], size[j], kind[j], _gather(data, at[j], size[j])).packed()])
 
     def run(batches):
-        marks, ids, texts, held = [], [], [], 0
+        held, room = [], BATCH_BYTES
         for b in batches:
-            for mark, i, t in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                marks.append(mark)
-                ids.append(i)
-                texts.append(np.frombuffer(t.encode("utf-8"), np.uint8))
-                held += len(texts[-1])
-                if held >= BATCH_BYTES:
-                    yield from emit(marks, ids, texts)
-                    marks, ids, texts, held = [], [], [], 0
-        if marks:
-            yield from emit(marks, ids, texts)
+            marks, ids = (b.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            data, sizes = _texts(b.column(2))
+            ends, lo = np.cumsum(sizes), 0
+            while lo < len(ids):
+                done = int(ends[lo] - sizes[lo])
+                hi = max(lo + 1, int(np.searchsorted(ends, done + room, "right")))
+                held.append((ids[lo:hi], marks[lo:hi], sizes[lo:hi], data[done : int(ends[hi - 1])]))
+                room -= int(ends[hi - 1]) - done
+                lo = hi
+                if room <= 0 or hi < len(ids):
+                    yield from emit(held)
+                    held, room = [], BATCH_BYTES
+        if held:
+            yield from emit(held)
 
-    return docs.mapInArrow(run, "bucket long, kind int, blob binary")
+    return docs.mapInArrow(run, ROUND)
 
 
-def _runs_of(positions: np.ndarray, owner: np.ndarray):
-    """First and last of each run of consecutive positions of one owner (sorted)."""
-    new = np.ones(len(positions), bool)
-    new[1:] = (positions[1:] != positions[:-1] + 1) | (owner[1:] != owner[:-1])
-    first = np.flatnonzero(new)
-    return first, np.append(first[1:], len(positions)) - 1
+def _settled(dealt: DataFrame, length: int, level: int, buckets: int, most: int) -> DataFrame:
+    """Settles the buckets of a round; a bucket that is too large for a task is dealt anew, for the next one. Spans pass."""
 
+    def run(batches):
+        now, held, size = None, [], 0
 
-def repeated_spans(docs: DataFrame, length: int = 50, buckets: int | None = None) -> DataFrame:
-    """``doc_id, mark, start, stop``: spans (of bytes, overlapping) to remove; ``docs`` has mark, doc_id and text, ids not null."""
-    if not buckets:
-        total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-        buckets = max(256, total * 4 // BUCKET_BYTES)
-    dealt = _dealt(docs.where(F.octet_length("text") >= length).select("mark", "doc_id", "text"), length, buckets)
-
-    def settle(held):
-        ids, marks, start, size, data = (np.concatenate(x) for x in zip(*held, strict=True))
-        size = size.astype(np.int64)
-        base = np.cumsum(size) - size
-        prefix = Prefix(data)
-        stay, gone = settle_equal(data, base, size, ids, prefix.of(base, size))
-        found = [(ids[gone], marks[gone], start[gone], (start + size)[gone])]
-        k = np.flatnonzero(stay)
-        of, offset = repeated(prefix, base[k], size[k], ids[k], length)
-        if len(of):
-            order = np.lexsort((offset, of))
-            of, offset = k[of[order]], offset[order]
-            first, last = _runs_of(offset, of)
-            found.append((ids[of[first]], marks[of[first]], start[of[first]] + offset[first], start[of[last]] + offset[last] + length))
-        return found
+        def whole():
+            for found in settle(Stretches.joined(held), length, level):
+                if len(found[0]):
+                    yield _rows(spans=found)
 
-    def run(batches):
-        now, held = None, []
         for b in batches:
-            buckets_, kinds, blobs = b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)
-            for i, (bucket, kind) in enumerate(zip(buckets_, kinds, strict=True)):
-                blob = blobs[i].as_py()
-                if kind == 1:
-                    ids, *rest = _unpack(blob, np.int64, np.int32, np.int64, np.int64)
-                    yield from spans([(np.cumsum(ids), *rest)])
+            bucket_, blobs = b.column(0).to_pylist(), b.column(1)
+            spans = b.filter(blobs.is_null())
+            if spans.num_rows:
+                yield pa.RecordBatch.from_arrays([pa.nulls(spans.num_rows, pa.int64()), *spans.columns[1:]], b.schema.names)
+            for i, bucket in enumerate(bucket_):
+                if not blobs[i].is_valid:
                     continue
-                if bucket != now and held:
-                    yield from spans(settle(held))
+                if bucket != now:
+                    if held:
+                        yield from whole()
+                    now, held, size = bucket, [], 0
+                part = Stretches.unpacked(blobs[i].as_py())
+                size += len(part.data)
+                held.append(part)
+                if size > most and level < len(SEEDS):
+                    for p in held:
+                        again, least = p.cut(length, _seed(level + 1, length))
+                        for to, piece in again.parts(_bucket(least, buckets)):
+                            yield _rows([to], [piece.packed()])
                     held = []
-                now = bucket
-                ids, *rest = _unpack(blob, np.int64, np.int32, np.int64, np.int32, np.uint8)
-                held.append([np.cumsum(ids), *rest])
         if held:
-            yield from spans(settle(held))
+            yield from whole()
 
-    def spans(found):
-        for columns in found:
-            if len(columns[0]):
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["doc_id", "mark", "start", "stop"])
-
-    common.ship(docs.sparkSession)
-    return dealt.repartition(F.col("bucket")).sortWithinPartitions("bucket").mapInArrow(run, SPANS)
+    key = F.coalesce("bucket", F.pmod("doc_id", F.lit(buckets)))
+    return dealt.withColumn("bucket", key).repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, ROUND)
 
 
-def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def repeated_spans(docs: DataFrame, length: int = 50, buckets: int | None = None, most: int = MOST_BYTES) -> DataFrame:
+    """``doc_id, mark, start, stop``: spans (of bytes, overlapping) to remove; ``docs`` has mark, doc_id and text (binary), ids not null."""
+    long = docs.where(F.octet_length("text") >= length).select("mark", "doc_id", "text")
+    total = long.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = buckets or max(64, int(total * 3.3) // BUCKET_BYTES)
+    common.ship(docs.sparkSession)
+    dealt, spans = _dealt(long, length, buckets, seed_ranks(long, length, total)), None
+    for level in range(len(SEEDS) + 1):
+        round_ = common.written(_settled(dealt, length, level, buckets, most), "spans")
+        found = round_.where("blob is null").select("doc_id", "mark", "start", "stop")
+        spans = found if spans is None else spans.union(found)
+        dealt = round_.where("blob is not null")
+        if dealt.isEmpty():
+            break
+    return spans
+
+
+def remove_repeats(docs: DataFrame, length: int = 50, buckets: int | None = None, most: int = MOST_BYTES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, kept (binary), n_bytes, n_removed, n_spans``: every document with its repeats removed."""
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    text = F.coalesce(F.col(text_col).cast("string").cast("binary"), F.lit(b""))
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
     # Only where ids repeat does a mark of the text tell the rows apart.
-    several = bool(base.select("doc_id").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").limit(1).count())
-    base = base.withColumn("mark", F.xxhash64("text").bitwiseAND(F.lit(0x7FFFFFFF)).cast("int") if several else F.lit(0))
-    spans = repeated_spans(base.where("doc_id is not null"), length)
+    several = not base.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").isEmpty()
+    base = base.withColumn("mark", F.xxhash64("text") if several else F.lit(0).cast("long"))
+    spans = repeated_spans(base.where("doc_id is not null"), length, buckets, most)
     ends = spans.groupBy("doc_id", "mark").agg(F.collect_list("start").alias("starts"), F.collect_list("stop").alias("stops"))
 
     def press(batches):  # texts travel compressed
         for b in batches:
-            packed = [zstandard.ZstdCompressor(level=3).compress(t.encode("utf-8")) for t in b.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(packed, pa.binary())], ["doc_id", "mark", "packed"])
+            pressed = [zstandard.ZstdCompressor(level=3).compress(t.as_buffer()) for t in b.column(2)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(pressed, pa.binary())], ["doc_id", "mark", "packed"])
 
-    texts = base.select("doc_id", "mark", "text").mapInArrow(press, "doc_id long, mark int, packed binary")
+    texts = base.select("doc_id", "mark", "text").mapInArrow(press, "doc_id long, mark long, packed binary")
 
     def cut(batches):
         for b in batches:
