@@ -73,6 +73,31 @@ def test_template_with_a_variable_word(spark):
     assert got == {0: texts[0], 1: "", 2: "", 3: "", 4: texts[4]}
 
 
+def test_two_families_in_a_leaf(spark):
+    one, two = "Dear valued customer {} your parcel is ready for you now", "Dear valued customer {} thanks to all who came here today"
+    assert len(one.split()) == len(two.split())
+    for names in (["ann", "bob", "cid", "dan", "eve"], ["ann", "ann", "bob", "bob", "cid"]):
+        texts = [f.format(x) for f in (one, two) for x in names]
+        docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+        got = {r.doc_id: r.text for r in lines.line_dedup(docs).collect()}
+        dropped = {i for i, t in got.items() if not t}
+        assert dropped == {1, 2, 3, 4, 6, 7, 8, 9}
+
+
+def test_every_pair_of_values_is_new(spark):
+    """Values that recur in a field do not hide that their combinations share a template."""
+    texts = [f"please come by and see us {a} on {b} next week" for a in ("early", "late", "soon") for b in ("monday", "friday", "sunday")]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert [r.doc_id for r in lines.line_dedup(docs).orderBy("doc_id").collect() if r.text] == [0]
+
+
+def test_columns_of_any_name(spark):
+    docs = spark.createDataFrame([(i, "one line that all of them have", i, "k", 7, "r") for i in range(4)], "doc_id long, text string, gone int, text_key string, line long, row string")
+    out = lines.line_dedup(docs)
+    assert out.columns == [*docs.columns, "n_lines", "n_dropped"]
+    assert sorted(tuple(r) for r in out.collect()) == [(i, "" if i else "one line that all of them have", i, "k", 7, "r", 1, int(i > 0)) for i in range(4)]
+
+
 def test_hot_line_and_long_text(spark):
     docs = spark.createDataFrame([(i, "the very same old line\n" + "z" * (200_000 if i == 7 else 1)) for i in range(200)], "doc_id long, text string")
     got = lines.line_dedup(docs).collect()
@@ -87,7 +112,7 @@ def test_several_templates_and_a_hot_line_in_a_leaf(spark):
     texts = [one.format(n) for n in names] + [two.format(n) for n in names]
     for more in ([], [hot] * 30):
         docs = spark.createDataFrame(list(enumerate(texts + more)), "doc_id long, text string")
-        got = {r.doc_id: r.text for r in lines.line_dedup(docs, whole=True).collect()}
+        got = {r.doc_id: r.text for r in lines.line_dedup(docs).collect()}
         assert {i: t for i, t in got.items() if t} == {i: (texts + more)[i] for i in ([0, 5, 10] if more else [0, 5])}
 
 
@@ -97,4 +122,4 @@ def test_long_line_in_two_documents(spark):
     long = " ".join(f"word{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(50))
     docs = spark.createDataFrame([(1, long), (2, f"before\n{long}\nafter"), (3, "a short line here"), (4, "a short line here")], "doc_id long, text string")
     assert {r.doc_id: r.text for r in stage(spark, docs, "").collect()} == {1: long, 2: "before\nafter", 3: "a short line here", 4: "a short line here"}
-    assert lines.line_dedup(docs.limit(0), whole=True).count() == 0
+    assert lines.line_dedup(docs.limit(0)).count() == 0

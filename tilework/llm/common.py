@@ -19,16 +19,18 @@ def shared_dir(spark: SparkSession) -> str:
     if not path:
         path = getattr(spark, "_tilework_dir", None)
         if not path:
+            if not spark.sparkContext.master.startswith("local"):
+                raise RuntimeError("on a cluster, spark.checkpoint.dir must name a folder that all executors share")
             path = "file://" + tempfile.mkdtemp(prefix="tilework-")
             spark._tilework_dir = path
     return path.rstrip("/")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it again: cuts the lineage and outlives executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tilework-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     out = spark.read.schema(df.schema).parquet(path)
     out._tilework_path = path
     return out

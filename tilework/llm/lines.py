@@ -1,36 +1,33 @@
 """Line deduplication by a log-template tree of fixed depth.
 
 A line is normalised (runs of blanks become one space, every token holding a digit becomes ``<*>``) and routed by its
-token count and its first ``depth`` tokens to a leaf. In a leaf, a field is fixed where one token has over half of the
-leaf's weight (documents by distinct line), and generalised elsewhere. Lines that agree with their leaf's fixed
-fields in at least ``similarity`` of all their tokens share the leaf's template; any other line is its own template. A template
-seen at least ``min_docs`` times and in two or more documents is recurring: its lines go from every
-document but the one with the smallest id, so that one copy of a shared passage stays.
-
-With ``whole`` a leaf holds several templates: lines that do not join are dealt anew by the token at the position with the fewest
-different tokens, and templated again, until no part of a leaf can recur; and templates of ``PAIR_TOKENS`` tokens or more
-recur from two documents on. The registered query runs without it, as its SQL states one template a leaf and ``MIN_DOCS``.
-
-Only DataFrame functions. Leaves are counted from hashes first, and only lines of leaves that recur are moved with
-their text; all counts combine on the map side, so a line in a third of all documents is one row a task.
+token count and its first ``depth`` tokens to a leaf. A leaf holds any number of templates. A token's support is the number of
+documents, summed over the leaf's distinct lines, that have it at its position. A line's templates keep its fields in the order of
+their support, cut at each value of it, and generalise the rest, as long as at least ``similarity`` of all fields are kept and have a
+support of ``least``; so a template is shared by lines that agree in all it keeps. A template is recurring if its lines are in ``least``
+documents (summed over its distinct lines) and in two different ones at least: ``least`` is ``min_docs``, and two
+for lines of ``PAIR_TOKENS`` tokens or more, which are no chance. A line belongs to the most general of its recurring templates, and goes
+from every document but the template's smallest id, so that one copy of a shared passage stays.
+
+Only DataFrame functions. Texts are normalised once, into a table of lines; leaves are counted from it first, and only
+lines of leaves that recur are moved with their text. All counts combine on the map side, so a line in a third of all documents is one
+row a task; what is joined to it is one row a key, so that a hot key can be split.
 
 Defined results: null texts stay null; lines of fewer than ``min_tokens`` tokens stay; an emptied document keeps its row
-with an empty text; repeated rows of one id add weight, but make no template recurring by themselves; an empty table
-gives no rows; other columns pass through.
+with an empty text; rows that repeat an id count as one document, and lines never go from a template's first document; an empty table
+gives no rows; other columns pass through, whatever their names, but ``n_lines`` and ``n_dropped``, which are replaced.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
 
 DEPTH, MIN_DOCS, MIN_TOKENS, SIMILARITY = 3, 3, 4, 0.8
-#: With ``whole``: lines of so many tokens are no chance, and recur from two documents on.
+#: Lines of so many tokens recur from two documents on.
 PAIR_TOKENS = 10
-#: Leaf hashes are sent to every task only up to this many rows (8 bytes each); beyond it the join shuffles.
-BROADCAST_ROWS = 1_000_000
 
 
 def normalised(docs: DataFrame) -> DataFrame:
@@ -46,116 +43,89 @@ def _n_tokens(line):
     return F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit(""))) + 1
 
 
-def _eligible(lines: DataFrame, depth: int, min_tokens: int) -> DataFrame:
-    lines = lines.withColumn("line", F.trim("line")).where((F.col("line") != "") & (_n_tokens(F.col("line")) >= min_tokens))
-    return lines.withColumn("leaf", F.xxhash64(_n_tokens(F.col("line")), F.substring_index("line", " ", depth)))
-
-
-def recurring_lines(docs: DataFrame, depth: int, min_docs: int, min_tokens: int, similarity: float) -> DataFrame:
-    """``line_key, first_doc``: normalised lines of recurring templates, each with the document that keeps it.
-    ``docs`` has doc_id and text."""
-    lines = _eligible(normalised(docs).select("doc_id", F.explode(F.array_distinct(F.split("normal", "\n"))).alias("line")), depth, min_tokens)
-    weight = [F.count("*").alias("weight"), F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc")]
-    often = (F.col("weight") >= min_docs) & (F.col("first_doc") < F.col("last_doc"))
-    leaves = common.written(lines.groupBy("leaf").agg(*weight).where(often).select("leaf", F.col("weight").alias("leaf_weight")), "leaves")
-    side = F.broadcast(leaves) if leaves.count() <= BROADCAST_ROWS else leaves
-    held = common.written(lines.join(side, "leaf").groupBy("leaf", "leaf_weight", "line").agg(*weight), "lines")
-
-    # The fixed fields of each leaf: at most one token a position.
-    fields = F.transform(F.split("line", " "), lambda t, i: F.xxhash64(i, t))
-    fixed = held.where(F.col("weight") < F.col("leaf_weight")).select("leaf", "leaf_weight", "weight", F.explode(fields).alias("field"))
-    fixed = fixed.groupBy("leaf", "leaf_weight", "field").agg(F.sum("weight").alias("n")).where(F.col("n") * 2 > F.col("leaf_weight"))
-    fixed = fixed.groupBy("leaf").agg(F.collect_list("field").alias("fixed"))
-    agree = F.size(F.array_intersect(fields, F.coalesce("fixed", F.array().cast("array<bigint>"))))
-    alone = F.col("weight") == F.col("leaf_weight")  # the leaf holds one line
-    kept = held.join(fixed, "leaf", "left").withColumn("joins", alone | (agree >= similarity * _n_tokens(F.col("line"))))
-    kept = kept.select(F.xxhash64("line").alias("line_key"), F.when(F.col("joins"), F.col("leaf")).otherwise(F.xxhash64("leaf", "line")).alias("template"), "weight", "first_doc", "last_doc")
-    kept = common.written(kept, "templates")
-    templates = kept.groupBy("template").agg(F.sum("weight").alias("weight"), F.min("first_doc").alias("first_doc"), F.max("last_doc").alias("last_doc")).where(often)
-    return kept.select("line_key", "template").join(templates.select("template", "first_doc"), "template").select("line_key", "first_doc")
-
-
-def _least(min_docs: int, n_tokens):
-    return F.when(n_tokens >= PAIR_TOKENS, F.lit(min(2, min_docs))).otherwise(F.lit(min_docs))
-
-
-def recurring_lines_whole(docs: DataFrame, depth: int, min_docs: int, min_tokens: int, similarity: float) -> DataFrame:
-    """As :func:`recurring_lines`, with several templates in a leaf."""
-    lines = _eligible(normalised(docs).select("doc_id", F.explode(F.array_distinct(F.split("normal", "\n"))).alias("line")), depth, min_tokens)
-    lines = lines.withColumn("least", _least(min_docs, _n_tokens(F.col("line"))))
-    weight = [F.count("*").alias("weight"), F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc")]
-    total = [F.sum("weight").alias("leaf_weight"), F.min("first_doc").alias("_first"), F.max("last_doc").alias("_last")]
-    leaves = common.written(lines.groupBy("leaf", "least").agg(*weight).where("weight >= least and first_doc < last_doc").select("leaf"), "leaves")
-    side = F.broadcast(leaves) if leaves.count() <= BROADCAST_ROWS else leaves
-    held = common.written(lines.join(side, "leaf").groupBy("leaf", "least", "line").agg(*weight), "lines")
-    fields = F.posexplode(F.transform(F.split("line", " "), lambda t: F.xxhash64(t))).alias("pos", "token")
-    hashed = F.transform(F.split("line", " "), lambda t, i: F.xxhash64(i, F.xxhash64(t)))
-    done = None
-    while True:
-        sizes = held.groupBy("leaf", "least").agg(*total).where("leaf_weight >= least and _first < _last").select("leaf", "leaf_weight")
-        now = common.written(held.join(sizes, "leaf"), "open-lines")
-        if now.isEmpty():
-            break
-        # The fixed fields: at most one token a position.
-        counts = common.written(now.where("weight < leaf_weight").select("leaf", "leaf_weight", "weight", fields).groupBy("leaf", "leaf_weight", "pos", "token").agg(F.sum("weight").alias("n")), "fields")
-        fixed = counts.where("n * 2 > leaf_weight").groupBy("leaf").agg(F.collect_list(F.xxhash64("pos", "token")).alias("fixed"))
-        agree = F.size(F.array_intersect(hashed, F.coalesce("fixed", F.array().cast("array<bigint>"))))
-        joins = (F.col("weight") == F.col("leaf_weight")) | (agree >= similarity * _n_tokens(F.col("line")))
-        told = common.written(now.join(fixed, "leaf", "left").withColumn("joins", joins).drop("fixed", "leaf_weight"), "told")
-        part = told.where("joins").select(F.xxhash64("line").alias("line_key"), F.col("leaf").alias("template"), "weight", "first_doc", "last_doc", "least")
-        done = part if done is None else done.union(part)
-        # The rest is dealt by one position; a leaf that lost lines, or has no position left, keeps its name for the next round.
-        rest = told.where("not joins").drop("joins")
-        places = rest.select("leaf", fields).groupBy("leaf", "pos").agg(F.count_distinct("token").alias("kinds")).where("kinds > 1")
-        places = places.groupBy("leaf").agg(F.min(F.struct("kinds", "pos")).alias("at")).select("leaf", F.col("at.pos").alias("pos"))
-        token = F.element_at(F.split("line", " "), F.col("pos") + 1)
-        dealt = rest.join(places, "leaf", "left").withColumn("leaf", F.xxhash64("leaf", F.coalesce("pos", F.lit(-1)), F.coalesce(token, F.lit(""))))
-        held = common.written(dealt.drop("pos"), "lines")
-        for old in (now, counts):
-            common.forget(old)
-    if done is None:
-        return docs.select(F.lit(0).cast("long").alias("line_key"), F.col("doc_id").alias("first_doc")).limit(0)
-    templates = done.groupBy("template", "least").agg(F.sum("weight").alias("weight"), F.min("first_doc").alias("first_doc"), F.max("last_doc").alias("last_doc")).where("weight >= least and first_doc < last_doc")
-    return done.select("line_key", "template").join(templates.select("template", "first_doc"), "template").select("line_key", "first_doc")
-
-
-def line_dedup(docs: DataFrame, depth: int = DEPTH, min_docs: int = MIN_DOCS, min_tokens: int = MIN_TOKENS, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text", whole: bool = False) -> DataFrame:
+def line_table(docs: DataFrame, depth: int, min_tokens: int) -> DataFrame:
+    """``doc_id, text_key, place, n, leaf, line_key, line``: every line of ``docs`` (doc_id, text) that can be dropped."""
+    at = normalised(docs).select("doc_id", F.xxhash64("text").alias("text_key"), F.posexplode(F.split("normal", "\n")).alias("place", "line"))
+    at = at.withColumn("line", F.trim("line")).where("line <> ''").withColumn("n", _n_tokens(F.col("line"))).where(F.col("n") >= min_tokens)
+    return at.withColumn("leaf", F.xxhash64("n", F.substring_index("line", " ", depth))).withColumn("line_key", F.xxhash64("line"))
+
+
+def recurring_lines(at: DataFrame, depth: int, min_docs: int, similarity: float) -> DataFrame:
+    """``line_key, first_doc``: lines of recurring templates, each with the document that keeps it. ``at`` is a line table."""
+    least = F.when(F.col("n") >= PAIR_TOKENS, F.lit(min(2, min_docs))).otherwise(F.lit(min_docs))
+    span = [F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc")]
+    often = (F.col("weight") >= F.col("least")) & (F.col("first_doc") < F.col("last_doc"))
+    leaves = at.groupBy("leaf", "n").agg(F.count("*").alias("weight"), *span).withColumn("least", least).where(often).select("leaf", "least")
+    held = at.join(leaves, "leaf").groupBy("leaf", "least", "n", "line_key", "line").agg(F.count_distinct("doc_id").alias("weight"), *span)
+    held = common.written(held, "held-lines")
+
+    # Lines that recur as they are need no template, unless other lines of their leaf might share one with them.
+    total = [F.sum("weight").alias("weight"), F.min("first_doc").alias("first_doc"), F.max("last_doc").alias("last_doc")]
+    sizes = held.groupBy("leaf", "least").agg(*total, F.bool_and(often).alias("plain")).where(often & ~F.col("plain"))
+    sizes = sizes.select("leaf", F.col("weight").alias("leaf_weight"))
+    exact = held.where(often).join(sizes, "leaf", "left_anti").select("line_key", "first_doc")
+
+    # The support of each field; the first tokens are those of the leaf.
+    tokens = F.posexplode(F.slice(F.split("line", " "), depth + 1, F.greatest(F.col("n") - depth, F.lit(0)))).alias("pos", "token")
+    fields = held.join(sizes, "leaf").select("leaf", "least", "n", "line_key", "weight", tokens).withColumn("token", F.xxhash64("pos", "token"))
+    support = fields.groupBy("leaf", "least", "token").agg(F.sum("weight").alias("support")).where("support >= least").select("leaf", "token", "support")
+    # What a line keeps at each cut: how many fields, and their hashes in one.
+    cut = Window.partitionBy("line_key").orderBy(F.desc("support"))
+    kept = fields.join(support, ["leaf", "token"]).select("line_key", "n", "token", "support")
+    kept = kept.select("line_key", "n", F.count("*").over(cut).alias("kept"), F.bit_xor("token").over(cut).alias("hash"))
+    kept = kept.where(F.col("kept") + F.least(F.lit(depth), F.col("n")) >= F.lit(similarity) * F.col("n")).select("line_key", "kept", "hash").distinct()
+    lines = held.join(sizes, "leaf").select("leaf", "least", "line_key", "weight", "first_doc", "last_doc")
+    kept = common.written(kept.join(lines, "line_key").withColumn("template", F.xxhash64("leaf", "kept", "hash")).drop("leaf", "hash"), "templates")
+    templates = kept.groupBy("template", "least").agg(*total).where(often).select("template", "first_doc")
+    chosen = kept.select("line_key", "kept", "template").join(templates, "template").groupBy("line_key").agg(F.min(F.struct("kept", "first_doc")).alias("at"))
+    return exact.union(chosen.select("line_key", "at.first_doc"))
+
+
+def line_dedup(docs: DataFrame, depth: int = DEPTH, min_docs: int = MIN_DOCS, min_tokens: int = MIN_TOKENS, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with the lines of recurring templates taken out of ``text_col``, and ``n_lines``, ``n_dropped``."""
     base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    recurring = common.written((recurring_lines_whole if whole else recurring_lines)(base, depth, min_docs, min_tokens, similarity), "recurring")
-    at = normalised(base).select("doc_id", F.xxhash64("text").alias("text_key"), F.posexplode(F.split("normal", "\n")).alias("place", "line"))
-    at = _eligible(at, depth, min_tokens).select("doc_id", "text_key", "place", F.xxhash64("line").alias("line_key"))
-    gone = at.join(recurring, "line_key").where(F.col("doc_id") != F.col("first_doc"))
-    gone = gone.groupBy(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).agg(F.collect_set("place").alias("_gone"))
-    lines = F.split(F.col(text_col).cast("string"), "\n")
-    out = docs.join(gone, (docs[id_col] == gone["_id"]) & (F.xxhash64(docs[text_col].cast("string")) == gone["_key"]), "left")
-    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_gone"))
-    text = F.when(F.col("_gone").isNull(), F.col(text_col).cast("string")).otherwise(F.array_join(F.transform(left, lambda i: F.element_at(lines, i + 1)), "\n"))
-    n_lines = F.when(F.col(text_col).isNull(), F.lit(0)).otherwise(F.size(lines))
-    named = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
-    return out.select(*[text.alias(c) if c == text_col else F.col(c) for c in named], n_lines.cast("long").alias("n_lines"), F.when(F.col("_gone").isNull(), F.lit(0)).otherwise(F.size("_gone")).cast("long").alias("n_dropped"))
+    at = common.written(line_table(base, depth, min_tokens), "line-table", "zstd")
+    recurring = recurring_lines(at, depth, min_docs, similarity)
+    gone = at.select("doc_id", "text_key", "place", "line_key").join(recurring, "line_key").where(F.col("doc_id") != F.col("first_doc"))
+    gone = gone.groupBy("doc_id", "text_key").agg(F.collect_set("place").alias("gone"))
+    # The rows travel whole, so that no column's name can clash.
+    rows = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    rows = rows.withColumn("text_key", F.xxhash64("text")).drop("text").join(gone, ["doc_id", "text_key"], "left")
+    text = F.col("row")[text_col].cast("string")
+    lines = F.split(text, "\n")
+    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("gone"))
+    new = F.when(F.col("gone").isNull(), text).otherwise(F.array_join(F.transform(left, lambda i: F.element_at(lines, i + 1)), "\n"))
+    n_lines = F.when(text.isNull(), F.lit(0)).otherwise(F.size(lines))
+    named = [new.alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns if c not in ("n_lines", "n_dropped")]
+    return rows.select(*named, n_lines.cast("long").alias("n_lines"), F.when(F.col("gone").isNull(), F.lit(0)).otherwise(F.size("gone")).cast("long").alias("n_dropped"))
 
 
 ORACLE_SQL = f"""
-WITH split_up AS (SELECT doc_id, text, string_split(text, chr(10)) AS lines FROM documents),
-numbered AS (SELECT doc_id, text, unnest(lines) AS raw, unnest(range(len(lines))) AS place FROM split_up),
+WITH numbered AS (SELECT doc_id, text, unnest(string_split(text, chr(10))) AS raw, unnest(range(len(string_split(text, chr(10))))) AS place FROM documents),
 tokens AS (
   SELECT doc_id, text, place, raw,
          list_transform(list_filter(string_split(translate(raw, chr(9) || chr(13), '  '), ' '), lambda t: t <> ''),
                         lambda t: CASE WHEN regexp_matches(t, '[0-9]') THEN '<*>' ELSE t END) AS toks
   FROM numbered),
 eligible AS (SELECT *, array_to_string(toks, ' ') AS line, len(toks) AS n, array_to_string(toks[1:{DEPTH}], ' ') AS lead FROM tokens WHERE len(toks) >= {MIN_TOKENS}),
-in_docs AS (SELECT DISTINCT doc_id, text, line, n, lead FROM eligible),
-leaves AS (SELECT n, lead, count(*) AS leaf_weight FROM in_docs GROUP BY ALL HAVING count(*) >= {MIN_DOCS} AND min(doc_id) < max(doc_id)),
-held AS (SELECT n, lead, leaf_weight, line, count(*) AS weight, min(doc_id) AS first_doc, max(doc_id) AS last_doc FROM in_docs JOIN leaves USING (n, lead) GROUP BY ALL),
-fields AS (SELECT *, unnest(string_split(line, ' ')) AS token, unnest(range(n)) AS pos FROM held),
-fixed AS (SELECT n, lead, pos, token FROM fields GROUP BY n, lead, leaf_weight, pos, token HAVING sum(weight) * 2 > leaf_weight),
-agree AS (SELECT f.n, f.lead, f.line, count(x.token) AS same FROM fields f LEFT JOIN fixed x ON f.n = x.n AND f.lead = x.lead AND f.pos = x.pos AND f.token = x.token GROUP BY ALL),
-kept AS (
-  SELECT h.line, h.n, h.lead, CASE WHEN h.weight = h.leaf_weight OR a.same >= {SIMILARITY}::DOUBLE * h.n THEN '' ELSE h.line END AS own, h.weight, h.first_doc, h.last_doc
-  FROM held h JOIN agree a ON h.n = a.n AND h.lead = a.lead AND h.line = a.line),
-templates AS (SELECT n, lead, own, min(first_doc) AS first_doc FROM kept GROUP BY ALL HAVING sum(weight) >= {MIN_DOCS} AND min(first_doc) < max(last_doc)),
-recurring AS (SELECT line, t.first_doc FROM kept k JOIN templates t USING (n, lead, own)),
+held AS (
+  SELECT n, lead, line, CASE WHEN n >= {PAIR_TOKENS} THEN 2 ELSE {MIN_DOCS} END AS least,
+         count(DISTINCT doc_id) AS weight, min(doc_id) AS first_doc, max(doc_id) AS last_doc
+  FROM eligible GROUP BY ALL),
+leaves AS (SELECT n, lead FROM held GROUP BY n, lead, least HAVING sum(weight) >= least AND min(first_doc) < max(last_doc)),
+fields AS (SELECT *, unnest(string_split(line, ' ')) AS token, unnest(range(n)) AS pos FROM held JOIN leaves USING (n, lead)),
+supports AS (SELECT n, lead, pos, token, sum(weight) AS support FROM fields GROUP BY n, lead, least, pos, token HAVING sum(weight) >= least),
+kept AS (SELECT f.*, s.support FROM fields f JOIN supports s USING (n, lead, pos, token)),
+cuts AS (
+  SELECT n, lead, line, support AS cut, sum(count(*)) OVER (PARTITION BY n, lead, line ORDER BY support DESC) AS fields
+  FROM kept GROUP BY n, lead, line, support),
+mine AS (
+  SELECT c.n, c.lead, c.line, c.fields, string_agg(k.pos || ' ' || k.token, ' ' ORDER BY k.pos) AS template
+  FROM cuts c JOIN kept k USING (n, lead, line) WHERE c.fields >= {SIMILARITY}::DOUBLE * c.n AND k.support >= c.cut GROUP BY ALL),
+templates AS (
+  SELECT n, lead, template, min(first_doc) AS first_doc FROM mine JOIN held USING (n, lead, line)
+  GROUP BY n, lead, template, least HAVING sum(weight) >= least AND min(first_doc) < max(last_doc)),
+recurring AS (SELECT line, arg_min(t.first_doc, m.fields) AS first_doc FROM mine m JOIN templates t USING (n, lead, template) GROUP BY line),
 gone AS (SELECT DISTINCT e.doc_id, e.text, e.place FROM eligible e JOIN recurring r ON e.line = r.line WHERE e.doc_id <> r.first_doc),
 rest AS (
   SELECT n.doc_id, n.text, string_agg(n.raw, chr(10) ORDER BY n.place) AS kept_text
