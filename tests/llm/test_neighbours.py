@@ -35,6 +35,41 @@ def test_nearest_on_a_small_table(spark):
     assert {r.query_id for r in got} == {i for i in good if i % 20 == 0}
 
 
+def recall(got, x, queries, k=20):
+    found = 0
+    for q in queries:
+        s = x @ x[q]
+        s[q] = -np.inf
+        found += len({r.vec_id for r in got if r.query_id == q} & set(np.argsort(-s, kind="stable")[:k].tolist()))
+    return found / (k * len(queries))
+
+
+@pytest.mark.parametrize("kind", ["unit", "one long", "spread", "one cluster"])
+def test_recall_of_the_graph(spark, kind):
+    """The start compares a small part of all pairs and has a low recall; rounds and search bring it up, whatever the lengths."""
+    rng = np.random.default_rng(3)
+    n = 3000
+    x = rng.standard_normal((n, 16))
+    if kind == "one cluster":
+        x[: n // 3] = rng.standard_normal(16) * 2 + 0.3 * rng.standard_normal((n // 3, 16))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    if kind == "one long":
+        x[7] *= 1000
+    if kind == "spread":
+        x *= 10 ** rng.uniform(-2, 2, (n, 1))
+    x = x.astype(np.float32).astype(np.float64)
+    rows = table(spark, x)
+    if kind == "unit":
+        vectors = ann.usable(rows, "vec_id", "embedding")
+        codes = ann.encode(vectors, cell=32)
+        start = ann._by_id(ann._start(codes, ann.K, 32)).mapInArrow(ann._merge(ann.K), ann.LIST)
+        lists = {r.id: np.frombuffer(r.ids, np.int64)[:20] for r in start.collect()}
+        best = [set(np.argsort(-np.where(np.arange(n) == q, -9, x @ x[q]))[:20].tolist()) for q in range(0, n, 20)]
+        assert np.mean([len(b & set(lists[q].tolist())) / 20 for q, b in zip(range(0, n, 20), best)]) < 0.6
+    got = ann.nearest(rows, lambda i: i % 20 == 0, cell=32).collect()
+    assert recall(got, x, range(0, n, 20)) >= 0.95
+
+
 def test_nearest_few_rows(spark):
     got = ann.nearest(table(spark, [[2.0, 0.0], [1.0, 1.0], [0.0, 3.0]]), lambda i: i % 20 == 0).collect()
     assert [(r.query_id, r["rank"], r.vec_id, r.score) for r in got] == [(0, 1, 1, 2.0), (0, 2, 2, 0.0)]

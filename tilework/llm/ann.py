@@ -1,19 +1,19 @@
-"""Approximate nearest neighbours: a neighbour graph by NN-descent, searched greedily.
+"""Approximate nearest neighbours by largest inner product: a neighbour graph by NN-descent, searched greedily.
 
-Largest inner product becomes nearest neighbour by one more component that gives all vectors the norm of the
-longest. Graph work uses 8-bit codes of these; results are scored on the original vectors in double precision.
+Graph work uses 8-bit codes with a scale for each vector, so that vectors of any length keep their precision; results are scored on
+the original vectors in double precision.
 
-* Start: seeded random hyperplanes put the vectors in cells of about ``cell`` rows (larger cells are salted), ``tables``
-  times; each cell is compared in one block.
-* NN-descent: every vertex brings its neighbours and a bounded number of those it is a neighbour of together; they are
-  compared with each other, and whatever beats somebody's worst neighbour is sent to it. One round is a join on the
-  neighbour, a shuffle by the vertex and a merge by the receiver.
+* Start: seeded random hyperplanes put the vectors in small cells of about ``CELL`` rows (larger cells are dealt by hash), ``TABLES``
+  times; each cell is compared in one block. This graph alone has a low recall.
+* NN-descent: every vertex brings its neighbours and a bounded number of those it is a neighbour of together; pairs in which one
+  is new there are compared, and whatever beats somebody's worst neighbour is sent to it. One round is a join on the
+  neighbour, a shuffle by the vertex and a merge by the receiver. Rounds end when at most ``CHANGED`` of all entries are new.
 * Search: from its own vertex, each query expands its best unexpanded vertices by a join with the graph, and keeps a
-  pool of the best found.
+  pool of the best found, until its nearest do not change.
 
 Equal vectors are one vertex; a result lists the smallest ids of each vertex, so that ties go to smaller ids.
 Vectors that are null, zero, of another than the most common length, or hold null or non-finite components take no
-part. Rows that repeat an id are separate candidates unless their vectors agree; an empty table gives no rows.
+part. Rows that repeat an id are separate candidates unless their vectors agree; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -25,9 +25,9 @@ from pyspark.sql import functions as F
 
 from . import common
 
-K, REVERSE, SENT, ROUNDS, TABLES, CELL = 40, 30, 10, 2, 4, 5000
-EXPAND, STEPS, POOL = 60, 2, 80
-LIST = "id long, ids binary, sims binary"
+K, REVERSE, SENT, TABLES, CELL, CHANGED, MOST_ROUNDS = 56, 40, 16, 4, 512, 0.06, 40
+EXPAND, POOL, MOST_STEPS = 160, 240, 40
+LIST = "id long, ids binary, sims binary, new binary"
 
 
 def usable(df: DataFrame, id_col: str, vec_col: str, *more: str) -> DataFrame:
@@ -44,13 +44,25 @@ def _matrix(column) -> np.ndarray:
     return flat.reshape(len(column), -1)
 
 
-def _codes(column) -> np.ndarray:
-    """The rows' 8-bit codes as floats."""
-    return np.frombuffer(b"".join(column.to_pylist()), np.int8).reshape(len(column), -1).astype(np.float32)
+def _coded(x: np.ndarray, unit: float) -> list[bytes]:
+    """For each row its scale (float32, in ``unit``) and its components as 8-bit numbers."""
+    most = np.abs(x).max(1)
+    code = np.rint(x * (127 / most)[:, None]).astype(np.int8)
+    return [s + c.tobytes() for s, c in zip((most / (127 * unit)).astype("<f4")[:, None].view("S4").ravel().tolist(), code, strict=True)]
 
 
-def _lists(ids, parts_ids, parts_sims):
-    return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(parts_ids, pa.binary()), pa.array(parts_sims, pa.binary())], ["id", "ids", "sims"])
+def _codes(blobs: list[bytes]) -> np.ndarray:
+    """The rows that :func:`_coded` wrote, as floats."""
+    raw = np.frombuffer(b"".join(blobs), np.uint8).reshape(len(blobs), -1)
+    return raw[:, 4:].view(np.int8).astype(np.float32) * raw[:, :4].copy().view("<f4")
+
+
+def _split(blob: bytes, size: int) -> list[bytes]:
+    return [blob[i : i + size] for i in range(0, len(blob), size)]
+
+
+def _lists(ids, parts_ids, parts_sims, parts_new):
+    return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *(pa.array(x, pa.binary()) for x in (parts_ids, parts_sims, parts_new))], ["id", "ids", "sims", "new"])
 
 
 def _runs(batches):
@@ -83,24 +95,24 @@ def _top(block: np.ndarray, floor: np.ndarray, count: int):
 
 
 def _merge(k: int):
-    """Merges the lists that each id has received to its ``k`` best."""
+    """Merges the lists that each id has received to its ``k`` best; entries that its own list did not have are new."""
 
     def run(batches):
         for run_ in _runs(batches):
-            ids, sims = run_.column(1).to_pylist(), run_.column(2).to_pylist()
+            ids, sims, news = (run_.column(i).to_pylist() for i in (1, 2, 3))
             n = np.array([len(x) // 8 for x in ids])
             u = np.repeat(run_.column(0).to_numpy(), n)
-            v, s = np.frombuffer(b"".join(ids), np.int64), np.frombuffer(b"".join(sims), np.float32)
-            order = np.lexsort((v, -s, u))
-            u, v, s = u[order], v[order], s[order]
-            new = np.ones(len(u), bool)  # equal pairs have equal similarity and so are neighbours here
-            new[1:] = (u[1:] != u[:-1]) | (v[1:] != v[:-1])
-            new &= u != v
-            u, v, s = u[new], v[new], s[new]
+            v, s, new = np.frombuffer(b"".join(ids), np.int64), np.frombuffer(b"".join(sims), np.float32), np.frombuffer(b"".join(news), np.uint8)
+            order = np.lexsort((new, v, -s, u))
+            u, v, s, new = u[order], v[order], s[order], new[order]
+            other = np.ones(len(u), bool)  # equal pairs have equal similarity and so are neighbours here
+            other[1:] = (u[1:] != u[:-1]) | (v[1:] != v[:-1])
+            other &= u != v
+            u, v, s, new = u[other], v[other], s[other], new[other]
             if len(u):
                 b = _bounds(u)
-                ends = np.minimum(b[:-1] + k, b[1:])
-                yield _lists(u[b[:-1]], [v[x:y].tobytes() for x, y in zip(b[:-1], ends, strict=True)], [s[x:y].tobytes() for x, y in zip(b[:-1], ends, strict=True)])
+                parts = list(zip(b[:-1].tolist(), np.minimum(b[:-1] + k, b[1:]).tolist(), strict=True))
+                yield _lists(u[b[:-1]], *([c[x:y].tobytes() for x, y in parts] for c in (v, s, new)))
 
     return run
 
@@ -110,25 +122,24 @@ def _by_id(df: DataFrame, key: str = "id") -> DataFrame:
 
 
 def encode(vectors: DataFrame, seed: int = 7, cell: int = CELL, tables: int = TABLES) -> DataFrame:
-    """``id, code, cells``: the 8-bit code and a cell for each table; ``vectors`` has id and vec."""
-    norm = F.sqrt(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x))
-    s = vectors.select(norm.alias("norm"), F.array_max(F.transform("vec", F.abs)).alias("most"), F.size("vec").alias("d")).agg(F.count("*").alias("n"), F.max("norm").alias("high"), F.min("norm").alias("low"), F.max("most").alias("most"), F.max("d").alias("d")).first()
-    high, n, d = s.high or 1.0, s.n, s.d or 1
-    scale = 127 / max(s.most or 1.0, np.sqrt(max(0.0, high**2 - (s.low or 0.0) ** 2)))
+    """``id, code, cells``: the code and a cell for each table; ``vectors`` has id and vec."""
+    s = vectors.select(F.array_max(F.transform("vec", F.abs)).alias("most"), F.size("vec").alias("d")).agg(F.count("*").alias("n"), F.max("most").alias("most"), F.max("d").alias("d")).first()
+    unit, n, d = s.most or 1.0, s.n, s.d or 1
     planes = max(0, round(np.log2(max(n, 1) / (0.8 * cell))))
-    normals = np.random.default_rng(seed).standard_normal((d + 1, tables * planes)).astype(np.float32)
+    normals = np.random.default_rng(seed).standard_normal((d, tables * planes)).astype(np.float32)
+    direction = lambda x: x / np.abs(x).max(1, keepdims=True) / np.linalg.norm(x / np.abs(x).max(1, keepdims=True), axis=1, keepdims=True)
     # The middle of each projection, from a bounded sample of the vectors.
     sample = np.array([r.vec for r in vectors.orderBy(F.xxhash64("id"), "id").limit(2000).collect()], np.float64).reshape(-1, d)
-    lift = lambda x: np.hstack([x, np.sqrt(np.maximum(0, high**2 - (x * x).sum(1)))[:, None]])
-    middle = np.median(lift(sample) @ normals, axis=0) if len(sample) and planes else np.zeros(tables * planes)
+    middle = np.median(direction(sample) @ normals, axis=0) if len(sample) and planes else np.zeros(tables * planes)
 
     def run(batches):
         for b in batches:
-            x = lift(_matrix(b.column(1)))
-            code = np.rint(x * scale).astype(np.int8)
-            side = ((x @ normals) > middle).reshape(len(x), tables, planes)
+            if not b.num_rows:
+                continue
+            x = _matrix(b.column(1))
+            side = ((direction(x) @ normals) > middle).reshape(len(x), tables, planes)
             cells = (side << np.arange(planes)).sum(-1).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([c.tobytes() for c in code], pa.binary()), pa.array(list(cells), pa.list_(pa.int64()))], ["id", "code", "cells"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(_coded(x, unit), pa.binary()), pa.array(list(cells), pa.list_(pa.int64()))], ["id", "code", "cells"])
 
     common.ship(vectors.sparkSession)
     return vectors.select("id", "vec").mapInArrow(run, "id long, code binary, cells array<long>")
@@ -139,36 +150,57 @@ def _start(codes: DataFrame, k: int, cell: int) -> DataFrame:
     at = codes.select("id", "code", F.posexplode("cells").alias("part", "cell"))
     sizes = at.groupBy("part", "cell").agg(F.count("*").alias("n"))
     at = at.join(sizes, ["part", "cell"]).withColumn("salt", F.pmod(F.xxhash64("id", "part"), F.ceil(F.col("n") / cell)))
+    at = at.select(F.xxhash64("part", "cell", "salt").alias("block"), "id", "code")
 
-    def block(table):
-        ids, x = table.column("id").combine_chunks().to_numpy(), _codes(table.column("code"))
-        out_ids, out_sims = [], []
-        for lo in range(0, len(x), 512):
-            sims = x[lo : lo + 512] @ x.T
-            sims[np.arange(len(sims)), lo + np.arange(len(sims))] = -np.inf
-            place, value, ok = _top(sims, np.full(len(sims), -np.inf), k)
-            out_ids += [ids[p[o]].tobytes() for p, o in zip(place, ok, strict=True)]
-            out_sims += [v[o].astype(np.float32).tobytes() for v, o in zip(value, ok, strict=True)]
-        return pa.table({"id": pa.array(ids, pa.int64()), "ids": pa.array(out_ids, pa.binary()), "sims": pa.array(out_sims, pa.binary())})
+    def blocks(batches):
+        for r in _runs(batches):
+            ids_, codes_ = r.column(1).to_numpy(), r.column(2).to_pylist()
+            for a, b in zip(*(lambda x: (x[:-1].tolist(), x[1:].tolist()))(_bounds(r.column(0).to_numpy())), strict=True):
+                ids, x = ids_[a:b], _codes(codes_[a:b])
+                if len(ids) < 2:
+                    continue
+                sims = x @ x.T
+                np.fill_diagonal(sims, -np.inf)
+                place, value, ok = _top(sims, np.full(len(sims), -np.inf), k)
+                got = [(ids[p[o]], v[o].astype(np.float32)) for p, o, v in zip(place, ok, value, strict=True)]
+                yield _lists(ids, [i.tobytes() for i, _ in got], [v.tobytes() for _, v in got], [b"\1" * len(i) for i, _ in got])
 
-    return at.select("part", "cell", "salt", "id", "code").groupBy("part", "cell", "salt").applyInArrow(block, LIST)
+    return _by_id(at, "block").mapInArrow(blocks, LIST)
 
 
-def _edges(graph: DataFrame) -> DataFrame:
+def _pairs(lists: DataFrame) -> DataFrame:
+    """``id, nbr``."""
+
     def run(batches):
         for b in batches:
             ids = b.column(1).to_pylist()
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.column(0).to_numpy(), [len(x) // 8 for x in ids])), pa.array(np.frombuffer(b"".join(ids), np.int64))], ["id", "nbr"])
 
-    return graph.select("id", "ids").mapInArrow(run, "id long, nbr long")
+    return lists.select("id", "ids").mapInArrow(run, "id long, nbr long")
+
+
+def _edges(graph: DataFrame) -> DataFrame:
+    """``id, nbr, new``."""
+
+    def run(batches):
+        for b in batches:
+            ids, new = b.column(1).to_pylist(), b.column(2).to_pylist()
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.column(0).to_numpy(), [len(x) // 8 for x in ids])), pa.array(np.frombuffer(b"".join(ids), np.int64)), pa.array(np.frombuffer(b"".join(new), np.uint8) > 0)], ["id", "nbr", "new"])
+
+    return graph.select("id", "ids", "new").mapInArrow(run, "id long, nbr long, new boolean")
+
+
+def _back(edges: DataFrame, reverse: int) -> DataFrame:
+    """``at, member, new``: for each vertex a bounded number of those it is a neighbour of, new ones first."""
+    place = F.row_number().over(Window.partitionBy("nbr").orderBy(F.desc("new"), F.xxhash64("id", "nbr"), "id"))
+    return edges.withColumn("place", place).where(F.col("place") <= reverse).select(F.col("nbr").alias("at"), F.col("id").alias("member"), "new")
 
 
 def _descend(graph: DataFrame, codes: DataFrame, k: int, reverse: int, sent: int) -> DataFrame:
     """One round of NN-descent: neighbours of a common vertex meet there."""
     edges = _edges(graph)
-    place = F.row_number().over(Window.partitionBy("nbr").orderBy(F.xxhash64("id", "nbr"), "id"))
-    back = edges.withColumn("place", place).where(F.col("place") <= reverse).select(F.col("nbr").alias("at"), F.col("id").alias("member"))
-    meet = edges.select(F.col("id").alias("at"), F.col("nbr").alias("member")).union(back)
+    back = _back(edges, reverse)
+    meet = edges.select(F.col("id").alias("at"), F.col("nbr").alias("member"), "new").union(back)
 
     def worst(batches):
         for b in batches:
@@ -176,45 +208,63 @@ def _descend(graph: DataFrame, codes: DataFrame, k: int, reverse: int, sent: int
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([np.frombuffer(s, np.float32)[-1] if len(s) >= 4 * k else -np.inf for s in sims], pa.float32())], ["id", "worst"])
 
     facts = codes.select("id", "code").join(graph.select("id", "sims").mapInArrow(worst, "id long, worst float"), "id")
-    meet = _by_id(meet.join(facts, meet["member"] == facts["id"]).select("at", "member", "code", "worst"), "at")
+    meet = _by_id(meet.join(facts, meet["member"] == facts["id"]).select("at", "member", "code", "worst", "new"), "at")
 
     def local_join(batches):
         for run_ in _runs(batches):
-            key, member, worst_ = (run_.column(i).to_numpy(zero_copy_only=False) for i in (0, 1, 3))
-            x = _codes(run_.column(2))
+            key, member, worst_, new_ = (run_.column(i).to_numpy(zero_copy_only=False) for i in (0, 1, 3, 4))
+            codes_ = run_.column(2).to_pylist()
             bounds = _bounds(key)
             who, got_ids, got_sims = [], [], []
-            for a, b in zip(bounds[:-1], bounds[1:], strict=True):
-                ids, first = np.unique(member[a:b], return_index=True)
+            for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+                new = new_[a:b]
+                if not new.any():
+                    continue
+                order = np.argsort(~new, kind="stable")  # of a member that comes twice, the new one
+                ids, first = np.unique(member[a:b][order], return_index=True)
                 if len(ids) < 2:
                     continue
-                y = x[a:b][first]
+                first = order[first]
+                y, new = _codes([codes_[a + i] for i in first.tolist()]), new[first]
                 sims = y @ y.T
                 np.fill_diagonal(sims, -np.inf)
+                sims[np.ix_(~new, ~new)] = -np.inf  # these have met
                 at, value, ok = _top(sims, worst_[a:b][first], sent)
                 for i in np.flatnonzero(ok.any(1)):
                     who.append(ids[i])
                     got_ids.append(ids[at[i][ok[i]]].tobytes())
                     got_sims.append(value[i][ok[i]].astype(np.float32).tobytes())
             if who:
-                yield _lists(who, got_ids, got_sims)
+                yield _lists(who, got_ids, got_sims, [b"\1" * (len(x) // 8) for x in got_ids])
+
+    def old(batches):
+        for b in batches:
+            yield _lists(b.column(0).to_numpy(), b.column(1).to_pylist(), b.column(2).to_pylist(), [bytes(len(x) // 8) for x in b.column(1).to_pylist()])
 
-    return _by_id(graph.union(meet.mapInArrow(local_join, LIST))).mapInArrow(_merge(k), LIST)
+    return _by_id(graph.mapInArrow(old, LIST).union(meet.mapInArrow(local_join, LIST))).mapInArrow(_merge(k), LIST)
 
 
-def build_graph(codes: DataFrame, k: int = K, reverse: int = REVERSE, sent: int = SENT, rounds: int = ROUNDS, cell: int = CELL) -> DataFrame:
-    """``id, ids, sims``: for each id its ``k`` nearest found, nearest first (binary arrays of int64 and float32)."""
+def build_graph(codes: DataFrame, k: int = K, reverse: int = REVERSE, sent: int = SENT, cell: int = CELL, changed: float = CHANGED, rounds: int | None = None) -> DataFrame:
+    """``id, ids, sims, new``: for each id its ``k`` nearest found, nearest first (binary arrays of int64, float32 and bytes).
+    Ends after ``rounds``, or when the graph hardly changes; a graph that does not settle raises."""
     graph = common.written(_by_id(_start(codes, k, cell)).mapInArrow(_merge(k), LIST), "graph")
-    for _ in range(rounds):
+    for _ in range(MOST_ROUNDS if rounds is None else rounds):
         new = common.written(_descend(graph, codes, k, reverse, sent), "graph")
         common.forget(graph)
         graph = new
+        # A new entry is a byte 1, an old one a byte 0.
+        share = graph.agg(F.sum(F.length(F.translate(F.col("new").cast("string"), "\0", ""))).alias("new"), F.sum(F.length("new")).alias("n")).first()
+        if not share.n or share.new <= changed * share.n:
+            return graph
+    if rounds is None:
+        raise RuntimeError("the neighbour graph did not settle")
     return graph
 
 
 def _with_codes(graph: DataFrame, codes: DataFrame) -> DataFrame:
-    """``node, ids, code``: each vertex with its neighbours' ids and codes, joined end to end."""
+    """``node, ids, code``: each vertex with the ids and codes, joined end to end, of its neighbours and of some it is a neighbour of."""
     edges = _edges(graph)
+    edges = edges.select("id", "nbr").union(_back(edges, REVERSE).select(F.col("at").alias("id"), F.col("member").alias("nbr"))).distinct()
     rows = _by_id(edges.join(codes.select(F.col("id").alias("nbr"), "code"), "nbr").select("id", "nbr", "code"))
 
     def run(batches):
@@ -226,11 +276,11 @@ def _with_codes(graph: DataFrame, codes: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "node long, ids binary, code binary")
 
 
-def greedy_search(graph: DataFrame, codes: DataFrame, queries: DataFrame, expand: int = EXPAND, steps: int = STEPS, pool: int = POOL) -> DataFrame:
-    """``id, ids, sims``: the pool of each query vertex (``queries`` has id) after ``steps`` expansions."""
+def greedy_search(graph: DataFrame, codes: DataFrame, queries: DataFrame, near: int = 20, expand: int = EXPAND, pool: int = POOL) -> DataFrame:
+    """``id, ids, sims``: the pool of each query vertex (``queries`` has id), once an expansion did not change its ``near`` best."""
     from_own = graph.join(queries.select("id").distinct(), "id").join(codes.select("id", "code"), "id")
-    state = common.written(from_own.select("id", "ids", "sims", "code", F.lit(b"").alias("done")), "pool")
-    near = common.written(_with_codes(graph, codes), "near")
+    state = common.written(from_own.select("id", "ids", "sims", "code", F.lit(b"").alias("done"), F.lit(True).alias("open")), "pool")
+    lists = common.written(_with_codes(graph, codes), "near")
 
     def frontier(batches):
         for b in batches:
@@ -245,17 +295,14 @@ def greedy_search(graph: DataFrame, codes: DataFrame, queries: DataFrame, expand
 
     def score(batches):
         for b in batches:
-            q, own, floor, ids, code = (b.column(i).to_pylist() for i in range(5))
-            who, got_ids, got_sims, nodes = [], [], [], b.column(5).to_pylist()
+            q, own, floor, ids, code, nodes = (b.column(i).to_pylist() for i in range(6))
+            got_ids, got_sims = [], []
             for i in range(len(q)):
-                x = np.frombuffer(own[i], np.int8).astype(np.float32)
-                s = np.frombuffer(code[i], np.int8).reshape(-1, len(x)).astype(np.float32) @ x
+                s = _codes(_split(code[i], len(own[i]))) @ _codes([own[i]])[0]
                 ok = s > floor[i]
-                who.append(q[i])
                 got_ids.append(np.frombuffer(ids[i], np.int64)[ok].tobytes())
                 got_sims.append(s[ok].tobytes())
-            none = pa.nulls(len(who), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(who, pa.int64()), pa.array(got_ids, pa.binary()), pa.array(got_sims, pa.binary()), none, pa.array([np.int64(x).tobytes() for x in nodes], pa.binary())], ["id", "ids", "sims", "code", "done"])
+            yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(got_ids, pa.binary()), pa.array(got_sims, pa.binary()), pa.nulls(len(q), pa.binary()), pa.array([np.int64(x).tobytes() for x in nodes], pa.binary()), pa.nulls(len(q), pa.bool_())], names)
 
     def gather(batches):
         for r in _runs(batches):
@@ -268,20 +315,26 @@ def greedy_search(graph: DataFrame, codes: DataFrame, queries: DataFrame, expand
                 s = s[first]
                 s, v = s[v != key[a]], v[v != key[a]]
                 order = np.lexsort((v, -s))[:pool]
-                rows.append((int(key[a]), v[order].tobytes(), s[order].tobytes(), next(c for c in code[a:b] if c is not None), b"".join(done[a:b])))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), *[pa.binary()] * 4), strict=True)], ["id", "ids", "sims", "code", "done"])
-
-    schema = "id long, ids binary, sims binary, code binary, done binary"
-    for _ in range(steps):
-        front = state.mapInArrow(frontier, "id long, node long, own binary, floor float")
-        found = front.join(near, "node").select("id", "own", "floor", "ids", near["code"], "node").mapInArrow(score, schema)
-        new = common.written(_by_id(state.union(found)).mapInArrow(gather, schema), "pool")
-        common.forget(state)
-        state = new
-    return state.select("id", "ids", "sims")
-
-
-def nearest(df: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+                own = next(i for i in range(a, b) if code[i] is not None)
+                before = np.frombuffer(ids[own], np.int64)
+                rows.append((int(key[a]), v[order].tobytes(), s[order].tobytes(), code[own], b"".join(done[a:b]), set(v[order[:near]].tolist()) != set(before[:near].tolist())))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), *[pa.binary()] * 4, pa.bool_()), strict=True)], names)
+
+    names = ["id", "ids", "sims", "code", "done", "open"]
+    schema = "id long, ids binary, sims binary, code binary, done binary, open boolean"
+    ready = state.where("not open")
+    for _ in range(MOST_STEPS):
+        going = state.where("open")
+        front = going.select("id", "ids", "sims", "code", "done").mapInArrow(frontier, "id long, node long, own binary, floor float")
+        found = front.join(lists, "node").select("id", "own", "floor", "ids", lists["code"], "node").mapInArrow(score, schema)
+        state = common.written(_by_id(going.union(found)).mapInArrow(gather, schema), "pool")
+        ready = ready.union(state.where("not open"))
+        if state.where("open").isEmpty():
+            return ready.select("id", "ids", "sims")
+    raise RuntimeError("the search did not settle")
+
+
+def nearest(df: DataFrame, is_query, k: int = 20, cell: int = CELL, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """``query_id, rank, vec_id, score`` for the rows where ``is_query`` (a condition on column ``id``) holds."""
     rows = usable(df, id_col, vec_col)
     classes = common.written(rows.groupBy("vec").agg(F.min("id").alias("rep"), F.count("*").alias("n")), "classes")
@@ -290,11 +343,11 @@ def nearest(df: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", vec_co
     place = F.row_number().over(Window.partitionBy("rep").orderBy("id"))
     members = belongs.withColumn("place", place).where(F.col("place") <= k + 1).select(F.col("rep").alias("near_rep"), F.col("id").alias("vec_id"))
     vectors = classes.select(F.col("rep").alias("id"), "vec")
-    codes = common.written(encode(vectors), "codes")
+    codes = common.written(encode(vectors, cell=cell), "codes")
     wanted = belongs.where(is_query(F.col("id"))).select(F.col("id").alias("query_id"), "rep")
-    graph = build_graph(codes)
-    pools = greedy_search(graph, codes, wanted.select(F.col("rep").alias("id")))
-    pairs = _edges(pools).union(wanted.select(F.col("rep").alias("id"), F.col("rep").alias("nbr")).distinct())
+    graph = build_graph(codes, cell=cell)
+    pools = greedy_search(graph, codes, wanted.select(F.col("rep").alias("id")), k)
+    pairs = _pairs(pools).union(wanted.select(F.col("rep").alias("id"), F.col("rep").alias("nbr")).distinct())
     pairs = pairs.join(vectors.select("id", F.col("vec").alias("a")), "id").join(vectors.select(F.col("id").alias("nbr"), F.col("vec").alias("b")), "nbr")
     score = F.aggregate(F.zip_with("a", "b", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
     best = Window.partitionBy("rep").orderBy(F.desc("score"), "vec_id")

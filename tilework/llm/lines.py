@@ -56,13 +56,14 @@ def recurring_lines(at: DataFrame, depth: int, min_docs: int, similarity: float)
     span = [F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc")]
     often = (F.col("weight") >= F.col("least")) & (F.col("first_doc") < F.col("last_doc"))
     leaves = at.groupBy("leaf", "n").agg(F.count("*").alias("weight"), *span).withColumn("least", least).where(often).select("leaf", "least")
+    leaves = common.written(leaves, "leaves")  # of a known size now, so that few leaves are broadcast and lines stay where they are
     held = at.join(leaves, "leaf").groupBy("leaf", "least", "n", "line_key", "line").agg(F.count_distinct("doc_id").alias("weight"), *span)
     held = common.written(held, "held-lines")
 
     # Lines that recur as they are need no template, unless other lines of their leaf might share one with them.
     total = [F.sum("weight").alias("weight"), F.min("first_doc").alias("first_doc"), F.max("last_doc").alias("last_doc")]
     sizes = held.groupBy("leaf", "least").agg(*total, F.bool_and(often).alias("plain")).where(often & ~F.col("plain"))
-    sizes = sizes.select("leaf", F.col("weight").alias("leaf_weight"))
+    sizes = common.written(sizes.select("leaf"), "open-leaves")
     exact = held.where(often).join(sizes, "leaf", "left_anti").select("line_key", "first_doc")
 
     # The support of each field; the first tokens are those of the leaf.
