@@ -107,6 +107,22 @@ def test_caps_against_all_pairs(spark):
     assert capdedup.cap_near_duplicates(table(spark, [], [])).count() == 0
 
 
+@pytest.mark.parametrize("words", [12, 25, 50])
+def test_pairs_at_the_bound_meet(words):
+    """Pairs at a cosine of 0.93 have a home of one in the caps of the other as often with large codes as with small ones."""
+    rng = np.random.default_rng(words)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    a, b = unit(rng.standard_normal((150, 64))), rng.standard_normal((150, 64))
+    b = 0.93 * a + np.sqrt(1 - 0.93**2) * unit(b - (a * b).sum(1, keepdims=True) * a)
+    code = capdedup.CapCode(64, words)
+    one, two = code.products(a), code.products(b)
+    homes = [np.stack([code.decode(p)[0] for p in x]) for x in (one, two)]
+    lists = [[set(code.decode(p)[1].tolist()) for p in x] for x in (one, two)]
+    in_two, in_one = code.inside(two, homes[1], homes[0]), code.inside(one, homes[0], homes[1])
+    assert (in_two.any(1) | in_one.any(1)).mean() >= 0.93
+    assert all(in_two[i, k] == (int(h) in lists[1][i]) for i in range(150) for k, h in enumerate(homes[0][i]))  # as listed
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, 90), (90, 95), (7, 7)] + [(200, k) for k in range(201, 260)]
     got = {r.node: r.component for r in components.connected_components(spark.createDataFrame(edges, "u long, v long")).collect()}

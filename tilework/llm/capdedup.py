@@ -17,73 +17,89 @@ keep their row; vectors of different lengths do not link; repeated rows link wit
 
 from __future__ import annotations
 
-from statistics import NormalDist
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
-from .ann import _bounds, _matrix, _runs
+from .ann import _matrix, _runs
 from .components import connected_components
 
-BLOCKS, FILTERS, HOMES, SEED, DEALT = 4, 400, 4, 11, 128
+BLOCKS, HOMES, SEED, DEALT = 4, 4, 11, 128
+#: Filters that a vector lies in on average at 16 words a block; with them, 97 % of pairs at a cosine of 0.93 meet, the worst of all
+#: that link. The same share at more words takes more filters, in proportion to this power of the words (0.2 of the vectors).
+FILTERS, FILTERS_AT, GROWTH, SAMPLE = 320, 16, 0.85, 24
 FAR = np.iinfo(np.int64).max
 
 
 class CapCode:
     """The filters for vectors of ``d`` components: ``words`` per block and block books; see the module docstring."""
 
-    def __init__(self, d: int, words: int, mean_filters: int = FILTERS, seed: int = SEED):
+    def __init__(self, d: int, words: int, seed: int = SEED):
         self.words, self.parts = words, np.array_split(np.arange(d), min(BLOCKS, d))
+        self.half = max(1, len(self.parts) // 2)
         rng = np.random.default_rng([seed, d, words])
         self.books = []
         for p in self.parts:
             w = rng.standard_normal((words, len(p)))
             self.books.append(w / np.linalg.norm(w, axis=1, keepdims=True) / np.sqrt(len(self.parts)))
-        total = words ** len(self.parts)
-        self.threshold = NormalDist().inv_cdf(1 - min(0.5, mean_filters / total)) / np.sqrt(d)
+        self.threshold = self._calibrated(rng.standard_normal((SAMPLE, d)), FILTERS * (words / FILTERS_AT) ** GROWTH)
+
+    def _calibrated(self, x: np.ndarray, filters: float) -> float:
+        """The threshold at which the sampled directions lie in so many caps on average."""
+        halves = [self._halves(p) for p in self.products(x / np.linalg.norm(x, axis=1, keepdims=True))]
+        halves = [(left, np.sort(-right)) for left, right in halves]
+        low, high = 0.0, 1.0
+        for _ in range(14):
+            middle = (low + high) / 2
+            many = np.mean([np.searchsorted(right, left - middle, side="right").sum() for left, right in halves])
+            low, high = (middle, high) if many > filters else (low, middle)
+        return low
 
     def products(self, x: np.ndarray) -> np.ndarray:
-        """Block products of unit vectors: row, block, word."""
-        return np.stack([x[:, p] @ b.T for p, b in zip(self.parts, self.books, strict=True)], 1)
-
-    def scores(self, products: np.ndarray, filters: np.ndarray) -> np.ndarray:
-        """Inner products with each row's own filters (row, filter)."""
-        total, rest = np.zeros(filters.shape), filters
-        for b in reversed(range(len(self.parts))):
-            total += np.take_along_axis(products[:, b], rest % self.words, 1)
-            rest = rest // self.words
-        return total
-
-    def inside(self, products: np.ndarray, homes: np.ndarray, filters: np.ndarray) -> np.ndarray:
-        """Does each row lie in the caps of ``filters``, or have a home there?"""
-        return (self.scores(products, filters) >= self.threshold) | (filters[:, :, None] == homes[:, None, :]).any(-1)
+        """Block products of unit vectors: row, block, word. A row's products do not depend on the rows beside it."""
+        return np.stack([np.einsum("nk,wk->nw", x[:, p], b) for p, b in zip(self.parts, self.books, strict=True)], 1)
 
-    def decode(self, products: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Homes, best first, and all filters of one vector: half sums, the second half sorted, so that only hits are visited."""
-        half = max(1, len(self.parts) // 2)
+    def _halves(self, products: np.ndarray) -> list[np.ndarray]:
+        """Sums over all words of the first and of the other blocks."""
         sums = []
-        for blocks in (range(half), range(half, len(self.parts))):
+        for blocks in (range(self.half), range(self.half, len(self.parts))):
             total = np.zeros(1)
             for b in blocks:
                 total = (total[:, None] + products[b][None, :]).ravel()
             sums.append(total)
-        left, right = sums
+        return sums
+
+    def inside(self, products: np.ndarray, homes: np.ndarray, filters: np.ndarray) -> np.ndarray:
+        """Does each row lie in the caps of its own ``filters`` (row, filter), or have a home there? Sums as :meth:`decode` does."""
+        words, rest = [], filters
+        for _ in self.parts:
+            words.insert(0, rest % self.words)
+            rest = rest // self.words
+        left, right = np.zeros(filters.shape), np.zeros(filters.shape)
+        for b, w in enumerate(words):
+            part = np.take_along_axis(products[:, b], w, 1)
+            left, right = (left + part, right) if b < self.half else (left, right + part)
+        return (-right <= left - self.threshold) | (filters[:, :, None] == homes[:, None, :]).any(-1)
+
+    def decode(self, products: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Homes, best first, and all filters of one vector: half sums, the second half sorted, so that only hits are visited."""
+        left, right = self._halves(products)
         order = np.argsort(-right)
-        hits = np.searchsorted(-right[order], left - self.threshold, side="right")
+        threshold = self.threshold
+        while True:
+            hits = np.searchsorted(-right[order], left - threshold, side="right")
+            if hits.sum() >= min(HOMES, len(left) * len(right)):
+                break
+            threshold -= 0.02  # few caps: the homes are the best of those that nearly hold the vector
         at = np.repeat(np.arange(len(left)), hits)
         inner = np.arange(hits.sum()) - np.repeat(np.cumsum(hits) - hits, hits)
         found = at * len(right) + order[inner]
         score = left[at] + right[order[inner]]
-        if len(found) < HOMES:  # few caps: look at all sums
-            every = (left[:, None] + right[None, :]).ravel()
-            best = np.argpartition(-every, min(HOMES, len(every)) - 1)[:HOMES]
-            homes = best[np.argsort(-every[best], kind="stable")]
-        else:
-            homes = found[np.lexsort((found, -score))[:HOMES]]
-        return homes, np.union1d(found, homes)
+        homes = found[np.lexsort((found, -score))[:HOMES]]
+        held = -right[order[inner]] <= left[at] - self.threshold
+        return homes, np.union1d(found[held], homes)
 
 
 def _unit(vecs: list) -> np.ndarray:
@@ -92,27 +108,26 @@ def _unit(vecs: list) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _decoded(nodes: DataFrame, words: int, lists: bool) -> DataFrame:
-    """``label, d, id`` with ``homes``, or with ``lists`` one row for each ``filter``."""
+def _decoded(nodes: DataFrame, words: int) -> DataFrame:
+    """``label, d, id, homes, filters``."""
 
     def run(batches):
         codes: dict[int, CapCode] = {}
         for b in batches:
             for lo in range(0, b.num_rows, 500):
-                part = b.slice(lo, 500)
-                label, ids, vecs = (c.to_pylist() for c in part.columns)
+                label, ids, vecs = (c.to_pylist() for c in b.slice(lo, 500).columns)
                 d = [len(v) for v in vecs]
                 found = []
                 for n, v in zip(d, vecs, strict=True):
-                    code = codes.setdefault(n, CapCode(n, words))
-                    found.append(code.decode(code.products(_unit([v]))[0])[int(lists)])
-                if lists:
-                    times = [len(f) for f in found]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(c, np.int64), times)) for c in (label, d, ids)] + [pa.array(np.concatenate(found))], ["label", "d", "id", "filter"])
-                else:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (label, d, ids)] + [pa.array([f.tolist() for f in found], pa.list_(pa.int64()))], ["label", "d", "id", "homes"])
+                    code = codes[n] = codes.get(n) or CapCode(n, words)
+                    found.append(code.decode(code.products(_unit([v]))[0]))
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (label, d, ids)] + [pa.array([f[k] for f in found], pa.list_(pa.int64())) for k in (0, 1)], ["label", "d", "id", "homes", "filters"])
+
+    return nodes.select("label", "id", "vec").mapInArrow(run, "label long, d long, id long, homes array<long>, filters array<long>")
+
 
-    return nodes.select("label", "id", "vec").mapInArrow(run, "label long, d long, id long, " + ("filter long" if lists else "homes array<long>"))
+#: A block of a home's meetings.
+PLACE = ["key", "label", "d", "filter", "part", "home_part"]
 
 
 def _verify(words: int, cosine: float):
@@ -121,13 +136,14 @@ def _verify(words: int, cosine: float):
     def run(batches):
         codes: dict[int, CapCode] = {}
         for r in _runs(batches):
-            key = r.column(0).to_numpy()
             names = r.schema.names
+            place = np.stack([r.column(names.index(c)).to_numpy() for c in PLACE])
+            bounds = np.concatenate([[0], np.flatnonzero((np.diff(place) != 0).any(0)) + 1, [r.num_rows]]).tolist()
             ids, own, at, size = (r.column(names.index(c)).to_numpy(zero_copy_only=False) for c in ("id", "is_home", "filter", "n"))
             vecs, homes = r.column(names.index("vec")), _matrix(r.column(names.index("homes")))
             counts: dict[int, int] = {}
             u, v = [], []
-            for a, b in zip(*(lambda x: (x[:-1].tolist(), x[1:].tolist()))(_bounds(key)), strict=True):
+            for a, b in zip(bounds[:-1], bounds[1:], strict=True):
                 q, m = a + np.flatnonzero(own[a:b]), a + np.flatnonzero(~own[a:b])
                 if not len(q) or not len(m):
                     continue
@@ -135,7 +151,7 @@ def _verify(words: int, cosine: float):
                 linked = (x[q - a] @ x[m - a].T >= cosine) & (ids[q][:, None] != ids[m])
                 if not linked.any():
                     continue
-                code = codes.setdefault(x.shape[1], CapCode(x.shape[1], words))
+                code = codes[x.shape[1]] = codes.get(x.shape[1]) or CapCode(x.shape[1], words)
                 products, f = code.products(x), at[a]
                 i, j = np.nonzero(linked)
                 # All places where the pair meets: homes of either in whose cap the other lies.
@@ -175,21 +191,21 @@ def cap_near_duplicates(df: DataFrame, cosine: float = 0.93, id_col: str = "vec_
     rows = df.select(F.col(id_col).cast("long").alias("id"), label.alias("label"), vec.alias("vec"), F.coalesce(fine, F.lit(False)).alias("fine"))
     nodes = common.written(rows.where("fine").groupBy("label", "vec").agg(F.min("id").alias("id"), F.count("*").alias("n")), "nodes")
     total = nodes.count()
-    words = int(np.clip(np.ceil((6.5 * max(total, 1)) ** (1 / BLOCKS)), 8, 64))
+    words = int(max(8, np.ceil((6.5 * max(total, 1)) ** (1 / BLOCKS))))
     common.ship(df.sparkSession)
     keys = ["label", "d", "filter"]
-    homed = common.written(_decoded(nodes, words, False), "homes")
+    homed = common.written(_decoded(nodes, words), "homes")
     at_home = homed.select("label", "d", "id", F.explode("homes").alias("filter"))
     homes = at_home.groupBy(*keys).agg(F.count("*").alias("n_home"))
-    members = common.written(_decoded(nodes, words, True).join(homes, keys), "members")
+    members = common.written(homed.select("label", "d", "id", F.explode("filters").alias("filter")).join(homes, keys), "members")
     sizes = members.groupBy(*keys).agg(F.count("*").alias("n_member")).where("n_member > 1")
     sized = lambda rows: rows.withColumn("parts", F.ceil(F.col("n_member") / DEALT)).withColumn("home_parts", F.ceil(F.col("n_home") / DEALT))
     mine = F.pmod(F.xxhash64("id"), F.col("parts"))
     as_member = sized(members.join(sizes, keys)).select("*", mine.alias("part"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("home_parts") - 1)).alias("home_part"), F.lit(False).alias("is_home"))
     home_mine = F.pmod(F.xxhash64("id", F.lit(1)), F.col("home_parts"))
     as_home = sized(at_home.join(homes, keys).join(sizes, keys)).select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), home_mine.alias("home_part"), F.lit(True).alias("is_home"))
-    meet = as_member.unionByName(as_home).select(F.xxhash64(*keys, "part", "home_part").alias("key"), "filter", "id", "is_home")
-    meet = meet.join(nodes.select("id", "n", "vec").join(homed.select("id", "homes"), "id"), "id").select("key", "filter", "id", "is_home", "n", "vec", "homes").repartition("key").sortWithinPartitions("key")
+    meet = as_member.unionByName(as_home).select(F.xxhash64(*keys, "part", "home_part").alias("key"), *PLACE[1:], "id", "is_home")
+    meet = meet.join(nodes.select("id", "n", "vec").join(homed.select("id", "homes"), "id"), "id").select(*PLACE, "id", "is_home", "n", "vec", "homes").repartition("key").sortWithinPartitions(*PLACE)
     found = common.written(meet.mapInArrow(_verify(words, cosine), "id long, n long, other long"), "found")
     links = found.where("n is not null").groupBy("id").agg(F.sum("n").alias("links"))
     parts = connected_components(found.where("other is not null").select(F.col("id").alias("u"), F.col("other").alias("v")))
