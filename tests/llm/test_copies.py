@@ -17,7 +17,7 @@ def plain_fingerprint(text, n=3):
 
 
 def test_fingerprints():
-    for t in (None, "", " \n", "One", "one TWO", "Ünï CÖDE   a b", "a b c d e f g " * 50):
+    for t in (None, "", " \n", "One", "one TWO", "Ünï CÖDE   a b", "a b c d e f g " * 50, " \t lead\x0band  trail\r\n", "x\u00a0y \x1f z"):
         assert simhash.fingerprint(t) == plain_fingerprint(t)
 
 
@@ -56,6 +56,22 @@ def test_links_against_all_pairs(spark):
     assert [got.get(i, i) for i in range(len(fps))] == [root(i) for i in range(len(fps))]
 
 
+def test_long_lists_are_dealt_again():
+    rng = np.random.default_rng(6)
+    fp = rng.integers(0, 2**32, 300, dtype=np.uint64)
+    fp = np.unique(np.concatenate([fp, fp ^ np.uint64(1), fp ^ np.uint64(0x10100), fp ^ np.uint64(0x1010101)])).view(np.int64)
+    rep = np.arange(len(fp))
+
+    def parts(links):
+        of = list(range(len(fp)))
+        for u, v in links:
+            a, b = sorted((of[u], of[v]))
+            of = [a if x == b else x for x in of]
+        return of
+
+    assert parts(simhash.list_links(fp, rep, 5, 3, most=50)) == parts(simhash.spanning_links(fp, rep, 5, 3))
+
+
 def test_groups_and_dedup(spark):
     docs = spark.createDataFrame([(4, "a b c d", 1), (2, "A  b c D", 1), (3, None, 1), (1, "", 1), (7, "other words entirely here", 1), (7, "other words entirely here", 1)], "doc_id long, text string, component_id int")
     got = {r.doc_id: r.component_id for r in simhash.simhash_groups(docs).collect()}

@@ -59,13 +59,32 @@ def test_spans(spark):
     assert score > 0.9 and [(a, b) for a, b, _ in spans] == [(21, 26)]
     assert model.tag(None) == (0.0, []) and model.tag("") == (0.0, [])
     assert model.tag("word " * 50_000)[1] == []
+    text = "İİİ you idiot, İdiot or IDIOT"
+    assert [text[a:b] for a, b, _ in model.tag(text)[1]] == ["idiot", "IDIOT"]
+
+
+def test_prior_of_documents():
+    rng = np.random.default_rng(2)
+    seen = [([0.95], int(rng.random() < 0.1)) for _ in range(500)] + [([0.01], 0)] * 500 + [([0.9999999], 1)] * 50
+    c = crf.best_prior(seen)
+    assert crf.score([0.95], c) < 0.3 and crf.score([0.9999999], c) > 0.9 and crf.best_prior([([0.5], 0)]) == 1.0
+
+
+def test_contradicting_labels_and_repeated_rows(spark):
+    rows = [(i, f"you are a nasty{i % 3} filthyword person" if i % 4 == 0 else f"you are a kind{i % 3} person") for i in range(80)]
+    docs = spark.createDataFrame(rows + rows[:2], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(80)] + [(4, 0)], "doc_id long, toxic int")
+    got = crf.toxicity(docs, labels)
+    a, b = sorted(map(tuple, got.collect())), sorted(map(tuple, crf.toxicity(docs.repartition(5), labels.repartition(3)).collect()))
+    assert a == b and len(a) == 82 and all(r[3] == (r[0] % 4 == 0) for r in a)
 
 
 @tables
 def test_toxicity(spark):
     got = joined(spark, crf.toxicity(common.table(spark, SF, "documents"), common.table(spark, SF, "labels")))
     held = got[got.held_out]
-    assert ((held.predicted == 1) == (held.toxic == 1)).mean() > 0.85
+    hit = ((held.predicted == 1) & (held.toxic == 1)).sum()
+    assert hit > 0.9 * (held.toxic == 1).sum() and hit > 0.9 * (held.predicted == 1).sum()
     assert (got.predicted == (got.score >= 0.3)).all()
 
 
@@ -95,6 +114,7 @@ def test_label_model_finds_the_careful_labeller():
         if not good:
             v[0] = -1 if rng.random() < 0.9 else 0
             v[1] = -1 if rng.random() < 0.5 else 0
+            v[2] = -1 if rng.random() < 0.6 else 0  # of two labellers alone, rates can't be told
         k = quality.pattern(v)
         counts[k] = counts.get(k, 0) + 1
     model = quality.LabelModel(counts)
@@ -105,6 +125,25 @@ def test_label_model_finds_the_careful_labeller():
     assert model.good(bad) < 0.5
 
 
+def test_label_model_beats_the_majority():
+    """Overlapping labellers of unequal accuracy, most of which see nothing in a bad document."""
+    rng = np.random.default_rng(9)
+    m = len(quality.LABELLERS)
+    truth = rng.random(6000) < 0.85
+    votes = np.where(rng.random((6000, m)) < 0.9, 1, 0)
+    fault = rng.integers(0, m // 2, 6000)
+    for i in np.flatnonzero(~truth):
+        votes[i, [2 * fault[i], 2 * fault[i] + 1]] = np.where(rng.random(2) < 0.9, -1, 0)
+    noisy = rng.random(6000) < 0.05
+    votes[noisy, 7] = -1
+    counts: dict[int, int] = {}
+    for v in votes:
+        counts[quality.pattern(v)] = counts.get(quality.pattern(v), 0) + 1
+    model = quality.LabelModel(counts)
+    right = np.mean([(model.good(v) > 0.5) == t for v, t in zip(votes, truth)])
+    assert right > 0.97 > 0.9 > np.mean((votes.sum(1) > 0) == truth) and right > np.mean((votes >= 0).all(1) == truth)
+
+
 def test_quality_edges(spark):
     docs = spark.createDataFrame([(1, None), (2, ""), (3, "Fine words stand here. " * 30), (4, "x" * 200_000)], "doc_id long, text string")
     got = quality.quality(docs).collect()

@@ -10,7 +10,11 @@ forward-backward, and runs of words with marginals of a half or more are spans.
 its spans is toxic, or its largest marginal if it has none.
 
 A null or empty text has score 0 and no spans; repeated rows are scored alike; rows without a label are scored but not learnt
-from; without toxic training rows all scores are those of the background; an empty table gives no rows.
+from; a row whose labels contradict each other counts as toxic; without toxic training rows all scores are those of the background;
+an empty table gives no rows. Words are lower-cased one by one, so that spans are offsets in the text as it is.
+
+Bounds of the training: ``SAMPLE`` labelled rows, ``CALIBRATION`` of them for the prior, ``VOCABULARY`` features, ``PER_SHARD`` sentences of each
+kind in each of ``SHARDS`` shards (one in ``PLAIN`` of those without a word of the vocabulary), in parts of ``LONGEST`` words. Scoring has none.
 """
 
 from __future__ import annotations
@@ -29,9 +33,11 @@ from .linear import sampled
 
 WORD, SENTENCE = re.compile(r"[^\W_]+"), re.compile(r"[.!?\n]+")
 STEMS = range(3, 8)
-SAMPLE, STEPS, LONGEST, PER_SHARD, SHARDS = 20_000, 40, 32, 1500, 8
-#: Training holds about as many sentences with as without toxic words; document scores take back their odds by this factor.
-PRIOR = 0.03
+SAMPLE, STEPS, LONGEST, PER_SHARD, SHARDS, PLAIN, VOCABULARY, CALIBRATION = 20_000, 40, 32, 1500, 8, 20, 20_000, 4000
+
+
+def words_of(text: str) -> set[str]:
+    return {w.lower() for w in set(WORD.findall(text))}
 
 
 def features(word: str) -> list[str]:
@@ -46,7 +52,7 @@ def marked_features(sample: DataFrame) -> list[str]:
             for b in batches:
                 found = Counter()
                 for t in b.column(0):
-                    own = {f for w in set(WORD.findall(t.as_py().lower())) for f in features(w)}
+                    own = {f for w in words_of(t.as_py()) for f in features(w)}
                     found.update(own if wanted is None else own & wanted)
                 if found:
                     yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], ["feature", "n"])
@@ -69,8 +75,10 @@ def marked_features(sample: DataFrame) -> list[str]:
 class Crf:
     """Weights of features and of the two-state chain (0 background, 1 toxic)."""
 
-    def __init__(self, weights: dict[str, float] | None = None, bias: float = -5.0, chain=((0.0, -1.0), (0.0, 1.0)), start: float = -1.0):
+    def __init__(self, weights: dict[str, float] | None = None, bias: float = -5.0, chain=((0.0, -1.0), (0.0, 1.0)), start: float = -1.0, prior: float = 1.0):
         self.weights, self.bias, self.chain, self.start = weights or {}, bias, np.array(chain, float), start
+        #: Training holds about as many sentences with as without toxic words; document scores multiply odds by this.
+        self.prior = prior
         self.cache: dict[str, float] = {}
         self.heads = {f[2:5] for f in self.weights if f[1:2] == ":"}
         self.background = float(self.marginals([0.0] * 50).max())
@@ -110,19 +118,18 @@ class Crf:
             b0, b1 = b0 / s, b1 / s
         return out
 
-    def tag(self, text: str | None) -> tuple[float, list[tuple[int, int, float]]]:
-        """Score and spans (start, end, marginal) of a text, in characters of its lower-case form."""
+    def read(self, text: str | None) -> tuple[float, list[tuple[int, int, float]]]:
+        """Largest marginal and spans (start, end, marginal) of a text, in its characters."""
         if not text:
             return 0.0, []
-        low = text.lower()
         gain = self.gain
-        if not any(gain(w) > 0 for w in set(WORD.findall(low))):
-            return PRIOR * self.background / (PRIOR * self.background + 1 - self.background), []
+        if not any(gain(w) > 0 for w in words_of(text)):
+            return self.background, []
         best, spans, at = self.background, [], 0
-        for stop in [*(m.end() for m in SENTENCE.finditer(low)), len(low)]:
-            words = list(WORD.finditer(low, at, stop))
+        for stop in [*(m.end() for m in SENTENCE.finditer(text)), len(text)]:
+            words = list(WORD.finditer(text, at, stop))
             at = stop
-            gains = [gain(w[0]) for w in words]
+            gains = [gain(w[0].lower()) for w in words]
             if not words or max(gains) <= 0:
                 continue
             p = self.marginals(gains)
@@ -137,8 +144,29 @@ class Crf:
                     k += 1
                 spans.append((words[first].start(), words[k].end(), float(p[first : k + 1].max())))
                 k += 1
-        prior = lambda p: PRIOR * p / (PRIOR * p + 1 - p) if p < 1 else 1.0
-        return (1 - math.prod(1 - prior(s[2]) for s in spans) if spans else prior(best)), spans
+        return best, spans
+
+    def tag(self, text: str | None) -> tuple[float, list[tuple[int, int, float]]]:
+        """Score and spans of a text."""
+        best, spans = self.read(text)
+        return score([s[2] for s in spans] or [best], self.prior), spans
+
+
+def score(marginals: list[float], prior: float) -> float:
+    """The chance that any of these is toxic, with their odds multiplied by ``prior``."""
+    return 1 - math.prod(1 - (prior * p / (prior * p + 1 - p) if p < 1 else 1.0) for p in marginals)
+
+
+def best_prior(seen: list[tuple[list[float], int]], threshold: float = 0.3) -> float:
+    """The prior under which the fewest documents with these marginals and labels fall on the wrong side of the threshold, and among
+    such priors the one that makes the labels likeliest."""
+    if not any(y for _, y in seen):
+        return 1.0
+    grid = np.geomspace(1e-4, 100, 61).tolist()
+    clip = lambda p: min(max(p, 1e-4), 1 - 1e-4)
+    loss = lambda c: -sum(math.log(clip(score(m, c)) if y else 1 - clip(score(m, c))) for m, y in seen)
+    wrong = lambda c: sum((score(m, c) >= threshold) != (y == 1) for m, y in seen)
+    return min(grid, key=lambda c: (wrong(c), loss(c)))
 
 
 def _fit_shard(sentences: list[tuple[list[list[int]], list[int]]], n_features: int, first: np.ndarray) -> np.ndarray:
@@ -196,7 +224,8 @@ def _fit_shard(sentences: list[tuple[list[list[int]], list[int]]], n_features: i
 
 def fit(rows: DataFrame, sample: int = SAMPLE) -> Crf:
     """Learn from ``rows`` (id, text, toxic; none null)."""
-    some = common.written(sampled(rows, "id", sample, 23).dropDuplicates(["text"]), "toxicity-sample")
+    some = sampled(rows, "id", sample, 23).groupBy("text").agg(F.min("id").alias("id"), F.max("toxic").alias("toxic"))
+    some = common.written(some, "toxicity-sample")
     marks = marked_features(some)
     if not marks:
         return Crf()
@@ -207,7 +236,7 @@ def fit(rows: DataFrame, sample: int = SAMPLE) -> Crf:
         found: set[str] = set()
         for b in batches:
             for t in b.column(0):
-                for w in set(WORD.findall(t.as_py().lower())):
+                for w in words_of(t.as_py()):
                     own = features(w)
                     if not marked.isdisjoint(own):
                         found.update(own)
@@ -215,22 +244,22 @@ def fit(rows: DataFrame, sample: int = SAMPLE) -> Crf:
             yield pa.RecordBatch.from_arrays([pa.array(sorted(found), pa.string())], ["feature"])
 
     common.ship(rows.sparkSession)
-    vocabulary = sorted({*marks, *(r.feature for r in some.where("toxic = 1").select("text").mapInArrow(shared, "feature string").groupBy("feature").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "feature").limit(20_000).collect())})
+    vocabulary = sorted({*marks, *(r.feature for r in some.where("toxic = 1").select("text").mapInArrow(shared, "feature string").groupBy("feature").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "feature").limit(VOCABULARY).collect())})
     index = {f: i for i, f in enumerate(vocabulary)}
 
     def shard(table):
         # Sentences with toxic tokens, without but with words of the vocabulary, and others: so many of each.
         chosen, room, plain = [], [PER_SHARD, PER_SHARD, PER_SHARD // 5], 0
         for _, t, toxic in sorted(zip(*(table.column(c).to_pylist() for c in ("id", "text", "toxic")), strict=True)):
-            for s in SENTENCE.split(t.lower()):
-                words = WORD.findall(s)
+            for s in SENTENCE.split(t):
+                words = [w.lower() for w in WORD.findall(s)]
                 for lo in range(0, len(words), LONGEST):
                     fs = [features(w) for w in words[lo : lo + LONGEST]]
                     ids = [[index[f] for f in x if f in index] for x in fs]
                     y = [int(toxic == 1 and not marked.isdisjoint(x)) for x in fs]
                     kind = 0 if any(y) else 1 if any(ids) else 2
                     plain += kind == 2
-                    if room[kind] and (kind < 2 or plain % 20 == 1):
+                    if room[kind] and (kind < 2 or plain % PLAIN == 1):
                         room[kind] -= 1
                         chosen.append((ids, y))
         theta = _fit_shard(chosen, len(vocabulary), np.array([index[f] for f in marks])) if chosen else np.zeros(len(vocabulary) + 5)
@@ -242,7 +271,16 @@ def fit(rows: DataFrame, sample: int = SAMPLE) -> Crf:
     for r in got:
         theta[r.place] = r.weight
     bias, c01, c10, c11, start = theta[len(vocabulary) :]
-    return Crf({f: float(w) for f, w in zip(vocabulary, theta, strict=False) if abs(w) > 1e-3}, float(bias), ((0.0, c01), (c10, c11)), float(start))
+    model = Crf({f: float(w) for f, w in zip(vocabulary, theta, strict=False) if abs(w) > 1e-3}, float(bias), ((0.0, c01), (c10, c11)), float(start))
+
+    def marginals(batches):
+        for b in batches:
+            got = [model.read(t.as_py()) for t in b.column(0)]
+            yield pa.RecordBatch.from_arrays([pa.array([[s[2] for s in spans] or [best] for best, spans in got], pa.list_(pa.float64())), b.column(1)], ["marginals", "toxic"])
+
+    seen = sampled(some.where("text <> ''"), "id", CALIBRATION, 37).select("text", "toxic").mapInArrow(marginals, "marginals array<double>, toxic int").collect()
+    model.prior = best_prior([(list(r.marginals), r.toxic) for r in seen])
+    return model
 
 
 def tagged(docs: DataFrame, model: Crf, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -261,7 +299,7 @@ def tagged(docs: DataFrame, model: Crf, id_col: str = "doc_id", text_col: str =
 
 def fit_labelled(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Crf:
     """Learn from the labelled rows outside the held-out fold."""
-    known = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("toxic")).where(F.col("toxic").isNotNull() & (common.fold("id") != 2)).dropDuplicates(["id"])
+    known = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("toxic")).where(F.col("toxic").isNotNull() & (common.fold("id") != 2)).groupBy("id").agg(F.max("toxic").alias("toxic"))
     known = sampled(known, "id", SAMPLE, 29)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("text is not null")
     # The sample's ids are bounded by SAMPLE.

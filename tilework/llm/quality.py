@@ -2,7 +2,8 @@
 
 Eight labellers vote good, bad or nothing on a text's style. The pattern of votes of every document is counted
 in Spark (at most 3**8 patterns, however many documents), and expectation-maximisation on these counts estimates how often each
-labeller votes what on good and on bad documents, and the share of good ones. The posteriors of a bounded sample are the
+labeller votes what on good and on bad documents, and the share of good ones. No rate is bounded: labellers
+overlap (symbols with marked words, repeated neighbours with variety, list marks with sentence ends), so that faults show as votes that agree. The posteriors of a bounded sample are the
 soft targets of a linear model on hashed n-grams of character classes and binned style figures, which scores every text.
 
 A null or empty text gets the votes of no words and a score like any other; repeated rows are scored alike; an empty table
@@ -23,9 +24,9 @@ from pyspark.sql import functions as F
 from . import common
 from .linear import gram_counts, sampled, softmax, train
 
-BITS, ORDERS, SAMPLE, BINS, FALSE_ALARMS = 13, (2, 4), 6000, 16, 0.003
+BITS, ORDERS, SAMPLE, BINS = 13, (2, 4), 6000, 16
 #: Character classes: 0 other, 1 white space, 2 lower case, 3 upper case, 4 digit, 5 sentence end, 6 other punctuation, 7 symbol.
-LABELLERS = ("symbols", "upper case", "repeated neighbours", "list marks", "word length", "sentence ends", "variety", "size")
+LABELLERS = ("symbols", "upper case", "repeated neighbours", "list marks", "marked words", "sentence ends", "variety", "size")
 
 
 @lru_cache
@@ -49,20 +50,24 @@ def style(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     kinds = _classes()[np.frombuffer(text.encode("utf-32-le"), "<u4")]
     n = np.bincount(kinds, minlength=8)
     words = text.lower().split()
-    w, chars = max(1, len(words)), max(1, len(kinds) - int(n[1]))
+    w = max(1, len(words))
     again = sum(a == b for a, b in zip(words, words[1:], strict=False))
     parts = [words[i : i + 100] for i in range(0, len(words), 100)]
     variety = np.mean([len(set(p)) / len(p) for p in parts]) if parts else 0.0
     ends = n[5] / w
     lists = sum(x in ("|", "-", "*", "•") for x in words) / w
-    return np.array([n[7] / w, n[3] / max(1, n[2] + n[3]), again / w, lists, chars / w, ends, variety, len(words)]), kinds
+    # Words that hold a symbol: by the number of each word.
+    number = np.cumsum(np.append(True, kinds[:-1] == 1) & (kinds != 1)) if len(kinds) else kinds
+    marked = len(np.unique(number[kinds == 7])) / w
+    return np.array([n[7] / w, n[3] / max(1, n[2] + n[3]), again / w, lists, marked, ends, variety, len(words)]), kinds
 
 
 def votes(figures: np.ndarray) -> np.ndarray:
-    """Of each labeller 1 (good), -1 (bad) or 0 (no vote)."""
-    bad = np.array([figures[0] > 0.25, figures[1] > 0.4, figures[2] > 0.15, figures[3] > 0.08, not 2 <= figures[4] <= 14, figures[5] > 0.6 or figures[5] < 0.004, figures[6] < 0.35, figures[7] < 5])
-    # Most faults show in one figure only, so a labeller says nothing without its own; only the usual length speaks for a text.
-    return np.where(bad, -1, np.where([False] * 7 + [figures[7] >= 40], 1, 0))
+    """Of each labeller 1 (good), -1 (bad) or 0 (no vote, between the two)."""
+    f = figures
+    bad = np.array([f[0] > 0.25, f[1] > 0.4, f[2] > 0.15, f[3] > 0.08, f[4] > 0.2, f[5] > 0.6 or f[5] < 0.004, f[6] < 0.35, f[7] < 5])
+    good = np.array([f[0] < 0.05, f[1] < 0.2, f[2] < 0.05, f[3] < 0.02, f[4] < 0.05, 0.01 <= f[5] <= 0.3, f[6] > 0.5, f[7] >= 40])
+    return np.where(bad, -1, good.astype(int))
 
 
 def pattern(v: np.ndarray) -> int:
@@ -83,8 +88,6 @@ class LabelModel:
             share = (post.sum(0) + 1) / (post.sum() + 2)
             rate = np.stack([[(post * (v[:, j] == k)[:, None]).sum(0) for k in range(3)] for j in range(m)]) + 0.5
             rate /= rate.sum(1, keepdims=True)
-            rate[:, 0, 1] = np.minimum(rate[:, 0, 1], FALSE_ALARMS)  # or faults that come alone are taken for errors
-            rate /= rate.sum(1, keepdims=True)
             log = np.log(share)[None] + sum(np.log(rate[j][v[:, j]]) for j in range(m))
             new = softmax(log)[:, 1]
             if np.abs(new - good).max() < 1e-9:
@@ -103,12 +106,15 @@ class LabelModel:
 
 def featurize(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """Hashed n-grams of character classes (log counts, scaled) and one bin for each style figure."""
-    figures, kinds = style(text)
+    return _features(*style(text))
+
+
+def _features(figures: np.ndarray, kinds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     c = gram_counts(kinds, ORDERS, BITS)
     at = np.flatnonzero(c)
     x = np.log1p(c[at])
     x /= max(1e-12, np.linalg.norm(x))
-    scale = np.array([8, 15, 20, 40, 1, 20, 15, 0])
+    scale = np.array([8, 15, 20, 40, 15, 20, 15, 0])
     bins = np.minimum(np.append((figures * scale)[:7], np.log2(figures[7] + 1)).astype(int), BINS - 1)
     return np.append(at, (1 << BITS) + np.arange(8) * BINS + bins), np.append(x, np.full(8, 0.5))
 
@@ -145,8 +151,9 @@ def quality(docs: DataFrame, sample: int = SAMPLE, threshold: float = 0.5, id_co
         for b in batches:
             got = []
             for t in b.column(1):
-                at, x = featurize(t.as_py())
-                got.append((float(softmax(x @ w[at])[1]), labels.good(votes(style(t.as_py())[0]))))
+                figures, kinds = style(t.as_py())
+                at, x = _features(figures, kinds)
+                got.append((float(softmax(x @ w[at])[1]), labels.good(votes(figures))))
             s, l = zip(*got, strict=True) if got else ((), ())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s, pa.float64()), pa.array(l, pa.float64())], ["doc_id", "score", "weak_label"])
 

@@ -72,7 +72,7 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .crf import toxicity
 
-    return toxicity(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels")).drop("spans")
+    return toxicity(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels")).withColumn("spans", F.to_json("spans"))
 
 
 QUERIES = {

@@ -3,8 +3,9 @@
 Two 64-bit fingerprints that differ in at most ``max_bits`` bits share at least ``8 - max_bits`` of their eight bytes at
 the same positions: the guaranteed minimum of matches. The index therefore lists fingerprints under small sets of
 positional bytes, chosen so that every pair with the guaranteed minimum meets under at least one set (posting lists of
-single bytes would hold n / 256 rows each, and their pairs grow with the square of the input). In each list, pairs
-are tallied by shared positional bytes, those below the minimum are left, and the rest are verified by counting bits.
+single bytes would hold n / 256 rows each, and their pairs grow with the square of the input). The tally of a pair is taken
+where it meets, over all eight positions at once: pairs below the minimum are left, the rest are verified by counting bits. Since whatever
+verifies has the minimum, the tally spares work and decides nothing. A long list is dealt again by a further shared byte.
 
 Documents with equal fingerprints are one node. A list yields links that span its connected parts, found by
 spreading from one fingerprint over those not yet reached, so that a group of near copies yields as many
@@ -31,25 +32,36 @@ from .components import connected_components
 SEED = 42
 
 
-def fingerprint(text: str | None, words: int = 3) -> int:
+def fingerprint(text: str | bytes | None, words: int = 3) -> int:
     """Unsigned SimHash of the word shingles of a text with A-Z in lower case; see the contract in the module."""
     import xxhash
 
-    parts = (text or "").encode("utf-8").lower().split()
-    if not parts:
+    joined, first, ends = joined_words(text.encode("utf-8") if isinstance(text, str) else text or b"")
+    if not len(first):
         return 0
-    joined = b" ".join(parts)
-    ends = np.cumsum([len(p) + 1 for p in parts]) - 1
-    first = np.concatenate([[0], ends[:-1] + 1])
-    n = max(1, len(parts) - words + 1)
-    digest = xxhash.xxh64_intdigest
-    hashes = [digest(joined[a:b], SEED) for a, b in zip(first[:n].tolist(), ends[min(words, len(parts)) - 1 :].tolist())]
-    bits = np.zeros(64, np.int64)
+    n = max(1, len(first) - words + 1)
+    ends, bits = ends[min(words, len(first)) - 1 :], np.zeros(64, np.int64)
     for lo in range(0, n, 65536):  # bounded memory for very long texts
-        bits += np.unpackbits(np.array(hashes[lo : lo + 65536], ">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
+        hashes = [xxhash.xxh64_intdigest(joined[a:b], SEED) for a, b in zip(first[lo : min(n, lo + 65536)].tolist(), ends[lo : lo + 65536].tolist())]
+        bits += np.unpackbits(np.array(hashes, ">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
     return int.from_bytes(np.packbits(bits * 2 > n).tobytes(), "big")
 
 
+def joined_words(raw: bytes) -> tuple[bytes, np.ndarray, np.ndarray]:
+    """The words of a text in lower case with one space between them, and where each begins and ends; a few bytes of memory a byte."""
+    data = np.frombuffer(raw.lower(), np.uint8)
+    blank = (data == 32) | ((data >= 9) & (data <= 13))
+    after = np.append(True, blank[:-1])  # a blank, or the beginning, stands before
+    kept = np.flatnonzero(~blank | ~after)
+    joined = np.where(blank[kept], 32, data[kept]).astype(np.uint8)
+    if len(joined) and joined[-1] == 32:
+        joined = joined[:-1]
+    space = np.flatnonzero(joined == 32)
+    if not len(joined):
+        return b"", space, space
+    return joined.tobytes(), np.append(0, space + 1), np.append(space, len(joined))
+
+
 def fingerprints(docs: DataFrame, words: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, fp``: the fingerprint as a signed long."""
 
@@ -59,7 +71,8 @@ def fingerprints(docs: DataFrame, words: int = 3, id_col: str = "doc_id", text_c
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values.view(np.int64))], ["doc_id", "fp"])
 
     common.ship(docs.sparkSession)
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string")).mapInArrow(run, "doc_id long, fp long")
+    # As bytes, which need not be valid.
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").cast("binary").alias("text")).mapInArrow(run, "doc_id long, fp long")
 
 
 @lru_cache
@@ -97,6 +110,23 @@ def spanning_links(fp: np.ndarray, rep: np.ndarray, matches: int, max_bits: int)
     return links
 
 
+def list_links(fp: np.ndarray, rep: np.ndarray, matches: int, max_bits: int, most: int = 4096) -> list[tuple[int, int]]:
+    """:func:`spanning_links`; in a long list, pairs share one more byte than all of the list do, and are looked for under it."""
+    if len(fp) <= most:
+        return spanning_links(fp, rep, matches, max_bits)
+    parts = fp.view(np.uint8).reshape(-1, 8)
+    free = [p for p in range(8) if (parts[:, p] != parts[0, p]).any()]
+    if 8 - len(free) >= matches:  # all share enough already
+        return spanning_links(fp, rep, matches, max_bits)
+    out = []
+    for p in free:
+        order = np.argsort(parts[:, p], kind="stable")
+        bounds = np.flatnonzero(np.diff(parts[order, p])) + 1
+        for at in np.split(order, bounds):
+            out += list_links(fp[at], rep[at], matches, max_bits, most)
+    return out
+
+
 def _lists(batches):
     """Whole posting lists (arrays of fp, rep) from batches that are sorted by list."""
     rest = None
@@ -140,7 +170,7 @@ def links(nodes: DataFrame, max_bits: int = 3) -> DataFrame:
             ok = _near(fp[two], fp[two + 1], matches, max_bits) if len(two) else np.zeros(0, bool)
             pairs += list(zip(rep[two[ok]].tolist(), rep[two[ok] + 1].tolist(), strict=True))
             for a, n in zip(bounds[:-1][sizes > 2].tolist(), sizes[sizes > 2].tolist(), strict=True):
-                pairs += spanning_links(fp[a : a + n], rep[a : a + n], matches, max_bits)
+                pairs += list_links(np.ascontiguousarray(fp[a : a + n]), rep[a : a + n], matches, max_bits)
             if pairs:
                 u, v = zip(*set(pairs), strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
