@@ -39,13 +39,35 @@ def test_bootstrap(spark):
     assert none.n == 0 and none["mean"] is None and none.lo is None
 
 
+def test_bootstrap_draws_like_a_bootstrap(spark):
+    """Means of resamples spread as those of a plain bootstrap do."""
+    r = random.Random(5)
+    values = [r.gauss(0, 1) for _ in range(400)]
+    df = spark.createDataFrame([(f"t{i:03}", v) for i, v in enumerate(values)], "target_id string, v double")
+    got = resampling.bootstrap_means(df, "v", "target_id").first()
+    plain = sorted(sum(r.choice(values) for _ in values) / 400 for _ in range(2000))
+    assert got["mean"] == pytest.approx(sum(values) / 400) and abs(got.lo - plain[50]) < 0.03 and abs(got.hi - plain[1950]) < 0.03
+
+
 def test_permutation_finds_a_real_order(spark):
     data = [(f"t{t}", f"r{i}", float(i), float(i)) for t in range(5) for i in range(12)]
     df = spark.createDataFrame(data, "target_id string, record_id string, ra double, rb double")
-    got = resampling.permutation_test(df, replicates=40, batch=25).first()
+    got = resampling.permutation_test(df, replicates=40).first()
     assert got.observed == pytest.approx(1.0) and got.p == pytest.approx(1 / 41) and got.targets == 5
 
 
+def test_permutation_against_all_orders(spark):
+    from itertools import permutations
+
+    ra, rb = {"a": [1.0, 2.0, 3.0, 4.0], "b": [1.0, 2.0, 3.0]}, {"a": [2.0, 1.0, 3.0, 4.0], "b": [2.0, 3.0, 1.0]}
+    df = spark.createDataFrame([(t, str(i), x, y) for t in ra for i, (x, y) in enumerate(zip(ra[t], rb[t]))] + [("flat", "0", 1.0, 1.0), ("flat", "1", 1.0, 2.0)], "target_id string, record_id string, ra double, rb double")
+    seen = (rho(ra["a"], rb["a"]) + rho(ra["b"], rb["b"])) / 2
+    null = [(rho(x, rb["a"]) + rho(y, rb["b"])) / 2 for x in permutations(ra["a"]) for y in permutations(ra["b"])]
+    got = resampling.permutation_test(df).first()
+    assert got.observed == pytest.approx(seen) and got.targets == 2 and abs(got.p - sum(n >= seen - 1e-12 for n in null) / len(null)) < 0.03
+    assert resampling.permutation_test(df.repartition(5), parts=3).first() == got
+
+
 def test_group_disjoint_cut_is_exact_and_repeatable(spark):
     df = spark.createDataFrame([(i % 101, i) for i in range(500)], "target_id long, record_id long")
     a = {r.target_id: r.split for r in splits.group_disjoint(df).collect()}

@@ -34,7 +34,8 @@ def success_at(k: int) -> Column:
 
 
 def _gain(rel: Column) -> Column:
-    return F.greatest(F.coalesce(rel, F.lit(0.0)), F.lit(0.0))
+    """What is null, not a number or negative gains nothing."""
+    return F.greatest(F.coalesce(ranked_score(rel), F.lit(0.0)), F.lit(0.0))
 
 
 def ndcg_at(k: int) -> Column:
@@ -45,8 +46,8 @@ def ndcg_at(k: int) -> Column:
 
 
 def regret_at(k: int) -> Column:
-    """(best - best in the first k) / (best - worst); 0 for groups with one value."""
-    rel = F.coalesce(F.col("rel"), F.lit(0.0))
+    """(best - best in the first k) / (best - worst); 0 for groups with one value. What is null or not a number counts as 0."""
+    rel = F.coalesce(ranked_score(F.col("rel")), F.lit(0.0))
     best, worst, got = F.max(rel), F.min(rel), F.max(F.when(F.col("rn") <= k, rel))
     return F.when(best > worst, (best - got) / (best - worst)).otherwise(0.0)
 
@@ -65,8 +66,8 @@ def target_metrics(df: DataFrame, keys: Sequence[str] = ("target_id",), ks: Sequ
 
 def pareto_front(df: DataFrame, keys: Sequence[str] = ("target_id",), up: str = "on", down: str = "off") -> DataFrame:
     """Rows that no other row of the group dominates (more of ``up``, less of ``down``, one strictly); equal rows all stay,
-    rows lacking either are dropped. A sweep over the distinct ``down`` values replaces the pairwise comparison."""
-    rows = df.where(F.col(up).isNotNull() & F.col(down).isNotNull())
+    rows in which either is null or not a number are dropped. A sweep over the distinct ``down`` values replaces the pairwise comparison."""
+    rows = df.where(F.col(up).isNotNull() & ~F.isnan(up) & F.col(down).isNotNull() & ~F.isnan(down))
     best = rows.groupBy(*keys, down).agg(F.max(up).alias("_best"))
     before = Window.partitionBy(*keys).orderBy(down).rowsBetween(Window.unboundedPreceding, -1)
     front = best.withColumn("_before", F.max("_best").over(before)).where(F.col("_before").isNull() | (F.col("_best") > F.col("_before")))

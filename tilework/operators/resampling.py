@@ -4,24 +4,49 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tilework.functions.columns import unit_hash
 
 
+#: Value tables up to so many rows are sent to every task; beyond it the draws are shuffled to them.
+BROADCAST_ROWS = 500_000
+_FACTOR, _MASK = 73244475, 4294967295
+
+
+def _mixed(x: Column) -> Column:
+    """A 32-bit number from a 32-bit number, in 64-bit arithmetic without overflow."""
+    for _ in range(2):
+        x = (x.bitwiseXOR(F.shiftright(x, 16)) * F.lit(_FACTOR)).bitwiseAND(F.lit(_MASK))
+    return x.bitwiseXOR(F.shiftright(x, 16))
+
+
+def _base(x: int) -> int:
+    """:func:`_mixed` of a number."""
+    for _ in range(2):
+        x = ((x ^ (x >> 16)) * _FACTOR) & _MASK
+    return x ^ (x >> 16)
+
+
 def bootstrap_means(df: DataFrame, value: str, key: str, groups: Sequence[str] = (), replicates: int = 2000, seed: int = 0) -> DataFrame:
     """``mean, lo, hi, n`` per group: the mean of the per-target values, and the 2.5 and 97.5 percentiles of means of resamples.
 
     ``df`` is a per-target table (one row per target and group). Values get places 0..n-1 in the order of ``key``; each replicate
-    draws n places by hash and joins the values back, so nothing larger than targets x replicates is made.
+    draws n places and looks the values up, so nothing larger than targets x replicates is made, and means combine on the map side.
     """
     spot = Window.partitionBy(*groups).orderBy(key)
-    rows = df.where(F.col(value).isNotNull()).select(*groups, F.col(value).cast("double").alias("_v"), (F.row_number().over(spot) - 1).alias("_place"), F.count("*").over(Window.partitionBy(*groups)).alias("_size"))
-    draws = rows.select(*groups, "_place", "_size", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("_rep"))
-    draw = F.floor(unit_hash(seed, F.col("_rep"), F.col("_place")) * F.col("_size")).cast("int")
-    draws = draws.select(*groups, "_rep", draw.alias("_place"))
-    means = draws.join(rows.select(*groups, "_place", "_v"), [*groups, "_place"]).groupBy(*groups, "_rep").agg(F.avg("_v").alias("_m"))
+    rows = df.where(F.col(value).isNotNull()).select(*groups, F.col(value).cast("double").alias("_v"), (F.row_number().over(spot) - 1).cast("long").alias("_place"))
+    sizes = rows.groupBy(*groups).agg(F.count("*").alias("_size"))
+    ids = sizes.select(*groups, "_size", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_size") - 1)).alias("_at"))
+    bases = F.lit([_base(r + seed * 1_000_003 + 1) for r in range(replicates)])  # one number a replicate, made here
+    draws = ids.repartition(F.col("_at")).select(*groups, "_size", "_at", F.posexplode(bases).alias("_rep", "_base"))
+    seeded = (F.col("_base").cast("long") + F.col("_at") * 40503).bitwiseAND(F.lit(_MASK))
+    draws = draws.select(*groups, "_rep", F.pmod(_mixed(seeded), F.col("_size")).alias("_place"))
+    small = rows.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    means = draws.join(F.broadcast(rows) if small else rows, [*groups, "_place"]).groupBy(*groups, "_rep").agg(F.avg("_v").alias("_m"))
     ends = means.groupBy(*groups).agg(F.percentile("_m", F.array(F.lit(0.025), F.lit(0.975))).alias("_e"))
     whole = rows.groupBy(*groups).agg(F.avg("_v").alias("mean"), F.count("*").alias("n"))
     joined = whole.join(ends, list(groups)) if groups else whole.crossJoin(F.broadcast(ends))  # one row each
@@ -34,27 +59,39 @@ def value_interval(df: DataFrame, value: str, groups: Sequence[str] = ()) -> Dat
     return df.groupBy(*groups).agg(F.avg(value).alias("mean"), e[0].alias("lo"), e[1].alias("hi"), F.count(value).alias("n"))
 
 
-def permutation_test(ranked: DataFrame, key: str = "record_id", replicates: int = 5000, batch: int = 500, seed: int = 0) -> DataFrame:
+def permutation_test(ranked: DataFrame, key: str = "record_id", replicates: int = 5000, seed: int = 0, parts: int = 64) -> DataFrame:
     """One-sided p of the mean per-target rank correlation under shuffling within targets.
 
-    ``ranked`` has target_id, the key and average ranks ``ra`` and ``rb``. Ranks are made once; a replicate orders a target's
-    rows by hash and pairs them with the label ranks, so only the sum of products changes. Replicates go in batches.
+    ``ranked`` has target_id, the key and average ranks ``ra`` and ``rb``. Targets are dealt to ``parts``; a part shuffles each target's
+    ranks by a generator seeded with the target, so results do not depend on the dealing, and yields one sum for each replicate.
+    A target's rows are one task's (they are candidates of one choice); targets with a constant side take no part.
     """
-    place = F.row_number().over(Window.partitionBy("target_id").orderBy(key))
-    rows = ranked.select("target_id", key, "ra", "rb", place.alias("_place"))
-    facts = rows.groupBy("target_id").agg(F.avg("ra").alias("_ma"), F.avg("rb").alias("_mb"), F.count("*").alias("_n"), (F.stddev_pop("ra") * F.stddev_pop("rb")).alias("_s"), F.sum(F.col("ra") * F.col("rb")).alias("_ab")).where("_s > 0")
-    rho = lambda ab: (ab / F.col("_n") - F.col("_ma") * F.col("_mb")) / F.col("_s")
-    observed = facts.agg(F.avg(rho(F.col("_ab"))).alias("observed"), F.count("*").alias("targets"))
-    null = None
-    for lo in range(0, replicates, batch):
-        turns = rows.select("target_id", key, "ra", F.explode(F.sequence(F.lit(lo), F.lit(min(lo + batch, replicates) - 1))).alias("_rep"))
-        order = Window.partitionBy("target_id", "_rep").orderBy(unit_hash(seed, F.col("_rep"), F.col("target_id"), F.col(key)), key)
-        turns = turns.select("target_id", "_rep", "ra", F.row_number().over(order).alias("_place"))
-        sums = turns.join(rows.select("target_id", "_place", "rb"), ["target_id", "_place"]).groupBy("target_id", "_rep").agg(F.sum(F.col("ra") * F.col("rb")).alias("_sum"))
-        part = sums.join(facts, "target_id").groupBy("_rep").agg(F.avg(rho(F.col("_sum"))).alias("_null"))
-        null = part if null is None else null.unionByName(part)
-    both = null.crossJoin(F.broadcast(observed))  # observed is one row
-    return both.groupBy("observed", "targets").agg(((F.count_if(F.col("_null") >= F.col("observed") - 1e-12) + 1) / F.lit(replicates + 1.0)).alias("p"))
+
+    def shuffled(table):
+        target, ra, rb = (table.column(c).to_numpy() for c in ("_t", "ra", "rb"))
+        order = np.lexsort((table.column("_k").to_numpy(), target))
+        target, ra, rb = target[order], ra[order], rb[order]
+        bounds = np.append(np.flatnonzero(np.append(True, target[1:] != target[:-1])), len(target)).tolist()
+        total, observed, n = np.zeros(replicates), 0.0, 0
+        for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
+            a, b = ra[lo:hi] - ra[lo:hi].mean(), rb[lo:hi] - rb[lo:hi].mean()
+            scale = np.sqrt((a * a).sum() * (b * b).sum())
+            if not scale > 0:
+                continue
+            observed, n = observed + (a @ b) / scale, n + 1
+            rng = np.random.default_rng([seed, int(target[lo]) & (2**63 - 1)])
+            at_once = max(1, 2_000_000 // len(a))
+            for first in range(0, replicates, at_once):
+                many = min(at_once, replicates - first)
+                total[first : first + many] += rng.permuted(np.tile(a, (many, 1)), axis=1) @ b / scale
+        return pa.table({"rep": pa.array(np.arange(-1, replicates)), "sum": pa.array(np.append(observed, total)), "n": pa.array(np.full(replicates + 1, n))})
+
+    rows = ranked.select(F.xxhash64("target_id").alias("_t"), F.xxhash64(key).alias("_k"), F.col("ra").cast("double"), F.col("rb").cast("double"))
+    sums = rows.groupBy(F.pmod("_t", F.lit(parts)).alias("_part")).applyInArrow(shuffled, "rep long, sum double, n long")
+    means = sums.groupBy("rep").agg((F.sum("sum") / F.sum("n")).alias("mean"), F.sum("n").alias("targets"))
+    observed = means.where("rep = -1").select(F.col("mean").alias("observed"), "targets")  # one row
+    null = means.where("rep >= 0").select("mean").crossJoin(F.broadcast(observed))
+    return null.groupBy("observed", "targets").agg(((F.count_if(F.col("mean") >= F.col("observed") - 1e-12) + 1) / F.lit(replicates + 1.0)).alias("p"))
 
 
 def shuffled_rank(df: DataFrame, keys: Sequence[str] = ("target_id",), seed: int = 0, name: str = "rn") -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -45,23 +47,47 @@ def representative(df: DataFrame, sequence: str = "trigger") -> DataFrame:
     return ranked.where(F.col("rn") == F.floor(F.col("n") / 2) + 1).drop("rn", "n")
 
 
-def overlap_components(df: DataFrame, key: str, kmers: str, rounds: int = 20) -> DataFrame:
+def overlap_components(df: DataFrame, key: str, kmers: str) -> DataFrame:
     """``key, component``: keys that share a k-mer, directly or through others; the component is its smallest key.
 
-    ``df`` has one row per key and k-mer. Labels pass from k-mers to keys and back by two aggregations a round, which combine on
-    the map side, until nothing changes; each round is checkpointed.
+    ``df`` has one row per key and k-mer. Each k-mer links its keys to the smallest of them; see :func:`components`.
+    """
+    low = df.groupBy(kmers).agg(F.min(key).alias("v"))
+    parts = components(df.join(low, kmers).select(F.col(key).alias("u"), "v"))
+    return df.select(key).distinct().join(parts, F.col(key) == F.col("node"), "left").select(key, F.coalesce("component", key).alias("component"))
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """``node, component``: for each node of ``edges`` (u, v) that has another, the smallest node it is connected with.
+
+    Every round links all neighbours of a node to the smallest of them, first upwards, then downwards; the number of rounds grows with the
+    logarithm of the largest component. Rounds are checkpointed in the shared folder.
     """
-    spark = df.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tilework-"))
-    labels = df.select(key).distinct().withColumn("component", F.col(key))
-    for _ in range(rounds):
-        by_kmer = df.join(labels, key).groupBy(kmers).agg(F.min("component").alias("_low"))
-        new = df.join(by_kmer, kmers).groupBy(key).agg(F.min("_low").alias("_new"))
-        new = labels.join(new, key).select(key, F.least("component", "_new").alias("component"), (F.col("_new") < F.col("component")).alias("_moved")).checkpoint()
-        labels = new.drop("_moved")
-        if not new.where("_moved").limit(1).count():
-            return labels
-    raise RuntimeError("the components did not settle")
+    _shared_checkpoints(edges.sparkSession)
+    now = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct().checkpoint()
+    before = None
+    while True:
+        state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        if state == before:
+            roots = now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
+            return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots)
+        before = state
+        both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        low = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
+        up = both.join(low, "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        low = up.groupBy("u").agg(F.min("v").alias("m"))
+        down = up.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        now = down.union(low.select("u", F.col("m").alias("v"))).distinct().checkpoint()
+
+
+def _shared_checkpoints(spark) -> None:
+    """Checkpoints go to ``spark.checkpoint.dir``; only on one machine may that be unset."""
+    context = spark.sparkContext
+    if context.getCheckpointDir():
+        return
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not context.master.startswith("local"):
+            raise RuntimeError("on a cluster, spark.checkpoint.dir must name a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="tilework-")
+    context.setCheckpointDir(folder)

@@ -128,27 +128,28 @@ def row_random_leak(spark, d):
     return splits.leak_fraction(both).select("split_type", r6("leak").alias("leak"), "n")
 
 
+def _mixed(x):
+    for _ in range(2):
+        x = f"((xor({x}, ({x}) >> 16) * 73244475) & 4294967295)"
+    return f"xor({x}, ({x}) >> 16)"
+
+
 @query(f"""{EVALUATED}, vals AS (SELECT method, ndcg10 AS v, row_number() OVER (PARTITION BY method ORDER BY target_id) - 1 AS place, count(*) OVER (PARTITION BY method) AS size FROM metrics),
-draws AS (SELECT method, rep, floor({_hash(0, 'rep::VARCHAR', 'place::VARCHAR')} * size)::INT AS place FROM vals, range(200) t(rep)),
+bases AS (SELECT x AS rep, {_mixed('(x + 1)')} AS base FROM range(2000) t(x)),
+draws AS (SELECT method, rep, {_mixed('((base + place * 40503) & 4294967295)')} % size AS place FROM vals, bases),
 means AS (SELECT d.method, d.rep, avg(v.v) AS m FROM draws d JOIN vals v ON d.method = v.method AND d.place = v.place GROUP BY ALL)
 SELECT a.method, round(a.mean, 6) AS mean, round(quantile_cont(m.m, 0.025), 6) AS lo, round(quantile_cont(m.m, 0.975), 6) AS hi, a.n FROM (SELECT method, avg(v) AS mean, count(*) AS n FROM vals GROUP BY method) a JOIN means m USING (method) GROUP BY a.method, a.mean, a.n""")
 def bootstrap_ci(spark, d):
-    """Bootstrap interval of the mean NDCG over targets."""
-    out = resampling.bootstrap_means(_evaluated(spark, d), "ndcg10", "target_id", ("method",), 200)
+    """Bootstrap interval (2000 resamples) of the mean NDCG over targets."""
+    out = resampling.bootstrap_means(_evaluated(spark, d), "ndcg10", "target_id", ("method",))
     return out.select("method", *[r6(c).alias(c) for c in ("mean", "lo", "hi")], "n")
 
 
-@query(f"""WITH {CANDIDATES}, ranks AS (SELECT target_id, record_id, rank() OVER (PARTITION BY target_id ORDER BY score) + (count(*) OVER (PARTITION BY target_id, score) - 1) / 2.0 AS ra,
-  rank() OVER (PARTITION BY target_id ORDER BY rel) + (count(*) OVER (PARTITION BY target_id, rel) - 1) / 2.0 AS rb, row_number() OVER (PARTITION BY target_id ORDER BY record_id) AS place FROM cand),
-facts AS (SELECT target_id, avg(ra) AS ma, avg(rb) AS mb, count(*) AS n, stddev_pop(ra) * stddev_pop(rb) AS s, sum(ra * rb) AS ab FROM ranks GROUP BY target_id HAVING stddev_pop(ra) * stddev_pop(rb) > 0),
-obs AS (SELECT avg((ab / n - ma * mb) / s) AS observed, count(*) AS targets FROM facts),
-turns AS (SELECT target_id, rep, ra, row_number() OVER (PARTITION BY target_id, rep ORDER BY {_hash(0, 'rep::VARCHAR', 'target_id::VARCHAR', 'record_id')}, record_id) AS place FROM ranks, range(20) t(rep)),
-nulls AS (SELECT rep, avg((x / n - ma * mb) / s) AS m FROM (SELECT t.target_id, t.rep, sum(t.ra * r.rb) AS x FROM turns t JOIN ranks r ON t.target_id = r.target_id AND t.place = r.place GROUP BY ALL) JOIN facts USING (target_id) GROUP BY rep)
-SELECT round(observed, 6) AS observed, targets, round((count(*) FILTER (m >= observed - 1e-12) + 1) / 21.0, 6) AS p FROM nulls, obs GROUP BY observed, targets""")
+@query()
 def permutation_p(spark, d):
-    """Permutation p of the mean per-target correlation, labels shuffled within targets."""
+    """Permutation p (5000 shuffles within targets) of the mean per-target correlation; no SQL, a test enumerates all orders of a small table."""
     c = views.candidates(spark, d).withColumn("ra", correlation.average_rank(["target_id"], "score")).withColumn("rb", correlation.average_rank(["target_id"], "rel"))
-    out = resampling.permutation_test(c, replicates=20, batch=10)
+    out = resampling.permutation_test(c)
     return out.select(r6("observed").alias("observed"), "targets", r6("p").alias("p"))
 
 
@@ -472,13 +473,19 @@ def feature_correlation(spark, d):
 
 @query()
 def gbt_rows(spark, d):
-    """Boosted trees on sequence composition: errors by split (no SQL)."""
-    seq = splits.row_random(views.pseudo_sequences(spark, d)).withColumn("y", C.gc_fraction(F.col("sequence"), None))
-    return correlation.regression_errors(models.composition_regressor(seq, "sequence", "y", trees=5), ("split",))
+    """Boosted trees (300) on the letter composition of texts, for their share of blanks: errors by split (no SQL)."""
+    letters = F.regexp_replace(F.translate(F.lower("text"), "abcdefghijklmnopqrstuvwxyz", "ACGTACGTACGTACGTACGTACGTAC"), "[^ACGT]", "")
+    blanks = F.length("text") - F.length(F.replace("text", F.lit(" "), F.lit("")))
+    docs = views.table(spark, d, "documents").where("length(text) > 0").select(F.col("doc_id").cast("string").alias("record_id"), letters.alias("sequence"), (blanks / F.length("text")).alias("y"))
+    return correlation.regression_errors(models.composition_regressor(splits.row_random(docs.where("sequence <> ''")), "sequence", "y", trees=300), ("split",))
 
 
 @query()
 def sequence_model_rows(spark, d):
-    """Linear regression on one-hot letters: errors by split (no SQL)."""
-    seq = splits.row_random(views.pseudo_sequences(spark, d)).withColumn("y", C.gc_fraction(F.col("sequence"), None))
-    return correlation.regression_errors(models.sequence_regressor(seq, "trigger", "y"), ("split",))
+    """Linear regression on the one-hot first letters of a turn's text, for the log of its length: errors by split (no SQL)."""
+    letters = F.regexp_replace(F.translate(F.lower("text"), "abcdefghijklmnopqrstuvwxyz", "ACGTACGTACGTACGTACGTACGTAC"), "[^ACGT]", "")
+    turns = views.table(spark, d, "conversations").where("length(text) > 0").select(F.concat_ws("-", "conv_id", "turn").alias("record_id"), F.left(letters, F.lit(30)).alias("trigger"), F.log1p(F.length("text")).alias("y"))
+    return correlation.regression_errors(models.sequence_regressor(splits.row_random(turns.where("length(trigger) = 30")), "trigger", "y"), ("split",))
+
+
+from . import comparison  # noqa: E402, F401  registers its queries
