@@ -45,8 +45,15 @@ def forget(df: DataFrame) -> None:
         p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
 
 
+#: Rows that a Python worker gets at once, unless the session says otherwise: texts are long, and Spark's 10,000 take too much memory.
+ROWS_AT_ONCE = 2000
+
+
 def ship(spark: SparkSession) -> None:
-    """Make this package importable in Python workers when ``PYTHONPATH`` does not already do so."""
+    """Make this package importable in Python workers when ``PYTHONPATH`` does not already do so, and bound what they get at once."""
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(rows) == "10000":
+        spark.conf.set(rows, ROWS_AT_ONCE)
     root = str(Path(__file__).resolve().parents[2])
     if root in os.environ.get("PYTHONPATH", "").split(":") or getattr(spark.sparkContext, "_tilework_shipped", False):
         return

@@ -17,7 +17,7 @@ import pyarrow as pa
 import tiktoken
 from tokenizers import Tokenizer
 
-BATCH_CHARS = 4_000_000
+BATCH_CHARS = 1_000_000
 
 
 def _byte_of_char() -> dict[str, int]:
