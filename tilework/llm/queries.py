@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, exact, lines, mixing
+from . import common, exact, lines, merkle, mixing
 
 
 def _tokenizer() -> str:
@@ -75,6 +75,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels")).withColumn("spans", F.to_json("spans"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.audit(common.table(spark, sf_dir, "documents"), again=merkle.lower_one_in_five).drop("source")
+
+
 def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_groups(common.table(spark, sf_dir, "documents")).withColumnRenamed("digest", "text_sha256")
 
@@ -90,11 +94,13 @@ QUERIES = {
     "op8_embedding_near_dedup": op8_embedding_near_dedup,
     "op9_quality": op9_quality,
     "op10_toxicity": op10_toxicity,
+    "op11_merkle_manifest": op11_merkle_manifest,
     "op12_exact_dedup": op12_exact_dedup,
 }
 
 ORACLE_SQL = {
     "op2_source_mixing": mixing.ORACLE_SQL,
     "op3_line_dedup": lines.ORACLE_SQL,
+    "op11_merkle_manifest": merkle.ORACLE_SQL,
     "op12_exact_dedup": exact.ORACLE_SQL,
 }
