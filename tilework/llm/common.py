@@ -75,3 +75,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def fold(col) -> F.Column:
     """crc32 of an id written as text, modulo 4; rows with 2 are held out from training."""
     return F.crc32(F.col(col).cast("string").cast("binary")) % 4
+
+
+def crc32_sql(text: str) -> str:
+    """DuckDB SQL for the CRC-32 of an ASCII text, bit by bit; the polynomial is a fixed value."""
+    byte = f"CASE WHEN i % 8 = 0 THEN xor(c, ascii(substr({text}, i // 8 + 1, 1))) ELSE c END"
+    return f"xor(list_reduce(list_concat([4294967295::BIGINT], range(8 * length({text}))), lambda c, i: xor(({byte}) >> 1, CASE WHEN ({byte}) % 2 = 1 THEN 3988292384 ELSE 0 END)), 4294967295)"

@@ -148,10 +148,8 @@ def _sql() -> str:
     """The same rows in DuckDB SQL, for up to 16 ** 5 rows a source and 16 ** 4 sources."""
     size = lambda c: f"CASE WHEN {c} IS NULL THEN '-' ELSE octet_length(encode({c}::VARCHAR)) || ':' || {c} END"
     leaf = lambda text: f"sha256({' || '.join(size(c) for c in ('doc_id', 'source', 'lang', 'n_chars', text))})"
-    byte = "CASE WHEN i % 8 = 0 THEN xor(c, ascii(substr(doc_id::VARCHAR, i // 8 + 1, 1))) ELSE c END"
-    crc = f"xor(list_reduce(list_concat([4294967295::BIGINT], range(8 * length(doc_id::VARCHAR))), lambda c, i: xor(({byte}) >> 1, CASE WHEN ({byte}) % 2 = 1 THEN 3988292384 ELSE 0 END)), 4294967295)"
     out = [
-        f"WITH d AS (SELECT *, CASE WHEN doc_id IS NOT NULL AND {crc} % 5 = 0 THEN translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE text END AS copy FROM documents)",
+        f"WITH d AS (SELECT *, CASE WHEN doc_id IS NOT NULL AND {common.crc32_sql('doc_id::VARCHAR')} % 5 = 0 THEN translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE text END AS copy FROM documents)",
         f"h AS (SELECT doc_id, source, coalesce('s' || source, '') AS grp, {leaf('text')} AS leaf, {leaf('copy')} AS changed FROM d)",
         "a0 AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY grp) AS n, leaf AS digest FROM h)",
     ]

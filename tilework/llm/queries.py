@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, exact, lines, merkle, mixing
+from . import common, conversations, exact, lines, merkle, mixing
 
 
 def _tokenizer() -> str:
@@ -83,6 +83,11 @@ def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_groups(common.table(spark, sf_dir, "documents")).withColumnRenamed("digest", "text_sha256")
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = common.table(spark, sf_dir, "conversations")
+    return conversations.audit(conversations.damaged(turns), ids=turns)
+
+
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_source_mixing": op2_source_mixing,
@@ -96,6 +101,7 @@ QUERIES = {
     "op10_toxicity": op10_toxicity,
     "op11_merkle_manifest": op11_merkle_manifest,
     "op12_exact_dedup": op12_exact_dedup,
+    "op13_conversation_repair": op13_conversation_repair,
 }
 
 ORACLE_SQL = {
@@ -103,4 +109,5 @@ ORACLE_SQL = {
     "op3_line_dedup": lines.ORACLE_SQL,
     "op11_merkle_manifest": merkle.ORACLE_SQL,
     "op12_exact_dedup": exact.ORACLE_SQL,
+    "op13_conversation_repair": conversations.ORACLE_SQL,
 }
