@@ -88,6 +88,20 @@ def test_toxicity(spark):
     assert (got.predicted == (got.score >= 0.3)).all()
 
 
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="no tables")
+def test_toxicity_in_each_language(spark):
+    """Held-out and training rows of each language; a mark in nearly every toxic text, whatever its language."""
+    d = "/root/testdata/sf0.1"
+    docs = common.table(spark, d, "documents").join(common.table(spark, d, "labels").select("doc_id"), "doc_id")
+    got = crf.toxicity(docs, common.table(spark, d, "labels")).join(docs.select("doc_id", "lang"), "doc_id").join(common.table(spark, d, "labels"), "doc_id").toPandas()
+    held = got[got.held_out]
+    assert held.predicted[held.toxic == 1].mean() > 0.9 and held.toxic[held.predicted == 1].mean() > 0.9
+    for lang, rows in got.groupby("lang"):
+        bad = rows[rows.toxic == 1]
+        assert bad.predicted.mean() > 0.7, lang
+        assert rows.predicted[rows.toxic == 0].mean() < 0.03, lang
+
+
 def test_toxicity_edges(spark):
     docs = spark.createDataFrame([(1, None, "x"), (2, "", "x"), (3, "fine words", "x")], "doc_id long, text string, score string")
     labels = spark.createDataFrame([], "doc_id long, toxic int")

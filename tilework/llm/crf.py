@@ -1,13 +1,13 @@
 """Toxic spans by a linear-chain conditional random field over words.
 
-Token labels come from document labels: features (a word, or its first 3 to 7 letters) that are in enough toxic and hardly any
+Token labels come from document labels: features (a word, or its first 3 to 7 letters) that are far commoner in the toxic than in the
 other documents of a bounded sample mark the tokens of toxic documents. A two-state chain over the words of a sentence is then
 trained on those labels: emissions add the weights of a word's features, transitions are learnt, gradients come from the
 forward-backward algorithm. Shards of the sample train apart and are averaged.
 
 Scoring reads whole texts. Sentences in which no word has a positive weight have the background's marginals; the others run
 forward-backward, and runs of words with marginals of a half or more are spans. A document's score is the chance that any of
-its spans is toxic, or its largest marginal if it has none.
+its words of positive weight is toxic, by their marginals under the prior of documents.
 
 A null or empty text has score 0 and no spans; repeated rows are scored alike; rows without a label are scored but not learnt
 from; a row whose labels contradict each other counts as toxic; without toxic training rows all scores are those of the background;
@@ -34,6 +34,10 @@ from .linear import sampled
 WORD, SENTENCE = re.compile(r"[^\W_]+"), re.compile(r"[.!?\n]+")
 STEMS = range(3, 8)
 SAMPLE, STEPS, LONGEST, PER_SHARD, SHARDS, PLAIN, VOCABULARY, CALIBRATION = 20_000, 40, 32, 1500, 8, 20, 20_000, 4000
+#: Tokens of one feature that count in one text, and the likelihood ratios from which a feature marks: one in a million by chance, and one in a few thousand.
+MOST_A_TEXT, SURE, LIKELY = 5, 30.0, 12.0
+#: Toxic documents of a shard at least, and such documents that a prior of its own sample takes.
+A_SHARD, LEAST_APART = 250, 20
 
 
 def words_of(text: str) -> set[str]:
@@ -44,32 +48,66 @@ def features(word: str) -> list[str]:
     return [word, *(f"{n}:{word[:n]}" for n in STEMS if len(word) >= n)]
 
 
+def _likelihood_ratio(bad: float, good: float, bad_all: float, good_all: float) -> float:
+    """Dunning's statistic of a feature's tokens in toxic and in other documents; 0 unless it is commoner in the toxic ones."""
+    share = (bad + good) / (bad_all + good_all)
+    if bad * good_all <= good * bad_all:
+        return 0.0
+    return 2 * (bad * math.log(bad / (share * bad_all)) + (good * math.log(good / (share * good_all)) if good else 0.0))
+
+
 def marked_features(sample: DataFrame) -> list[str]:
-    """Features that mark toxic tokens; ``sample`` has text and toxic. Counts run over the whole sample in Spark."""
+    """Features that mark toxic tokens; ``sample`` has text and toxic. Counts run over the whole sample in Spark.
+
+    Tokens count, ``MOST_A_TEXT`` of a text at most, so that short words of one language stand out among all texts and a text that repeats
+    itself does not. A feature marks if it is far commoner in toxic texts (by likelihood ratio and by rate). A toxic text
+    without any mark, as in a language that few texts have, then takes its best feature among those that it shares with others.
+    """
 
     def emit(wanted):
         def run(batches):
             for b in batches:
-                found = Counter()
+                texts, tokens = Counter(), Counter()
                 for t in b.column(0):
-                    own = {f for w in words_of(t.as_py()) for f in features(w)}
-                    found.update(own if wanted is None else own & wanted)
-                if found:
-                    yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], ["feature", "n"])
+                    own = Counter(f for w in WORD.findall(t.as_py()) for f in features(w.lower()) if wanted is None or f in wanted)
+                    texts.update(own.keys())
+                    tokens.update({f: min(n, MOST_A_TEXT) for f, n in own.items()})
+                if texts:
+                    names = list(texts)
+                    yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([texts[f] for f in names], pa.int64()), pa.array([tokens[f] for f in names], pa.int64())], ["feature", "texts", "tokens"])
 
         return run
 
-    size = {r.toxic: r.n for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    bad, good = size.get(1, 0), size.get(0, 0)
+    size = {r.toxic: (r.n, r.words) for r in sample.groupBy("toxic").agg(F.count("*").alias("n"), F.sum(F.regexp_count("text", F.lit(r"\S+"))).alias("words")).collect()}
+    (bad, bad_words), (_, good_words) = size.get(1, (0, 0)), size.get(0, (0, 0))
     if not bad:
         return []
-    # So many toxic documents that no feature is expected to have by chance, among a million.
-    least = max(3, math.ceil(math.log(1e6) / -math.log(bad / (bad + good)))) if good else 3
-    least = min(least, max(3, bad // 8))
-    count = lambda toxic, wanted: {r.feature: r.n for r in sample.where(F.col("toxic") == toxic).select("text").mapInArrow(emit(wanted), "feature string, n long").groupBy("feature").agg(F.sum("n").alias("n")).where(F.col("n") >= (least if toxic else 1)).collect()}
-    often = count(1, None)  # at most (features per text) * sample / least of them
-    also = count(0, frozenset(often))
-    return sorted(f for f, n in often.items() if also.get(f, 0) * bad <= 0.04 * n * max(good, 1))
+    bad_words, good_words = max(bad_words, 1), max(good_words, 1)
+    count = lambda toxic, wanted, least: {r.feature: (r.texts, r.tokens) for r in sample.where(F.col("toxic") == toxic).select("text").mapInArrow(emit(wanted), "feature string, texts long, tokens long").groupBy("feature").agg(F.sum("texts").alias("texts"), F.sum("tokens").alias("tokens")).where(F.col("texts") >= least).collect()}
+    often = count(1, None, max(2, bad // 200))  # at most 200 times the features of a text
+    also = count(0, frozenset(often), 1)
+    strength, marks = {}, set()
+    for f, (texts, tokens) in often.items():
+        other = also.get(f, (0, 0))[1]
+        g, rate = _likelihood_ratio(tokens, other, bad_words, good_words), other * bad_words / (tokens * good_words)
+        if texts >= 3 and g >= SURE and rate <= 0.04:
+            marks.add(f)
+        elif g >= LIKELY and rate <= 0.1:
+            strength[f] = g
+    # A small table may have no feature that is sure: then those that several toxic texts have and no other.
+    marks = marks or {f for f, (texts, _) in often.items() if texts >= 3 and f not in also}
+
+    def best(batches):
+        for b in batches:
+            found = []
+            for t in b.column(0):
+                own = {f for w in words_of(t.as_py()) for f in features(w)}
+                if marks.isdisjoint(own) and (able := own & strength.keys()):
+                    found.append(max(able, key=lambda f: (strength[f], f)))
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.string())], ["feature"])
+
+    more = sample.where("toxic = 1").select("text").mapInArrow(best, "feature string").groupBy("feature").agg(F.count("*").alias("n")).where("n >= 2").collect()
+    return sorted(marks | {r.feature for r in more})
 
 
 class Crf:
@@ -118,14 +156,15 @@ class Crf:
             b0, b1 = b0 / s, b1 / s
         return out
 
-    def read(self, text: str | None) -> tuple[float, list[tuple[int, int, float]]]:
-        """Largest marginal and spans (start, end, marginal) of a text, in its characters."""
+    def read(self, text: str | None) -> tuple[list[float], list[tuple[int, int, float]]]:
+        """Marginals of the words of positive weight (the background's, if there are none), and spans (start, end, marginal) of a
+        text, in its characters."""
         if not text:
-            return 0.0, []
+            return [], []
         gain = self.gain
         if not any(gain(w) > 0 for w in words_of(text)):
-            return self.background, []
-        best, spans, at = self.background, [], 0
+            return [self.background], []
+        seen, spans, at = [self.background], [], 0
         for stop in [*(m.end() for m in SENTENCE.finditer(text)), len(text)]:
             words = list(WORD.finditer(text, at, stop))
             at = stop
@@ -133,7 +172,7 @@ class Crf:
             if not words or max(gains) <= 0:
                 continue
             p = self.marginals(gains)
-            best = max(best, float(p.max()))
+            seen += [float(x) for x, g in zip(p, gains, strict=True) if g > 0]
             k = 0
             while k < len(p):
                 if p[k] < 0.5:
@@ -144,12 +183,12 @@ class Crf:
                     k += 1
                 spans.append((words[first].start(), words[k].end(), float(p[first : k + 1].max())))
                 k += 1
-        return best, spans
+        return seen, spans
 
     def tag(self, text: str | None) -> tuple[float, list[tuple[int, int, float]]]:
         """Score and spans of a text."""
-        best, spans = self.read(text)
-        return score([s[2] for s in spans] or [best], self.prior), spans
+        seen, spans = self.read(text)
+        return score(seen, self.prior), spans
 
 
 def score(marginals: list[float], prior: float) -> float:
@@ -250,7 +289,7 @@ def fit(rows: DataFrame, sample: int = SAMPLE) -> Crf:
     def shard(table):
         # Sentences with toxic tokens, without but with words of the vocabulary, and others: so many of each.
         chosen, room, plain = [], [PER_SHARD, PER_SHARD, PER_SHARD // 5], 0
-        for _, t, toxic in sorted(zip(*(table.column(c).to_pylist() for c in ("id", "text", "toxic")), strict=True)):
+        for _, _, t, toxic in sorted(zip(*(table.column(c).to_pylist() for c in ("draw", "id", "text", "toxic")), strict=True)):
             for s in SENTENCE.split(t):
                 words = [w.lower() for w in WORD.findall(s)]
                 for lo in range(0, len(words), LONGEST):
@@ -262,23 +301,37 @@ def fit(rows: DataFrame, sample: int = SAMPLE) -> Crf:
                     if room[kind] and (kind < 2 or plain % PLAIN == 1):
                         room[kind] -= 1
                         chosen.append((ids, y))
-        theta = _fit_shard(chosen, len(vocabulary), np.array([index[f] for f in marks])) if chosen else np.zeros(len(vocabulary) + 5)
-        return pa.table({"place": pa.array(np.arange(len(theta)), pa.int64()), "weight": pa.array(theta, pa.float64())})
-
-    split = some.withColumn("shard", F.pmod(F.xxhash64(F.lit(3), "id"), F.lit(SHARDS)))
-    got = split.groupBy("shard").applyInArrow(shard, "place long, weight double").groupBy("place").agg(F.avg("weight").alias("weight")).collect()
-    theta = np.zeros(len(vocabulary) + 5)
-    for r in got:
-        theta[r.place] = r.weight
-    bias, c01, c10, c11, start = theta[len(vocabulary) :]
-    model = Crf({f: float(w) for f, w in zip(vocabulary, theta, strict=False) if abs(w) > 1e-3}, float(bias), ((0.0, c01), (c10, c11)), float(start))
-
-    def marginals(batches):
-        for b in batches:
-            got = [model.read(t.as_py()) for t in b.column(0)]
-            yield pa.RecordBatch.from_arrays([pa.array([[s[2] for s in spans] or [best] for best, spans in got], pa.list_(pa.float64())), b.column(1)], ["marginals", "toxic"])
+        size = len(vocabulary)
+        theta = _fit_shard(chosen, size, np.array([index[f] for f in marks])) if chosen else np.zeros(size + 5)
+        # A shard has a say in a feature's weight by the tokens that it has seen of it.
+        said = np.bincount([f for ids, _ in chosen for x in ids for f in x], minlength=size + 5).astype(float)
+        said[size:] = max(1, len(chosen))
+        return pa.table({"place": pa.array(np.arange(len(theta)), pa.int64()), "weight": pa.array(theta * said, pa.float64()), "said": pa.array(said, pa.float64())})
+
+    toxic_texts = some.where("toxic = 1").count()
+    shards = min(SHARDS, max(1, toxic_texts // A_SHARD))
+    split = some.withColumn("draw", F.xxhash64(F.lit(3), "id"))
+
+    def learnt(part: DataFrame) -> Crf:
+        got = part.groupBy(F.pmod("draw", F.lit(shards)).alias("shard")).applyInArrow(shard, "place long, weight double, said double").groupBy("place").agg((F.sum("weight") / F.greatest(F.sum("said"), F.lit(1.0))).alias("weight")).collect()
+        theta = np.zeros(len(vocabulary) + 5)
+        for r in got:
+            theta[r.place] = r.weight
+        bias, c01, c10, c11, start = theta[len(vocabulary) :]
+        return Crf({f: float(w) for f, w in zip(vocabulary, theta, strict=False) if abs(w) > 1e-3}, float(bias), ((0.0, c01), (c10, c11)), float(start))
+
+    def marginals(model: Crf):
+        def run(batches):
+            for b in batches:
+                yield pa.RecordBatch.from_arrays([pa.array([model.read(t.as_py())[0] for t in b.column(0)], pa.list_(pa.float64())), b.column(1)], ["marginals", "toxic"])
+
+        return run
 
-    seen = sampled(some.where("text <> ''"), "id", CALIBRATION, 37).select("text", "toxic").mapInArrow(marginals, "marginals array<double>, toxic int").collect()
+    # The prior comes from documents that the chain was not fitted on, where there are enough.
+    model, third = learnt(split), F.pmod(F.xxhash64(F.lit(5), "id"), F.lit(3)) == 0
+    apart = toxic_texts >= 3 * LEAST_APART
+    judge, judged = (learnt(split.where(~third)), split.where(third)) if apart else (model, split)
+    seen = sampled(judged.where("text <> ''"), "id", CALIBRATION, 37).select("text", "toxic").mapInArrow(marginals(judge), "marginals array<double>, toxic int").collect()
     model.prior = best_prior([(list(r.marginals), r.toxic) for r in seen])
     return model
 
