@@ -36,16 +36,49 @@ def test_contains_join_against_brute_force(spark):
     r = random.Random(3)
     texts = [(i, "".join(r.choice("ACGT") for _ in range(r.choice([5, 40, 1500])))) for i in range(20)]
     patterns = [(j, t[p : p + 12]) for j, (_, t) in enumerate(texts) if len(t) > 30 for p in [len(t) - 15]] + [(99, "ACGTACGTACGTA")]
-    got = {(x.pattern_id, x.seq_id): x.pos for x in containment.contains_join(spark.createDataFrame(texts, "seq_id long, sequence string"), spark.createDataFrame(patterns, "pattern_id long, pattern string"), 8).collect()}
+    got = {(x.pattern_id, x.seq_id): x.pos for x in containment.contains_join(spark.createDataFrame(texts, "seq_id long, sequence string"), spark.createDataFrame(patterns, "pattern_id long, pattern string")).collect()}
     assert got == {(j, i): t.find(p) for j, p in patterns for i, t in texts if p in t}
 
 
+def test_patterns_of_all_lengths(spark):
+    """One letter to longer than a piece, in texts from empty to longer than a block, letters of other planes included."""
+    r = random.Random(7)
+    draw = lambda n: "".join(r.choice("AC\U0001f600é") for _ in range(n))
+    texts = [(i, draw(n)) for i, n in enumerate([0, 1, 2, 3, 7, 31, 32, 33, 400, 3000, 3000])] + [(50, None), (51, "AC" * 600_000 + "é" + "CA" * 30), (52, "A" * 2000)]
+    patterns = [(0, ""), (1, None), (2, "A"), (3, "é"), (4, "AA"), (5, "ZZ"), (6, "C" + "A" * 40), (7, "AC" * 20 + "é" + "CA" * 20), (8, "A" * 2000), (9, "A" * 1999)]
+    patterns += [(100 + 10 * i + n, t[p : p + n]) for i, t in texts[8:11] for n in (2, 3, 5, 8) for p in [len(t) // 2]]
+    patterns += [(1000 + n, texts[9][1][5 : 5 + n]) for n in (15, 16, 17, 31, 32, 33, 64, 1024, 1025, 2500)] + [(2000, texts[9][1][5:2000] + "Z")]
+    got = {(x.pattern_id, x.seq_id): x.pos for x in containment.contains_join(spark.createDataFrame(texts, "seq_id long, sequence string"), spark.createDataFrame(patterns, "pattern_id long, pattern string")).collect()}
+    assert got == {(j, i): t.find(p) for j, p in patterns for i, t in texts if p and t and p in t}
+
+
+def test_longest_of_twenty_lengths(spark):
+    r = random.Random(9)
+    draw = lambda n: "".join(r.choice("ACGT") for _ in range(n))
+    texts = [(i, draw(r.choice([30, 300, 2000]))) for i in range(30)]
+    words = [(t[p : p + n], f"{i}-{n}") for i, t in texts[:20] for n in range(3, 23) for p in [r.randint(0, len(t) - n)] if r.random() < 0.2] + [("", "none"), (None, "none")]
+    got = {x.seq_id: (x.length, x.pos, x.value) for x in containment.longest_match(spark.createDataFrame(texts, "seq_id long, sequence string"), spark.createDataFrame(words, "key string, value string")).collect()}
+    for i, t in texts:
+        hits = sorted((-len(k), t.find(k), v) for k, v in words if k and k in t)
+        assert got[i] == ((-hits[0][0], hits[0][1], hits[0][2]) if hits else (None, None, None))
+
+
+def test_sources_keep_apart(spark):
+    rows = [("r1", "s", "ACGTT"), ("r2", "s", "AACGT"), ("r3", "t", "ACGTT"), ("r4", None, "ACGTT"), ("r5", "s", "GGGGG")]
+    rec = spark.createDataFrame(rows, "record_id string, source string, trigger string")
+    ref = spark.createDataFrame([("s", "b", "CCACGTTC"), ("s", "a", "GACGTTACGTT"), ("t", "c", "CCCCC"), (None, "d", "ACGTT")], "source string, accession string, sequence string")
+    got = {r.record_id: (r.source_accession, r.window_start, r.window_end, r.strand) for r in containment.locate_in_source(rec, ref).collect()}
+    assert got == {"r1": ("a", 2, 6, "+"), "r2": ("a", 2, 6, "-")}
+    rates = {(r.source, r.accession): (r.n_fwd, r.n_rev, r.n) for r in containment.reference_rates(rec, ref).collect()}
+    assert rates == {("s", "a"): (1, 1, 3), ("s", "b"): (1, 1, 3)}
+
+
 def test_windows_longest_and_source(spark):
     texts = spark.createDataFrame([(1, "TTACGTAA"), (2, "GGGG"), (3, None)], "seq_id long, sequence string")
     words = spark.createDataFrame([("ACG", "x"), ("TACGT", "y"), ("CGT", "z")], "key string, value string")
-    got = {r.seq_id: (r.length, r.pos, r.value) for r in containment.longest_match(texts, words, [3, 5]).collect()}
+    got = {r.seq_id: (r.length, r.pos, r.value) for r in containment.longest_match(texts, words).collect()}
     assert got == {1: (5, 1, "y"), 2: (None, None, None), 3: (None, None, None)}
-    hit = containment.window_lookup(texts, words.where("length(key) = 3"), 3).first()
+    hit = containment.window_lookup(texts, words.where("length(key) = 3")).first()
     assert (hit.seq_id, hit.pos, hit.strand, hit["values"]) == (1, 2, "forward", ["x"])
     rec = spark.createDataFrame([("r1", "s", "ACG"), ("r2", "s", "TTTT"), ("r3", "s", "")], "record_id string, source string, trigger string")
     ref = spark.createDataFrame([("s", "acc", "CCCACGAAAAC")], "source string, accession string, sequence string")

@@ -1,8 +1,7 @@
-"""Containment joins: short sequences located inside long ones by windows and equality joins.
+"""Containment joins: short sequences located inside long ones by anchors (see :mod:`anchors`) and equality joins.
 
-Long texts are cut into chunks that overlap by the window length less one, every window becomes a row with its position, and the
-windows meet the dictionary in an equality join, which Spark shuffles and splits. A plain substring predicate would compare
-every text with every pattern.
+A plain substring predicate would compare every text with every pattern. Patterns may have any lengths from one letter on;
+empty ones and nulls are found nowhere.
 """
 
 from __future__ import annotations
@@ -12,44 +11,49 @@ from pyspark.sql import functions as F
 
 from tilework.functions.sequences import reverse_complement
 
-CHUNK = 512
+from .anchors import occurrences
 
 
-def windows(df: DataFrame, k: int, key: str = "seq_id", text: str = "sequence", step: int = CHUNK) -> DataFrame:
-    """``key, pos, kmer``: all windows of ``k`` letters (pos from 0)."""
-    n = F.length(text)
-    starts = df.where(n >= k).select(key, text, F.explode(F.sequence(F.lit(0), n - k, F.lit(step))).alias("_at"))
-    pieces = starts.select(key, "_at", F.substring(F.col(text), F.col("_at") + 1, F.lit(step + k - 1)).alias("_piece"))
-    inside = F.posexplode(F.transform(F.sequence(F.lit(1), F.length("_piece") - k + 1), lambda i: F.substring(F.col("_piece"), i, F.lit(k))))
-    return pieces.select(key, "_at", inside.alias("_i", "kmer")).select(key, (F.col("_at") + F.col("_i")).alias("pos"), "kmer")
+def contains_join(texts: DataFrame, patterns: DataFrame) -> DataFrame:
+    """``pattern_id, seq_id, pos`` of the first occurrence of each pattern in each text that holds it. ``texts`` has seq_id,
+    sequence; ``patterns`` has pattern_id, pattern."""
+    return occurrences(texts.select("seq_id", "sequence"), patterns.select("pattern_id", "pattern")).groupBy("pattern_id", "seq_id").agg(F.min("pos").alias("pos"))
 
 
-def seeds(patterns: DataFrame, k: int, key: str = "pattern_id", pattern: str = "pattern") -> DataFrame:
-    """The first ``k`` letters of each pattern, with the pattern."""
-    return patterns.where(F.length(pattern) >= k).select(key, pattern, F.left(F.col(pattern), F.lit(k)).alias("kmer"))
+def both_strands(df: DataFrame, sequence: str) -> DataFrame:
+    """Each row twice, with ``pattern`` as the sequence (``rev`` 0) and as its reverse complement (1)."""
+    ways = F.array(F.struct(F.lit(0).alias("rev"), F.col(sequence).alias("pattern")), F.struct(F.lit(1).alias("rev"), reverse_complement(F.col(sequence)).alias("pattern")))
+    return df.withColumn("_w", F.explode(ways)).select("*", "_w.rev", "_w.pattern").drop("_w")
 
 
-def contains_join(texts: DataFrame, patterns: DataFrame, k: int) -> DataFrame:
-    """``pattern_id, seq_id, pos`` of the first occurrence of each pattern (of ``k`` letters or more) in each text that holds
-    it: windows join the patterns' seeds, and each meeting is verified on the text around it. ``texts`` has seq_id,
-    sequence; ``patterns`` has pattern_id, pattern."""
-    hits = windows(texts, k).join(seeds(patterns, k), "kmer").select("seq_id", "pos", "pattern_id", "pattern")
-    checked = hits.join(texts.select("seq_id", "sequence"), "seq_id").where(F.substring(F.col("sequence"), F.col("pos") + 1, F.length("pattern")) == F.col("pattern"))
-    return checked.groupBy("pattern_id", "seq_id").agg(F.min("pos").alias("pos"))
+def hits_in_source(records: DataFrame, references: DataFrame) -> DataFrame:
+    """``record_id, source, accession, rev, pos``: the first place of each trigger in each sequence of its own source, forward
+    (``rev`` 0) before reverse complement (1). The source is a part of the join key beside the anchors, so that a source with
+    most of the records is split."""
+    patterns = both_strands(records.select("record_id", "source", "trigger"), "trigger").drop("trigger")
+    found = occurrences(references.select(F.col("accession").alias("seq_id"), "source", "sequence"), patterns, ("source",))
+    first = found.groupBy("record_id", "source", "seq_id").agg(F.min(F.struct("rev", "pos")).alias("m"))
+    return first.select("record_id", "source", F.col("seq_id").alias("accession"), "m.rev", "m.pos")
 
 
 def locate_in_source(records: DataFrame, references: DataFrame, one_based: bool = True) -> DataFrame:
     """Triggers in the sequences of their own source: forward first, else reverse complement; first place, strand.
 
     ``records`` has record_id, source, trigger; ``references`` has source, accession, sequence (a source may have several; the
-    first accession that matches wins). One key joins the two, so the substring test runs only inside a source.
+    first accession that matches wins).
     """
-    pairs = records.join(references, "source")
-    fwd, rev = F.instr("sequence", F.col("trigger")), F.instr("sequence", reverse_complement(F.col("trigger")))
-    hits = pairs.where(F.length("trigger") > 0).withColumn("strand", F.when(fwd > 0, "+").when(rev > 0, "-")).where("strand is not null")
-    hits = hits.withColumn("window_start", F.when(fwd > 0, fwd).otherwise(rev) - (0 if one_based else 1))
-    hits = hits.withColumn("window_end", F.col("window_start") + F.length("trigger") - 1)
-    return hits.groupBy("record_id").agg(F.min(F.struct("accession", "window_start", "window_end", "strand")).alias("m")).select("record_id", F.col("m.accession").alias("source_accession"), "m.window_start", "m.window_end", "m.strand")
+    best = hits_in_source(records, references).groupBy("record_id").agg(F.min(F.struct("accession", "rev", "pos")).alias("m"))
+    start = (F.col("m.pos") + (1 if one_based else 0)).alias("window_start")
+    rows = best.select("record_id", F.col("m.accession").alias("source_accession"), start, F.when(F.col("m.rev") == 0, "+").otherwise("-").alias("strand"))
+    ends = rows.join(records.select("record_id", F.length("trigger").alias("_n")).distinct(), "record_id")
+    return ends.select("record_id", "source_accession", "window_start", (F.col("window_start") + F.col("_n") - 1).alias("window_end"), "strand")
+
+
+def reference_rates(records: DataFrame, references: DataFrame) -> DataFrame:
+    """``source, accession, n_fwd, n_rev, n, rate`` of every reference that holds a trigger of its source; a record counts once."""
+    hits = hits_in_source(records, references).groupBy("source", "accession").agg(F.count_if(F.col("rev") == 0).alias("n_fwd"), F.count_if(F.col("rev") == 1).alias("n_rev"))
+    sizes = records.groupBy("source").agg(F.count("*").alias("n"))
+    return hits.join(sizes, "source").withColumn("rate", (F.col("n_fwd") + F.col("n_rev")) / F.col("n"))
 
 
 def dictionary(entries: DataFrame) -> DataFrame:
@@ -67,28 +71,24 @@ def value_counts(entries: DataFrame) -> DataFrame:
     return entries.select("key", "value").distinct().groupBy("key").agg(F.count("value").alias("n"))
 
 
-def window_lookup(texts: DataFrame, words: DataFrame, k: int) -> DataFrame:
+def window_lookup(texts: DataFrame, words: DataFrame) -> DataFrame:
     """First window of each text that is a dictionary word or the reverse complement of one; forward wins at one position.
 
-    ``words`` has key (``k`` letters) and value; result ``seq_id, pos, strand, values``.
+    ``words`` has key and value; result ``seq_id, pos, strand, values``, the values (a set) of the words at that window.
     """
-    both = words.select(F.col("key").alias("kmer"), "value", F.lit(0).alias("rev")).unionByName(words.select(reverse_complement(F.col("key")).alias("kmer"), "value", F.lit(1).alias("rev")))
-    both = both.groupBy("kmer", "rev").agg(F.array_sort(F.collect_set("value")).alias("values"))
-    hits = windows(texts, k).join(both, "kmer")
+    both = both_strands(words.select("key", "value"), "key").groupBy("pattern", "rev").agg(F.array_sort(F.collect_set("value")).alias("values"))
+    hits = occurrences(texts.select("seq_id", "sequence"), both)
     best = hits.groupBy("seq_id").agg(F.min(F.struct("pos", "rev", "values")).alias("m"))
     return best.select("seq_id", F.col("m.pos").alias("pos"), F.when(F.col("m.rev") == 0, "forward").otherwise("revcomp").alias("strand"), F.col("m.values").alias("values"))
 
 
-def longest_match(texts: DataFrame, words: DataFrame, lengths: list[int]) -> DataFrame:
-    """Longest dictionary key inside each text, then the smallest position; unmatched texts have nulls.
+def longest_match(texts: DataFrame, words: DataFrame) -> DataFrame:
+    """Longest dictionary key inside each text, then the smallest position and value; unmatched texts have nulls.
 
-    ``words`` has key and value; one window pass for each distinct key length.
+    ``words`` has key (of any number of lengths: texts are read once for all of them) and value.
     """
-    hits = None
-    for k in sorted(set(lengths), reverse=True):
-        part = windows(texts, k).join(words.where(F.length("key") == k).select(F.col("key").alias("kmer"), "value"), "kmer").select("seq_id", F.lit(-k).alias("neg"), "pos", "kmer", "value")
-        hits = part if hits is None else hits.unionByName(part)
-    best = hits.groupBy("seq_id").agg(F.min(F.struct("neg", "pos", "kmer", "value")).alias("m"))
+    hits = occurrences(texts.select("seq_id", "sequence"), words.select(F.col("key").alias("pattern"), "value"))
+    best = hits.groupBy("seq_id").agg(F.min(F.struct((-F.length("pattern")).alias("neg"), "pos", "value")).alias("m"))
     return texts.select("seq_id").join(best, "seq_id", "left").select("seq_id", (-F.col("m.neg")).alias("length"), F.col("m.pos").alias("pos"), F.col("m.value").alias("value"))
 
 

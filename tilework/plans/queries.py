@@ -305,48 +305,76 @@ def histogram(spark, d):
     return summaries.histogram(_evaluated(spark, d).where("method = 'price'"), "ndcg10", 25)
 
 
-@query("""SELECT b.item_id AS pattern_id, d.doc_id AS seq_id, min(instr(d.text, b.text) - 1)::INT AS pos FROM benchmark b JOIN documents d ON contains(d.text, b.text) WHERE length(b.text) >= 30 GROUP BY ALL""")
+@query("""SELECT b.item_id AS pattern_id, d.doc_id AS seq_id, min(instr(d.text, b.text) - 1)::INT AS pos FROM benchmark b JOIN documents d ON contains(d.text, b.text) WHERE length(b.text) > 0 GROUP BY ALL""")
 def contain_first_pos(spark, d):
-    """First place of each benchmark item in each document that holds it, by windows and an equality join."""
+    """First place of each benchmark item in each document that holds it, by anchors and an equality join."""
     texts = views.table(spark, d, "documents").select(F.col("doc_id").alias("seq_id"), F.col("text").alias("sequence"))
     items = views.table(spark, d, "benchmark").select(F.col("item_id").alias("pattern_id"), F.col("text").alias("pattern"))
-    return containment.contains_join(texts, items, 30)
+    return containment.contains_join(texts, items)
 
 
-ITEMS = """items AS (SELECT item_id, translate(md5(text), '0123456789abcdef', 'ACGTACGTACGTACGT') AS sequence FROM benchmark)"""
-SEQ = """seqs AS (SELECT doc_id AS record_id, source, lang, translate(md5(coalesce(text, '')), '0123456789abcdef', 'ACGTACGTACGTACGT') AS sequence FROM documents)"""
+def _letters(text):
+    return f"regexp_replace(translate(lower(coalesce({text}, '')), '{views.LETTERS[0]}', '{views.LETTERS[1]}'), '[^ACGT]', '', 'g')"
+
+
+ITEMS = f"""items AS (SELECT item_id, {_letters('text')} AS sequence FROM benchmark)"""
+SEQ = f"""seqs AS (SELECT doc_id AS record_id, source, lang, {_letters('text')} AS sequence FROM documents)"""
+RC = "reverse(translate({}, 'ACGT', 'TGCA'))"
+PIECE = "substr(sequence, 41, 30)"
+HITS_IN_SOURCE = f"""{SEQ}, recs AS (SELECT record_id, source, CASE record_id % 3 WHEN 0 THEN {PIECE} WHEN 1 THEN {RC.format(PIECE)} ELSE reverse({PIECE}) END AS trigger FROM seqs WHERE length(sequence) >= 70),
+found AS (SELECT r.record_id, r.source, s.record_id AS accession, instr(s.sequence, r.trigger) AS f, instr(s.sequence, {RC.format('r.trigger')}) AS v FROM recs r JOIN seqs s ON r.source = s.source),
+hits AS (SELECT *, f = 0 AS rev, CASE WHEN f > 0 THEN f ELSE v END AS pos FROM found WHERE f > 0 OR v > 0)"""
+
+
+@query(f"""WITH {HITS_IN_SOURCE}, best AS (SELECT *, row_number() OVER (PARTITION BY record_id ORDER BY accession) AS rn FROM hits)
+SELECT record_id, accession AS source_accession, pos::INT AS window_start, (pos + 29)::INT AS window_end, CASE WHEN rev THEN '-' ELSE '+' END AS strand FROM best WHERE rn = 1""")
+def locate_triggers(spark, d):
+    """Each record's trigger in the sequences of its own source: first accession, place and strand."""
+    return containment.locate_in_source(views.source_records(spark, d), views.references(spark, d))
+
+
+@query(f"""WITH {HITS_IN_SOURCE}, c AS (SELECT source, accession, count(*) FILTER (NOT rev) AS n_fwd, count(*) FILTER (rev) AS n_rev FROM hits GROUP BY ALL), n AS (SELECT source, count(*) AS n FROM recs GROUP BY source),
+r AS (SELECT *, (n_fwd + n_rev) / n AS rate FROM c JOIN n USING (source)), b AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY rate DESC, accession) AS rn FROM r)
+SELECT source, accession, n_fwd, n_rev, n, round(rate, 6) AS rate, CASE WHEN rate >= 0.9 THEN 'ok' WHEN rate > 0 THEN 'partial' ELSE 'failed' END AS status, CASE WHEN n_fwd > 0 AND n_rev = 0 AND rate > 0.95 THEN 'ok' ELSE 'check' END AS strict_status FROM b WHERE rn = 1""")
+def best_references(spark, d):
+    """The reference that holds most triggers of each source, its rate and its class by either rule."""
+    best = containment.best_reference(containment.reference_rates(views.source_records(spark, d), views.references(spark, d)))
+    strict = containment.strict_class(F.col("n_fwd"), F.col("n_rev"), F.col("rate"))
+    return best.select("source", "accession", "n_fwd", "n_rev", "n", r6("rate").alias("rate"), "status", strict.alias("strict_status"))
 
 
 @query(f"""WITH {SEQ}, e AS (SELECT substr(sequence, 1, 12) AS key, record_id AS value FROM seqs) SELECT key, min(value) AS value, count(DISTINCT value) AS n FROM e GROUP BY key""")
 def kmer_dictionary(spark, d):
     """Dictionary of 12-letter words: the first value, and how many."""
-    e = views.pseudo_sequences(spark, d).select(F.left("sequence", F.lit(12)).alias("key"), F.col("record_id").alias("value"), F.col("record_id").alias("row_no"), F.lit(0).alias("side"))
+    e = views.sequences(spark, d).select(F.left("sequence", F.lit(12)).alias("key"), F.col("record_id").alias("value"), F.col("record_id").alias("row_no"), F.lit(0).alias("side"))
     return containment.dictionary(e).join(containment.value_counts(e), "key")
 
 
-@query(f"""WITH {SEQ}, {ITEMS}, words AS (SELECT substr(sequence, 1, 5) AS key, 'a' || item_id AS value FROM items UNION SELECT substr(sequence, 5, 7), 'b' || item_id FROM items),
-hits AS (SELECT s.record_id AS seq_id, length(w.key) AS length, instr(s.sequence, w.key) - 1 AS pos, w.value FROM seqs s JOIN words w ON contains(s.sequence, w.key)),
+@query(f"""WITH {SEQ}, {ITEMS}, words AS (SELECT DISTINCT substr(sequence, 1, (8 + item_id % 20)::INT) AS key, item_id AS value FROM items),
+hits AS (SELECT s.record_id AS seq_id, length(w.key) AS length, instr(s.sequence, w.key) - 1 AS pos, w.value FROM seqs s JOIN words w ON length(w.key) > 0 AND contains(s.sequence, w.key)),
 best AS (SELECT *, row_number() OVER (PARTITION BY seq_id ORDER BY length DESC, pos, value) AS rn FROM hits)
 SELECT s.record_id AS seq_id, b.length::INT AS length, b.pos::INT AS pos, b.value FROM seqs s LEFT JOIN best b ON s.record_id = b.seq_id AND b.rn = 1""")
 def longest_match(spark, d):
-    """Longest dictionary word in each sequence, then the first place."""
-    s = views.pseudo_sequences(spark, d)
-    items = views.item_sequences(spark, d)
-    tag = lambda p: F.concat(F.lit(p), F.col("item_id").cast("string")).alias("value")
-    words = items.select(F.substring("sequence", 1, 5).alias("key"), tag("a")).unionByName(items.select(F.substring("sequence", 5, 7).alias("key"), tag("b"))).distinct()
-    return containment.longest_match(s.select(F.col("record_id").alias("seq_id"), "sequence"), words, [5, 7])
+    """Longest identifier (of 20 lengths) in each sequence, then the first place."""
+    s = views.sequences(spark, d)
+    words = views.item_sequences(spark, d).select(F.left("sequence", (F.lit(8) + F.col("item_id") % 20).cast("int")).alias("key"), F.col("item_id").alias("value")).distinct()
+    return containment.longest_match(s.select(F.col("record_id").alias("seq_id"), "sequence"), words)
+
+
+WORD = "substr(sequence, 11, 12)"
 
 
-@query(f"""WITH {SEQ}, {ITEMS}, words AS (SELECT substr(sequence, 3, 5) AS key, item_id AS value FROM items), two AS (SELECT key AS kmer, value, 0 AS rev FROM words UNION ALL SELECT reverse(translate(key, 'ACGT', 'TGCA')), value, 1 FROM words),
+@query(f"""WITH {SEQ}, {ITEMS}, words AS (SELECT CASE item_id % 2 WHEN 0 THEN {WORD} ELSE {RC.format(WORD)} END AS key, item_id AS value FROM items), two AS (SELECT key AS kmer, value, 0 AS rev FROM words WHERE key <> '' UNION ALL SELECT {RC.format('key')}, value, 1 FROM words WHERE key <> ''),
 hits AS (SELECT s.record_id AS seq_id, instr(s.sequence, b.kmer) - 1 AS pos, rev, kmer FROM seqs s JOIN two b ON contains(s.sequence, b.kmer)),
 best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY seq_id ORDER BY pos, rev) AS rn FROM hits) WHERE rn = 1)
-SELECT CASE rev WHEN 0 THEN 'forward' ELSE 'revcomp' END AS strand, count(*) AS n, sum(pos)::BIGINT AS pos_sum FROM best GROUP BY strand""")
+SELECT b.seq_id, b.pos::INT AS pos, CASE b.rev WHEN 0 THEN 'forward' ELSE 'revcomp' END AS strand, count(DISTINCT t.value) AS n_values, min(t.value) AS first_value FROM best b JOIN two t ON t.kmer = b.kmer AND t.rev = b.rev GROUP BY ALL""")
 def window_lookup(spark, d):
-    """First window that is a dictionary word or its reverse complement."""
-    s = views.pseudo_sequences(spark, d)
-    words = views.item_sequences(spark, d).select(F.substring("sequence", 3, 5).alias("key"), F.col("item_id").alias("value"))
-    hits = containment.window_lookup(s.select(F.col("record_id").alias("seq_id"), "sequence"), words, 5)
-    return hits.groupBy("strand").agg(F.count("*").alias("n"), F.sum("pos").alias("pos_sum"))
+    """First window that is a dictionary word or its reverse complement, and the values of that word."""
+    s = views.sequences(spark, d)
+    word = F.substring("sequence", 11, 12)
+    words = views.item_sequences(spark, d).select(F.when(F.col("item_id") % 2 == 0, word).otherwise(S.reverse_complement(word)).alias("key"), F.col("item_id").alias("value"))
+    hits = containment.window_lookup(s.select(F.col("record_id").alias("seq_id"), "sequence"), words)
+    return hits.select("seq_id", "pos", "strand", F.size("values").cast("long").alias("n_values"), F.col("values")[0].alias("first_value"))
 
 
 HITS = f"""{SEQ}, hits AS (SELECT source, contains(sequence, 'ACG') AS fwd, contains(sequence, 'CGT') AS rev, instr(sequence, 'ACG') AS pos FROM seqs)"""
@@ -355,7 +383,7 @@ HITS = f"""{SEQ}, hits AS (SELECT source, contains(sequence, 'ACG') AS fwd, cont
 @query(f"""WITH {HITS}, r AS (SELECT source, count(*) FILTER (fwd) AS n_fwd, count(*) FILTER (rev AND NOT fwd) AS n_rev, count(*) AS n FROM hits GROUP BY source) SELECT *, round((n_fwd + n_rev) / n, 6) AS rate, CASE WHEN (n_fwd + n_rev) / n >= 0.9 THEN 'ok' WHEN n_fwd + n_rev > 0 THEN 'partial' ELSE 'failed' END AS status FROM r""")
 def mapping_rate(spark, d):
     """Forward and reverse matches of each source and its class."""
-    s = views.pseudo_sequences(spark, d)
+    s = views.sequences(spark, d)
     hits = s.select("source", F.contains("sequence", F.lit("ACG")).alias("fwd"), F.contains("sequence", S.reverse_complement(F.lit("ACG"))).alias("rev"))
     return containment.mapping_rates(hits).withColumn("status", containment.rate_class(F.col("rate"))).withColumn("rate", r6("rate"))
 
@@ -363,12 +391,12 @@ def mapping_rate(spark, d):
 @query(f"""WITH {HITS} SELECT source, CASE WHEN fwd AND rev THEN 'both' WHEN fwd THEN 'forward' WHEN rev THEN 'revcomp' ELSE 'miss' END AS orientation, count(*) AS n, min(pos)::INT AS first, quantile_cont(pos, 0.5)::DOUBLE AS median, max(pos)::INT AS last FROM hits GROUP BY ALL""")
 def orientation_counts(spark, d):
     """Four-way orientation of matches."""
-    s = views.pseudo_sequences(spark, d)
+    s = views.sequences(spark, d)
     hits = s.select("source", F.contains("sequence", F.lit("ACG")).alias("fwd"), F.contains("sequence", F.lit("CGT")).alias("rev"), F.instr("sequence", "ACG").alias("pos"))
     return containment.orientation_counts(hits)
 
 
-TILES = """tiles AS (SELECT conv_id AS target_id, turn AS tile, substr(translate(md5(coalesce(text, '')), '0123456789abcdef', 'AACCAACCAACCAACC'), 1, 30) AS trigger FROM conversations)"""
+TILES = f"""tiles AS (SELECT conv_id AS target_id, turn AS tile, substr(translate({_letters('text')}, 'GT', 'AC'), 1, 30) AS trigger FROM conversations)"""
 
 
 @query(f"""WITH {TILES}, a AS (SELECT *, lead(trigger) OVER (PARTITION BY target_id ORDER BY tile, trigger) AS nxt FROM tiles), o AS (SELECT coalesce(list_max(list_filter(range(1, 31), lambda k: right(trigger, k) = left(nxt, k))), 0) / 30.0 AS i FROM a WHERE nxt IS NOT NULL)
@@ -400,23 +428,23 @@ def tiling_step(spark, d):
     return tiles.tiling_step(views.tiles(spark, d))
 
 
-@query(f"""WITH {SEQ}, g AS (SELECT source, record_id, (length(sequence) - length(replace(replace(sequence[1:30], 'G', ''), 'C', '')))::INT - 2 AS gc FROM seqs),
+@query(f"""WITH {SEQ}, g AS (SELECT source, record_id, (length(substr(sequence, 1, 30)) - length(replace(replace(substr(sequence, 1, 30), 'G', ''), 'C', '')))::INT AS gc FROM seqs),
 r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY gc, record_id) AS rn, count(*) OVER (PARTITION BY source) AS n FROM g) SELECT source, record_id, gc FROM r WHERE rn = floor(n / 2) + 1""")
 def representative(spark, d):
     """The window with the middle G+C count of each source."""
-    return tiles.representative(views.pseudo_sequences(spark, d)).select("source", "record_id", "gc")
+    return tiles.representative(views.sequences(spark, d)).select("source", "record_id", "gc")
 
 
 @query(f"WITH {SEQ} SELECT record_id, reverse(translate(sequence, 'ACGT', 'TGCA')) AS rc, round((length(sequence) - length(replace(replace(sequence, 'G', ''), 'C', ''))) / length(sequence), 4) AS gc FROM seqs")
 def revcomp_gc(spark, d):
     """Reverse complement and G+C share."""
-    return views.pseudo_sequences(spark, d).select("record_id", S.reverse_complement(F.col("sequence")).alias("rc"), C.gc_fraction(F.col("sequence")).alias("gc"))
+    return views.sequences(spark, d).select("record_id", S.reverse_complement(F.col("sequence")).alias("rc"), C.gc_fraction(F.col("sequence")).alias("gc"))
 
 
-@query(f"""WITH {SEQ}, p AS (SELECT unnest(range(1, 31)) AS j, substr(sequence, 1, 30) AS t FROM seqs) SELECT ((j - 1) * 4 + instr('ACGT', substr(t, j, 1)) - 1)::INT AS slot, count(*) AS n FROM p GROUP BY slot""")
+@query(f"""WITH {SEQ}, p AS (SELECT unnest(range(1, 31)) AS j, substr(sequence, 1, 30) AS t FROM seqs) SELECT ((j - 1) * 4 + instr('ACGT', substr(t, j, 1)) - 1)::INT AS slot, count(*) AS n FROM p WHERE j <= length(t) GROUP BY slot""")
 def onehot_sum(spark, d):
     """Column sums of the one-hot encoding."""
-    hot = views.pseudo_sequences(spark, d).select(F.posexplode(S.one_hot(F.col("trigger"))).alias("slot", "v"))
+    hot = views.sequences(spark, d).select(F.posexplode(S.one_hot(F.col("trigger"))).alias("slot", "v"))
     return hot.where("v = 1").groupBy("slot").agg(F.count("*").alias("n"))
 
 
@@ -424,7 +452,7 @@ def onehot_sum(spark, d):
 SELECT record_id, (k - 1)::INT AS place, round(v[k], 6) AS value FROM c, range(1, 10) t(k)""")
 def composition(spark, d):
     """The nine composition numbers."""
-    v = views.pseudo_sequences(spark, d).select("record_id", F.posexplode(S.composition(F.col("sequence"))).alias("place", "value"))
+    v = views.sequences(spark, d).select("record_id", F.posexplode(S.composition(F.col("sequence"))).alias("place", "value"))
     return v.select("record_id", "place", r6("value").alias("value"))
 
 

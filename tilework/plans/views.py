@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tilework.functions import columns as C
+from tilework.functions.sequences import reverse_complement
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,21 +35,41 @@ def methods(df: DataFrame) -> DataFrame:
     return df.select(*[c for c in df.columns if c != "score"], F.explode(scored).alias("_m")).select("*", "_m.method", "_m.score").drop("_m")
 
 
-def pseudo_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A 32-letter sequence made from each document's md5; its first 30 letters as trigger."""
-    seq = F.translate(F.md5(F.coalesce("text", F.lit("")).cast("binary")), "0123456789abcdef", "ACGTACGTACGTACGT")
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("record_id"), F.col("source").alias("source"), "lang", seq.alias("sequence"), F.left(seq, F.lit(30)).alias("trigger"))
+#: Letters a to z as nucleotides, in turn.
+LETTERS = ("abcdefghijklmnopqrstuvwxyz", "ACGTACGTACGTACGTACGTACGTAC")
+
+
+def letters(text: Column) -> Column:
+    """All letters of a text as nucleotides; what is no letter from a to z is left out."""
+    return F.regexp_replace(F.translate(F.lower(F.coalesce(text, F.lit(""))), *LETTERS), "[^ACGT]", "")
+
+
+def sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as sequences of their whole texts; the first 30 letters as trigger."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("record_id"), "source", "lang", letters(F.col("text")).alias("sequence"))
+    return docs.withColumn("trigger", F.left("sequence", F.lit(30)))
 
 
 def item_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A sequence for each benchmark item, made likewise: dictionary words come from these."""
-    seq = F.translate(F.md5(F.col("text").cast("binary")), "0123456789abcdef", "ACGTACGTACGTACGT")
-    return table(spark, sf_dir, "benchmark").select("item_id", seq.alias("sequence"))
+    """Benchmark items as sequences of their whole texts."""
+    return table(spark, sf_dir, "benchmark").select("item_id", letters(F.col("text")).alias("sequence"))
+
+
+def source_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A trigger of 30 letters from inside each sequence, with its source: as it is, as its reverse complement or backwards, in turn."""
+    piece, kind = F.substring("sequence", 41, 30), F.col("record_id") % 3
+    s = sequences(spark, sf_dir).where(F.length("sequence") >= 70)
+    return s.select("record_id", "source", F.when(kind == 0, piece).when(kind == 1, reverse_complement(piece)).otherwise(F.reverse(piece)).alias("trigger"))
+
+
+def references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's sequence as a reference of its source."""
+    return sequences(spark, sf_dir).select("source", F.col("record_id").alias("accession"), "sequence")
 
 
 def tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conversation turns as tiles of their conversation, with a sequence of each turn's text."""
-    seq = F.left(F.translate(F.md5(F.coalesce("text", F.lit("")).cast("binary")), "0123456789abcdef", "AACCAACCAACCAACC"), F.lit(30))
+    """Conversation turns as tiles of their conversation: the first 30 letters of each, as A and C in turn by pairs of letters."""
+    seq = F.left(F.translate(letters(F.col("text")), "GT", "AC"), F.lit(30))
     return table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("target_id"), F.col("turn").alias("tile"), seq.alias("trigger"))
 
 
