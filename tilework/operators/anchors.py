@@ -3,8 +3,9 @@
 An anchor of a text is the k-letter word with the smallest hash among ``w`` words in a row. A pattern of at least ``k + w - 1``
 letters has one in its first ``w`` words, and every text that holds the pattern has the same word as an anchor, since both
 sides choose by hash. So a pattern needs one seed, a text keeps about two of ``w + 1`` positions, and the two meet in an equality join on
-eight bytes. Patterns are put in classes by length (a power of two of letters, 32 at most), each with its own ``k`` and ``w``, so that
-none is too short; a text is read once for all classes that the patterns need.
+eight bytes. Patterns are put in classes by length, each with its own ``k`` and ``w``, so that
+none is too short; a text is read once for all classes that the patterns need. Where other columns must be equal too, their hash is
+mixed into the anchors, so that only anchors of the same key meet.
 
 Before anything is shuffled, texts drop the anchors that are not in a Bloom filter of the patterns' seeds, whose size follows their
 number up to a fixed bound. What is left carries the text around it, so that meetings are verified where they are; only
@@ -24,7 +25,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-CLASSES = (1, 2, 4, 8, 16, 32)
+from .shared import written
+
+#: Least lengths of the classes.
+CLASSES = (1, 2, 3, 4, 6, 8, 12, 16, 20, 24, 28, 32)
 PIECE = 1024
 #: Letters of a text that are hashed at once, and rows that are sent on at once.
 BLOCK, ROWS = 1 << 20, 20_000
@@ -36,7 +40,8 @@ _BASE = 0x9E3779B97F4A7C15
 
 def shape(least: int) -> tuple[int, int]:
     """``k`` and ``w`` of the class of patterns with ``least`` letters or more."""
-    return (least // 2 + 1, least // 2) if least > 1 else (1, 1)
+    w = max(1, least // 3)
+    return least - w + 1, w
 
 
 def letters(text: str) -> np.ndarray:
@@ -81,24 +86,27 @@ def anchors(codes: np.ndarray, k: int, w: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def seed(pattern: pd.Series) -> pd.DataFrame:
-    """Class, anchor and its offset for each pattern; nulls for empty ones."""
-    out = []
-    for p in pattern:
-        if not p:
-            out.append((None, None, None))
-            continue
-        codes = letters(p)
-        least = max(c for c in CLASSES if c <= len(codes))
-        k, w = shape(least)
-        at, h = anchors(codes[: k + w - 1], k, w)
-        out.append((least, int(h.astype(np.int64)[0]), int(at[0])))
-    return pd.DataFrame(out, columns=["least", "anchor", "offset"]).astype({"least": "Int32", "anchor": "Int64", "offset": "Int32"})
-
-
-def seeds(patterns: DataFrame, pattern: str = "pattern") -> DataFrame:
+    """Class, anchor and its offset of each pattern."""
+    n = pattern.str.len().to_numpy()
+    least = np.array(CLASSES)[np.searchsorted(CLASSES, n, "right") - 1]
+    anchor, offset = np.zeros(len(n), np.int64), np.zeros(len(n), np.int64)
+    for c in np.unique(least).tolist():
+        rows, (k, w) = np.flatnonzero(least == c), shape(c)
+        codes = letters("".join(p[:c] for p in pattern.iloc[rows]))
+        h = word_hashes(codes, k)[np.arange(len(rows))[:, None] * c + np.arange(w)]  # words inside a pattern only
+        first = ((h & ~_POS) | np.arange(w, dtype=np.uint64)).argmin(1)
+        anchor[rows], offset[rows] = h[np.arange(len(rows)), first].astype(np.int64), first
+    return pd.DataFrame({"least": least.astype(np.int32), "anchor": anchor, "offset": offset.astype(np.int32)})
+
+
+def _key(keys: Sequence[str]):
+    return F.xxhash64(*keys) if keys else F.lit(0).cast("long")
+
+
+def seeds(patterns: DataFrame, pattern: str = "pattern", keys: Sequence[str] = ()) -> DataFrame:
     """``patterns`` with ``least, anchor, offset``; empty patterns and nulls are left out."""
     kept = patterns.where(F.length(pattern) > 0)
-    return kept.withColumn("_s", F.pandas_udf(seed, "least int, anchor long, offset int")(F.col(pattern))).select("*", "_s.least", "_s.anchor", "_s.offset").drop("_s")
+    return kept.withColumn("_s", F.pandas_udf(seed, "least int, anchor long, offset int")(F.col(pattern))).select("*", "_s.least", F.col("_s.anchor").bitwiseXOR(_key(keys)).alias("anchor"), "_s.offset").drop("_s")
 
 
 def bloom_filter(seeded: DataFrame, count: int) -> np.ndarray:
@@ -122,27 +130,29 @@ def in_filter(words: np.ndarray, anchor: np.ndarray) -> np.ndarray:
 
 
 def text_anchors(texts: DataFrame, keys: Sequence[str], classes: Sequence[int], words: np.ndarray, piece: int, text: str = "sequence") -> DataFrame:
-    """``keys, least, anchor, at, lead, piece`` of the anchors that may be seeds: the piece starts ``lead`` letters before
+    """``seq_id, keys, least, anchor, at, lead, piece`` of the anchors that may be seeds: the piece starts ``lead`` letters before
     the anchor at place ``at`` and goes on for ``piece`` letters after it."""
-    kept = texts.select(*keys, F.col(text).cast("string").alias("_text")).where(F.length("_text") >= min(classes))
-    schema = T.StructType([*kept.schema.fields[:-1], *T._parse_datatype_string("least int, anchor long, at int, lead int, piece string").fields])
+    kept = texts.select("seq_id", *keys, _key(keys).alias("_key"), F.col(text).cast("string").alias("_text")).where(F.length("_text") >= min(classes))
+    schema = T.StructType([*kept.schema.fields[:-2], *T._parse_datatype_string("least int, anchor long, at int, lead int, piece string").fields])
     shared = texts.sparkSession.sparkContext.broadcast(words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def sent():
-            own = [b.column(i).take(pa.array(rows["row"], pa.int64())) for i in range(len(keys))]
+            own = [b.column(i).take(pa.array(rows["row"], pa.int64())) for i in range(1 + len(keys))]
             new = [pa.array(rows["least"], pa.int32()), pa.array(rows["anchor"], pa.int64()), pa.array(rows["at"], pa.int32()), pa.array(rows["lead"], pa.int32()), pa.array(rows["piece"], pa.string())]
             return pa.RecordBatch.from_arrays([*own, *new], names=schema.names)
 
         for b in batches:
             rows = {c: [] for c in ("row", "least", "anchor", "at", "lead", "piece")}
-            for i, t in enumerate(b.column(len(keys))):
+            mixed = b.column(1 + len(keys)).to_numpy().view(np.uint64)
+            for i, t in enumerate(b.column(2 + len(keys))):
                 t = t.as_py()
                 codes = letters(t)
                 for least in classes:
                     k, w = shape(least)
                     for lo in range(0, max(1, len(codes) - least + 1), BLOCK):
                         at, h = anchors(codes[lo : lo + BLOCK + least - 1], k, w)
+                        h = h ^ mixed[i]
                         good = in_filter(shared.value, h)
                         for p, a in zip((at[good] + lo).tolist(), h[good].astype(np.int64).tolist(), strict=True):
                             lead = min(p, w - 1)
@@ -162,10 +172,10 @@ def occurrences(texts: DataFrame, patterns: DataFrame, keys: Sequence[str] = (),
     ``texts`` has seq_id and the text; columns named in ``keys`` are in both tables and must be equal. Empty patterns and nulls
     occur nowhere. A place near a block's edge may come twice.
     """
-    seeded = seeds(patterns, pattern)
+    seeded = written(seeds(patterns, pattern, keys), "seeds")
     known = seeded.agg(F.count("*").alias("n"), F.max(F.length(pattern)).alias("longest"), F.collect_set("least").alias("classes")).first()
     piece = min(known.longest or 1, PIECE)
-    found = text_anchors(texts, ["seq_id", *keys], sorted(known.classes) or [CLASSES[-1]], bloom_filter(seeded, known.n), piece, text)
+    found = text_anchors(texts, keys, sorted(known.classes) or [CLASSES[-1]], bloom_filter(seeded, known.n), piece, text)
     met = found.join(seeded, [*keys, "least", "anchor"]).where(F.col("at") >= F.col("offset"))
     here = F.substring(F.col("piece"), F.col("lead") - F.col("offset") + 1, F.least(F.length(pattern), F.lit(piece)))
     met = met.where(here == F.left(F.col(pattern), F.lit(piece))).withColumn("pos", F.col("at") - F.col("offset"))
