@@ -49,6 +49,33 @@ def test_bootstrap_draws_like_a_bootstrap(spark):
     assert got["mean"] == pytest.approx(sum(values) / 400) and abs(got.lo - plain[50]) < 0.03 and abs(got.hi - plain[1950]) < 0.03
 
 
+def test_bootstrap_in_blocks(spark):
+    """Many small blocks, a group of one and a group of a few, several values at once."""
+    r = random.Random(6)
+    values = [r.gauss(0, 1) for _ in range(1500)]
+    rows = [("big", f"t{i:04}", v, 2 * v + 1, None if i % 2 else v) for i, v in enumerate(values)] + [("one", "t0", 5.0, 6.0, 7.0), (None, "t0", 1.0, 1.0, 1.0), (None, "t1", 3.0, 3.0, 3.0)]
+    df = spark.createDataFrame(rows, "method string, target_id string, v double, w double, x double")
+    got = {x.method: x for x in resampling.bootstrap_means(df, ["v", "w"], "target_id", ("method",), block=64).collect()}
+    plain = sorted(sum(r.choices(values, k=1500)) / 1500 for _ in range(2000))
+    big = got["big"]
+    assert big.n == 1500 and abs(big.v_lo - plain[50]) < 0.02 and abs(big.v_hi - plain[1950]) < 0.02
+    assert big.w_lo == pytest.approx(2 * big.v_lo + 1) and big.w_mean == pytest.approx(2 * big.v_mean + 1)
+    assert (got["one"].v_lo, got["one"].v_hi) == (5.0, 5.0) and 1.0 <= got[None].v_lo <= got[None].v_hi <= 3.0
+    assert resampling.bootstrap_means(df, "x", "target_id", ("method",), replicates=20).where("method = 'big'").first().n == 750
+
+
+def test_paired_draws(spark):
+    """The interval of a difference is that of the resampled means' differences, much narrower than unpaired ones."""
+    r = random.Random(8)
+    level = [r.gauss(0, 10) for _ in range(300)]
+    rows = [(m, i, x + gain) for i, x in enumerate(level) for m, gain in (("base", 0.0), ("up", 1.0 + r.gauss(0, 0.1)))]
+    df = spark.createDataFrame(rows, "method string, target_id long, v double")
+    got = resampling.paired_bootstrap(df, "v", "target_id", "method", "base").first()
+    alone = {x.method: x for x in resampling.bootstrap_means(df, "v", "target_id", ("method",)).collect()}
+    assert got.method == "up" and got.n == 300 and got.hi - got.lo < 0.05 and alone["up"].hi - alone["up"].lo > 1
+    assert got["mean"] == pytest.approx(alone["up"]["mean"] - alone["base"]["mean"])
+
+
 def test_permutation_finds_a_real_order(spark):
     data = [(f"t{t}", f"r{i}", float(i), float(i)) for t in range(5) for i in range(12)]
     df = spark.createDataFrame(data, "target_id string, record_id string, ra double, rb double")
@@ -65,7 +92,7 @@ def test_permutation_against_all_orders(spark):
     null = [(rho(x, rb["a"]) + rho(y, rb["b"])) / 2 for x in permutations(ra["a"]) for y in permutations(ra["b"])]
     got = resampling.permutation_test(df).first()
     assert got.observed == pytest.approx(seen) and got.targets == 2 and abs(got.p - sum(n >= seen - 1e-12 for n in null) / len(null)) < 0.03
-    assert resampling.permutation_test(df.repartition(5), parts=3).first() == got
+    assert resampling.permutation_test(df.repartition(5), rows_a_part=1).first() == got
 
 
 def test_group_disjoint_cut_is_exact_and_repeatable(spark):

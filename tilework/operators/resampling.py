@@ -3,54 +3,94 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tilework.functions.columns import unit_hash
 
 
-#: Value tables up to so many rows are sent to every task; beyond it the draws are shuffled to them.
-BROADCAST_ROWS = 500_000
-_FACTOR, _MASK = 73244475, 4294967295
-
-
-def _mixed(x: Column) -> Column:
-    """A 32-bit number from a 32-bit number, in 64-bit arithmetic without overflow."""
-    for _ in range(2):
-        x = (x.bitwiseXOR(F.shiftright(x, 16)) * F.lit(_FACTOR)).bitwiseAND(F.lit(_MASK))
-    return x.bitwiseXOR(F.shiftright(x, 16))
+#: Targets that are drawn from in one task.
+BLOCK = 65_536
+_FACTOR, _MASK, _STEP = 73244475, 4294967295, 40503
 
 
 def _base(x: int) -> int:
-    """:func:`_mixed` of a number."""
+    """A 32-bit number from a 32-bit number."""
     for _ in range(2):
         x = ((x ^ (x >> 16)) * _FACTOR) & _MASK
     return x ^ (x >> 16)
 
 
-def bootstrap_means(df: DataFrame, value: str, key: str, groups: Sequence[str] = (), replicates: int = 2000, seed: int = 0) -> DataFrame:
-    """``mean, lo, hi, n`` per group: the mean of the per-target values, and the 2.5 and 97.5 percentiles of means of resamples.
+def bootstrap_means(df: DataFrame, value: str | Sequence[str], key: str, groups: Sequence[str] = (), replicates: int = 2000, seed: int = 0, block: int = BLOCK) -> DataFrame:
+    """Means of per-target values, and the 2.5 and 97.5 percentiles of means of resamples: ``mean, lo, hi, n`` per group for one
+    value, ``<value>_mean, <value>_lo, <value>_hi, n`` for several.
 
-    ``df`` is a per-target table (one row per target and group). Values get places 0..n-1 in the order of ``key``; each replicate
-    draws n places and looks the values up, so nothing larger than targets x replicates is made, and means combine on the map side.
+    ``df`` is a per-target table (one row per target and group); rows without one of the values are left out. A group is
+    dealt to blocks of about ``block`` targets by a hash of the key. How many of a replicate's draws fall in each block is a
+    multinomial draw over the blocks' sizes; inside a block, targets go by key, and slots draw places by a hash of replicate and slot. So a
+    block gives one row of sums a replicate, nothing larger than that is shuffled, and no group is ordered. Draws depend on seed, sizes
+    and keys alone: groups over the same targets share them, so differences between groups pair.
     """
-    spot = Window.partitionBy(*groups).orderBy(key)
-    rows = df.where(F.col(value).isNotNull()).select(*groups, F.col(value).cast("double").alias("_v"), (F.row_number().over(spot) - 1).cast("long").alias("_place"))
-    sizes = rows.groupBy(*groups).agg(F.count("*").alias("_size"))
-    ids = sizes.select(*groups, "_size", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_size") - 1)).alias("_at"))
-    bases = F.lit([_base(r + seed * 1_000_003 + 1) for r in range(replicates)])  # one number a replicate, made here
-    draws = ids.repartition(F.col("_at")).select(*groups, "_size", "_at", F.posexplode(bases).alias("_rep", "_base"))
-    seeded = (F.col("_base").cast("long") + F.col("_at") * 40503).bitwiseAND(F.lit(_MASK))
-    draws = draws.select(*groups, "_rep", F.pmod(_mixed(seeded), F.col("_size")).alias("_place"))
-    small = rows.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    means = draws.join(F.broadcast(rows) if small else rows, [*groups, "_place"]).groupBy(*groups, "_rep").agg(F.avg("_v").alias("_m"))
-    ends = means.groupBy(*groups).agg(F.percentile("_m", F.array(F.lit(0.025), F.lit(0.975))).alias("_e"))
-    whole = rows.groupBy(*groups).agg(F.avg("_v").alias("mean"), F.count("*").alias("n"))
-    joined = whole.join(ends, list(groups)) if groups else whole.crossJoin(F.broadcast(ends))  # one row each
-    return joined.select(*groups, "mean", F.col("_e")[0].alias("lo"), F.col("_e")[1].alias("hi"), "n")
+    names = [value] if isinstance(value, str) else list(value)
+    some = [F.col(c).isNotNull() for c in names]
+    rows = df.where(reduce(lambda a, b: a & b, some))
+    tag = F.to_json(F.struct(*groups)) if groups else F.lit("")
+    rows = rows.select(tag.alias("_g"), *groups, F.col(key).alias("_key"), *[F.col(c).cast("double").alias(f"_v{i}") for i, c in enumerate(names)])
+    whole = rows.groupBy("_g", *groups).agg(*[F.avg(f"_v{i}").alias(f"_mean{i}") for i in range(len(names))], F.count("*").alias("n"))
+    dealt = rows.join(whole.select("_g", F.ceil(F.col("n") / block).alias("_blocks")), "_g").withColumn("_block", F.pmod(F.xxhash64("_key"), F.col("_blocks")))
+    base = np.array([_base(r + seed * 1_000_003 + 1) for r in range(replicates)], np.uint64)
+    width = len(names)
+
+    def shares(table):
+        """Draws of each replicate in each block; a row for each of a group's blocks."""
+        order = np.argsort(table.column("_block").to_numpy())
+        sizes, rng = table.column("_size").to_numpy()[order], np.random.default_rng(seed)
+        left, rest, out = np.full(replicates, sizes.sum()), int(sizes.sum()), []
+        for size in sizes.tolist():
+            out.append(rng.binomial(left, size / rest) if size < rest else left)
+            left, rest = left - out[-1], rest - size
+        return pa.table({"_g": table.column("_g").take(pa.array(order)), "_block": table.column("_block").take(pa.array(order)), "_draws": pa.array([x.tolist() for x in out], pa.list_(pa.int64()))})
+
+    def sums(table, draws):
+        table = table.take(pc.sort_indices(table.column("_key")))
+        values = [table.column(f"_v{i}").to_numpy() for i in range(width)]
+        many, salt = np.array(draws.column("_draws")[0].as_py()), draws.column("_block")[0].as_py() * 1_000_003
+        slots, n, out = np.arange(many.max(), dtype=np.uint64) + np.uint64(salt), np.uint64(len(values[0])), np.zeros((width, replicates))
+        at_once = max(1, 2_000_000 // max(1, len(slots)))
+        for first in range(0, replicates, at_once):
+            part = slice(first, first + at_once)
+            x = (base[part, None] + slots * np.uint64(_STEP)) & np.uint64(_MASK)
+            for _ in range(2):
+                x = ((x ^ (x >> np.uint64(16))) * np.uint64(_FACTOR)) & np.uint64(_MASK)
+            x = ((x ^ (x >> np.uint64(16))) % n).astype(np.int64)
+            drawn = np.arange(len(slots)) < many[part, None]
+            for i, v in enumerate(values):
+                out[i, part] = np.where(drawn, v[x], 0.0).sum(1)
+        return pa.table({"_g": pa.array([table.column("_g")[0].as_py()] * replicates, pa.string()), "_rep": pa.array(np.arange(replicates), pa.int32())} | {f"_s{i}": pa.array(out[i]) for i in range(width)})
+
+    blocks = dealt.groupBy("_g", "_block").agg(F.count("*").alias("_size"))
+    draws = blocks.groupBy("_g").applyInArrow(shares, "_g string, _block long, _draws array<long>")
+    keyed = dealt.drop("_blocks", *groups).groupBy("_g", "_block").cogroup(draws.groupBy("_g", "_block"))
+    parts = keyed.applyInArrow(sums, "_g string, _rep int, " + ", ".join(f"_s{i} double" for i in range(width)))
+    totals = parts.groupBy("_g", "_rep").agg(*[F.sum(f"_s{i}").alias(f"_s{i}") for i in range(width)])
+    ends = totals.groupBy("_g").agg(*[F.percentile(f"_s{i}", F.array(F.lit(0.025), F.lit(0.975))).alias(f"_e{i}") for i in range(width)])  # a row a replicate
+    if not groups:
+        whole = rows.agg(F.lit("").alias("_g"), *[F.avg(f"_v{i}").alias(f"_mean{i}") for i in range(width)], F.count("*").alias("n"))
+    out = [[F.col(f"_mean{i}").alias(f"{p}mean"), *[(F.col(f"_e{i}")[k] / F.col("n")).alias(f"{p}{end}") for k, end in enumerate(("lo", "hi"))]] for i, p in enumerate([""] if isinstance(value, str) else [f"{c}_" for c in names])]
+    return whole.join(ends, "_g", "left").select(*groups, *[c for part in out for c in part], "n")
+
+
+def paired_bootstrap(df: DataFrame, value: str, key: str, method: str, base, replicates: int = 2000, seed: int = 0) -> DataFrame:
+    """``mean, lo, hi, n`` of each method's difference from the method ``base``, over the targets that both have: both are resampled
+    with the same draws."""
+    other = df.where(F.col(method) == base).select(key, F.col(value).alias("_base"))
+    both = df.where(F.col(method) != base).join(other, key).withColumn("_delta", F.col(value) - F.col("_base"))
+    return bootstrap_means(both, "_delta", key, (method,), replicates, seed)
 
 
 def value_interval(df: DataFrame, value: str, groups: Sequence[str] = ()) -> DataFrame:
@@ -59,11 +99,11 @@ def value_interval(df: DataFrame, value: str, groups: Sequence[str] = ()) -> Dat
     return df.groupBy(*groups).agg(F.avg(value).alias("mean"), e[0].alias("lo"), e[1].alias("hi"), F.count(value).alias("n"))
 
 
-def permutation_test(ranked: DataFrame, key: str = "record_id", replicates: int = 5000, seed: int = 0, parts: int = 64) -> DataFrame:
+def permutation_test(ranked: DataFrame, key: str = "record_id", replicates: int = 5000, seed: int = 0, rows_a_part: int = 100_000) -> DataFrame:
     """One-sided p of the mean per-target rank correlation under shuffling within targets.
 
-    ``ranked`` has target_id, the key and average ranks ``ra`` and ``rb``. Targets are dealt to ``parts``; a part shuffles each target's
-    ranks by a generator seeded with the target, so results do not depend on the dealing, and yields one sum for each replicate.
+    ``ranked`` has target_id, the key and average ranks ``ra`` and ``rb``. Targets are dealt to parts
+    of about ``rows_a_part`` rows; a part shuffles each target's ranks by a generator seeded with the target, so results do not depend on the dealing, and yields one sum for each replicate.
     A target's rows are one task's (they are candidates of one choice); targets with a constant side take no part.
     """
 
@@ -87,6 +127,7 @@ def permutation_test(ranked: DataFrame, key: str = "record_id", replicates: int
         return pa.table({"rep": pa.array(np.arange(-1, replicates)), "sum": pa.array(np.append(observed, total)), "n": pa.array(np.full(replicates + 1, n))})
 
     rows = ranked.select(F.xxhash64("target_id").alias("_t"), F.xxhash64(key).alias("_k"), F.col("ra").cast("double"), F.col("rb").cast("double"))
+    parts = max(16, ranked.count() // rows_a_part)
     sums = rows.groupBy(F.pmod("_t", F.lit(parts)).alias("_part")).applyInArrow(shuffled, "rep long, sum double, n long")
     means = sums.groupBy("rep").agg((F.sum("sum") / F.sum("n")).alias("mean"), F.sum("n").alias("targets"))
     observed = means.where("rep = -1").select(F.col("mean").alias("observed"), "targets")  # one row

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tilework.operators import correlation, ranking, splits
+from tilework.operators import correlation, leaderboard, ranking, resampling, splits
 
 from . import views
-from .queries import CANDIDATES, EVALUATED, METHODS, RANKED, RHO, SPLIT, _hash, query, r6
+from .queries import BASES, CANDIDATES, EVALUATED, METHODS, PER_TARGET, RANKED, RHO, SPLIT, _hash, _mixed, query, r6
 
 
 @query(f"""WITH {CANDIDATES}, {METHODS}, {RANKED}, t AS (SELECT method, target_id, max(CASE WHEN rn <= 1 THEN success ELSE 0 END) AS s1, max(CASE WHEN rn <= 3 THEN success ELSE 0 END) AS s3,
@@ -89,3 +89,58 @@ def long_references(spark, d) -> DataFrame:
     """References of at least 3000 letters by source and by name without its prefix."""
     docs = views.table(spark, d, "documents").select("source", F.replace(F.coalesce("lang", F.lit("")), F.lit("human_"), F.lit("")).alias("name"), F.length("text").alias("n"))
     return docs.where("n >= 3000").groupBy("source", "name").agg(F.count("*").alias("refs"), F.max("n").cast("long").alias("longest"))
+
+
+IDENT = "concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey)"
+BOARD = f"""lab AS (SELECT *, on_ - off_ AS rel, CASE WHEN on_ >= 0.5 AND off_ <= 0.5 THEN 1 ELSE 0 END AS success, translate(record_id, '0123456789-', 'ACGTACGTAC') AS trigger FROM
+  (SELECT l_partkey AS target_id, {IDENT} AS record_id, CASE WHEN l_tax > 0 THEN l_quantity / 50 END AS on_, CASE WHEN l_discount > 0 THEN l_discount * 10 END AS off_, CASE WHEN l_returnflag = 'R' THEN 0.0 ELSE l_extendedprice END AS salis, l_tax * 1000 AS mfe_off FROM lineitem)),
+ok AS (SELECT * FROM lab WHERE on_ IS NOT NULL AND off_ IS NOT NULL AND rel IS NOT NULL),
+sub AS (SELECT {IDENT} AS record_id, max(l_quantity - l_discount * 100) AS score FROM lineitem WHERE l_linenumber <= 4 GROUP BY 1),
+methods AS (SELECT target_id, record_id, rel, success, 'random' AS method, {_hash(0, 'record_id')} AS score FROM ok
+  UNION ALL SELECT target_id, record_id, rel, success, 'gc', (length(trigger) - length(replace(replace(trigger, 'G', ''), 'C', ''))) / length(trigger) FROM ok
+  UNION ALL SELECT target_id, record_id, rel, success, 'thermo', coalesce(nullif(salis, 0), mfe_off, 0) FROM ok
+  UNION ALL SELECT target_id, record_id, rel, success, 'submitted', coalesce(sub.score, 0) FROM ok LEFT JOIN sub USING (record_id)), {RANKED}, {PER_TARGET}"""
+NAMES = {"success_at_1": "s1", "success_at_3": "s3", "success_at_5": "s5", "ndcg10": "ndcg10", "regret10": "regret10"}
+
+
+def _drawn(rows: str, values: str, replicates: int, group: str = "method") -> str:
+    """SQL of a bootstrap over ``rows`` (group, target_id and values): ``vals``, and ``reps`` with the mean of each value and replicate."""
+    means = ", ".join(f"avg(v.{c}) AS {c}" for c in values.split(", "))
+    return f"""vals AS (SELECT {group}, {values}, row_number() OVER (PARTITION BY {group} ORDER BY target_id) - 1 AS place, count(*) OVER (PARTITION BY {group}) AS size FROM {rows}),
+{BASES.format(replicates)}, draws AS (SELECT {group}, rep, {_mixed('((base + place * 40503) & 4294967295)')} % size AS place FROM vals, bases),
+reps AS (SELECT d.{group}, d.rep, {means} FROM draws d JOIN vals v ON d.{group} = v.{group} AND d.place = v.place GROUP BY ALL)"""
+
+
+def _ends(c: str, name: str, digits: int) -> str:
+    return f"round(any_value(w.{c}), {digits}) AS {name}mean, round(quantile_cont(r.{c}, 0.025), {digits}) AS {name}lo, round(quantile_cont(r.{c}, 0.975), {digits}) AS {name}hi"
+
+
+VALUES = ", ".join(NAMES.values())
+
+
+@query(f"""WITH {BOARD}, {_drawn('metrics', VALUES, 2000)}, w AS (SELECT method, {', '.join(f'avg({c}) AS {c}' for c in NAMES.values())}, count(*) AS n FROM metrics GROUP BY method)
+SELECT w.method, {', '.join(_ends(c, k + '_', 4) for k, c in NAMES.items())}, any_value(w.n) AS n FROM w JOIN reps r USING (method) GROUP BY w.method""")
+def leaderboard_table(spark, d) -> DataFrame:
+    """Built-in and submitted methods over admitted candidates: success, NDCG and regret with their intervals."""
+    rows = leaderboard.evaluable(views.labelled_candidates(spark, d))
+    scored = leaderboard.all_scores(rows, ["random", "gc", "thermo"], views.submissions(spark, d))
+    return leaderboard.leaderboard(leaderboard.per_target(scored))
+
+
+@query(f"""WITH {CANDIDATES}, {METHODS}, {RHO}, {_drawn('rhos', 'rho', 1000)}, w AS (SELECT method, avg(rho) AS rho, count(*) AS n, avg((rho > 0)::INT) AS share FROM rhos GROUP BY method)
+SELECT w.method, any_value(w.n) AS n, {_ends('rho', '', 6)}, round(any_value(w.share), 6) AS share_positive FROM w JOIN reps r USING (method) GROUP BY w.method""")
+def rho_intervals(spark, d) -> DataFrame:
+    """Mean per-target correlation of each method with a bootstrap interval of 1000 resamples, and the share above 0."""
+    rho = correlation.spearman(views.methods(views.candidates(spark, d)), ("method", "target_id"))
+    ends = resampling.bootstrap_means(rho, "rho", "target_id", ("method",), 1000)
+    share = rho.groupBy("method").agg(r6(F.avg((F.col("rho") > 0).cast("int"))).alias("share_positive"))
+    return ends.join(share, "method").select("method", "n", *[r6(c).alias(c) for c in ("mean", "lo", "hi")], "share_positive")
+
+
+@query(f"""{EVALUATED}, deltas AS (SELECT a.method, a.target_id, a.ndcg10 - b.ndcg10 AS delta FROM metrics a JOIN metrics b USING (target_id) WHERE a.method <> 'random' AND b.method = 'random'), {_drawn('deltas', 'delta', 2000)},
+w AS (SELECT method, avg(delta) AS delta, count(*) AS n FROM deltas GROUP BY method) SELECT w.method, {_ends('delta', '', 6)}, any_value(w.n) AS n FROM w JOIN reps r USING (method) GROUP BY w.method""")
+def paired_bootstrap(spark, d) -> DataFrame:
+    """Bootstrap interval of each method's mean NDCG above the random method's, both resampled with the same draws."""
+    m = ranking.target_metrics(views.methods(views.candidates(spark, d)), ("method", "target_id"))
+    out = resampling.paired_bootstrap(m, "ndcg10", "target_id", "method", "random")
+    return out.select("method", *[r6(c).alias(c) for c in ("mean", "lo", "hi")], "n")

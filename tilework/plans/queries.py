@@ -134,8 +134,11 @@ def _mixed(x):
     return f"xor({x}, ({x}) >> 16)"
 
 
+BASES = "bases AS (SELECT x AS rep, " + _mixed("(x + 1)") + " AS base FROM range({}) t(x))"
+
+
 @query(f"""{EVALUATED}, vals AS (SELECT method, ndcg10 AS v, row_number() OVER (PARTITION BY method ORDER BY target_id) - 1 AS place, count(*) OVER (PARTITION BY method) AS size FROM metrics),
-bases AS (SELECT x AS rep, {_mixed('(x + 1)')} AS base FROM range(2000) t(x)),
+{BASES.format(2000)},
 draws AS (SELECT method, rep, {_mixed('((base + place * 40503) & 4294967295)')} % size AS place FROM vals, bases),
 means AS (SELECT d.method, d.rep, avg(v.v) AS m FROM draws d JOIN vals v ON d.method = v.method AND d.place = v.place GROUP BY ALL)
 SELECT a.method, round(a.mean, 6) AS mean, round(quantile_cont(m.m, 0.025), 6) AS lo, round(quantile_cont(m.m, 0.975), 6) AS hi, a.n FROM (SELECT method, avg(v) AS mean, count(*) AS n FROM vals GROUP BY method) a JOIN means m USING (method) GROUP BY a.method, a.mean, a.n""")
