@@ -104,3 +104,36 @@ def test_group_disjoint_cut_is_exact_and_repeatable(spark):
     with pytest.raises(ValueError):
         splits.assert_disjoint(splits.row_random(df))
     assert splits.pair_overlaps(df.join(splits.group_disjoint(df), "target_id")).count() == 0
+
+
+def test_percentiles_by_ranges(spark):
+    from tilework.operators import quantiles
+
+    r = random.Random(11)
+    rows = [(k, v) for k in ("a", "b", None) for v in [r.choice([r.random(), 0.5, 2.0]) for _ in range(701)]] + [("one", 3.0), ("none", None)]
+    df = spark.createDataFrame(rows, "k string, v double").repartition(6)
+    qs = {"low": 0.0, "p10": 0.1, "median": 0.5, "p95": 0.95, "high": 1.0}
+    got = {x.k: x for x in quantiles.percentiles(df, "v", qs, ("k",)).collect()}
+
+    def plain(values, q):
+        values = sorted(values)
+        spot = (len(values) - 1) * q
+        lo, hi = values[math.floor(spot)], values[math.ceil(spot)]
+        return lo + (hi - lo) * (spot - math.floor(spot))
+
+    for k in ("a", "b", None, "one"):
+        for name, q in qs.items():
+            assert got[k][name] == pytest.approx(plain([v for x, v in rows if x == k], q))
+    assert got["none"].median is None
+    assert quantiles.percentiles(df.where("v > 9"), "v", {"m": 0.5}).collect()[0].m is None
+    whole = quantiles.percentiles(df, "v", {"m": 0.3}).first().m
+    assert whole == pytest.approx(plain([v for _, v in rows if v is not None], 0.3))
+
+
+def test_pooled_correlation_by_key(spark):
+    r = random.Random(12)
+    rows = [(k, float(r.choice([1, 2, 3, r.randint(0, 40)])), float(r.randint(0, 5))) for k in ("x", None) for _ in range(300)] + [("flat", 1.0, 2.0), ("flat", 1.0, 3.0)]
+    got = {x.k: x for x in correlation.pooled_spearman(spark.createDataFrame(rows, "k string, score double, rel double"), keys=("k",)).collect()}
+    for k in ("x", None):
+        assert got[k].rho == pytest.approx(rho([a for x, a, _ in rows if x == k], [b for x, _, b in rows if x == k])) and got[k].n == 300
+    assert got["flat"].rho is None

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tilework.functions.sequences import reverse_complement
 
 from .anchors import occurrences
+from .quantiles import percentiles
 
 
 def contains_join(texts: DataFrame, patterns: DataFrame) -> DataFrame:
@@ -102,7 +103,11 @@ def mapping_rates(hits: DataFrame, exclusive: bool = True) -> DataFrame:
 
 def orientation_counts(hits: DataFrame) -> DataFrame:
     kind = F.when(F.col("fwd") & F.col("rev"), "both").when(F.col("fwd"), "forward").when(F.col("rev"), "revcomp").otherwise("miss")
-    return hits.groupBy("source", kind.alias("orientation")).agg(F.count("*").alias("n"), F.min("pos").alias("first"), F.percentile("pos", F.lit(0.5)).alias("median"), F.max("pos").alias("last"))
+    rows = hits.withColumn("orientation", kind)
+    counts = rows.groupBy("source", "orientation").agg(F.count("*").alias("n"), F.min("pos").alias("first"), F.max("pos").alias("last"))
+    medians = percentiles(rows, "pos", {"median": 0.5}, ("source", "orientation")).withColumnsRenamed({"source": "_source", "orientation": "_kind"})
+    same = F.col("source").eqNullSafe(F.col("_source")) & (F.col("orientation") == F.col("_kind"))
+    return counts.join(medians, same).select("source", "orientation", "n", "first", "median", "last")
 
 
 def rate_class(rate) -> F.Column:

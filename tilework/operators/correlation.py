@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from tilework.functions.columns import finite
 
+from .quantiles import average_ranks
+from .shared import written
+
 
 def average_rank(keys: Sequence[str], value: str) -> Column:
     """Rank within a group, ties sharing their mean rank."""
@@ -32,28 +35,17 @@ def spearman(df: DataFrame, keys: Sequence[str], a: str = "score", b: str = "rel
     return out.where((F.col("n") >= least) & (F.col("_s") > 0)).drop("_s")
 
 
-def pooled_ranks(df: DataFrame, value: str, name: str, buckets: int = 64, keys: Sequence[str] = ()) -> DataFrame:
-    """Average ranks over all rows (of each of a few ``keys``) without sorting them in one task.
+def pooled_spearman(df: DataFrame, a: str = "score", b: str = "rel", keys: Sequence[str] = ()) -> DataFrame:
+    """``rho, n`` over all finite rows of each group of ``keys``; rho is null where a side is constant.
 
-    Rows are counted by value first; the counts are cut at approximate quantiles into buckets, whose sums (``buckets``
-    numbers a key) give each bucket its offset, and running sums are taken inside buckets.
+    Rows count by pairs of values, ranks come from range partitions (:mod:`quantiles`), and only sums of products of ranks from their
+    middle are taken.
     """
-    counts = df.groupBy(*keys, value).agg(F.count("*").alias("_n"))
-    cuts = sorted(set(df.approxQuantile(value, [i / buckets for i in range(1, buckets)], 0.01) or []))
-    counts = counts.withColumn("_bucket", F.aggregate(F.array(*[F.lit(float(c)) for c in cuts]), F.lit(0), lambda s, c: s + (F.col(value) > c).cast("int")) if cuts else F.lit(0))
-    sums = counts.groupBy(*keys, "_bucket").agg(F.sum("_n").alias("_sum"))
-    sums = sums.withColumn("_offset", F.sum("_sum").over(Window.partitionBy(*keys).orderBy("_bucket")) - F.col("_sum")).drop("_sum")
-    inside = F.sum("_n").over(Window.partitionBy(*keys, "_bucket").orderBy(value)) - F.col("_n")
-    ranks = counts.withColumn("_inside", inside).join(F.broadcast(sums), [*keys, "_bucket"])
-    ranks = ranks.select(*keys, value, (F.col("_offset") + F.col("_inside") + (F.col("_n") + 1) / 2.0).alias(name))
-    return df.join(ranks, [*keys, value])
-
-
-def pooled_spearman(df: DataFrame, a: str = "score", b: str = "rel", keys: Sequence[str] = ()) -> DataFrame:
-    """``rho, n`` over all rows of each of a few ``keys``."""
-    rows = df.where(finite(F.col(a)) & finite(F.col(b)))
-    ranked = pooled_ranks(pooled_ranks(rows, a, "_ra", keys=keys), b, "_rb", keys=keys)
-    return ranked.groupBy(*keys).agg(safe_corr("_ra", "_rb").alias("rho"), F.count("*").alias("n"))
+    pairs = written(df.where(finite(F.col(a)) & finite(F.col(b))).groupBy(*keys, a, b).agg(F.count("*").alias("_pairs")), "pairs")
+    ranked = average_ranks(average_ranks(pairs, a, "_ra", keys, "_pairs", centred=True), b, "_rb", keys, "_pairs", centred=True)
+    x, y, w = F.col("_ra"), F.col("_rb"), F.col("_pairs")
+    sums = ranked.groupBy(*keys).agg(F.sum(w * x * y).alias("_xy"), F.sum(w * x * x).alias("_xx"), F.sum(w * y * y).alias("_yy"), F.coalesce(F.sum(w), F.lit(0)).alias("n"))
+    return sums.select(*keys, (F.col("_xy") / F.nullif(F.sqrt(F.col("_xx") * F.col("_yy")), F.lit(0.0))).alias("rho"), "n")
 
 
 def regression_errors(df: DataFrame, keys: Sequence[str] = (), y: str = "y", p: str = "prediction") -> DataFrame:

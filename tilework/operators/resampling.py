@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 from tilework.functions.columns import unit_hash
 
+from .quantiles import percentiles
+
 
 #: Targets that are drawn from in one task.
 BLOCK = 65_536
@@ -95,8 +97,12 @@ def paired_bootstrap(df: DataFrame, value: str, key: str, method: str, base, rep
 
 def value_interval(df: DataFrame, value: str, groups: Sequence[str] = ()) -> DataFrame:
     """Mean with the 2.5 and 97.5 percentiles of the values themselves."""
-    e = F.percentile(value, F.array(F.lit(0.025), F.lit(0.975)))
-    return df.groupBy(*groups).agg(F.avg(value).alias("mean"), e[0].alias("lo"), e[1].alias("hi"), F.count(value).alias("n"))
+    whole = df.groupBy(*groups).agg(F.avg(value).alias("mean"), F.count(value).alias("n"))
+    ends = percentiles(df, value, {"lo": 0.025, "hi": 0.975}, groups)
+    if not groups:
+        return whole.crossJoin(ends).select("mean", "lo", "hi", "n")  # one row each
+    ends = ends.withColumnsRenamed({g: f"_{g}" for g in groups})
+    return whole.join(ends, [F.col(g).eqNullSafe(F.col(f"_{g}")) for g in groups]).select(*groups, "mean", "lo", "hi", "n")
 
 
 def permutation_test(ranked: DataFrame, key: str = "record_id", replicates: int = 5000, seed: int = 0, rows_a_part: int = 100_000) -> DataFrame:

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .quantiles import percentiles
+
 
 def source_map(df: DataFrame) -> DataFrame:
     """Per target: category, rows, paired rows, characterised rows, first and last tile."""
@@ -21,7 +23,8 @@ def dataset_summary(df: DataFrame) -> DataFrame:
 def group_sizes(df: DataFrame, key: str = "target_id") -> DataFrame:
     n = F.col("n")
     sizes = df.groupBy(key).agg(F.count("*").alias("n"))
-    return sizes.agg(F.count("*").alias("groups"), F.min(n).alias("low"), F.percentile(n, F.lit(0.5)).alias("median"), F.avg(n).alias("mean"), F.percentile(n, F.lit(0.95)).alias("p95"), F.max(n).alias("high"), F.count_if(n >= 100).alias("n_100"), F.count_if(n >= 10).alias("n_10"))
+    ends = sizes.agg(F.count("*").alias("groups"), F.min(n).alias("low"), F.avg(n).alias("mean"), F.max(n).alias("high"), F.count_if(n >= 100).alias("n_100"), F.count_if(n >= 10).alias("n_10"))
+    return ends.crossJoin(percentiles(sizes, "n", {"median": 0.5, "p95": 0.95})).select("groups", "low", "median", "mean", "p95", "high", "n_100", "n_10")  # one row each
 
 
 def reject_reason(source, identifier, tile) -> F.Column:
@@ -41,8 +44,7 @@ def value_counts(df: DataFrame, *keys: str) -> DataFrame:
 def quantile_profile(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = (), qs: Sequence[float] = (0.1, 0.5, 0.9)) -> DataFrame:
     """One row per key and column with its quantiles."""
     long = df.select(*keys, F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("v")) for c in columns])).alias("x")).select(*keys, "x.name", "x.v")
-    e = F.percentile("v", F.array(*[F.lit(float(q)) for q in qs]))
-    return long.groupBy(*keys, "name").agg(*[e[i].alias(f"p{round(q * 100)}") for i, q in enumerate(qs)])
+    return percentiles(long, "v", {f"p{round(q * 100)}": q for q in qs}, (*keys, "name"))
 
 
 def threshold_shares(df: DataFrame, column: str, cuts: Sequence[float], keys: Sequence[str] = ()) -> DataFrame:
@@ -63,8 +65,9 @@ def by_group_and_all(df: DataFrame, keys: Sequence[str], group: str, *aggregates
 def success_profile(df: DataFrame) -> DataFrame:
     """Pooled success rate, mean and median of per-target rates, and targets with a success."""
     per = df.groupBy("target_id").agg(F.sum("success").alias("s"), F.count("*").alias("n"))
-    r = F.col("s") / F.col("n")
-    return per.agg((F.sum("s") / F.sum("n")).alias("pooled"), F.avg(r).alias("mean_rate"), F.percentile(r, F.lit(0.5)).alias("median_rate"), F.count_if(F.col("s") > 0).alias("targets_with_success"), F.count("*").alias("targets"))
+    per = per.withColumn("r", F.col("s") / F.col("n"))
+    rates = per.agg((F.sum("s") / F.sum("n")).alias("pooled"), F.avg("r").alias("mean_rate"), F.count_if(F.col("s") > 0).alias("targets_with_success"), F.count("*").alias("targets"))
+    return rates.crossJoin(percentiles(per, "r", {"median_rate": 0.5})).select("pooled", "mean_rate", "median_rate", "targets_with_success", "targets")  # one row each
 
 
 def histogram(df: DataFrame, value: str, bins: int) -> DataFrame:

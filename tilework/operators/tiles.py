@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from tilework.functions.sequences import occurrences, overlap
 
+from .quantiles import percentiles
+
 
 def adjacent(df: DataFrame, sequence: str = "trigger") -> DataFrame:
     """Each window with the next of its target: ``next_tile, next_seq``."""
@@ -23,7 +25,8 @@ def adjacent_identity(df: DataFrame, sequence: str = "trigger", length: int = 30
 def identity_profile(df: DataFrame) -> DataFrame:
     i = F.col("identity")
     share = lambda x: F.avg((i >= x).cast("int"))
-    return df.agg(F.count("*").alias("n"), F.avg(i).alias("mean"), F.percentile(i, F.lit(0.5)).alias("median"), F.min(i).alias("low"), F.max(i).alias("high"), share(0.5).alias("share50"), share(0.8).alias("share80"), share(1.0).alias("share100"))
+    shares = df.agg(F.count("*").alias("n"), F.avg(i).alias("mean"), F.min(i).alias("low"), F.max(i).alias("high"), share(0.5).alias("share50"), share(0.8).alias("share80"), share(1.0).alias("share100"))
+    return shares.crossJoin(percentiles(df, "identity", {"median": 0.5})).select("n", "mean", "median", "low", "high", "share50", "share80", "share100")  # one row each
 
 
 def tiling_step(df: DataFrame) -> DataFrame:

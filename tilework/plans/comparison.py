@@ -144,3 +144,11 @@ def paired_bootstrap(spark, d) -> DataFrame:
     m = ranking.target_metrics(views.methods(views.candidates(spark, d)), ("method", "target_id"))
     out = resampling.paired_bootstrap(m, "ndcg10", "target_id", "method", "random")
     return out.select("method", *[r6(c).alias(c) for c in ("mean", "lo", "hi")], "n")
+
+
+@query(f"""WITH {CANDIDATES}, {SPLIT}, r AS (SELECT split, rank() OVER (PARTITION BY split ORDER BY score) + (count(*) OVER (PARTITION BY split, score) - 1) / 2.0 AS ra, rank() OVER (PARTITION BY split ORDER BY rel) + (count(*) OVER (PARTITION BY split, rel) - 1) / 2.0 AS rb FROM cand JOIN split USING (target_id))
+SELECT split, round(covar_pop(ra, rb) / nullif(stddev_pop(ra) * stddev_pop(rb), 0), 6) AS rho, count(*) AS n FROM r GROUP BY split""")
+def train_test_rho(spark, d) -> DataFrame:
+    """Rank correlation over all candidates of each side of the split by targets: one method, train against test."""
+    c = views.candidates(spark, d)
+    return correlation.pooled_spearman(c.join(splits.group_disjoint(c), "target_id"), keys=("split",)).select("split", r6("rho").alias("rho"), "n")
