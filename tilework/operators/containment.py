@@ -124,9 +124,3 @@ def best_reference(rates: DataFrame, first_good: bool = False) -> DataFrame:
     good = F.when(F.col("rate") >= 0.9, 0).otherwise(1) if first_good else F.lit(0)
     order = Window.partitionBy("source").orderBy(good, *([F.when(good == 0, F.col("accession"))] if first_good else []), F.desc("rate"), "accession")
     return rates.withColumn("_rn", F.row_number().over(order)).where("_rn = 1").drop("_rn").withColumn("status", rate_class(F.col("rate")))
-
-
-def agreement(one: DataFrame, other: DataFrame) -> DataFrame:
-    """Two attributions of the same sequences: rates of equal category and equal target over the joined rows."""
-    both = one.select("sequence", F.col("category").alias("c1"), F.col("target").alias("t1")).join(other.select("sequence", F.col("category").alias("c2"), F.col("target").alias("t2")), "sequence")
-    return both.agg(F.avg((F.col("c1") == F.col("c2")).cast("int")).alias("category_rate"), F.avg((F.col("t1") == F.col("t2")).cast("int")).alias("target_rate"), F.count("*").alias("n"))

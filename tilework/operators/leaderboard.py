@@ -41,3 +41,10 @@ def leaderboard(metrics: DataFrame, ks: Sequence[int] = (1, 3, 5), replicates: i
     names = [*[f"success_at_{k}" for k in ks], "ndcg10", "regret10"]
     out = resampling.bootstrap_means(metrics, names, "target_id", ("method",), replicates)
     return out.select("method", *[F.round(f"{c}_{x}", digits).alias(f"{c}_{x}") for c in names for x in ("mean", "lo", "hi")], "n")
+
+
+def over_seeds(scored: DataFrame, ks: Sequence[int] = (1, 3, 5)) -> DataFrame:
+    """Per-target metrics of each method as means over its seeds; ``scored`` has method and seed."""
+    runs = ranking.target_metrics(scored, ("method", "seed", "target_id"), ks)
+    names = [*[f"success_at_{k}" for k in ks], "ndcg10", "regret10"]
+    return runs.groupBy("method", "target_id").agg(*[F.avg(c).alias(c) for c in names])

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.ml import Pipeline
 from pyspark.ml.feature import VectorAssembler
@@ -50,8 +50,14 @@ def composition_regressor(df: DataFrame, sequence: str, y: str, trees: int = 20,
     return model.transform(rows)
 
 
-def sequence_regressor(df: DataFrame, sequence: str, y: str, extra: Sequence[str] = (), lenient: bool = False, length: int = 30) -> DataFrame:
-    """Linear regression on one-hot letters, with further numeric columns if named; fitted on train rows."""
-    rows = df.withColumn("_letters", array_to_vector(one_hot(F.col(sequence), length, lenient).cast("array<double>")))
+def sequence_model(train: DataFrame, sequence: str, y: str, extra: Sequence[str] = (), lenient: bool = False, length: int = 30) -> Callable[[DataFrame], DataFrame]:
+    """Linear regression on one-hot letters, with further numeric columns if named: a function that adds ``prediction``."""
+    letters = array_to_vector(one_hot(F.col(sequence), length, lenient).cast("array<double>"))
     pipeline = Pipeline(stages=[VectorAssembler(inputCols=["_letters", *extra], outputCol="features"), LinearRegression(featuresCol="features", labelCol=y, regParam=0.01)])
-    return pipeline.fit(rows.where("split = 'train'")).transform(rows)
+    model = pipeline.fit(train.withColumn("_letters", letters))
+    return lambda df: model.transform(df.withColumn("_letters", letters)).drop("_letters", "features")
+
+
+def sequence_regressor(df: DataFrame, sequence: str, y: str, extra: Sequence[str] = (), lenient: bool = False, length: int = 30) -> DataFrame:
+    """:func:`sequence_model` fitted on train rows; predictions for all rows."""
+    return sequence_model(df.where("split = 'train'"), sequence, y, extra, lenient, length)(df)

@@ -101,3 +101,11 @@ def candidate_budget(df: DataFrame, valid: str, ks: Sequence[int]) -> DataFrame:
     ranked = rank_candidates(df).withColumn("_turn", turn)
     ok = F.col(valid) & (F.col("_turn") == 1) & (F.col("success") == 1)
     return ranked.groupBy("target_id").agg(*[F.max(F.when((F.col("rn") <= k) & ok, 1).otherwise(0)).alias(f"success_at_{k}") for k in ks], F.avg(F.col(valid).cast("int")).alias("valid_rate"))
+
+
+def budget_costs(per_target: DataFrame, hit: str, k: int, context: str) -> DataFrame:
+    """``hits, spent, cost_per_hit, context_gap``: entries spent (``k`` a target, or all it has), entries for each hit, and the
+    difference of the hit rates of the best and the worst context. ``per_target`` has the hits, n and the context."""
+    rates = per_target.groupBy(context).agg(F.avg(hit).alias("r")).agg((F.max("r") - F.min("r")).alias("context_gap"))
+    whole = per_target.agg(F.sum(hit).cast("long").alias("hits"), F.sum(F.least(F.col("n"), F.lit(k))).cast("long").alias("spent"))
+    return whole.withColumn("cost_per_hit", F.col("spent") / F.nullif(F.col("hits"), F.lit(0))).crossJoin(rates)  # one row each

@@ -519,4 +519,4 @@ def sequence_model_rows(spark, d):
     return correlation.regression_errors(models.sequence_regressor(splits.row_random(turns.where("length(trigger) = 30")), "trigger", "y"), ("split",))
 
 
-from . import comparison  # noqa: E402, F401  registers its queries
+from . import audit, comparison  # noqa: E402, F401  register their queries
