@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from tilework.functions import columns as C
 from tilework.functions import sequences as S
-from tilework.operators import attribution, containment, correlation, leaderboard, quantiles, ranking, splits, tiles, transfer
+from tilework.operators import attribution, containment, correlation, leaderboard, quantiles, ranking, resampling, splits, summaries, tiles, transfer
 
 from . import comparison, views
-from .queries import CANDIDATES, HITS_IN_SOURCE, ITEMS, PER_TARGET, RANKED, RAW, RC, SEQ, SPLIT, SQL, WORD, _hash, _letters, query, r6
+from .queries import CANDIDATES, HITS_IN_SOURCE, ITEMS, METHODS, PER_TARGET, RANKED, RAW, RC, RHO, SEQ, SPLIT, SQL, WORD, _hash, _letters, query, r6
 
 
 @query(f"""WITH {HITS_IN_SOURCE}, best AS (SELECT *, row_number() OVER (PARTITION BY record_id ORDER BY accession) AS rn FROM hits)
@@ -154,3 +154,54 @@ def canonical_windows(spark, d) -> DataFrame:
     c = views.canonical(spark, d).where("reason is null and status <> 'excluded_no_label' and category <> 'human_TF'")
     start, end = C.relative_window(F.col("tile"), C.stride(F.col("category")), F.col("target_id"))
     return splits.held_out_group(c, "category", ["random"]).select("raw_id", "split", C.relabelled_status(F.col("status")).alias("status"), start.alias("window_start"), end.alias("window_end"))
+
+
+@query(f"""WITH {CANDIDATES}, {METHODS}, {RHO} SELECT method, round(min(rho), 6) AS low, round(quantile_cont(rho, 0.025), 6) AS p2_5, round(quantile_cont(rho, 0.5), 6) AS median, round(quantile_cont(rho, 0.975), 6) AS p97_5, round(max(rho), 6) AS high, round(stddev_pop(rho), 6) AS std, count(rho) AS n FROM rhos GROUP BY method""")
+def rho_spread(spark, d) -> DataFrame:
+    """Spread of the per-target correlations, beside that of seeded random scores."""
+    rho = correlation.spearman(views.methods(views.candidates(spark, d)), ("method", "target_id"))
+    ends = quantiles.percentiles(rho, "rho", {"low": 0.0, "p2_5": 0.025, "median": 0.5, "p97_5": 0.975, "high": 1.0}, ("method",))
+    spread = summaries.value_spread(rho, "rho", ("method",))
+    return ends.join(spread, "method").select("method", *[r6(c).alias(c) for c in ("low", "p2_5", "median", "p97_5", "high", "std")], "n")
+
+
+@query(f"WITH {RAW} SELECT category, status, count(*) AS n FROM full_ GROUP BY ALL")
+def status_counts(spark, d) -> DataFrame:
+    """Records by category and admission status."""
+    return summaries.value_counts(views.canonical(spark, d), "category", "status")
+
+
+@query(f"WITH {CANDIDATES} SELECT target_id, round(avg((rel >= 0)::INT), 6) AS ge_0, round(avg((rel >= 0.5)::INT), 6) AS ge_1 FROM cand GROUP BY target_id")
+def threshold_profile(spark, d) -> DataFrame:
+    """Shares of each target's candidates over thresholds of relevance."""
+    shares = summaries.threshold_shares(views.candidates(spark, d), "rel", [0.0, 0.5], ("target_id",))
+    return shares.select("target_id", r6("ge_0").alias("ge_0"), r6("ge_1").alias("ge_1"))
+
+
+@query(f"""WITH {CANDIDATES}, h AS (SELECT DISTINCT target_id, CASE WHEN {_hash(0, 'record_id')} < 0.8 THEN 'train' ELSE 'test' END AS split FROM cand), both_ AS (SELECT target_id FROM h GROUP BY target_id HAVING count(*) = 2),
+k AS (SELECT target_id, row_number() OVER (ORDER BY {_hash(1, 'target_id::VARCHAR')}, target_id) AS place, count(*) OVER () AS n FROM (SELECT DISTINCT target_id FROM cand)), g AS (SELECT CASE WHEN place <= floor(n * 0.8::DOUBLE) THEN 'train' ELSE 'test' END AS split, count(*) AS targets FROM k GROUP BY 1)
+SELECT 'row' AS split_type, 'test-train' AS pair, count(*) AS shared, (SELECT targets FROM g WHERE split = 'train') AS train_targets, (SELECT targets FROM g WHERE split = 'test') AS test_targets FROM both_""")
+def split_overlaps(spark, d) -> DataFrame:
+    """Targets in both sides of an 80/20 split by rows, beside the sizes of the 80/20 split by targets, which shares none."""
+    c = views.candidates(spark, d)
+    shared = splits.pair_overlaps(splits.row_random(c, train=0.8)).select(F.lit("row").alias("split_type"), "pair", F.col("n").alias("shared"))
+    by_target = splits.assert_disjoint(c.join(splits.group_disjoint(c, train=0.8, val=0.0, seed=1), "target_id"))
+    sizes = splits.manifest(by_target).agg(*[F.max(F.when(F.col("split") == s, F.col("targets"))).alias(f"{s}_targets") for s in ("train", "test")])
+    return shared.crossJoin(sizes)  # one row each
+
+
+@query(f"""WITH {CANDIDATES}, r AS (SELECT target_id, record_id, success, row_number() OVER (PARTITION BY target_id ORDER BY {_hash(5, 'target_id::VARCHAR', 'record_id')}, record_id) AS rn FROM cand)
+SELECT target_id, record_id AS first, success FROM r WHERE rn = 1""")
+def shuffled_first(spark, d) -> DataFrame:
+    """The first candidate of each target in a seeded random order."""
+    r = resampling.shuffled_rank(views.candidates(spark, d), seed=5)
+    return r.where("rn = 1").select("target_id", F.col("record_id").alias("first"), "success")
+
+
+@query("""WITH s AS (SELECT l_partkey AS target_id, CASE WHEN l_returnflag = 'R' THEN 0.0 WHEN l_returnflag = 'A' THEN l_extendedprice END AS a, CASE WHEN l_linestatus = 'F' THEN l_tax END AS b FROM lineitem)
+SELECT target_id, round(sum(coalesce(nullif(a, 0), b, 0)), 3) AS zero_missing, round(sum(coalesce(a, b, 0)), 3) AS null_missing, round(sum(coalesce(a, 0)), 3) AS first_only, round(sum(coalesce(nullif(a, 0), nullif(b, 0), 0)), 3) AS chain FROM s GROUP BY target_id""")
+def fallback_scores(spark, d) -> DataFrame:
+    """Sum of scores of each target under the four rules of what counts as missing."""
+    first = F.when(F.col("l_returnflag") == "R", 0.0).when(F.col("l_returnflag") == "A", F.col("l_extendedprice"))
+    second = F.when(F.col("l_linestatus") == "F", F.col("l_tax"))
+    return views.table(spark, d, "lineitem").groupBy(F.col("l_partkey").alias("target_id")).agg(*[F.round(F.sum(C.fallback_score(first, second, m)), 3).alias(m) for m in ("zero_missing", "null_missing", "first_only", "chain")])
