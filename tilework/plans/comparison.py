@@ -91,7 +91,7 @@ def long_references(spark, d) -> DataFrame:
     return docs.where("n >= 3000").groupBy("source", "name").agg(F.count("*").alias("refs"), F.max("n").cast("long").alias("longest"))
 
 
-IDENT = "concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey)"
+IDENT = "concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity::INT)"
 BOARD = f"""lab AS (SELECT *, on_ - off_ AS rel, CASE WHEN on_ >= 0.5 AND off_ <= 0.5 THEN 1 ELSE 0 END AS success, translate(record_id, '0123456789-', 'ACGTACGTAC') AS trigger FROM
   (SELECT l_partkey AS target_id, {IDENT} AS record_id, CASE WHEN l_tax > 0 THEN l_quantity / 50 END AS on_, CASE WHEN l_discount > 0 THEN l_discount * 10 END AS off_, CASE WHEN l_returnflag = 'R' THEN 0.0 ELSE l_extendedprice END AS salis, l_tax * 1000 AS mfe_off FROM lineitem)),
 ok AS (SELECT * FROM lab WHERE on_ IS NOT NULL AND off_ IS NOT NULL AND rel IS NOT NULL),

@@ -23,11 +23,15 @@ def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _line_id() -> Column:
+    return F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.col("l_quantity").cast("int"))
+
+
 def labelled_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Candidates of which some lack a label, with their status and what built-in scorers read."""
     d = table(spark, sf_dir, "lineitem")
     on, off = F.when(F.col("l_tax") > 0, F.col("l_quantity") / 50), F.when(F.col("l_discount") > 0, F.col("l_discount") * 10)
-    ident = F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    ident = _line_id()
     return d.select(
         F.col("l_partkey").alias("target_id"), ident.alias("record_id"), on.alias("on"), off.alias("off"), (on - off).alias("rel"), C.success(on, off).alias("success"), C.admission_status(on, off).alias("status"),
         F.translate(ident, "0123456789-", "ACGTACGTAC").alias("trigger"), F.when(F.col("l_returnflag") == "R", 0.0).otherwise(F.col("l_extendedprice")).alias("salis"), (F.col("l_tax") * 1000).alias("mfe_off"),
@@ -37,7 +41,7 @@ def labelled_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def submissions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A submitted method that scores the first lines of orders only, some of them twice."""
     d = table(spark, sf_dir, "lineitem").where("l_linenumber <= 4")
-    one = d.select(F.lit("submitted").alias("method"), F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("record_id"), (F.col("l_quantity") - F.col("l_discount") * 100).alias("score"))
+    one = d.select(F.lit("submitted").alias("method"), _line_id().alias("record_id"), (F.col("l_quantity") - F.col("l_discount") * 100).alias("score"))
     return one.unionByName(one.where("score > 30").withColumn("score", F.col("score") / 2))
 
 
