@@ -1,3 +1,4 @@
+import math
 import random
 import re
 
@@ -221,7 +222,7 @@ def test_wide_groups_against_all_pairs(spark):
             for _ in range(r.randint(0, 6)):
                 copy[r.randint(0, 149)] = f"x{r.randint(0, 300)}"
             texts.append(" ".join(copy))
-    sets = [simhash_wide.shingles(t) for t in texts]
+    sets = [{" ".join(t.split()[i : i + 5]) for i in range(146)} for t in texts]
     group = list(range(len(texts)))
     for i in range(len(texts)):
         for j in range(i):
@@ -230,3 +231,33 @@ def test_wide_groups_against_all_pairs(spark):
                 group = [a if g == b else g for g in group]
     got = {x.doc_id: x.component_id for x in simhash_wide.near_copy_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
     assert [got[i] for i in range(len(texts))] == group
+
+
+def test_wide_positional_bytes():
+    """Pairs at 0.8 pass the count of equal bytes but for a chance of 1e-5, and most of those at 0.7 don't."""
+    for union in (5, 10, 50, 200, 330, 700, 3000):
+        for filled in sorted({min(union, 3), min(union, 20), min(union, 120), round(128 * (1 - (1 - 1 / 128) ** union)), round(512 * (1 - (1 - 1 / 512) ** union)), min(union, 512)}):
+            both = union * 4 // 5
+            least = float(simhash_wide.least_equal(np.array([filled]), np.array([union + both]))[0])
+            under = sum(math.comb(both, k) * math.comb(union - both, filled - k) for k in range(filled + 1) if k < least)
+            assert under / math.comb(union, filled) < 1e-5
+    r = np.random.default_rng(3)
+    for similarity in (0.8, 0.7):
+        both = int(400 * similarity)
+        rows = []
+        for _ in range(300):
+            h = r.integers(0, 2**64, 400, np.uint64)
+            one, other = np.sort(h[: both + (400 - both) // 2]), np.sort(np.concatenate([h[:both], h[both + (400 - both) // 2 :]]))
+            rows.append((simhash_wide.binned(one), simhash_wide.binned(other)))
+        a, b = (np.array(x) for x in zip(*rows))
+        share = simhash_wide.likely(a, b, np.full(300, 400 + both)).mean()
+        assert share == 1 if similarity == 0.8 else share < 0.2
+    assert not simhash_wide.binned(np.zeros(0, np.uint64)).any()
+
+
+def test_wide_shingles_of_long_texts():
+    words = [f"w{i % 70001}" for i in range(140_000)]
+    text = " \t".join(words).upper()
+    plain = {xxhash.xxh64_intdigest(" ".join(words[i : i + 5]), simhash_wide.SEED) for i in range(len(words) - 4)}
+    assert simhash_wide.shingle_hashes(text).tolist() == sorted(plain)
+    assert len(simhash_wide.shingle_hashes("a b")) == 1 and len(simhash_wide.shingle_hashes(" \n")) == len(simhash_wide.shingle_hashes(None)) == 0
