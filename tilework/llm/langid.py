@@ -4,14 +4,12 @@ Document frequencies are counted over all training rows. Weights are learnt by f
 elastic-net penalties on a bounded sample (``SAMPLE`` rows by hash) in shards that are averaged; a temperature is then
 fitted on a tenth of the sample that took no part. Whole texts are read in pieces of a million characters.
 
-Only text and the language of training rows are learnt from. A null text or one without a letter is ``und`` with score 1;
+Only text and the language of training rows are learnt from. A null text or one without a letter (a character of Unicode's category L) is ``und`` with score 1;
 without any training row every text is ``und``; repeated rows are predicted alike; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -21,7 +19,6 @@ from . import common
 from .linear import gram_counts, sampled, softmax, train
 
 ORDERS, BITS, SAMPLE = (1, 2, 3), 15, 6000
-LETTER = re.compile(r"[^\W\d_]")
 
 
 def counts(text: str) -> np.ndarray:
@@ -66,7 +63,7 @@ class Model:
         return x @ self.weights[at]
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        if not text or not self.langs or not LETTER.search(text):
+        if not text or not self.langs or not any(map(str.isalpha, text)):
             return "und", 1.0
         p = softmax(self.logits(text) / self.temperature)
         k = int(p.argmax())
