@@ -3,7 +3,7 @@ import os
 import numpy as np
 import pytest
 
-from tilework.llm import common, crf, langid, quality
+from tilework.llm import common, crf, langid, linear, quality
 
 SF = "/root/testdata/sf0.01"
 tables = pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
@@ -25,15 +25,22 @@ def test_language(spark):
 
 def test_language_edges(spark):
     rows = [(i, t, l) for i in range(40) for t, l in ((f"the cat and the dog {i}", "en"), (f"der hund und die katze {i}", "de"))]
-    docs = spark.createDataFrame([(k, t, l, "x") for k, (i, t, l) in enumerate(rows)] + [(900, None, "en", "x"), (901, "", None, "x"), (902, "12 !?", "de", "x"), (903, "the dog and", None, "x"), (904, "z" * 300_000, None, "x")], "doc_id long, text string, lang string, score string")
+    docs = spark.createDataFrame([(k, t, l, "x") for k, (i, t, l) in enumerate(rows)] + [(900, None, "en", "x"), (901, "", None, "x"), (902, "12 !?", "de", "x"), (903, "the dog and", None, "x"), (904, "z" * 300_000, None, "x"), (905, "½ ² Ⅷ _", "de", "x")], "doc_id long, text string, lang string, score string")
     got = {r.doc_id: r for r in langid.language_id(docs).collect()}
-    assert len(got) == 85 and got[900].lang_pred == got[901].lang_pred == got[902].lang_pred == "und"
+    assert len(got) == 86 and {got[i].lang_pred for i in (900, 901, 902, 905)} == {"und"}
     assert got[903].lang_pred == "en" and got[904].lang_pred in ("en", "de")
     nothing = langid.language_id(docs.selectExpr("doc_id", "text", "cast(null as string) as lang")).collect()
     assert {r.lang_pred for r in nothing} == {"und"}
     assert langid.language_id(docs.limit(0)).count() == 0
 
 
+def test_samples_of_any_table(spark):
+    """A bound under a millionth of the rows still draws about so many, and a bound over all rows draws all."""
+    rows = spark.range(50_000_000)
+    assert 5 <= linear.sampled(rows, "id", 20, 17).count() <= 45
+    assert linear.sampled(rows.limit(7), "id", 20, 17).count() == 7
+
+
 def test_chain_marginals_against_enumeration():
     from itertools import product
 
