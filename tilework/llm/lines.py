@@ -1,10 +1,15 @@
 """Line deduplication by a log-template tree of fixed depth.
 
 A line is normalised (runs of blanks become one space, every token holding a digit becomes ``<*>``) and routed by its
-token count and its first ``depth`` tokens to a leaf. A leaf holds any number of templates. A token's support is the number of
-documents, summed over the leaf's distinct lines, that have it at its position. A line's templates keep its fields in the order of
-their support, cut at each value of it, and generalise the rest, as long as at least ``similarity`` of all fields are kept and have a
-support of ``least``; so a template is shared by lines that agree in all it keeps. A template is recurring if its lines are in ``least``
+token count and its first ``depth`` tokens to a leaf. A leaf holds any number of templates. The tree goes one level below the
+leading tokens: a leaf's lines are one group, and the fields after the leading tokens are dealt to ``BLOCKS`` blocks of neighbouring
+fields (one field each, if there are no more), of which each makes a group of the lines that agree in it. A line is in up to
+``BLOCKS`` + 1 groups, and groups count if they recur as a template must. A token's support in a group is the number of documents, summed
+over the group's distinct lines, that have it at its position. A line's templates keep its fields in the order of
+their support in one of its groups, cut at each value of it, and generalise the rest, as long as at least ``similarity`` of all fields are
+kept and have a support of ``least``; so a template is shared by lines that agree in all it keeps. A value that other families of
+the leaf share can not hide a family's template: in a block that all its lines agree in, only they (and what equals them there) count, and there is one if the
+variable fields leave one block free (always, for up to ``BLOCKS`` - 1 of them). A template is recurring if its lines are in ``least``
 documents (summed over its distinct lines) and in two different ones at least: ``least`` is ``min_docs``, and two
 for lines of ``PAIR_TOKENS`` tokens or more, which are no chance. A line belongs to the most general of its recurring templates, and goes
 from every document but the template's smallest id, so that one copy of a shared passage stays.
@@ -28,6 +33,8 @@ from . import common
 DEPTH, MIN_DOCS, MIN_TOKENS, SIMILARITY = 3, 3, 4, 0.8
 #: Lines of so many tokens recur from two documents on.
 PAIR_TOKENS = 10
+#: Blocks of fields below a leaf's leading tokens.
+BLOCKS = 8
 
 
 def normalised(docs: DataFrame) -> DataFrame:
@@ -66,13 +73,21 @@ def recurring_lines(at: DataFrame, depth: int, min_docs: int, similarity: float)
     sizes = common.written(sizes.select("leaf"), "open-leaves")
     exact = held.where(often).join(sizes, "leaf", "left_anti").select("line_key", "first_doc")
 
-    # The support of each field; the first tokens are those of the leaf.
-    tokens = F.posexplode(F.slice(F.split("line", " "), depth + 1, F.greatest(F.col("n") - depth, F.lit(0)))).alias("pos", "token")
-    fields = held.join(sizes, "leaf").select("leaf", "least", "n", "line_key", "weight", tokens).withColumn("token", F.xxhash64("pos", "token"))
-    support = fields.groupBy("leaf", "least", "token").agg(F.sum("weight").alias("support")).where("support >= least").select("leaf", "token", "support")
+    # The groups of a leaf: all its lines (0), and those that agree in a block of fields. Groups of the same lines count once, and
+    # a single line's only template is the line itself, which the leaf's group has too. The first tokens are those of the leaf.
+    tokens = F.transform(F.slice(F.split("line", " "), depth + 1, F.greatest(F.col("n") - depth, F.lit(0))), lambda t, i: F.xxhash64(i, t))
+    edge = lambda k: F.floor(F.size("tokens") * k / BLOCKS).cast("int")
+    block = [F.when(edge(k) < edge(k + 1), F.xxhash64(F.lit(k), F.slice("tokens", edge(k) + 1, edge(k + 1) - edge(k)))) for k in range(BLOCKS)]
+    members = held.join(sizes, "leaf").withColumn("tokens", tokens).withColumn("block", F.explode(F.array_compact(F.array(F.lit(0).cast("long"), *block))))
+    groups = members.groupBy("leaf", "least", "block").agg(*total, F.count("*").alias("lines"), F.bit_xor("line_key").alias("same")).where(often & (F.col("lines") > 1))
+    groups = common.written(groups.groupBy("leaf", "lines", "same").agg(F.min("block").alias("block")).select("leaf", "block"), "line-groups")
+
+    # The support of each field in each group.
+    fields = members.join(groups, ["leaf", "block"]).withColumn("group", F.xxhash64("leaf", "block")).select("group", "least", "n", "line_key", "weight", F.explode("tokens").alias("token"))
+    support = fields.groupBy("group", "least", "token").agg(F.sum("weight").alias("support")).where("support >= least").select("group", "token", "support")
     # What a line keeps at each cut: how many fields, and their hashes in one.
-    cut = Window.partitionBy("line_key").orderBy(F.desc("support"))
-    kept = fields.join(support, ["leaf", "token"]).select("line_key", "n", "token", "support")
+    cut = Window.partitionBy("group", "line_key").orderBy(F.desc("support"))
+    kept = fields.join(support, ["group", "token"]).select("group", "line_key", "n", "token", "support")
     kept = kept.select("line_key", "n", F.count("*").over(cut).alias("kept"), F.bit_xor("token").over(cut).alias("hash"))
     kept = kept.where(F.col("kept") + F.least(F.lit(depth), F.col("n")) >= F.lit(similarity) * F.col("n")).select("line_key", "kept", "hash").distinct()
     lines = held.join(sizes, "leaf").select("leaf", "least", "line_key", "weight", "first_doc", "last_doc")
@@ -114,15 +129,21 @@ held AS (
          count(DISTINCT doc_id) AS weight, min(doc_id) AS first_doc, max(doc_id) AS last_doc
   FROM eligible GROUP BY ALL),
 leaves AS (SELECT n, lead FROM held GROUP BY n, lead, least HAVING sum(weight) >= least AND min(first_doc) < max(last_doc)),
-fields AS (SELECT *, unnest(string_split(line, ' ')) AS token, unnest(range(n)) AS pos FROM held JOIN leaves USING (n, lead)),
-supports AS (SELECT n, lead, pos, token, sum(weight) AS support FROM fields GROUP BY n, lead, least, pos, token HAVING sum(weight) >= least),
-kept AS (SELECT f.*, s.support FROM fields f JOIN supports s USING (n, lead, pos, token)),
+blocks AS (SELECT *, unnest(range(-1, {BLOCKS})) AS k FROM held JOIN leaves USING (n, lead)),
+members AS (
+  SELECT *, CASE WHEN k < 0 THEN '' ELSE array_to_string(string_split(line, ' ')[{DEPTH} + k * (n - {DEPTH}) // {BLOCKS} + 1 : {DEPTH} + (k + 1) * (n - {DEPTH}) // {BLOCKS}], ' ') END AS block
+  FROM blocks WHERE k < 0 OR k * (n - {DEPTH}) // {BLOCKS} < (k + 1) * (n - {DEPTH}) // {BLOCKS}),
+shared AS (SELECT n, lead, k, block FROM members GROUP BY n, lead, least, k, block HAVING sum(weight) >= least AND min(first_doc) < max(last_doc)),
+fields AS (SELECT *, unnest(string_split(line, ' ')) AS token, unnest(range(n)) AS pos FROM members JOIN shared USING (n, lead, k, block)),
+supports AS (SELECT n, lead, k, block, pos, token, sum(weight) AS support FROM fields GROUP BY n, lead, least, k, block, pos, token HAVING sum(weight) >= least),
+kept AS (SELECT f.*, s.support FROM fields f JOIN supports s USING (n, lead, k, block, pos, token)),
 cuts AS (
-  SELECT n, lead, line, support AS cut, sum(count(*)) OVER (PARTITION BY n, lead, line ORDER BY support DESC) AS fields
-  FROM kept GROUP BY n, lead, line, support),
-mine AS (
-  SELECT c.n, c.lead, c.line, c.fields, string_agg(k.pos || ' ' || k.token, ' ' ORDER BY k.pos) AS template
-  FROM cuts c JOIN kept k USING (n, lead, line) WHERE c.fields >= {SIMILARITY}::DOUBLE * c.n AND k.support >= c.cut GROUP BY ALL),
+  SELECT n, lead, k, line, support AS cut, sum(count(*)) OVER (PARTITION BY n, lead, k, line ORDER BY support DESC) AS fields
+  FROM kept GROUP BY n, lead, k, line, support),
+every AS (
+  SELECT c.n, c.lead, c.line, c.k, c.cut, c.fields, string_agg(f.pos || ' ' || f.token, ' ' ORDER BY f.pos) AS template
+  FROM cuts c JOIN kept f USING (n, lead, k, line) WHERE c.fields >= {SIMILARITY}::DOUBLE * c.n AND f.support >= c.cut GROUP BY ALL),
+mine AS (SELECT DISTINCT n, lead, line, fields, template FROM every),
 templates AS (
   SELECT n, lead, template, min(first_doc) AS first_doc FROM mine JOIN held USING (n, lead, line)
   GROUP BY n, lead, template, least HAVING sum(weight) >= least AND min(first_doc) < max(last_doc)),
