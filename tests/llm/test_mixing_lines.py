@@ -96,10 +96,11 @@ def test_values_of_other_families_hide_no_template(spark):
     family = [f"Please note the parcel colour is {c} and it waits here" for c in ("red", "blue", "green", "gold")]
     other = [f"Please note the {a} {b} {c} {('red', 'blue', 'green', 'gold')[i % 4]} {a}x {b}x {c}x end" for i in range(40) for a, b, c in [[f"{w}{chr(97 + i % 26)}{chr(97 + i // 26)}" for w in "pqr"]]]
     assert {len(t.split()) for t in family + other} == {11}
-    for more in ([], other):
-        docs = spark.createDataFrame(list(enumerate(family + more)), "doc_id long, text string")
-        got = {r.doc_id for r in lines.line_dedup(docs).collect() if not r.text}
-        assert got == {1, 2, 3}
+    for mine in (family, family * 2):
+        for more in ([], other):
+            docs = spark.createDataFrame(list(enumerate(mine + more)), "doc_id long, text string")
+            got = {r.doc_id for r in lines.line_dedup(docs).collect() if not r.text}
+            assert got == set(range(1, len(mine)))
 
 
 def test_columns_of_any_name(spark):

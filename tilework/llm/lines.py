@@ -1,15 +1,15 @@
 """Line deduplication by a log-template tree of fixed depth.
 
 A line is normalised (runs of blanks become one space, every token holding a digit becomes ``<*>``) and routed by its
-token count and its first ``depth`` tokens to a leaf. A leaf holds any number of templates. The tree goes one level below the
-leading tokens: a leaf's lines are one group, and the fields after the leading tokens are dealt to ``BLOCKS`` blocks of neighbouring
-fields (one field each, if there are no more), of which each makes a group of the lines that agree in it. A line is in up to
-``BLOCKS`` + 1 groups, and groups count if they recur as a template must. A token's support in a group is the number of documents, summed
+token count and its first ``depth`` tokens to a leaf. A leaf holds any number of templates. Its lines are one group. The tree goes one level
+below the leading tokens: the fields after these are dealt to ``BLOCKS`` blocks of neighbouring fields (one field each, if there are no
+more), and the lines that agree in a block are a group too, if one of them is in no recurring template of its leaf's group that
+generalises a field. Groups count if they recur as a template must. A token's support in a group is the number of documents, summed
 over the group's distinct lines, that have it at its position. A line's templates keep its fields in the order of
 their support in one of its groups, cut at each value of it, and generalise the rest, as long as at least ``similarity`` of all fields are
-kept and have a support of ``least``; so a template is shared by lines that agree in all it keeps. A value that other families of
-the leaf share can not hide a family's template: in a block that all its lines agree in, only they (and what equals them there) count, and there is one if the
-variable fields leave one block free (always, for up to ``BLOCKS`` - 1 of them). A template is recurring if its lines are in ``least``
+kept and have a support of ``least``; so a template is shared by lines that agree in all it keeps. Values that other families of
+the leaf share do not hide a family's template: in a block that its lines agree in, only they (and what equals them there) count, and
+there is one if the variable fields leave a block free (always, for up to ``BLOCKS`` - 1 of them). A template is recurring if its lines are in ``least``
 documents (summed over its distinct lines) and in two different ones at least: ``least`` is ``min_docs``, and two
 for lines of ``PAIR_TOKENS`` tokens or more, which are no chance. A line belongs to the most general of its recurring templates, and goes
 from every document but the template's smallest id, so that one copy of a shared passage stays.
@@ -67,34 +67,46 @@ def recurring_lines(at: DataFrame, depth: int, min_docs: int, similarity: float)
     held = at.join(leaves, "leaf").groupBy("leaf", "least", "n", "line_key", "line").agg(F.count_distinct("doc_id").alias("weight"), *span)
     held = common.written(held, "held-lines")
 
-    # Lines that recur as they are need no template, unless other lines of their leaf might share one with them.
+    # The only line of a leaf needs no template.
     total = [F.sum("weight").alias("weight"), F.min("first_doc").alias("first_doc"), F.max("last_doc").alias("last_doc")]
-    sizes = held.groupBy("leaf", "least").agg(*total, F.bool_and(often).alias("plain")).where(often & ~F.col("plain"))
+    sizes = held.groupBy("leaf", "least").agg(*total, F.count("*").alias("lines")).where(often & (F.col("lines") > 1))
     sizes = common.written(sizes.select("leaf"), "open-leaves")
     exact = held.where(often).join(sizes, "leaf", "left_anti").select("line_key", "first_doc")
 
-    # The groups of a leaf: all its lines (0), and those that agree in a block of fields. Groups of the same lines count once, and
-    # a single line's only template is the line itself, which the leaf's group has too. The first tokens are those of the leaf.
+    # The first tokens are those of the leaf. A line keeps its weight and documents in ``lines``, which templates are counted from.
     tokens = F.transform(F.slice(F.split("line", " "), depth + 1, F.greatest(F.col("n") - depth, F.lit(0))), lambda t, i: F.xxhash64(i, t))
+    members = held.join(sizes, "leaf").select("leaf", "least", "n", "line_key", "weight", "first_doc", "last_doc", tokens.alias("tokens"))
+    lines = members.select("leaf", "least", "n", "line_key", "weight", "first_doc", "last_doc")
+    kept = common.written(_templates(members.withColumn("group", F.col("leaf")), lines, depth, similarity), "templates")
+    templates = kept.groupBy("template", "least").agg(*total).where(often).select("template")
+    settled = kept.where(F.col("kept") + depth < F.col("n")).join(templates, "template").select("line_key").distinct()
+
+    # Groups of a block. Groups of the same lines count once, and a single line's only template is the line itself, which the leaf's group has too.
     edge = lambda k: F.floor(F.size("tokens") * k / BLOCKS).cast("int")
-    block = [F.when(edge(k) < edge(k + 1), F.xxhash64(F.lit(k), F.slice("tokens", edge(k) + 1, edge(k + 1) - edge(k)))) for k in range(BLOCKS)]
-    members = held.join(sizes, "leaf").withColumn("tokens", tokens).withColumn("block", F.explode(F.array_compact(F.array(F.lit(0).cast("long"), *block))))
-    groups = members.groupBy("leaf", "least", "block").agg(*total, F.count("*").alias("lines"), F.bit_xor("line_key").alias("same")).where(often & (F.col("lines") > 1))
-    groups = common.written(groups.groupBy("leaf", "lines", "same").agg(F.min("block").alias("block")).select("leaf", "block"), "line-groups")
+    block = [F.when(edge(k) < edge(k + 1), F.xxhash64("leaf", F.lit(k), F.slice("tokens", edge(k) + 1, edge(k + 1) - edge(k)))) for k in range(BLOCKS)]
+    open_lines = lines.join(settled, "line_key", "left_anti").select("line_key", F.lit(True).alias("open"))
+    dealt = members.join(open_lines, "line_key", "left").withColumn("group", F.explode(F.array_compact(F.array(*block))))
+    same = [F.count("*").alias("lines"), F.bit_xor("line_key").alias("same"), F.max("open").alias("open")]
+    groups = dealt.groupBy("leaf", "least", "group").agg(*total, *same).where(often & (F.col("lines") > 1) & F.col("open"))
+    groups = common.written(groups.groupBy("leaf", "lines", "same").agg(F.min("group").alias("group")).select("group"), "line-groups")
+    below = members.withColumn("group", F.explode(F.array_compact(F.array(*block)))).join(groups, "group")
+    kept = common.written(kept.union(_templates(below, lines, depth, similarity)).distinct(), "templates")
+    templates = kept.groupBy("template", "least").agg(*total).where(often).select("template", "first_doc")
+    chosen = kept.select("line_key", "kept", "template").join(templates, "template").groupBy("line_key").agg(F.min(F.struct("kept", "first_doc")).alias("at"))
+    return exact.union(chosen.select("line_key", "at.first_doc"))
 
-    # The support of each field in each group.
-    fields = members.join(groups, ["leaf", "block"]).withColumn("group", F.xxhash64("leaf", "block")).select("group", "least", "n", "line_key", "weight", F.explode("tokens").alias("token"))
+
+def _templates(members: DataFrame, lines: DataFrame, depth: int, similarity: float) -> DataFrame:
+    """``line_key, kept, template`` and what ``lines`` holds of a line: its templates by the support of its fields in its groups.
+    ``members`` has group, least, n, line_key, weight and tokens."""
+    fields = members.select("group", "least", "n", "line_key", "weight", F.explode("tokens").alias("token"))
     support = fields.groupBy("group", "least", "token").agg(F.sum("weight").alias("support")).where("support >= least").select("group", "token", "support")
     # What a line keeps at each cut: how many fields, and their hashes in one.
     cut = Window.partitionBy("group", "line_key").orderBy(F.desc("support"))
     kept = fields.join(support, ["group", "token"]).select("group", "line_key", "n", "token", "support")
     kept = kept.select("line_key", "n", F.count("*").over(cut).alias("kept"), F.bit_xor("token").over(cut).alias("hash"))
     kept = kept.where(F.col("kept") + F.least(F.lit(depth), F.col("n")) >= F.lit(similarity) * F.col("n")).select("line_key", "kept", "hash").distinct()
-    lines = held.join(sizes, "leaf").select("leaf", "least", "line_key", "weight", "first_doc", "last_doc")
-    kept = common.written(kept.join(lines, "line_key").withColumn("template", F.xxhash64("leaf", "kept", "hash")).drop("leaf", "hash"), "templates")
-    templates = kept.groupBy("template", "least").agg(*total).where(often).select("template", "first_doc")
-    chosen = kept.select("line_key", "kept", "template").join(templates, "template").groupBy("line_key").agg(F.min(F.struct("kept", "first_doc")).alias("at"))
-    return exact.union(chosen.select("line_key", "at.first_doc"))
+    return kept.join(lines, "line_key").withColumn("template", F.xxhash64("leaf", "kept", "hash")).drop("leaf", "hash")
 
 
 def line_dedup(docs: DataFrame, depth: int = DEPTH, min_docs: int = MIN_DOCS, min_tokens: int = MIN_TOKENS, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -116,6 +128,21 @@ def line_dedup(docs: DataFrame, depth: int = DEPTH, min_docs: int = MIN_DOCS, mi
     return rows.select(*named, n_lines.cast("long").alias("n_lines"), F.when(F.col("gone").isNull(), F.lit(0)).otherwise(F.size("gone")).cast("long").alias("n_dropped"))
 
 
+def _template_sql(of: str, name: str) -> str:
+    """``{name}``: the templates of the lines in the groups of ``of`` (n, lead, k, block, least, line, weight)."""
+    return f"""
+{name}_fields AS (SELECT *, unnest(string_split(line, ' ')) AS token, unnest(range(n)) AS pos FROM {of}),
+{name}_supports AS (SELECT n, lead, k, block, pos, token, sum(weight) AS support FROM {name}_fields GROUP BY n, lead, least, k, block, pos, token HAVING sum(weight) >= least),
+{name}_kept AS (SELECT f.*, s.support FROM {name}_fields f JOIN {name}_supports s USING (n, lead, k, block, pos, token)),
+{name}_cuts AS (
+  SELECT n, lead, k, line, support AS cut, sum(count(*)) OVER (PARTITION BY n, lead, k, line ORDER BY support DESC) AS fields
+  FROM {name}_kept GROUP BY n, lead, k, line, support),
+{name}_every AS (
+  SELECT c.n, c.lead, c.line, c.k, c.cut, c.fields, string_agg(f.pos || ' ' || f.token, ' ' ORDER BY f.pos) AS template
+  FROM {name}_cuts c JOIN {name}_kept f USING (n, lead, k, line) WHERE c.fields >= {SIMILARITY}::DOUBLE * c.n AND f.support >= c.cut GROUP BY ALL),
+{name} AS (SELECT DISTINCT n, lead, line, fields, template FROM {name}_every),"""
+
+
 ORACLE_SQL = f"""
 WITH numbered AS (SELECT doc_id, text, unnest(string_split(text, chr(10))) AS raw, unnest(range(len(string_split(text, chr(10))))) AS place FROM documents),
 tokens AS (
@@ -129,21 +156,18 @@ held AS (
          count(DISTINCT doc_id) AS weight, min(doc_id) AS first_doc, max(doc_id) AS last_doc
   FROM eligible GROUP BY ALL),
 leaves AS (SELECT n, lead FROM held GROUP BY n, lead, least HAVING sum(weight) >= least AND min(first_doc) < max(last_doc)),
-blocks AS (SELECT *, unnest(range(-1, {BLOCKS})) AS k FROM held JOIN leaves USING (n, lead)),
+whole AS (SELECT *, -1 AS k, '' AS block FROM held JOIN leaves USING (n, lead)),{_template_sql("whole", "of_leaf")}
+leaf_templates AS (
+  SELECT n, lead, template FROM of_leaf JOIN held USING (n, lead, line)
+  GROUP BY n, lead, template, least HAVING sum(weight) >= least AND min(first_doc) < max(last_doc)),
+settled AS (SELECT DISTINCT line FROM of_leaf JOIN leaf_templates USING (n, lead, template) WHERE fields < n),
+blocks AS (SELECT * EXCLUDE (k, block), line NOT IN (SELECT line FROM settled) AS is_open, unnest(range({BLOCKS})) AS k FROM whole),
 members AS (
-  SELECT *, CASE WHEN k < 0 THEN '' ELSE array_to_string(string_split(line, ' ')[{DEPTH} + k * (n - {DEPTH}) // {BLOCKS} + 1 : {DEPTH} + (k + 1) * (n - {DEPTH}) // {BLOCKS}], ' ') END AS block
-  FROM blocks WHERE k < 0 OR k * (n - {DEPTH}) // {BLOCKS} < (k + 1) * (n - {DEPTH}) // {BLOCKS}),
-shared AS (SELECT n, lead, k, block FROM members GROUP BY n, lead, least, k, block HAVING sum(weight) >= least AND min(first_doc) < max(last_doc)),
-fields AS (SELECT *, unnest(string_split(line, ' ')) AS token, unnest(range(n)) AS pos FROM members JOIN shared USING (n, lead, k, block)),
-supports AS (SELECT n, lead, k, block, pos, token, sum(weight) AS support FROM fields GROUP BY n, lead, least, k, block, pos, token HAVING sum(weight) >= least),
-kept AS (SELECT f.*, s.support FROM fields f JOIN supports s USING (n, lead, k, block, pos, token)),
-cuts AS (
-  SELECT n, lead, k, line, support AS cut, sum(count(*)) OVER (PARTITION BY n, lead, k, line ORDER BY support DESC) AS fields
-  FROM kept GROUP BY n, lead, k, line, support),
-every AS (
-  SELECT c.n, c.lead, c.line, c.k, c.cut, c.fields, string_agg(f.pos || ' ' || f.token, ' ' ORDER BY f.pos) AS template
-  FROM cuts c JOIN kept f USING (n, lead, k, line) WHERE c.fields >= {SIMILARITY}::DOUBLE * c.n AND f.support >= c.cut GROUP BY ALL),
-mine AS (SELECT DISTINCT n, lead, line, fields, template FROM every),
+  SELECT *, array_to_string(string_split(line, ' ')[{DEPTH} + k * (n - {DEPTH}) // {BLOCKS} + 1 : {DEPTH} + (k + 1) * (n - {DEPTH}) // {BLOCKS}], ' ') AS block
+  FROM blocks WHERE k * (n - {DEPTH}) // {BLOCKS} < (k + 1) * (n - {DEPTH}) // {BLOCKS}),
+shared AS (SELECT n, lead, k, block FROM members GROUP BY n, lead, least, k, block HAVING sum(weight) >= least AND min(first_doc) < max(last_doc) AND bool_or(is_open)),
+below AS (SELECT * FROM members JOIN shared USING (n, lead, k, block)),{_template_sql("below", "of_blocks")}
+mine AS (SELECT * FROM of_leaf UNION SELECT * FROM of_blocks),
 templates AS (
   SELECT n, lead, template, min(first_doc) AS first_doc FROM mine JOIN held USING (n, lead, line)
   GROUP BY n, lead, template, least HAVING sum(weight) >= least AND min(first_doc) < max(last_doc)),
