@@ -84,13 +84,14 @@ def recurring_lines(at: DataFrame, depth: int, min_docs: int, similarity: float)
     # Groups of a block. Groups of the same lines count once, and a single line's only template is the line itself, which the leaf's group has too.
     edge = lambda k: F.floor(F.size("tokens") * k / BLOCKS).cast("int")
     block = [F.when(edge(k) < edge(k + 1), F.xxhash64("leaf", F.lit(k), F.slice("tokens", edge(k) + 1, edge(k + 1) - edge(k)))) for k in range(BLOCKS)]
-    open_lines = lines.join(settled, "line_key", "left_anti").select("line_key", F.lit(True).alias("open"))
-    dealt = members.join(open_lines, "line_key", "left").withColumn("group", F.explode(F.array_compact(F.array(*block))))
+    open_lines = common.written(lines.select("leaf", "line_key").join(settled, "line_key", "left_anti"), "open-lines")
+    below = members.join(open_lines.select("leaf").distinct(), "leaf", "left_semi").withColumn("group", F.array_compact(F.array(*block)))
+    dealt = below.drop("tokens", "n").join(open_lines.select("line_key", F.lit(True).alias("open")), "line_key", "left").withColumn("group", F.explode("group"))
     same = [F.count("*").alias("lines"), F.bit_xor("line_key").alias("same"), F.max("open").alias("open")]
     groups = dealt.groupBy("leaf", "least", "group").agg(*total, *same).where(often & (F.col("lines") > 1) & F.col("open"))
     groups = common.written(groups.groupBy("leaf", "lines", "same").agg(F.min("group").alias("group")).select("group"), "line-groups")
-    below = members.withColumn("group", F.explode(F.array_compact(F.array(*block)))).join(groups, "group")
-    kept = common.written(kept.union(_templates(below, lines, depth, similarity)).distinct(), "templates")
+    more = _templates(below.withColumn("group", F.explode("group")).join(groups, "group"), lines, depth, similarity)
+    kept = kept.union(common.written(more.join(kept.select("line_key", "template"), ["line_key", "template"], "left_anti").select(*kept.columns), "templates"))
     templates = kept.groupBy("template", "least").agg(*total).where(often).select("template", "first_doc")
     chosen = kept.select("line_key", "kept", "template").join(templates, "template").groupBy("line_key").agg(F.min(F.struct("kept", "first_doc")).alias("at"))
     return exact.union(chosen.select("line_key", "at.first_doc"))
@@ -103,7 +104,7 @@ def _templates(members: DataFrame, lines: DataFrame, depth: int, similarity: flo
     support = fields.groupBy("group", "least", "token").agg(F.sum("weight").alias("support")).where("support >= least").select("group", "token", "support")
     # What a line keeps at each cut: how many fields, and their hashes in one.
     cut = Window.partitionBy("group", "line_key").orderBy(F.desc("support"))
-    kept = fields.join(support, ["group", "token"]).select("group", "line_key", "n", "token", "support")
+    kept = fields.join(support, ["group", "token"]).select("group", "line_key", "n", "token", "support").repartition("line_key")
     kept = kept.select("line_key", "n", F.count("*").over(cut).alias("kept"), F.bit_xor("token").over(cut).alias("hash"))
     kept = kept.where(F.col("kept") + F.least(F.lit(depth), F.col("n")) >= F.lit(similarity) * F.col("n")).select("line_key", "kept", "hash").distinct()
     return kept.join(lines, "line_key").withColumn("template", F.xxhash64("leaf", "kept", "hash")).drop("leaf", "hash")
