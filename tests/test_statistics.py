@@ -137,3 +137,27 @@ def test_pooled_correlation_by_key(spark):
     for k in ("x", None):
         assert got[k].rho == pytest.approx(rho([a for x, a, _ in rows if x == k], [b for x, _, b in rows if x == k])) and got[k].n == 300
     assert got["flat"].rho is None
+
+
+def test_permutation_of_targets_that_share_permutations(spark, monkeypatch):
+    """Targets of one batch have orders of their own: the spread of the null is that of independent shuffles, whatever is shared."""
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(resampling, "BATCHES", 500)
+    rng = np.random.default_rng(3)
+    a, b = rng.random((2000, 6)), rng.random((2000, 6))
+    a, b = (x.argsort(1).argsort(1) + 1.0 for x in (a, b))
+    rows = [(t, i, float(a[t, i]), float(b[t, i])) for t in range(2000) for i in range(6)]
+    df = spark.createDataFrame(rows, "target_id long, record_id long, ra double, rb double")
+    got = resampling.permutation_test(df, replicates=3000).first()
+    x, y = a - 3.5, b - 3.5
+    seen = float((x * y).sum() / 17.5 / 2000)
+    assert got.targets == 2000 and got.observed == pytest.approx(seen)
+    from math import erfc, sqrt
+
+    normal = erfc(seen * sqrt(2000 * 5 / 2)) / 2  # a uniform shuffle of 6 ranks has a correlation of variance 1 / 5
+    assert abs(got.p - normal) < 0.04
+    assert resampling.permutation_test(df.repartition(5), replicates=3000, rows_a_part=1000).first().p == got.p
+    shifted = df.withColumn("rb", F.when(F.col("target_id") < 150, F.col("ra")).otherwise(F.col("rb")))
+    assert resampling.permutation_test(shifted, replicates=3000).first().p < 0.02
