@@ -161,3 +161,29 @@ def test_permutation_of_targets_that_share_permutations(spark, monkeypatch):
     assert resampling.permutation_test(df.repartition(5), replicates=3000, rows_a_part=1000).first().p == got.p
     shifted = df.withColumn("rb", F.when(F.col("target_id") < 150, F.col("ra")).otherwise(F.col("rb")))
     assert resampling.permutation_test(shifted, replicates=3000).first().p < 0.02
+
+
+def test_groups_are_drawn_for_once_and_read_once(spark):
+    """Groups of different sizes in one bundle, several values and several blocks, against draws by the formula, group by group."""
+    r = random.Random(5)
+    rows = [(g, t, r.random(), r.random()) for g, n in (("a", 300), ("b", 300), ("c", 70), ("d", 1)) for t in range(n)]
+    df = spark.createDataFrame(rows, "g string, t long, x double, y double")
+    calls = spark.sparkContext.accumulator(0)
+    seen = df.mapInArrow(lambda bs: ((calls.add(b.num_rows), b)[1] for b in bs), df.schema)
+    both = {q.g: q for q in resampling.bootstrap_means(seen, ["x", "y"], "t", ("g",), 60).collect()}
+    assert calls.value == len(rows)  # the input is evaluated once
+    for g in "abcd":
+        values = [(x, y) for h, _, x, y in rows if h == g]
+        means = {0: [], 1: []}
+        for rep in range(60):
+            base = resampling._base(rep + 1)
+            places = [resampling._base((base + i * resampling._STEP) & resampling._MASK) % len(values) for i in range(len(values))]
+            for k in (0, 1):
+                means[k].append(sum(values[p][k] for p in places) / len(values))
+        for k, c in ((0, "x"), (1, "y")):
+            s = sorted(means[k])
+            at = 59 * 0.025
+            low = s[int(at)] + (s[int(at) + 1] - s[int(at)]) * (at - int(at))
+            assert both[g][f"{c}_lo"] == pytest.approx(low) and both[g].n == len(values)
+    blocks = {q.g: q for q in resampling.bootstrap_means(df, "x", "t", ("g",), 200, block=50).collect()}
+    assert all(blocks[g].lo <= blocks[g].mean <= blocks[g].hi for g in "abcd")

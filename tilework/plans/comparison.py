@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tilework.operators import correlation, leaderboard, ranking, resampling, splits
+from tilework.operators.shared import written
 
 from . import views
 from .queries import BASES, CANDIDATES, EVALUATED, METHODS, PER_TARGET, RANKED, RHO, SPLIT, _hash, _mixed, query, r6
@@ -131,7 +132,7 @@ def leaderboard_table(spark, d) -> DataFrame:
 SELECT w.method, any_value(w.n) AS n, {_ends('rho', '', 6)}, round(any_value(w.share), 6) AS share_positive FROM w JOIN reps r USING (method) GROUP BY w.method""")
 def rho_intervals(spark, d) -> DataFrame:
     """Mean per-target correlation of each method with a bootstrap interval of 1000 resamples, and the share above 0."""
-    rho = correlation.spearman(views.methods(views.candidates(spark, d)), ("method", "target_id"))
+    rho = written(correlation.spearman(views.methods(views.candidates(spark, d)), ("method", "target_id")), "rho")
     ends = resampling.bootstrap_means(rho, "rho", "target_id", ("method",), 1000)
     share = rho.groupBy("method").agg(r6(F.avg((F.col("rho") > 0).cast("int"))).alias("share_positive"))
     return ends.join(share, "method").select("method", "n", *[r6(c).alias(c) for c in ("mean", "lo", "hi")], "share_positive")
