@@ -126,3 +126,17 @@ def test_dictionary_values_stay_rows(spark):
     assert {tuple(r) for r in containment.value_counts(e).collect()} == {("hot", 50), ("one", 1), ("none", 0)}
     assert containment.multi_dictionary(e).count() == 51
     assert "collect_set" not in containment.value_counts(e)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_composition_of_texts_of_no_and_of_one_letter(spark, tmp_path):
+    """Query and SQL agree where there are no letters, or no two."""
+    import duckdb
+
+    from tilework.plans.queries import QUERIES, SQL
+
+    rows = [(1, "A.", "en", "s", 2), (2, "", "en", "s", 0), (3, None, None, "s", None), (4, "12 3", "en", "s", 4), (5, "ab", "en", "s", 2), (6, "cgcgta", "en", "s", 6)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {(r.record_id, r.place): r.value for r in QUERIES["composition"](spark, str(tmp_path)).collect()}
+    base = duckdb.connect()
+    base.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert got == {(i, k): v for i, k, v in base.execute(SQL["composition"]).fetchall()} and len(got) == 54

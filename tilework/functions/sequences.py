@@ -56,7 +56,8 @@ def overlap(left: Column, right: Column, longest: int) -> Column:
 
 
 def composition(c: Column) -> Column:
-    """Shares of the four letters, of G and C together, and of four dinucleotides (nine numbers)."""
+    """Shares of the four letters, of G and C together, and of four dinucleotides (nine numbers); 0 where there are no letters,
+    or no two."""
     n = F.greatest(F.length(c), F.lit(1))
     single = [occurrences(c, x) / n for x in LETTERS]
     return F.array(*single, (occurrences(c, "G") + occurrences(c, "C")) / n, *[occurrences(c, d) / F.greatest(n - 1, F.lit(1)) for d in DINUCLEOTIDES])
