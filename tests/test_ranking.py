@@ -57,3 +57,40 @@ def test_budget_counts_invalid_and_repeated_entries(spark):
     df = spark.createDataFrame([("t", "a", 3.0, 1, False), ("t", "b", 2.0, 1, True), ("t", "b", 1.0, 1, True)], "target_id string, record_id string, score double, success int, ok boolean")
     got = ranking.candidate_budget(df, "ok", (1, 2)).first()
     assert (got.success_at_1, got.success_at_2) == (0, 1)
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_front_against_all_pairs_in_one_shuffle(spark):
+    import math
+    import random
+
+    r = random.Random(8)
+    pick = lambda: r.choice([0.0, -0.0, 0.5, 1.0, 1.5, 2.0, math.nan, math.inf, None])
+    rows = [(t, f"r{i}", pick(), pick()) for t in range(40) for i in range(9)]
+    df = spark.createDataFrame(rows, "target_id long, record_id string, on double, off double")
+    known = lambda x: x[2] is not None and x[3] is not None and not math.isnan(x[2]) and not math.isnan(x[3])
+    beats = lambda a, b: a[0] == b[0] and a[2] >= b[2] and a[3] <= b[3] and (a[2] > b[2] or a[3] < b[3])
+    want = {x[:2] for x in rows if known(x) and not any(known(y) and beats(y, x) for y in rows)}
+    front = ranking.pareto_front(df)
+    assert {(x.target_id, x.record_id) for x in front.collect()} == want
+    assert _plan(front).split("Initial Plan")[-1].count("Exchange hashpartitioning") == 1 and "Join" not in _plan(front)
+
+
+def test_choice_is_the_row_of_rank_one(spark):
+    import math
+    import random
+
+    from pyspark.sql import functions as F
+
+    r = random.Random(9)
+    rows = [(m, t, f"r{i}", r.choice([0.0, -0.0, 1.0, 2.0, math.nan, None])) for m in "ab" for t in range(60) for i in range(3)]
+    df = spark.createDataFrame(rows, "method string, target_id long, record_id string, score double")
+    want = {(x.method, x.target_id): x.record_id for x in ranking.top_k(df, 1, ("method", "target_id")).collect()}
+    got = df.groupBy("method", "target_id").agg(F.min(ranking.choice("score", "record_id")).alias("c"))
+    assert {(x.method, x.target_id): x.c.record_id for x in got.collect()} == want
+    one = ranking.top1_agreement(df, "a", "b")
+    assert one.first().agreement == sum(want["a", t] == want["b", t] for t in range(60)) / 60 and one.first().n == 60
+    assert "Window" not in _plan(one)

@@ -29,6 +29,12 @@ def top_k(df: DataFrame, k: int, keys: Sequence[str] = ("target_id",), score: st
     return rank_candidates(df, keys, score, descending).where(F.col("rn") <= k)
 
 
+def choice(score: str, *fields: str) -> Column:
+    """A struct whose smallest in a group is that of the row of rank 1: by score, then by the first of ``fields``."""
+    value = ranked_score(F.col(score))
+    return F.struct(value.isNull().alias("_none"), (-value).alias("_value"), *fields)
+
+
 def success_at(k: int) -> Column:
     return F.max(F.when((F.col("rn") <= k) & (F.col("success") == 1), 1).otherwise(0))
 
@@ -64,22 +70,25 @@ def target_metrics(df: DataFrame, keys: Sequence[str] = ("target_id",), ks: Sequ
     )
 
 
+def on_front(keys: Sequence[str] = ("target_id",), up: str = "on", down: str = "off") -> Column:
+    """Whether no other row of the group dominates a row (more of ``up``, less of ``down``, one strictly): no row with at most its ``down``
+    has more ``up``, and none with its ``up`` has less ``down``. Rows in which either is null or not a number are not on it and dominate none."""
+    known = F.col(up).isNotNull() & ~F.isnan(up) & F.col(down).isNotNull() & ~F.isnan(down)
+    best = F.max(F.when(known, F.col(up))).over(Window.partitionBy(*keys).orderBy(F.when(known, F.col(down)).asc_nulls_first()))
+    least = F.min(F.when(known, F.col(down))).over(Window.partitionBy(*keys, up))
+    return known & (best == F.col(up)) & (least == F.col(down))
+
+
 def pareto_front(df: DataFrame, keys: Sequence[str] = ("target_id",), up: str = "on", down: str = "off") -> DataFrame:
-    """Rows that no other row of the group dominates (more of ``up``, less of ``down``, one strictly); equal rows all stay,
-    rows in which either is null or not a number are dropped. A sweep over the distinct ``down`` values replaces the pairwise comparison."""
-    rows = df.where(F.col(up).isNotNull() & ~F.isnan(up) & F.col(down).isNotNull() & ~F.isnan(down))
-    best = rows.groupBy(*keys, down).agg(F.max(up).alias("_best"))
-    before = Window.partitionBy(*keys).orderBy(down).rowsBetween(Window.unboundedPreceding, -1)
-    front = best.withColumn("_before", F.max("_best").over(before)).where(F.col("_before").isNull() | (F.col("_best") > F.col("_before")))
-    front = front.select(*keys, down, F.col("_best").alias(up))
-    return rows.join(front, [*keys, up, down], "left_semi")
+    """Rows that no other row of the group dominates; equal rows all stay, rows in which either is null or not a number are
+    dropped. Sweeps over the sorted rows of a group (:func:`on_front`) replace the pairwise comparison, in one shuffle."""
+    return df.withColumn("_front", on_front(keys, up, down)).where("_front").drop("_front")
 
 
 def top1_agreement(df: DataFrame, one: str, other: str) -> DataFrame:
     """Share of targets for which two methods choose the same candidate; ``df`` has method."""
-    top = top_k(df, 1, ("method", "target_id"))
-    pick = lambda m: F.max(F.when(F.col("method") == m, F.col("record_id")))
-    return top.groupBy("target_id").agg(pick(one).alias("a"), pick(other).alias("b")).agg(F.avg((F.col("a") == F.col("b")).cast("int")).alias("agreement"), F.count("*").alias("n"))
+    pick = lambda m: F.min(F.when(F.col("method") == m, choice("score", "record_id")))["record_id"]
+    return df.groupBy("target_id").agg(pick(one).alias("a"), pick(other).alias("b")).agg(F.avg((F.col("a") == F.col("b")).cast("int")).alias("agreement"), F.count("*").alias("n"))
 
 
 def true_percentile(df: DataFrame) -> DataFrame:
