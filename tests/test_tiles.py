@@ -23,3 +23,15 @@ def test_values_that_are_no_numbers(spark):
     assert 0 < m.ndcg10 < 1 and m.regret10 == 0.0 and m.top1 == "a"
     front = spark.createDataFrame([("t", "a", 1.0, 1.0), ("t", "b", nan, 0.5), ("t", "c", 0.2, 0.9), ("t", "d", 0.1, nan)], "target_id string, record_id string, on double, off double")
     assert sorted(r.record_id for r in ranking.pareto_front(front).collect()) == ["a", "c"]
+
+
+def test_strides_in_one_shuffle_whose_tasks_follow_the_rows(spark):
+    from tilework.operators.shared import dealt
+
+    df = spark.createDataFrame([(s, p) for s in range(50) for p in (1, 3, 5, 9)] + [(None, 1)] * 4, "source long, pos long")
+    many = dealt(df, "source", rows=10)
+    assert many.rdd.getNumPartitions() == 21
+    out = tiles.stride_modes(many, 1, 4)
+    assert {(x.source, x.stride, x.n, x.rn) for x in out.collect()} == {(s, 2, 2, 1) for s in range(50)}
+    plan = out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+    assert "Join" not in plan and plan.count("Exchange hashpartitioning") == 1

@@ -37,8 +37,8 @@ def tiling_step(df: DataFrame) -> DataFrame:
 
 def stride_modes(positions: DataFrame, top: int = 3, least: int = 100) -> DataFrame:
     """The most common differences of sorted positions of each source, for sources with enough positions."""
-    many = positions.groupBy("source").agg(F.count("*").alias("n")).where(F.col("n") >= least)
-    d = positions.join(many, "source").withColumn("stride", F.lead("pos").over(Window.partitionBy("source").orderBy("pos")) - F.col("pos")).where("stride is not null")
+    many = positions.where("source is not null").withColumn("n", F.count("*").over(Window.partitionBy("source"))).where(F.col("n") >= least)
+    d = many.withColumn("stride", F.lead("pos").over(Window.partitionBy("source").orderBy("pos")) - F.col("pos")).where("stride is not null")
     counts = d.groupBy("source", "stride").agg(F.count("*").alias("n"))
     return counts.withColumn("rn", F.row_number().over(Window.partitionBy("source").orderBy(F.desc("n"), "stride"))).where(F.col("rn") <= top)
 
