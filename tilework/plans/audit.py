@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tilework.functions import columns as C
 from tilework.functions import sequences as S
 from tilework.operators import attribution, containment, correlation, leaderboard, quantiles, ranking, resampling, splits, summaries, tiles, transfer
+from tilework.operators.shared import dealt, written
 
 from . import comparison, views
 from .queries import CANDIDATES, HITS_IN_SOURCE, ITEMS, METHODS, PER_TARGET, RANKED, RAW, RC, RHO, SEQ, SPLIT, SQL, WORD, _hash, _letters, query, r6
@@ -81,7 +82,7 @@ def transfer_rho(spark, d) -> DataFrame:
 @query(f"""SELECT t.*, CASE source_set WHEN 'line' THEN (WITH {CANDIDATES}, r AS (SELECT target_id, success, row_number() OVER (PARTITION BY target_id ORDER BY score DESC, record_id) AS rn FROM cand) SELECT round(avg(success), 6) FROM r WHERE rn = 1) END AS success_at_1 FROM ({SQL['two_sets']}) t""")
 def two_sets_success(spark, d) -> DataFrame:
     """Two candidate sets on one scale-free metric, and success of the first choice on the set that has the label."""
-    line = ranking.target_metrics(views.candidates(spark, d)).agg(r6(F.avg("success_at_1")).alias("success_at_1")).withColumn("source_set", F.lit("line"))
+    line = ranking.target_metrics(dealt(views.candidates(spark, d), "target_id")).agg(r6(F.avg("success_at_1")).alias("success_at_1")).withColumn("source_set", F.lit("line"))
     return comparison.two_sets(spark, d).join(line, "source_set", "left")
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tilework.operators import correlation, leaderboard, ranking, resampling, splits
-from tilework.operators.shared import written
+from tilework.operators.shared import dealt, written
 
 from . import views
 from .queries import BASES, CANDIDATES, EVALUATED, METHODS, PER_TARGET, RANKED, RHO, SPLIT, _hash, _mixed, query, r6
@@ -69,9 +69,9 @@ def two_sets(spark, d) -> DataFrame:
     keep = ("target_id", "record_id", "score", "rel")
     lines = views.candidates(spark, d).select(F.lit("line").alias("source_set"), *keep)
     events = views.table(spark, d, "events").select(F.lit("event").alias("source_set"), F.col("user_id").alias("target_id"), F.col("event_id").cast("string").alias("record_id"), F.col("value").alias("score"), (F.col("event_id") % 97).cast("double").alias("rel"))
-    both = lines.unionByName(events)
-    enough = both.groupBy("source_set", "target_id").agg(F.count("*").alias("n")).where("n >= 5").drop("n")
-    rho = correlation.spearman(both.join(enough, ["source_set", "target_id"]), ("source_set", "target_id"))
+    both = dealt(lines.unionByName(events).where("target_id is not null"), "source_set", "target_id")
+    enough = both.withColumn("_rows", F.count("*").over(Window.partitionBy("source_set", "target_id"))).where("_rows >= 5")
+    rho = correlation.spearman(enough, ("source_set", "target_id"))
     return rho.groupBy("source_set").agg(r6(F.avg("rho")).alias("rho"), r6(F.avg((F.col("rho") > 0).cast("int"))).alias("share_positive"), F.count("*").alias("targets"))
 
 
