@@ -144,3 +144,17 @@ def test_files(spark, tmp_path):
     q = streaming.coverage(streaming.submissions(spark, f"{tmp_path}/in")).writeStream.format("memory").queryName("coverage").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert {tuple(r) for r in spark.table("coverage").collect()} == {("m", 2, 1), ("n", 1, 0)}
+
+
+def test_agreement_makes_sequences_once(spark, monkeypatch):
+    from tilework.plans import audit, views
+    from tilework.plans.queries import QUERIES
+
+    calls, made = spark.sparkContext.accumulator(0), views.sequences
+
+    def seen(spark, d):
+        df = made(spark, d)
+        return df.mapInArrow(lambda bs: ((calls.add(b.num_rows), b)[1] for b in bs), df.schema)
+
+    monkeypatch.setattr(audit.views, "sequences", seen)
+    assert QUERIES["attribution_agreement"](spark, "/root/testdata/sf0.001").count() == 1 and calls.value == made(spark, "/root/testdata/sf0.001").count()

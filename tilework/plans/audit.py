@@ -31,14 +31,15 @@ first AS (SELECT *, row_number() OVER (PARTITION BY record_id ORDER BY pos, rev)
 att AS (SELECT s.record_id, s.sequence, CASE WHEN {_hash(0, 's.record_id::VARCHAR')} < 0.7 THEN 'train' ELSE 'test' END AS split, coalesce(s.lang, 'NA') AS category, CASE f.rev WHEN 0 THEN 'forward' WHEN 1 THEN 'revcomp' ELSE 'none' END AS match, f.targets FROM seqs s LEFT JOIN first f ON s.record_id = f.record_id AND f.rn = 1)"""
 
 
-def _attributed(spark, d) -> DataFrame:
+def _attributed(spark, d, sequences: DataFrame | None = None) -> DataFrame:
     """Each sequence with the set of items whose word it holds first; every fourth item has a second number."""
     word, item = F.substring("sequence", 11, 12), F.col("item_id")
     values = F.filter(F.array(item, F.when(item % 4 == 0, item + 1000)), lambda v: v.isNotNull())
     words = views.item_sequences(spark, d).select(F.when(item % 2 == 0, word).otherwise(S.reverse_complement(word)).alias("key"), F.explode(values).alias("value"))
-    s = splits.row_random(views.sequences(spark, d))
+    s = splits.row_random(views.sequences(spark, d) if sequences is None else sequences)
     hits = containment.window_lookup(s.select(F.col("record_id").alias("seq_id"), "sequence"), words).withColumnRenamed("seq_id", "record_id")
-    return s.join(hits, "record_id", "left").select("record_id", "sequence", "split", F.coalesce("lang", F.lit("NA")).alias("category"), F.coalesce("strand", F.lit("none")).alias("match"), F.col("values").alias("targets"))
+    named = [c for c in ("sequence", "digest") if c in s.columns][-1]
+    return s.join(hits, "record_id", "left").select("record_id", F.col(named).alias("sequence"), "split", F.coalesce("lang", F.lit("NA")).alias("category"), F.coalesce("strand", F.lit("none")).alias("match"), F.col("values").alias("targets"))
 
 
 @query(f"""WITH {SEQ}, {ITEMS}, {WORDS}, o AS (SELECT split, category, match, len(coalesce(targets, [])) AS size, unnest(coalesce(nullif(targets, []), [NULL])) AS target, record_id FROM att)
@@ -53,13 +54,14 @@ found AS (SELECT s.sequence, w.value, row_number() OVER (PARTITION BY s.record_i
 one AS (SELECT sequence, targets[1] AS target, targets[1] % 10 AS category FROM att WHERE len(targets) = 1), other AS (SELECT sequence, value AS target, value % 10 AS category FROM found WHERE rn = 1)
 SELECT count(*) AS rows, count(b.sequence) AS found, round(avg(CASE WHEN b.sequence IS NOT NULL THEN (a.category = b.category)::INT END), 6) AS category_rate, round(avg(CASE WHEN b.sequence IS NOT NULL THEN (a.target = b.target)::INT END), 6) AS target_rate FROM one a LEFT JOIN other b ON a.sequence = b.sequence""")
 def attribution_agreement(spark, d) -> DataFrame:
-    """Unambiguous attributions by windows against those by the longest identifier, over equal sequences."""
+    """Unambiguous attributions by windows against those by the longest identifier, over equal sequences. Sequences are made
+    once; what is joined carries their SHA-256 instead of them."""
     kind = lambda df: df.withColumn("category", F.col("target") % 10)
-    one = kind(attribution.unambiguous(_attributed(spark, d)).select("sequence", F.col("targets")[0].alias("target")))
-    s = views.sequences(spark, d)
+    s = written(views.sequences(spark, d).select("record_id", "lang", "sequence", F.sha2("sequence", 256).alias("digest")), "sequences")
+    one = kind(attribution.unambiguous(_attributed(spark, d, s)).select("sequence", F.col("targets")[0].alias("target")))
     words = views.item_sequences(spark, d).select(F.left("sequence", (F.lit(8) + F.col("item_id") % 20).cast("int")).alias("key"), F.col("item_id").alias("value")).distinct()
     longest = containment.longest_match(s.select(F.col("record_id").alias("seq_id"), "sequence"), words).where("value is not null")
-    other = kind(s.join(longest, s["record_id"] == longest["seq_id"]).select("sequence", F.col("value").alias("target")))
+    other = kind(s.join(longest, s["record_id"] == longest["seq_id"]).select(F.col("digest").alias("sequence"), F.col("value").alias("target")))
     return attribution.agreement(one, other).select("rows", "found", r6("category_rate").alias("category_rate"), r6("target_rate").alias("target_rate"))
 
 
