@@ -146,6 +146,21 @@ def test_files(spark, tmp_path):
     assert {tuple(r) for r in spark.table("coverage").collect()} == {("m", 2, 1), ("n", 1, 0)}
 
 
+def test_features_are_made_once(spark):
+    """Rows of a model come through their functions once, however often training reads them."""
+    import random
+
+    from tilework.operators import models
+
+    r = random.Random(4)
+    rows = [(str(i), "".join(r.choice("ACGT") for _ in range(30)), float(i % 7), "train" if i % 3 else "test") for i in range(200)]
+    df = spark.createDataFrame(rows, "record_id string, trigger string, y double, split string")
+    for model in (models.sequence_regressor, lambda *a: models.composition_regressor(*a, trees=2)):
+        calls = spark.sparkContext.accumulator(0)
+        seen = df.mapInArrow(lambda bs: ((calls.add(b.num_rows), b)[1] for b in bs), df.schema)  # noqa: B023
+        assert model(seen, "trigger", "y").count() == len(rows) and calls.value == len(rows)
+
+
 def test_agreement_makes_sequences_once(spark, monkeypatch):
     from tilework.plans import audit, views
     from tilework.plans.queries import QUERIES

@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from tilework.functions.columns import fallback_score, gc_fraction, unit_hash
 from tilework.functions.sequences import composition, one_hot
 
+from .shared import written
+
 
 def builtin_scores(df: DataFrame, name: str, seed: int = 0) -> DataFrame:
     """``score`` by a named scorer: random, gc or thermo."""
@@ -44,8 +46,11 @@ def constant_mean(df: DataFrame, y: str) -> DataFrame:
 
 
 def composition_regressor(df: DataFrame, sequence: str, y: str, trees: int = 20, depth: int = 4, seed: int = 0) -> DataFrame:
-    """Boosted trees on the nine composition numbers, fitted on train rows; predictions for all rows."""
-    rows = df.withColumn("features", array_to_vector(composition(F.col(sequence)).cast("array<double>")))
+    """Boosted trees on the nine composition numbers, fitted on train rows; predictions for all rows. Features are made once:
+    training reads rows several times. The sequences themselves are not kept."""
+    numbers = composition(F.col(sequence)).cast("array<double>").alias("_numbers")
+    rows = written(df.select(*[c for c in df.columns if c != sequence], numbers), "features")
+    rows = rows.withColumn("features", array_to_vector("_numbers")).drop("_numbers")
     model = GBTRegressor(featuresCol="features", labelCol=y, maxIter=trees, maxDepth=depth, seed=seed).fit(rows.where("split = 'train'"))
     return model.transform(rows)
 
@@ -59,5 +64,7 @@ def sequence_model(train: DataFrame, sequence: str, y: str, extra: Sequence[str]
 
 
 def sequence_regressor(df: DataFrame, sequence: str, y: str, extra: Sequence[str] = (), lenient: bool = False, length: int = 30) -> DataFrame:
-    """:func:`sequence_model` fitted on train rows; predictions for all rows."""
+    """:func:`sequence_model` fitted on train rows; predictions for all rows. The rows are made once: a sequence that is computed
+    would be computed again for each of its letters."""
+    df = written(df, "sequences")
     return sequence_model(df.where("split = 'train'"), sequence, y, extra, lenient, length)(df)
