@@ -189,6 +189,40 @@ def test_wide_groups(spark):
     assert all(got[i] // 10 == i // 10 for i, _ in rows if i < 900)
 
 
+def test_wide_simhash_nominates(spark, monkeypatch):
+    """The index of positional bytes connects what is within three bits, all pairs considered, and its links that are similar hold without the second index."""
+    rng = np.random.default_rng(14)
+    fps = []
+    for base in rng.integers(-(2**63), 2**63, 30):
+        fps += [int(base)] * 2
+        for _ in range(6):
+            fps.append(int(np.int64(base) ^ np.bitwise_xor.reduce(np.int64(1) << rng.choice(62, rng.integers(1, 6), replace=False))))
+    nodes = spark.createDataFrame([(i, 9, fp) for i, fp in enumerate(fps)] + [(1000, 0, fps[0])], "node long, size long, fp long")
+    group = list(range(len(fps)))
+
+    def join(pairs):
+        of = list(group)
+        for i, j in pairs:
+            a, b = sorted((of[i], of[j]))
+            of = [a if x == b else x for x in of]
+        return of
+
+    near = [(i, j) for i in range(len(fps)) for j in range(i) if ((fps[i] ^ fps[j]) % 2**64).bit_count() <= 3]
+    assert join([(r.u, r.v) for r in simhash_wide.within_bits(nodes).collect()]) == join(near)
+
+    r = random.Random(15)
+    rows, other = [], []
+    for k in range(12):
+        words = [f"w{r.randint(0, 10**6)}" for _ in range(700)]
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join([*words, "more"]))]
+        other += [f"x{k}", words[0]]
+    rows += [(100, None), (101, " ".join(other))]
+    assert simhash_wide.majority_bits(simhash_wide.shingle_hashes("a b c")) % 2**64 == plain_fingerprint("a b c")
+    monkeypatch.setattr(simhash_wide, "bands", lambda least: np.zeros(0, np.int64))
+    got = {x.doc_id: x.component_id for x in simhash_wide.near_copy_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sum(got[2 * k + 1] == 2 * k for k in range(12)) >= 10 and got[100] == 100 and got[101] == 101
+
+
 def test_wide_groups_at_the_bound(spark):
     """Pairs at and just above 0.8 are grouped, and pairs just below it are not."""
     r = random.Random(11)
