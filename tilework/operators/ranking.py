@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 from tilework.functions.columns import ranked_score
 
+from .shared import numbers_first
+
 
 def by_group(keys: Sequence[str], key: str, descending: bool = True, tie: str = "record_id") -> Window:
     value = ranked_score(F.col(key))
@@ -60,14 +62,16 @@ def regret_at(k: int) -> Column:
 
 def target_metrics(df: DataFrame, keys: Sequence[str] = ("target_id",), ks: Sequence[int] = (1, 3, 5), depth: int = 10) -> DataFrame:
     """One row per group: ``success_at_<k>``, ``ndcg<depth>``, ``regret<depth>``, ``top1`` and ``n``, in one shuffle."""
-    ranked = rank_candidates(rank_candidates(df, keys), keys, "rel", name="ideal_rn")
-    return ranked.groupBy(*keys).agg(
+    by = numbers_first(df, keys)
+    ranked = rank_candidates(rank_candidates(df, by), by, "rel", name="ideal_rn")
+    per = ranked.groupBy(*by).agg(
         *[success_at(k).alias(f"success_at_{k}") for k in ks],
         ndcg_at(depth).alias(f"ndcg{depth}"),
         regret_at(depth).alias(f"regret{depth}"),
         F.max(F.when(F.col("rn") == 1, F.col("record_id"))).alias("top1"),
         F.count("*").alias("n"),
     )
+    return per.select(*keys, *per.columns[len(by) :])
 
 
 def on_front(keys: Sequence[str] = ("target_id",), up: str = "on", down: str = "off") -> Column:
