@@ -1,6 +1,9 @@
 """Golden values of the metrics, ties, missing scores and partition counts."""
 
+import random
+
 import pytest
+from pyspark.sql import functions as F
 
 from tilework.operators import ranking
 
@@ -86,11 +89,41 @@ def test_choice_is_the_row_of_rank_one(spark):
     from pyspark.sql import functions as F
 
     r = random.Random(9)
-    rows = [(m, t, f"r{i}", r.choice([0.0, -0.0, 1.0, 2.0, math.nan, None])) for m in "ab" for t in range(60) for i in range(3)]
-    df = spark.createDataFrame(rows, "method string, target_id long, record_id string, score double")
+    table = [(m, t, f"r{i}", r.choice([0.0, -0.0, 1.0, 2.0, math.nan, None])) for m in "ab" for t in range(60) for i in range(3)]
+    df = spark.createDataFrame(table, "method string, target_id long, record_id string, score double")
     want = {(x.method, x.target_id): x.record_id for x in ranking.top_k(df, 1, ("method", "target_id")).collect()}
     got = df.groupBy("method", "target_id").agg(F.min(ranking.choice("score", "record_id")).alias("c"))
     assert {(x.method, x.target_id): x.c.record_id for x in got.collect()} == want
     one = ranking.top1_agreement(df, "a", "b")
     assert one.first().agreement == sum(want["a", t] == want["b", t] for t in range(60)) / 60 and one.first().n == 60
     assert "Window" not in _plan(one)
+
+
+def plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_correlation_beside_other_aggregates(spark):
+    """Equal to the correlation alone, with values missing on either side, ties, and groups that are left out; all rows count beside it."""
+    from tilework.operators import correlation
+
+    nan, r = float("nan"), random.Random(3)
+    pick = lambda: r.choice([None, nan, 0.0, -0.0, 1.0, 2.0, 3.0])
+    table = [(m, t, f"r{i}", pick(), pick(), i % 2) for m in ("a", "b") for t in range(12) for i in range(r.randint(1, 9))] + [("c", 1, "x", 1.0, nan, 1)]
+    df = spark.createDataFrame(table, "method string, target_id long, record_id string, score double, rel double, success int")
+    want = {(x.method, x.target_id): (x.rho, x.n) for x in correlation.spearman(df, ("method", "target_id")).collect()}
+    got = correlation.spearman_beside(df, ("method", "target_id"), F.count("*").alias("all"), F.min(ranking.choice("score", "record_id", "success")).alias("first")).collect()
+    first = {(x.method, x.target_id): x.success_at_1 for x in ranking.target_metrics(df, ("method", "target_id")).collect()}
+    assert want and len(got) == 25 and sum(x["all"] for x in got) == len(table)
+    assert {(x.method, x.target_id): (x.rho, x.n) for x in got if x.n is not None} == want
+    assert {(x.method, x.target_id): x.first.success for x in got} == first
+
+
+def test_methods_are_ranked_in_few_sorts(spark):
+    """method_order reads its candidates once and ranks each side in one window, paired_delta leaves out the third method, and both sort by target before method."""
+    from tilework.plans.queries import QUERIES
+    from tilework.plans.comparison import _unified
+
+    order, delta = plan(_unified(spark, "/root/testdata/sf0.001")), plan(QUERIES["paired_delta"](spark, "/root/testdata/sf0.001"))
+    assert order.count("Relation [") == 1 and order.count("Window [") == 2 and "oracle" in order
+    assert "oracle" not in delta and "windowspecdefinition(method" not in order + delta

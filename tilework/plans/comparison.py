@@ -26,8 +26,10 @@ TABLE = f"""{EVALUATED}, {RHO}, unified AS (SELECT * FROM (SELECT method, avg(s1
 
 def _unified(spark, d) -> DataFrame:
     m = views.methods(views.candidates(spark, d))
-    a = ranking.target_metrics(m, ("method", "target_id")).groupBy("method").agg(F.avg("success_at_1").alias("s1"))
-    return a.join(correlation.spearman(m, ("method", "target_id")).groupBy("method").agg(F.avg("rho").alias("rho")), "method")
+    first = F.min(ranking.choice("score", "record_id", "success")).alias("first")
+    per = correlation.spearman_beside(m, ("method", "target_id"), first)
+    s1 = F.avg((F.coalesce("first.success", F.lit(0)) == 1).cast("int")).alias("s1")
+    return per.groupBy("method").agg(s1, F.avg("rho").alias("rho"), F.count("n").alias("_kept")).where("_kept > 0").drop("_kept")
 
 
 @query(f"""{TABLE} SELECT method, round(s1, 6) AS success_at_1, round(rho, 6) AS rho, row_number() OVER (ORDER BY s1 DESC, method) AS place, row_number() OVER (ORDER BY rho DESC, method) AS place_by_rho FROM unified""")
