@@ -187,3 +187,50 @@ def test_groups_are_drawn_for_once_and_read_once(spark):
             assert both[g][f"{c}_lo"] == pytest.approx(low) and both[g].n == len(values)
     blocks = {q.g: q for q in resampling.bootstrap_means(df, "x", "t", ("g",), 200, block=50).collect()}
     assert all(blocks[g].lo <= blocks[g].mean <= blocks[g].hi for g in "abcd")
+
+
+def test_split_by_last_keys(spark, monkeypatch):
+    """Equal to the join with each key's split, whatever the keys' type, also where all keys share a hash and where train or val is empty."""
+    from pyspark.sql import functions as F
+
+    for keys, kind in (([None, *range(100)], "long"), ([None, *(f"k{i}" for i in range(40))], "string"), ([7], "long"), ([None], "long")):
+        df = spark.createDataFrame([(k, i) for k in keys for i in range(2)], f"target_id {kind}, record_id long")
+        for one_hash in (False, True):
+            with monkeypatch.context() as m:
+                if one_hash:
+                    m.setattr(splits, "hash_digits", lambda seed, *k: F.lit("00c0ffee"))
+                for shares in ({}, {"train": 0.02, "val": 0.0}, {"train": 0.0, "val": 0.03}):
+                    want = sorted(map(tuple, df.join(splits.group_disjoint(df, **shares), "target_id").collect()))
+                    assert sorted(map(tuple, splits.with_split(df, **shares).collect())) == want
+
+
+def test_pooled_correlation_of_shared_and_many_values(spark):
+    """One value of either side on half of the rows, many others, keys that are null: with and without a broadcast, and without rows."""
+    r = random.Random(5)
+    pick = lambda: r.choice([0.0, r.random()])
+    rows = [(k, j, pick(), pick()) for k in ("x", None) for j in (1, None) for _ in range(200)]
+    df = spark.createDataFrame([*rows, ("x", 1, float("nan"), 1.0), ("x", 1, 1.0, None)], "k string, j long, score double, rel double").repartition(3)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        for threshold in (before, "-1"):
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+            got = correlation.pooled_spearman(df, keys=("k", "j")).collect()
+            assert len(got) == 4
+            for x in got:
+                a, b = zip(*[v[2:] for v in rows if v[:2] == (x.k, x.j)])
+                assert x.n == 200 and x.rho == pytest.approx(rho(a, b))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    none = correlation.pooled_spearman(df.where("score > 9")).collect()
+    assert [tuple(x) for x in none] == [(None, 0)] and not correlation.pooled_spearman(df.where("score > 9"), keys=("k",)).collect()
+
+
+def test_pooled_ranks_join_no_rows(spark):
+    """train_test_rho joins no rows with their ranks of the first side, nor with targets: what is left at the end is counts by value and their ranges."""
+    from tilework.plans.queries import QUERIES
+
+    out = QUERIES["train_test_rho"](spark, "/root/testdata/sf0.001")
+    assert out.inputFiles() and not any("tilework-pairs" in f for f in out.inputFiles())
+    c = spark.createDataFrame([(i % 7, i) for i in range(50)], "target_id long, record_id long")
+    plan = splits.with_split(c)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Aggregate" not in plan

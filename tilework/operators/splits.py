@@ -5,21 +5,46 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tilework.functions.columns import unit_hash
+from tilework.functions.columns import hash_digits, unit_hash
 
+from .shared import written
 
-def group_disjoint(df: DataFrame, key: str = "target_id", train: float = 0.7, val: float = 0.15, seed: int = 0) -> DataFrame:
-    """``key, split``: the distinct keys in hash order, cut exactly at the given shares.
+
+def _placed(df: DataFrame, key: str, train: float, val: float, seed: int) -> DataFrame:
+    """The distinct keys with ``_h``, their place in hash order, and the places of the last keys of train and of val.
 
     The order is taken within 256 hash ranges whose counts give the offsets, so no task sorts all keys.
     """
-    keys = df.select(key).distinct().withColumn("_h", unit_hash(seed, F.col(key))).withColumn("_part", F.floor(F.col("_h") * 256))
+    keys = df.select(key).distinct().withColumn("_h", hash_digits(seed, F.col(key))).withColumn("_part", F.left("_h", F.lit(2)))
+    keys = written(keys, "keys")  # counted and ranked
     counts = keys.groupBy("_part").agg(F.count("*").alias("_n"))
     counts = counts.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"), F.sum("_n").over(Window.partitionBy()).alias("_all"))
     place = F.col("_before") + F.row_number().over(Window.partitionBy("_part").orderBy("_h", key))
     ranked = keys.join(F.broadcast(counts), "_part").withColumn("_place", place)  # at most 256 rows are sent
-    first, second = F.floor(F.col("_all") * train), F.floor(F.col("_all") * train) + F.floor(F.col("_all") * val)
-    return ranked.select(key, F.when(F.col("_place") <= first, "train").when(F.col("_place") <= second, "val").otherwise("test").alias("split"))
+    first = F.floor(F.col("_all") * train)
+    return ranked.withColumn("_first", first).withColumn("_second", first + F.floor(F.col("_all") * val))
+
+
+def group_disjoint(df: DataFrame, key: str = "target_id", train: float = 0.7, val: float = 0.15, seed: int = 0) -> DataFrame:
+    """``key, split``: the distinct keys in hash order, cut exactly at the given shares."""
+    ranked = _placed(df, key, train, val, seed)
+    return ranked.select(key, F.when(F.col("_place") <= F.col("_first"), "train").when(F.col("_place") <= F.col("_second"), "val").otherwise("test").alias("split"))
+
+
+def with_split(df: DataFrame, key: str = "target_id", train: float = 0.7, val: float = 0.15, seed: int = 0) -> DataFrame:
+    """``df`` with the ``split`` of :func:`group_disjoint`, without rows whose key is null: a row's hash is compared with those of the last
+    keys of train and of val, so rows are neither joined with keys nor shuffled. ``df`` is read twice: it should be a scan of a table."""
+    last = {}
+    ends = _placed(df, key, train, val, seed).where("_place in (_first, _second)").select("_h", key, "_place", "_first", "_second")
+    for h, k, place, first, second in ends.collect():  # two rows at most
+        last.update({name: (h, k) for name, end in (("train", first), ("val", second)) if place == end})
+    split, kind = F.lit("test"), df.schema[key].dataType
+    for name in ("val", "train"):
+        if name in last:
+            h, k = last[name]  # nulls sort first, so a last key that is null has no other key of its hash before it
+            within = (F.col("_h") < h) | ((F.col("_h") == h) & F.coalesce(F.col(key) <= F.lit(k).cast(kind), F.lit(False)))
+            split = F.when(within, name).otherwise(split)
+    return df.where(F.col(key).isNotNull()).withColumn("_h", hash_digits(seed, F.col(key))).select(*df.columns, split.alias("split"))
 
 
 def row_random(df: DataFrame, key: str = "record_id", train: float = 0.7, seed: int = 0) -> DataFrame:

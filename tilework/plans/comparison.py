@@ -154,4 +154,4 @@ SELECT split, round(covar_pop(ra, rb) / nullif(stddev_pop(ra) * stddev_pop(rb),
 def train_test_rho(spark, d) -> DataFrame:
     """Rank correlation over all candidates of each side of the split by targets: one method, train against test."""
     c = views.candidates(spark, d)
-    return correlation.pooled_spearman(c.join(splits.group_disjoint(c), "target_id"), keys=("split",)).select("split", r6("rho").alias("rho"), "n")
+    return correlation.pooled_spearman(splits.with_split(c), keys=("split",)).select("split", r6("rho").alias("rho"), "n")
